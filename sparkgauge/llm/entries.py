@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from .common import read_table
+from .exact_dedup import ORACLE_SQL as EXACT_SQL
+from .exact_dedup import exact_dedup
+from .line_dedup import dedup_lines
+from .mixing import mix
 from .packing import harmonic_pack
+from .secrets import secrets_digest
 from .sharding import shard_by_slots
 from .token_files import read_token_files, write_token_files
 
@@ -19,24 +26,49 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_lines", F.size("deleted").cast("long").alias("n_deleted"),
+        F.concat_ws(",", F.col("deleted").cast("array<string>")).alias("deleted"), F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     manifest = write_token_files(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
     return read_token_files(manifest)
 
 
+def op6_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_slots(read_table(spark, sf_dir, "documents"), shards=40)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_entropy_balance": op1_entropy_balance,
+    "op4_line_winnowing": op4_line_winnowing,
     "op5_token_files": op5_token_files,
+    "op6_cuckoo_dedup": op6_cuckoo_dedup,
     "op8_harmonic_packing": op8_harmonic_packing,
+    "op9_entropy_secrets": op9_entropy_secrets,
     "op10_virtual_slots": op10_virtual_slots,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_cuckoo_dedup": EXACT_SQL}
