@@ -19,7 +19,7 @@ from .common import quiet_tokenizers
 quiet_tokenizers()
 
 #: Chunks whose ids a worker keeps; beyond it the store starts anew (about 150 bytes each).
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 #: Longer chunks are not kept.
 CACHE_CHUNK_CHARS = 64
 #: Texts encoded together.
@@ -72,7 +72,9 @@ class ChunkEncoder:
         odd = [c for c in new if self._alone(c)]
         for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self.known[c] = np.asarray(e.ids, dtype=np.uint32).tobytes()
-        new = [c for c in new if not self._alone(c)]
+        if odd:
+            hard = set(odd)
+            new = [c for c in new if c not in hard]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             whole = ("" if self.leading_blank else " | ").join(part)
@@ -113,16 +115,11 @@ class ChunkEncoder:
         for chunks in split:
             if chunks:
                 need.update(chunks)
-        need.difference_update(self.known)
-        need.discard("")
-        long = {c for c in need if len(c) > CACHE_CHUNK_CHARS}
-        need -= long
-        self.known[""] = b""
-        self._learn(sorted(need))
-        extra: dict[str, bytes] = {}
-        for c in long:
-            extra[c] = self._whole(c)
         known = self.known
+        known[""] = b""
+        new = [c for c in need if c not in known]
+        self._learn([c for c in new if len(c) <= CACHE_CHUNK_CHARS])
+        extra = {c: self._whole(c) for c in new if len(c) > CACHE_CHUNK_CHARS}
         out = []
         for text, chunks in zip(texts, split, strict=True):
             if chunks is None:
