@@ -13,9 +13,11 @@ from .exact_dedup import ORACLE_SQL as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .neighbours import nearest
 from .packing import harmonic_pack
 from .secrets import secrets_digest
 from .sharding import shard_by_slots
+from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
 
 
@@ -31,6 +33,10 @@ def op1_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
@@ -49,6 +55,10 @@ def op6_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), query_step=20, k=20)
+
+
 def op8_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -63,9 +73,11 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_balance": op1_entropy_balance,
+    "op3_simhash": op3_simhash,
     "op4_line_winnowing": op4_line_winnowing,
     "op5_token_files": op5_token_files,
     "op6_cuckoo_dedup": op6_cuckoo_dedup,
+    "op7_multi_index_hashing": op7_multi_index_hashing,
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_virtual_slots": op10_virtual_slots,
