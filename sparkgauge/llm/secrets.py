@@ -117,7 +117,11 @@ def find_secrets(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataF
     for kind in patterns:
         rows = rows.withColumn(f"_sl_{kind}", F.expr(_places(f"_sm_{kind}", f"_sp_{kind}")))
     spans = lambda kind, of: f"transform({of}, s -> named_struct('start', s.start, 'kind', {KINDS.index(kind)}, 'end', s.end))"
-    long_values = f"filter(_sl_assign, (s, i) -> char_length(_sv[i]) >= {ASSIGN_VALUE_CHARS})"
+    # arrays are zipped rather than looked up inside a lambda, where they would be computed for each element
+    long_values = (
+        f"filter(zip_with(_sl_assign, coalesce(_sv, array()), (s, v) -> "
+        f"named_struct('start', s.start, 'end', s.end, 'long', char_length(v) >= {ASSIGN_VALUE_CHARS})), s -> s.long)"
+    )
     rows = rows.withColumn(
         "base",
         F.expr(f"array_sort(concat({spans('assign', long_values)}, {spans('access', '_sl_access')}, {spans('hex', '_sl_hex')}))"),
@@ -130,10 +134,10 @@ def find_secrets(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataF
         "_sc",
         F.expr(f"""
           filter(
-            transform(_sm_entropy, (m, i) -> named_struct(
-              'start', _sl_entropy[i].start, 'bits', {bits},
+            zip_with(_sm_entropy, _sl_entropy, (m, s) -> named_struct(
+              'start', s.start, 'bits', {bits},
               'chars', split(m, ''), 'allowed', {allowed},
-              'known', exists(base, b -> b.start <= _sl_entropy[i].start AND _sl_entropy[i].end <= b.end))),
+              'known', exists(base, b -> b.start <= s.start AND s.end <= b.end))),
             c -> NOT c.allowed AND NOT c.known AND c.bits <= log2({rules.window}))"""),
     )
     rows = rows.withColumn(
