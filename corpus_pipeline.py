@@ -1,12 +1,58 @@
-"""A corpus pipeline out of the operators of ``sparkgauge.llm``."""
+"""From raw documents to packed training sequences, by five operators of ``sparkgauge.llm``.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet
+and read again as the next one's documents.  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sparkgauge.llm import line_dedup, mixing, packing, simhash, toxicity
+from sparkgauge.llm.common import DOCUMENT_COLUMNS, materialise, read_table
+from sparkgauge.llm.entries import vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network scores 0.5 or more go."""
+    return toxicity.keep_clean(docs.select(*DOCUMENT_COLUMNS), read_table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Runs of lines that earlier documents hold go; documents stay."""
+    return line_dedup.dedup_lines(docs).select(*DOCUMENT_COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs).select(*DOCUMENT_COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.apply_mix(docs).select(*DOCUMENT_COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.harmonic_pack(docs, vocabulary("word_bpe_49k.json"), end_id=2)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("simhash near-dedup", drop_near_duplicates),
+    ("source mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: A trained network, hashes of another kind and a tokenizer stand in it, none of which SQL has.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on ``documents``, each written to the shared folder before the next reads it."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

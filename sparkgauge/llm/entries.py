@@ -19,6 +19,7 @@ from .secrets import secrets_digest
 from .sharding import shard_by_slots
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
+from .toxicity import score_toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -33,6 +34,10 @@ def op1_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_balance": op1_entropy_balance,
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_line_winnowing": op4_line_winnowing,
     "op5_token_files": op5_token_files,
