@@ -17,6 +17,7 @@ so is what is broadcast.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 WINDOW = 32
 STRIDE = 16
@@ -413,7 +415,7 @@ _SCORER: list = [None, None]
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """The rows of ``docs`` with ``score`` (0 to 1): a column is added, all others stay."""
     send = docs.sparkSession.sparkContext.broadcast(net)
-    mark = send.id
+    mark = uuid.uuid4().hex
     kept = [c for c in docs.columns if c != "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +436,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
 
     plain = docs.select(*kept)
-    schema = plain.schema.add("score", "double")
+    schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
     return plain.mapInArrow(run, schema)
 
 
