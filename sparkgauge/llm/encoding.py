@@ -26,9 +26,10 @@ CACHE_CHUNK_CHARS = 64
 BATCH_CHARS = 2_000_000
 
 
-#: White space of Unicode; a blank after one of these may stand inside a longer run.
-_BEFORE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+_RUN = re.compile(r" \s")
 _INSIDE = re.compile(r"\s \s")
+#: Marks a text's first chunk, before which there is no blank.
+_FIRST = "\0"
 
 
 class ChunkEncoder:
@@ -54,30 +55,37 @@ class ChunkEncoder:
             (self.bar,) = self.tokenizer.encode("|", add_special_tokens=False).ids
 
     def _chunks(self, text: str) -> list[str] | None:
-        """The text's chunks; None if it must be encoded as a whole."""
+        """The text's chunks, the blanks between them left out; None if it must be encoded as a whole."""
         if not self.leading_blank:
             return text.replace("\n", " ").split(" ")
-        if any(x in text for x in _BEFORE) and _INSIDE.search(text):
+        if _RUN.search(text) and _INSIDE.search(text) or _FIRST in text:
             return None
         chunks = text.split(" ")
-        # all but the first carry the blank before them
-        return [chunks[0], *[" " + c for c in chunks[1:]]]
+        chunks[0] = _FIRST + chunks[0]
+        return chunks
 
-    def _alone(self, c: str) -> bool:
+    def _odd(self, new: list[str]) -> list[str]:
+        """Chunks that can't be told from their neighbours in a joined text."""
         if self.leading_blank:
-            return c[0] != " " or len(c) == 1 or c[-1].isspace() or c[1].isspace()
-        return "|" in c
+            return [c for c in new if not c or c[0] == _FIRST or c[-1].isspace() or c[0].isspace()]
+        return [c for c in new if "|" in c]
+
+    def _text(self, chunk: str) -> str:
+        """The part of the text that a chunk stands for."""
+        if not self.leading_blank:
+            return chunk
+        return chunk[1:] if chunk[:1] == _FIRST else " " + chunk
 
     def _learn(self, new: list[str]) -> None:
-        odd = [c for c in new if self._alone(c)]
-        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-            self.known[c] = np.asarray(e.ids, dtype=np.uint32).tobytes()
-        if odd:
+        if odd := self._odd(new):
+            texts = [self._text(c) for c in odd]
+            for c, e in zip(odd, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                self.known[c] = np.asarray(e.ids, dtype=np.uint32).tobytes()
             hard = set(odd)
             new = [c for c in new if c not in hard]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            whole = ("" if self.leading_blank else " | ").join(part)
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            whole = " " + " ".join(part) if self.leading_blank else " | ".join(part)
             ids = np.asarray(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, dtype=np.uint32)
             if self.leading_blank:
                 begins = np.flatnonzero(self.begins[ids])
@@ -88,8 +96,7 @@ class ChunkEncoder:
             if len(begins) != len(part):
                 raise AssertionError("a border between chunks was lost in encoding")
             raw = ids.tobytes()
-            for c, begin, end in zip(part, (begins * 4).tolist(), (ends * 4).tolist(), strict=True):
-                self.known[c] = raw[begin:end]
+            self.known.update(zip(part, [raw[b:e] for b, e in zip((begins * 4).tolist(), (ends * 4).tolist(), strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers; null counts as empty."""
@@ -116,18 +123,19 @@ class ChunkEncoder:
             if chunks:
                 need.update(chunks)
         known = self.known
-        known[""] = b""
-        new = [c for c in need if c not in known]
+        if not self.leading_blank:
+            known[""] = b""
+        new = list(need.difference(known))  # looks up each of need, with the hashes it has
         self._learn([c for c in new if len(c) <= CACHE_CHUNK_CHARS])
-        extra = {c: self._whole(c) for c in new if len(c) > CACHE_CHUNK_CHARS}
-        out = []
+        extra = {c: self._whole(self._text(c)) for c in new if len(c) > CACHE_CHUNK_CHARS}
+        out, get = [], known.__getitem__
         for text, chunks in zip(texts, split, strict=True):
             if chunks is None:
                 out.append(self._whole(text))
             elif extra:
-                out.append(b"".join([known[c] if c in known else extra[c] for c in chunks]))
+                out.append(b"".join([extra[c] if c in extra else known[c] for c in chunks]))
             else:
-                out.append(b"".join([known[c] for c in chunks]))
+                out.append(b"".join(map(get, chunks)))
         return out
 
 
