@@ -35,8 +35,8 @@ FIT_QUERIES = 64
 COVERAGE = 0.97
 ROTATIONS = 4
 FIT_STEPS = 25
-BLOCK_ROWS = 2048
-BLOCK_QUERIES = 1024
+BLOCK_ROWS = 32_768
+BLOCK_QUERIES = 512
 SUB_BITS = 16
 
 
@@ -243,9 +243,9 @@ def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, block_rows: i
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         out = []
         # rows of one id all have one block, however many they are
-        for at in range(0, len(rows), 4 * block_rows):
+        for at in range(0, len(rows), 2 * block_rows):
             for to in range(0, len(queries), block_queries):
-                out.append(search_block(rows.iloc[at : at + 4 * block_rows], queries.iloc[to : to + block_queries], send.value, k))
+                out.append(search_block(rows.iloc[at : at + 2 * block_rows], queries.iloc[to : to + block_queries], send.value, k))
         return pd.concat(out)
 
     met = (
