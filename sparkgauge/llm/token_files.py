@@ -53,7 +53,9 @@ def pack_block(ids: np.ndarray, percentile: float = WIDTH_PERCENTILE) -> bytes:
     odd = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, dtype=np.int64)
     small = rest.copy()
     small[odd] = 0
-    if width:
+    if width == 16:
+        packed = small.astype(">u2").tobytes()  # what the general way gives, without bits
+    elif width:
         lanes = small.astype(">u4").view(np.uint8).reshape(-1, 4)
         bits = np.unpackbits(lanes, axis=1)[:, 32 - width :]
         packed = np.packbits(bits).tobytes()
@@ -72,7 +74,9 @@ def unpack_block(raw: bytes) -> np.ndarray:
     at = HEAD.size
     size = (n * width + 7) // 8
     out = np.zeros(n, dtype=np.uint32)
-    if width:
+    if width == 16:
+        out = np.frombuffer(raw, ">u2", n, at).astype(np.uint32)
+    elif width:
         bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * width).reshape(n, width)
         lanes = np.zeros((n, 32), dtype=np.uint8)
         lanes[:, 32 - width :] = bits
