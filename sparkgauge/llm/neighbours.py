@@ -38,6 +38,9 @@ FIT_STEPS = 25
 BLOCK_ROWS = 32_768
 BLOCK_QUERIES = 512
 SUB_BITS = 16
+#: Queries verified at once, and the share of candidates beyond which codes are compared row by row.
+VERIFY_QUERIES = 64
+DENSE = 0.1
 
 
 @dataclass(frozen=True)
@@ -95,15 +98,17 @@ class MultiIndex:
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.tables = [np.unique(codes[:, j], return_inverse=True) for j in range(codes.shape[1])]
+        self.words = _words(codes)
 
     def distances(self, queries: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(queries), len(self.codes)), dtype=np.int16)
-        for j in range(self.codes.shape[1]):
-            out += np.bitwise_count(queries[:, j, None] ^ self.codes[None, :, j])
+        """Bits that differ, (queries, rows)."""
+        out = np.zeros((len(queries), len(self.codes)), dtype=np.uint16)
+        for q, c in zip(_words(queries).T, self.words.T, strict=True):
+            out += np.bitwise_count(q[:, None] ^ c[None, :])
         return out
 
-    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) of all codes within the radius."""
+    def candidates(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """(queries, rows): the rows that probing the indexes retrieves, all within the radius among them."""
         hit = np.zeros((len(queries), len(self.codes)), dtype=bool)
         for j, t in enumerate(thresholds(radius, self.codes.shape[1])):
             if t >= 0:
@@ -111,12 +116,31 @@ class MultiIndex:
                 # the occupied values within t of the query's: fewer than the words within t once t is large
                 near = np.bitwise_count(queries[:, j, None] ^ values[None, :]) <= t
                 hit |= near[:, rows]
-        q, i = np.nonzero(hit)
-        far = np.zeros(len(q), dtype=np.int16)
-        for j in range(self.codes.shape[1]):
-            far += np.bitwise_count(queries[q, j] ^ self.codes[i, j])
-        inside = far <= radius
-        return q[inside], i[inside]
+        return hit
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all codes within the radius."""
+        out_q, out_i = [], []
+        for at in range(0, len(queries), VERIFY_QUERIES):
+            part = queries[at : at + VERIFY_QUERIES]
+            hit = self.candidates(part, radius)
+            if hit.mean() > DENSE:
+                # most codes are candidates: comparing whole rows costs less than picking them out
+                hit &= self.distances(part) <= radius
+                q, i = np.nonzero(hit)
+            else:
+                q, i = np.nonzero(hit)
+                far = np.bitwise_count(_words(part)[q] ^ self.words[i]).sum(axis=1, dtype=np.uint16)
+                q, i = q[far <= radius], i[far <= radius]
+            out_q.append(q + at)
+            out_i.append(i)
+        return np.concatenate(out_q), np.concatenate(out_i)
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Codes as 64-bit words."""
+    lack = -codes.shape[1] % 4
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, lack)))).view(np.uint64)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
