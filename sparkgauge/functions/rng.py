@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the generator.
@@ -24,14 +24,23 @@ def _times(a: Column, b: Column) -> Column:
     return (low + high).bitwiseAND(F.lit(WORD))
 
 
-def uniform(seed: int, draw: Column) -> Column:
-    """Draw number ``draw`` (from 0, below 2^31) of the stream of ``seed``, in [0, 1)."""
-    i = (draw.cast("long") + 1).bitwiseAND(F.lit(WORD))
-    a = (F.lit(seed & WORD).cast("long") + _times(F.lit(STEP).cast("long"), i)).bitwiseAND(F.lit(WORD))
-    t = a.bitwiseXOR(F.shiftright(a, 15))
-    t = _times(t, a.bitwiseOR(F.lit(1)))
-    t = (t + _times(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(WORD)).bitwiseXOR(t)
-    return t.bitwiseXOR(F.shiftright(t, 14)).cast("double") / 4294967296.0
+def with_uniform(df: DataFrame, seed: int, draw: Column, name: str) -> DataFrame:
+    """Adds ``name``: draw number ``draw`` (from 0, below 2^31) of the stream of ``seed``, in [0, 1).
+
+    Each word is used several times by the next, so each is a column of its own: as one expression
+    it would be copied over and over.
+    """
+    word = lambda c: c.bitwiseAND(F.lit(WORD))
+    a, t, u = F.col("_a"), F.col("_t"), F.col("_u")
+    return (
+        df.withColumn("_a", word(F.lit(seed & WORD).cast("long") + _times(F.lit(STEP).cast("long"), word(draw.cast("long") + 1))))
+        .withColumn("_t", a.bitwiseXOR(F.shiftright(a, 15)))
+        .withColumn("_t", _times(t, a.bitwiseOR(F.lit(1))))
+        .withColumn("_u", t.bitwiseXOR(F.shiftright(t, 7)))
+        .withColumn("_t", word(t + _times(u, t.bitwiseOR(F.lit(61)))).bitwiseXOR(t))
+        .withColumn(name, t.bitwiseXOR(F.shiftright(t, 14)).cast("double") / 4294967296.0)
+        .drop("_a", "_t", "_u")
+    )
 
 
 class Rng:

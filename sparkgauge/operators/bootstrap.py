@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rng import Rng, normal_cdf, normal_quantile, quantile, uniform
+from ..functions.rng import Rng, normal_cdf, normal_quantile, quantile, with_uniform
 
 RESAMPLES = 10_000
 SEED = 20260712
@@ -59,9 +59,9 @@ def resample_sums(spark: SparkSession, clusters: DataFrame, seed: int = SEED, re
         .crossJoin(count)  # one row
         .crossJoin(F.broadcast(strata))  # a row a stratum: classes
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-        .withColumn("u", uniform(seed, F.col("b") * F.col("all_n") + F.col("offset") + F.col("i")))
-        .select("b", "stratum_no", F.floor(F.col("u") * F.col("size")).alias("at"))
     )
+    draws = with_uniform(draws, seed, F.col("b") * F.col("all_n") + F.col("offset") + F.col("i"), "u")
+    draws = draws.select("b", "stratum_no", F.floor(F.col("u") * F.col("size")).alias("at"))
     return draws.join(clusters.select("stratum_no", "at", "total", "n"), ["stratum_no", "at"]).groupBy("b").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 

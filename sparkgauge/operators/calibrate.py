@@ -70,11 +70,13 @@ def ablation(variants: DataFrame, full: str, order: list[str]) -> DataFrame:
 
     ``variants(variant, <order>, confidence, correct)``.
     """
-    base = variants.filter(F.col("variant") == full).select(*order, F.col("confidence").alias("_c"), F.col("correct").alias("_y"))
-    others = variants.filter(F.col("variant") != full)
-    names = others.select("variant").distinct()
-    both = others.join(names.join(base), ["variant", *order], "full")
-    same = both.groupBy("variant").agg(F.bool_and(F.coalesce((F.col("confidence") == F.col("_c")) & (F.col("correct") == F.col("_y")), F.lit(False))).alias("degenerate"))
+    columns = [*order, "confidence", "correct"]
+    others = variants.filter(F.col("variant") != full).select("variant", *columns, F.lit(1).alias("_n"))
+    names = variants.filter(F.col("variant") != full).select("variant").distinct()
+    base = variants.filter(F.col("variant") == full).select(*columns, F.lit(-1).alias("_n"))
+    # the full variant's points against each other's: what doesn't cancel differs; variants are a few
+    left = others.unionByName(names.crossJoin(base)).groupBy("variant", *columns).agg(F.sum("_n").alias("_n"))
+    same = left.groupBy("variant").agg((F.count(F.when(F.col("_n") != 0, 1)) == 0).alias("degenerate"))
     table = metrics.corpus_metrics(variants, ["variant"], order)
     whole = table.filter(F.col("variant") == full)
     keep = ("ece", "debiased_ece", "brier", "auroc")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rng import Rng, normal_quantile, quantile, uniform
+from ..functions.rng import Rng, normal_quantile, quantile, with_uniform
 from . import metrics
 
 
@@ -48,7 +48,8 @@ def consistency_bands(points: DataFrame, order: list[str], seed: int, sims: int
     """Per bin the range of accuracies that calibrated points would show: each draw is a column expression."""
     placed = metrics.binned(points, [], order, bins).select("r", "n", "bin", "confidence", "correct")
     draws = placed.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
-    hit = (uniform(seed, F.col("s") * F.col("n") + F.col("r")) < F.col("confidence")).cast("double")
+    draws = with_uniform(draws, seed, F.col("s") * F.col("n") + F.col("r"), "u")
+    hit = (F.col("u") < F.col("confidence")).cast("double")
     tail = (1 - level) / 2
     simulated = draws.groupBy("bin", "s").agg(F.avg(hit).alias("accuracy")).groupBy("bin").agg(
         F.percentile("accuracy", F.lit(tail)).alias("lo"), F.percentile("accuracy", F.lit(1 - tail)).alias("hi")
