@@ -7,7 +7,7 @@ directions; attention pools the states, and a linear layer gives the window's lo
 logit is the largest of its windows'.
 
 Labels are of texts, not windows: training takes, again and again, the window that scores
-highest in each text, those of clean texts as hard negatives.  The first choice goes by log
+highest in each text, those of clean texts as hard negatives, and windows of repeated clean words.  The first choice goes by log
 odds of words and n-grams, with which one input dimension starts.  At the end the logits of texts are calibrated
 to probabilities by logistic regression.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ class Limits:
     """The bounded sample of labelled texts: at most so many of each label, by hash of doc_id."""
 
     toxic: int = 1500
-    clean: int = 3000
+    clean: int = 5000
     epochs: int = 8
     seed: int = 11
 
@@ -93,6 +94,18 @@ def word_inputs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mix(np.add.reduceat(terms, ends - sizes), 15), grams, starts
 
 
+def vocabulary_inputs(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_inputs`` of many words, part by part so that little is held at once; 32-bit numbers."""
+    buckets, grams, starts, base = [], [], [], 0
+    for at in range(0, len(words), step):
+        b, g, s = word_inputs(words[at : at + step])
+        buckets.append(b.astype(np.int32))
+        grams.append(g.astype(np.int32))
+        starts.append((s + base).astype(np.int32))
+        base += len(g)
+    return np.concatenate(buckets), np.concatenate(grams), np.concatenate(starts)
+
+
 def split(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
@@ -121,30 +134,31 @@ class Network:
         self.p |= {"A": scale(2 * h, ATTENTION), "a": np.zeros(ATTENTION, np.float32), "v": scale(ATTENTION), "w": scale(2 * h), "c": np.zeros(1, np.float32)}
         self.slope, self.shift = 1.0, 0.0
 
-    def inputs(self, words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), WORD_DIM + GRAM_DIM), np.float32)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            word, grams, starts = word_inputs(part)
-            n = np.diff(np.append(starts, len(grams)))
-            out[at : at + len(part), :WORD_DIM] = self.words[word]
-            out[at : at + len(part), WORD_DIM:] = np.add.reduceat(self.grams[grams], starts, axis=0) / n[:, None]
+    def embed(self, word: np.ndarray, grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Inputs of words from their buckets."""
+        out = np.empty((len(word), WORD_DIM + GRAM_DIM), np.float32)
+        out[:, :WORD_DIM] = self.words[word]
+        n = np.diff(np.append(starts, len(grams)))
+        out[:, WORD_DIM:] = np.add.reduceat(self.grams[grams], starts, axis=0) / n[:, None]
         return out
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        """What words bring to the gates of both directions."""
-        return np.hstack([x @ self.p["Wf"] + self.p["Bf"], x @ self.p["Wb"] + self.p["Bb"]]).astype(np.float32)
+    def inputs(self, words: list[str]) -> np.ndarray:
+        parts = [self.embed(*word_inputs(words[at : at + 20_000])) for at in range(0, len(words), 20_000)]
+        return np.concatenate(parts) if parts else np.empty((0, WORD_DIM + GRAM_DIM), np.float32)
+
+    def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What words bring to the gates of the two directions."""
+        return tuple((x @ self.p["W" + side] + self.p["B" + side]).astype(np.float32) for side in "fb")
 
-    def _run(self, gates: np.ndarray, at: np.ndarray, mask: np.ndarray, side: str, keep: bool):
+    def _run(self, gates: tuple, at: np.ndarray, mask: np.ndarray, side: str, keep: bool):
         """States (T, n, H) of one direction; ``at``: rows of ``gates`` (n, T)."""
         h, u = HIDDEN, self.p["U" + side]
-        zone = slice(0, 3 * h) if side == "f" else slice(3 * h, 6 * h)
+        own = gates["fb".index(side)]
         n, t_all = at.shape
         state = np.zeros((n, h), np.float32)
         out = np.empty((t_all, n, h), np.float32)
         trace = []
         full = bool(mask.all())
-        own = np.ascontiguousarray(gates[:, zone])
         for t in range(t_all) if side == "f" else range(t_all - 1, -1, -1):
             g = own[at[:, t]]
             # logistic function through tanh
@@ -168,7 +182,7 @@ class Network:
         context = np.einsum("tn,tnh->nh", weight, states)
         return u, weight, context
 
-    def logits(self, gates: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    def logits(self, gates: tuple, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
         out = np.empty(len(at), np.float32)
         for s in range(0, len(at), WINDOW_BATCH):
             a, m = at[s : s + WINDOW_BATCH], mask[s : s + WINDOW_BATCH]
@@ -197,7 +211,7 @@ class Network:
         g["A"] = np.einsum("tnh,tna->ha", states, d_u)
         g["a"] = d_u.sum(axis=(0, 1))
         d_states = d_states + d_u @ p["A"].T
-        d_gates = np.zeros_like(gates)
+        d_gates = [np.zeros_like(x) for x in gates]
         for k, side in enumerate("fb"):
             uu = p["U" + side]
             carry = np.zeros((len(at), h), np.float32)
@@ -213,11 +227,10 @@ class Network:
                 g["U" + side][:, : 2 * h] += before.T @ d_zr
                 g["U" + side][:, 2 * h :] += (r * before).T @ dm
                 carry = dh * ~on + live * z + d_zr @ uu[:, : 2 * h].T + d_rs * r
-                np.add.at(d_gates[:, 3 * h * k : 3 * h * (k + 1)], at[:, t], np.hstack([d_zr, dm]))
-        for k, side in enumerate("fb"):
-            own = d_gates[:, 3 * h * k : 3 * h * (k + 1)]
+                np.add.at(d_gates[k], at[:, t], np.hstack([d_zr, dm]))
+        for own, side in zip(d_gates, "fb", strict=True):
             g["W" + side], g["B" + side] = x.T @ own, own.sum(axis=0)
-        d_x = d_gates[:, : 3 * h] @ p["Wf"].T + d_gates[:, 3 * h :] @ p["Wb"].T
+        d_x = d_gates[0] @ p["Wf"].T + d_gates[1] @ p["Wb"].T
         return g, d_x, float(np.mean(weight * np.logaddexp(0, np.where(y > 0, -logit, logit))))
 
 
@@ -232,7 +245,7 @@ class Scorer:
         # row 0 stands for places beyond a text's end; the mask leaves it out
         self.known: dict[str, int] = {}
         self.rows = 1
-        self.gates = np.zeros((4096, 6 * HIDDEN), np.float32)
+        self.gates = tuple(np.zeros((4096, 3 * HIDDEN), np.float32) for _ in "fb")
 
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.known]
@@ -242,11 +255,15 @@ class Scorer:
             self._reset()
             new = list(words)
         need = self.rows + len(new)
-        if need > len(self.gates):
-            grown = np.zeros((max(need, 2 * len(self.gates)), self.gates.shape[1]), np.float32)
-            grown[: self.rows] = self.gates[: self.rows]
+        if need > len(self.gates[0]):
+            grown = tuple(np.zeros((max(need, 2 * len(x)), x.shape[1]), np.float32) for x in self.gates)
+            for x, y in zip(grown, self.gates, strict=True):
+                x[: self.rows] = y[: self.rows]
             self.gates = grown
-        self.gates[self.rows : need] = self.net.project(self.net.inputs(new))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            for x, y in zip(self.gates, self.net.project(self.net.inputs(part)), strict=True):
+                x[self.rows + at : self.rows + at + len(part)] = y
         self.known.update(zip(new, range(self.rows, need), strict=True))
         self.rows = need
 
@@ -255,7 +272,7 @@ class Scorer:
         words = [split(t) for t in texts]
         self._learn(set().union(*words))
         known = self.known
-        flat = np.fromiter((known[w] for ws in words for w in ws), dtype=np.int64)
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), dtype=np.int64)
         starts, firsts, sizes, base = [], [], [], 0
         for ws in words:
             own = windows(len(ws))
@@ -301,19 +318,33 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
         net.slope = 0.0
         return net
     random = np.random.default_rng(limits.seed)
-    split_texts = [split(t) for t in texts]
-    vocabulary = sorted(set().union(*split_texts))
-    number = {w: i for i, w in enumerate(vocabulary)}
-    rows = [np.array([number[w] for w in ws], dtype=np.int64) for ws in split_texts]
-    word, grams, starts = word_inputs(vocabulary or ["?"])
+    number: dict[str, int] = {}
+    # words are numbered as they come, so no text's list of words is kept
+    rows = [np.array([number.setdefault(w, len(number)) for w in split(t)], dtype=np.int32) for t in texts]
+    vocabulary = list(number)
+    del number
+    word, grams, starts = vocabulary_inputs(vocabulary or ["?"])
+    del vocabulary
     counts = np.diff(np.append(starts, len(grams)))
-    gram_of = np.repeat(np.arange(len(counts)), counts)
+    gram_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+
+    def everything() -> np.ndarray:
+        cut = [*range(0, len(word), 20_000), len(word)]
+        return np.concatenate([pick(np.arange(a, b)) for a, b in zip(cut, cut[1:], strict=False)])
+
+    def spans_of(own: np.ndarray) -> np.ndarray:
+        n = counts[own]
+        return np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def pick(own: np.ndarray) -> np.ndarray:
+        n = counts[own]
+        return net.embed(word[own], grams[spans_of(own)], np.cumsum(n) - n)
 
     def buckets(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = np.unique(r)
         if not len(own):
             return own, own
-        return np.unique(word[own]), np.unique(np.concatenate([grams[starts[i] : starts[i] + counts[i]] for i in own]))
+        return np.unique(word[own]), np.unique(grams[spans_of(own)])
 
     word_odds, gram_odds = _log_odds(net, [buckets(r) for r in rows], y)
     net.words[:, 0] = 0.25 * np.clip(word_odds, -4, 4)
@@ -322,39 +353,47 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
     places = [(i, s) for i, r in enumerate(rows) for s in windows(len(r))]
     of_text = np.array([i for i, _ in places])
     begin = np.array([s for _, s in places])
-    flat = np.append(np.concatenate(rows) if rows else np.empty(0, np.int64), np.zeros(WINDOW, np.int64))
+    flat = np.append(np.concatenate(rows), np.zeros(WINDOW, np.int32))
     sizes = np.array([len(r) for r in rows])
     base = np.cumsum(sizes) - sizes
-    at_all = flat[(base[of_text] + begin)[:, None] + np.arange(WINDOW)]
+    at_all = flat[(base[of_text] + begin).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)]
     mask_all = np.arange(WINDOW) < np.minimum(WINDOW, sizes[of_text])[:, None]
     mean_odds = np.add.reduceat(np.clip(gram_odds, -4, 4)[grams], starts) / counts + np.clip(word_odds, -4, 4)[word]
-    strength = np.where(mask_all, mean_odds[at_all], -9).max(axis=1)
+    strength = np.where(mask_all, mean_odds.astype(np.float32)[at_all], np.float32(-9)).max(axis=1)
 
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     squares = [np.full(len(net.words), 1e-3, np.float32), np.full(len(net.grams), 1e-3, np.float32)]
     step = 0
     first = np.flatnonzero(np.append(True, of_text[1:] != of_text[:-1]))
+    clean_words = np.unique(np.concatenate([r for r, label in zip(rows, y, strict=True) if not label]))
+    if not len(clean_words):
+        clean_words = np.array([0])
     epoch = -1
     while epoch + 1 < limits.epochs or step < LEAST_STEPS:
         epoch += 1
         if epoch:
-            inputs = net.inputs(vocabulary)
-            strength = net.logits(net.project(inputs), at_all, mask_all)
+            strength = net.logits(net.project(everything()), at_all, mask_all)
         order = np.lexsort((-strength, of_text))
         top = order[first]
         second = order[np.minimum(first + 1, np.append(first[1:], len(order)) - 1)]
         clean = y[of_text[second]] == 0
         other = random.permutation(np.flatnonzero(y[of_text] == 0))[: len(first)]
         chosen = np.unique(np.concatenate([top, second[clean], other]))
-        random.shuffle(chosen)
-        target = y[of_text[chosen]].astype(np.float32)
+        # windows of one to three clean words repeated: rare in a sample, and far from all other windows
+        made = random.choice(clean_words, (len(chosen) // 4 + 1, 3))
+        runs = np.arange(WINDOW) * random.integers(1, 4, (len(made), 1)) // WINDOW
+        at_now = np.concatenate([at_all[chosen], np.take_along_axis(made, runs, axis=1)])
+        mask_now = np.concatenate([mask_all[chosen], np.ones((len(made), WINDOW), bool)])
+        target = np.append(y[of_text[chosen]], np.zeros(len(made))).astype(np.float32)
+        mixed = random.permutation(len(target))
+        at_now, mask_now, target = at_now[mixed], mask_now[mixed], target[mixed]
         share = target.mean()
         weight = np.where(target > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
-        for s in range(0, len(chosen), 128):
-            part = chosen[s : s + 128]
-            own, local = np.unique(at_all[part], return_inverse=True)
-            x = net.inputs([vocabulary[i] for i in own])
-            g, d_x, _ = net.gradients(x, local.reshape(len(part), WINDOW), mask_all[part], target[s : s + 128], weight[s : s + 128])
+        for s in range(0, len(target), 128):
+            part = slice(s, s + 128)
+            own, local = np.unique(at_now[part], return_inverse=True)
+            x = pick(own)
+            g, d_x, _ = net.gradients(x, local.reshape(-1, WINDOW), mask_now[part], target[part], weight[part])
             step += 1
             for k, v in net.p.items():
                 m, q = moments[k]
@@ -362,7 +401,7 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
                 q += 0.01 * (g[k] * g[k] - q)
                 v -= 8e-3 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
             # rows of the two tables that the batch met, by adagrad
-            spans = np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in own])
+            spans = spans_of(own)
             back = np.searchsorted(own, gram_of[spans])
             for table, square, rows_, d in (
                 (net.words, squares[0], word[own], d_x[:, :WORD_DIM]),
@@ -373,16 +412,16 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
                 np.add.at(total, where, d)
                 square[hit] += (total * total).sum(axis=1)
                 table[hit] -= 0.05 * total / np.sqrt(square[hit])[:, None]
-    strength = net.logits(net.project(net.inputs(vocabulary)), at_all, mask_all) if vocabulary else strength
+    strength = net.logits(net.project(everything()), at_all, mask_all)
     net.slope, net.shift = calibrate(np.maximum.reduceat(strength, first).astype(np.float64), y)
     return net
 
 
 def calibrate(logit: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and shift of a logistic regression, both labels weighing the same, by Newton steps."""
+    """Slope and shift of a logistic regression over the sample's texts, by Newton steps."""
     b = np.array([1.0, 0.0])
     x = np.stack([logit, np.ones_like(logit)], axis=1)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.full(len(y), 1 / len(y))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         g = x.T @ (weight * (p - y)) + ridge * (b - [1.0, 0.0])
