@@ -61,7 +61,8 @@ def resample_sums(spark: SparkSession, clusters: DataFrame, seed: int = SEED, re
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
     )
     draws = with_uniform(draws, seed, F.col("b") * F.col("all_n") + F.col("offset") + F.col("i"), "u")
-    draws = draws.select("b", "stratum_no", F.floor(F.col("u") * F.col("size")).alias("at"))
+    # never null: else the join's "is not null" would be pushed down, all of the random column copied into it
+    draws = draws.select("b", "stratum_no", F.coalesce(F.floor(F.col("u") * F.col("size")), F.lit(-1)).alias("at"))
     return draws.join(clusters.select("stratum_no", "at", "total", "n"), ["stratum_no", "at"]).groupBy("b").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 

@@ -311,7 +311,7 @@ def q_random_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 _CLUSTERS = """clusters AS (SELECT *, row_number() OVER (ORDER BY doc_class, doc) - 1 AS pos, count(*) OVER () AS size FROM (
   SELECT event_type AS doc_class, user_id % 20 AS doc, sum(value) AS total, count(*) AS n FROM events GROUP BY 1, 2))"""
-_RESAMPLED = _CLUSTERS + f""", draws AS (SELECT i // 100 AS b, u FROM {_mulberry('20000')}),
+_RESAMPLED = _CLUSTERS + f""", draws AS (SELECT i // (SELECT count(*) FROM clusters) AS b, u FROM {_mulberry('20000')} WHERE i < 200 * (SELECT count(*) FROM clusters)),
 sums AS (SELECT b, sum(total) AS total, sum(n)::BIGINT AS n FROM draws JOIN clusters ON pos = floor(u * size)::BIGINT GROUP BY 1)"""
 
 
