@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from .common import materialise, new_path
 
 SLOTS = 16_384
+#: How far above the mean a shard may be before slots move, as a share.
+SLACK = 0.02
 #: Bytes that a record takes besides its text.
 RECORD_BYTES = 16
 
@@ -53,11 +55,11 @@ def plan(weights: list[int], shards: int) -> SlotMap:
     return SlotMap(shards, of)
 
 
-def rebalance(old: SlotMap, weights: list[int], shards: int) -> SlotMap:
+def rebalance(old: SlotMap, weights: list[int], shards: int, slack: float = SLACK) -> SlotMap:
     """An edited map for ``shards`` shards.
 
     Slots of shards that are given up move; then slots move from the heaviest shard to the
-    lightest as long as that lowers the heavier of the two.  All other slots stay.
+    lightest until none is more than ``slack`` above the mean, or no move helps.  All other slots stay.
     """
     of, load = list(old.of), [0] * max(shards, old.shards)
     held: list[list[int]] = [[] for _ in load]
@@ -80,7 +82,8 @@ def rebalance(old: SlotMap, weights: list[int], shards: int) -> SlotMap:
         move(slot, min(range(shards), key=lambda s: (load[s], s)))
     for shard in range(shards):
         held[shard].sort(key=lambda s: (weights[s], s))
-    while shards > 1:
+    most = (1 + slack) * sum(weights) / shards
+    while max(load[:shards]) > most:
         high = max(range(shards), key=lambda s: (load[s], -s))
         low = min(range(shards), key=lambda s: (load[s], s))
         gap = load[high] - load[low]
