@@ -34,6 +34,8 @@ FIT_QUERIES = 64
 #: The share of those neighbours that the radius must hold.
 COVERAGE = 0.97
 ROTATIONS = 4
+#: Short vectors get more rotations, so that codes have so many bits.
+LEAST_BITS = 64
 FIT_STEPS = 25
 BLOCK_ROWS = 32_768
 BLOCK_QUERIES = 512
@@ -74,7 +76,7 @@ def fit(sample: np.ndarray, longest: float, rotations: int = ROTATIONS, steps: i
     x = x - mean
     random = np.random.default_rng(seed)
     planes = []
-    for _ in range(rotations):
+    for _ in range(max(rotations, -(-LEAST_BITS // x.shape[1]))):
         r, _ = np.linalg.qr(random.standard_normal((x.shape[1], x.shape[1])))
         for _ in range(steps):
             u, _, v = np.linalg.svd(np.where(x @ r > 0, 1.0, -1.0).T @ x, full_matrices=False)
