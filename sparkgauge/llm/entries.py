@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
-from .exact_dedup import ORACLE_SQL as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .neighbours import nearest
+from .oracles import ORACLE_SQL
 from .packing import harmonic_pack
 from .secrets import secrets_digest
 from .sharding import shard_by_slots
@@ -89,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_virtual_slots": op10_virtual_slots,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_cuckoo_dedup": EXACT_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]
