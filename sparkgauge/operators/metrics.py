@@ -1,8 +1,8 @@
 """Calibration metrics over points ``(group columns, order columns, confidence, correct)``.
 
 Bins, ranks and running sums over all points of a group need its global order.  A window
-would put a group into one task, so counts by distinct confidence come first where ties may
-be merged (AUROC, risk-coverage), and equal-mass bins find each point's rank from a range-partitioned prefix sum.
+would put a group into one task, so counts by distinct confidence come first, and running sums
+over them go in two levels (``running``).
 """
 
 from __future__ import annotations
@@ -14,23 +14,45 @@ from pyspark.sql.window import Window
 BINS = 15
 
 
+#: Confidences fall into so many cells; running sums go over cells first, then inside each.
+CELLS = 4096
+
+
 def _window(by: list[str], *order: Column | str) -> Window:
     return Window.partitionBy(*by).orderBy(*order)
 
 
-def ranked(points: DataFrame, by: list[str], order: list[str], descending: bool = False) -> DataFrame:
+def running(counts: DataFrame, by: list[str], names: list[str], descending: bool = False) -> DataFrame:
+    """Adds ``run_<name>`` (sum up to and with the row, by confidence) and ``all_<name>`` of each group.
+
+    ``counts`` has a row for each distinct confidence.  A window over a whole group would be one task, so sums of
+    cells are run over first (at most CELLS + 1 rows a group) and a cell's rows then only need each other.
+    """
+    way = lambda c: F.col(c).desc() if descending else F.col(c)
+    rows = counts.withColumn("_cell", F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence"))) * CELLS))
+    over = _window(by, way("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*by, "_cell").agg(*[F.sum(n).alias("_s_" + n) for n in names])
+    for n in names:
+        cells = cells.withColumn("_b_" + n, F.coalesce(F.sum("_s_" + n).over(over), F.lit(0)))
+    for n in names:
+        cells = cells.withColumn("all_" + n, F.sum("_s_" + n).over(Window.partitionBy(*by)))
+    inside = Window.partitionBy(*by, "_cell").orderBy(way("confidence")).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(cells, [*by, "_cell"])
+    for n in names:
+        out = out.withColumn("run_" + n, F.col("_b_" + n) + F.sum(n).over(inside))
+    return out.drop("_cell", *["_s_" + n for n in names], *["_b_" + n for n in names])
+
+
+def ranked(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds ``r`` (from 0, by confidence then ``order``) and ``n`` within each group.
 
     A point's rank is the number of points with other confidences before it, a running sum over distinct
     confidences, plus its place among equal ones: no task needs more than one confidence's points.
     """
-    per = points.groupBy(*by, "confidence").agg(F.count(F.lit(1)).alias("_m"))
-    way = F.col("confidence").desc() if descending else F.col("confidence")
-    before = F.sum("_m").over(_window(by, way).rowsBetween(Window.unboundedPreceding, -1))
-    per = per.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("n", F.sum("_m").over(Window.partitionBy(*by)))
-    same = [F.col(c) for c in by]
-    out = points.join(per.drop("_m"), [*by, "confidence"])
-    place = F.row_number().over(Window.partitionBy(*same, "confidence").orderBy(*order)) - 1
+    per = points.groupBy(*by, "confidence").agg(F.count(F.lit(1)).alias("m"))
+    per = running(per, by, ["m"]).select(*by, "confidence", (F.col("run_m") - F.col("m")).alias("_before"), F.col("all_m").alias("n"))
+    out = points.join(per, [*by, "confidence"])
+    place = F.row_number().over(Window.partitionBy(*by, "confidence").orderBy(*order)) - 1
     return out.withColumn("r", F.col("_before") + place).drop("_before")
 
 
@@ -76,8 +98,7 @@ def brier(points: DataFrame, by: list[str]) -> DataFrame:
 
 def auroc(points: DataFrame, by: list[str]) -> DataFrame:
     """Rank-sum AUROC, half credit for ties; one class only gives 0.5."""
-    below = F.coalesce(F.sum("m").over(_window(by, "confidence").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = by_confidence(points, by).withColumn("rank", below + (F.col("m") + 1) / 2)
+    ranks = running(by_confidence(points, by), by, ["m"]).withColumn("rank", F.col("run_m") - F.col("m") + (F.col("m") + 1) / 2)
     sums = ranks.groupBy(*by).agg(F.sum(F.col("rank") * F.col("right")).alias("s"), F.sum("right").alias("p"), F.sum("m").alias("n"))
     p, q = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     return sums.select(*by, F.when((p == 0) | (q == 0), F.lit(0.5)).otherwise((F.col("s") - p * (p + 1) / 2) / (p * q)).alias("auroc"))
@@ -85,11 +106,9 @@ def auroc(points: DataFrame, by: list[str]) -> DataFrame:
 
 def risk_coverage(points: DataFrame, by: list[str], sentinel: bool = True) -> DataFrame:
     """``coverage, error`` for each distinct confidence from the highest, with ``threshold``; ``sentinel`` adds (0, 0)."""
-    run = _window(by, F.col("confidence").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    taken, right = F.sum("m").over(run), F.sum("right").over(run)
-    n = F.sum("m").over(Window.partitionBy(*by))
-    curve = by_confidence(points, by).select(
-        *by, F.col("confidence").alias("threshold"), (taken / n).alias("coverage"), (1 - right / taken).alias("error")
+    steps = running(by_confidence(points, by), by, ["m", "right"], descending=True)
+    curve = steps.select(
+        *by, F.col("confidence").alias("threshold"), (F.col("run_m") / F.col("all_m")).alias("coverage"), (1 - F.col("run_right") / F.col("run_m")).alias("error")
     )
     if not sentinel:
         return curve

@@ -201,9 +201,9 @@ def q_coverage_at_error(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.coverage_at_error(views.points(spark, sf), ["cls"], [0.1, 0.3, 0.5]))
 
 
-@query(f"WITH {_CURVE} SELECT cls, round(arg_max(threshold, coverage), 6) AS tau, round(max(coverage), 6) AS coverage, round(arg_max(error, coverage), 6) AS error FROM curve WHERE error <= 0.5 GROUP BY 1")
+@query(f"WITH {_CURVE} SELECT cls, round(arg_max(threshold, coverage), 6) AS tau, round(max(coverage), 6) AS coverage, round(arg_max(error, coverage), 6) AS error FROM curve WHERE error <= 0.67 GROUP BY 1")
 def q_selective_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.selective_threshold(views.points(spark, sf), ["cls"], 0.5))
+    return rounded(metrics.selective_threshold(views.points(spark, sf), ["cls"], 0.67))
 
 
 @query(f"WITH {POINTS} SELECT cls, bucket, n, round(accuracy, 6) AS accuracy, round(claimed, 6) AS claimed, round(n / sum(n) OVER (PARTITION BY cls), 6) AS share FROM (SELECT cls, least(9, greatest(0, floor(confidence * 10)))::INTEGER AS bucket, count(*) AS n, avg(correct::INTEGER) AS accuracy, avg(confidence) AS claimed FROM points GROUP BY 1, 2)")
