@@ -26,7 +26,6 @@ CACHE_CHUNK_CHARS = 64
 BATCH_CHARS = 2_000_000
 
 
-_RUN = re.compile(r" \s")
 _INSIDE = re.compile(r"\s \s")
 #: Marks a text's first chunk, before which there is no blank.
 _FIRST = "\0"
@@ -48,6 +47,7 @@ class ChunkEncoder:
         self.leading_blank = leading_blank
         self.cache_chunks = cache_chunks
         self.known: dict[str, bytes] = {}
+        self.heads: set[str] = set()
         if leading_blank:
             self.begins = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
             self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t[0] == "\u0120"]] = True
@@ -58,7 +58,7 @@ class ChunkEncoder:
         """The text's chunks, the blanks between them left out; None if it must be encoded as a whole."""
         if not self.leading_blank:
             return text.replace("\n", " ").split(" ")
-        if _RUN.search(text) and _INSIDE.search(text) or _FIRST in text:
+        if _FIRST in text:
             return None
         chunks = text.split(" ")
         chunks[0] = _FIRST + chunks[0]
@@ -117,6 +117,7 @@ class ChunkEncoder:
     def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.cache_chunks:
             self.known.clear()
+            self.heads.clear()
         split = [self._chunks(t) if t else [] for t in texts]
         need: set[str] = set()
         for chunks in split:
@@ -126,6 +127,11 @@ class ChunkEncoder:
         if not self.leading_blank:
             known[""] = b""
         new = list(need.difference(known))  # looks up each of need, with the hashes it has
+        if self.leading_blank:
+            # only before such a chunk can a blank stand inside a longer run of white space; most batches have none
+            self.heads.update(c for c in new if not c or c[0].isspace())
+            if not self.heads.isdisjoint(need):
+                split = [None if t and _INSIDE.search(t) else c for t, c in zip(texts, split, strict=True)]
         self._learn([c for c in new if len(c) <= CACHE_CHUNK_CHARS])
         extra = {c: self._whole(self._text(c)) for c in new if len(c) > CACHE_CHUNK_CHARS}
         out, get = [], known.__getitem__
