@@ -1,4 +1,4 @@
-"""Command line: score, fabrication, report, ci, calibrate, curves, matrix, dataset-check.
+"""Command line: run, matrix, score, fabrication, report, ci, calibrate, curves, probes, corpora, dataset, dataset-check.
 
 Exit codes: 0 done, 1 a gate or check failed, 2 wrong usage or input, 3 no number can be given.
 """
@@ -12,8 +12,12 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from .operators import adapters, corpora, dataset, judge, probes
 from .plans import matrix, report, score
+from .plans import run as runs
+from .sources import jsonl, sinks
 from .sources.jsonl import InputError
 from .sources.sinks import same_rows, write_json
 
@@ -50,6 +54,10 @@ def parser() -> argparse.ArgumentParser:
     verb("curves", manifest=need)
     verb("matrix", config=need, documents=need)
     verb("dataset-check", a=need, b=need)
+    verb("run", golden=need, adapter=need, fixtures=need, out=need, repeat={"type": int, "default": 1}, limit={"type": int}, resume_open={"action": "store_true"})
+    verb("probes", schemas=need, seed={"type": int, "default": 20260712}, out=need)
+    verb("corpora", golden=need, pages=need, out=need)
+    verb("dataset", golden=many, predictions=many, strikes={}, arm=need, run_pass={"default": "main", "choices": ["main", "probe"]}, denylist={}, out=need)
     return p
 
 
@@ -100,6 +108,45 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         m = matrix.Matrix(arms, tuple(c["classes"]), c.get("repeats", 3), tuple(c.get("passes", matrix.PASSES)), c.get("capBranch", "unresolved"))
         for r in matrix.cells(spark, m, spark.read.json(args.documents)).collect():
             print(json.dumps(r.asDict()))
+    elif args.verb == "run":
+        recorded = {r.name: r.response for r in adapters.fixtures(spark, args.fixtures).collect()}  # recorded answers, a file each
+
+        def answer(unit: dict) -> dict:
+            if unit["doc"] not in recorded:
+                raise ValueError(f"no recorded answer for {unit['doc']}")
+            return json.loads(recorded[unit["doc"]])
+
+        health = runs.run(spark, runs.RunConfig(args.golden, args.adapter, args.out, args.repeat, limit=args.limit, resume_open=args.resume_open), answer)
+        print(json.dumps(health))
+        return 0 if health["status"] == "complete" else 1
+    elif args.verb == "probes":
+        schemas = {p.name.removesuffix(".schema.json"): json.loads(p.read_text()) for p in sorted(Path(args.schemas).glob("*.schema.json"))}
+        drawn = probes.draw(probes.pools(probes.leaf_fields(spark, schemas)), args.seed)
+        out = Path(args.out)
+        out.mkdir(parents=True, exist_ok=True)
+        (out / "probes.json").write_text(probes.selection_json(drawn, args.seed) + "\n")
+        for c, found in drawn.items():
+            (out / f"{c}.probe.schema.json").write_text(corpora.format_schema(probes.probe_schema(schemas[c], found)) + "\n")
+    elif args.verb == "corpora":
+        goldens = jsonl.read_goldens(spark, args.golden)
+        counts = corpora.corpus_counts(goldens, spark.read.json(args.pages)).collect()  # a row a class
+        schemas = {c: corpora.nullable_schema(goldens.filter(F.col("doc_class") == c).select(F.col("field").alias("pointer"))) for c in sorted(r.doc_class for r in counts if r.doc_class)}
+        out = Path(args.out)
+        out.mkdir(parents=True, exist_ok=True)
+        for c, schema in schemas.items():
+            (out / f"{c}.schema.json").write_text(corpora.format_schema(schema) + "\n")
+        write_json(out / "corpus-counts.json", [r.asDict() for r in counts])
+    elif args.verb == "dataset":
+        goldens, records = jsonl.read_goldens(spark, args.golden), jsonl.read_records(spark, args.predictions)
+        none = spark.createDataFrame([], "doc_class string, doc string, field string, reason string")
+        struck = jsonl.read_strikes(spark, args.strikes) if args.strikes else none
+        rows = dataset.prediction_rows(judge.cell_records(goldens, records), struck, args.arm, args.run_pass)
+        extra = sinks.denylist(Path(args.denylist).read_text()) if args.denylist else None
+        try:
+            sinks.write_dataset({"predictions": rows, "audit": dataset.audit_rows(goldens, struck)}, args.out, {"predictions": ["doc_class", "doc", "repeat", "field"], "audit": ["doc_class", "doc", "field"]}, extra)
+        except ValueError as e:
+            print(f"dataset: {e}", file=sys.stderr)
+            return 1
     else:
         return 0 if same_rows(spark.read.text(args.a), spark.read.text(args.b)) else 1
     return 0

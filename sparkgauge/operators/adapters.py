@@ -7,7 +7,9 @@ VARIANT; mappers differ in where the answer lies and whether a confidence comes
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -150,11 +152,17 @@ def classify_calls(calls: DataFrame) -> DataFrame:
     return calls.withColumn("failure", failure_kind(F.col("status")))
 
 
-def run_extraction(units: DataFrame, extract: Callable[[dict], dict], retries: int = 2) -> DataFrame:
+#: Seconds that a unit may take in all, and waits before the retries.
+DEADLINE_S = 300.0
+BACKOFF_S = (0.5, 1.0)
+
+
+def run_extraction(units: DataFrame, extract: Callable[[dict], dict], retries: int = 2, deadline: float = DEADLINE_S,
+                   backoff: tuple[float, ...] = BACKOFF_S) -> DataFrame:
     """Call ``extract`` for each planned unit (any columns): ``availability, request_attempts, response, error``.
 
     ``extract`` raises ``ConnectionError`` for transport failures, which are tried again up to
-    ``retries`` times, and ``ValueError`` for unusable answers; anything else stops the job.
+    ``retries`` times within one deadline, and ``ValueError`` for unusable answers; anything else stops the job.
     """
     names = units.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
@@ -164,14 +172,25 @@ def run_extraction(units: DataFrame, extract: Callable[[dict], dict], retries: i
             out = []
             for row in batch.to_dict("records"):
                 attempts, state, answer, error = 0, "transport_failure", None, None
+                end = time.monotonic() + deadline
                 while attempts <= retries and state == "transport_failure":
+                    if attempts:
+                        wait = backoff[min(attempts, len(backoff)) - 1] if backoff else 0
+                        if time.monotonic() + wait >= end:
+                            break
+                        time.sleep(wait)
                     attempts += 1
                     try:
-                        answer, state, error = json.dumps(extract(row)), "completed", None
-                    except ConnectionError as e:
-                        error = str(e)
+                        # a call that never ends is left behind in its thread
+                        caller = ThreadPoolExecutor(1)
+                        answer = json.dumps(caller.submit(extract, row).result(max(0.0, end - time.monotonic())))
+                        state, error = "completed", None
+                    except (ConnectionError, TimeoutError) as e:
+                        error = str(e) or "deadline"
                     except ValueError as e:
                         state, error = "contract_failure", str(e)
+                    finally:
+                        caller.shutdown(wait=False)
                 out.append(row | {"availability": state, "request_attempts": attempts, "response": answer, "error": error})
             yield pd.DataFrame(out, columns=[*names, "availability", "request_attempts", "response", "error"])
 
