@@ -18,7 +18,7 @@ so is what is broadcast.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -294,17 +294,18 @@ class Scorer:
         return np.where([bool(t) and not t.isspace() for t in texts], found, 0.0)
 
 
-def _log_odds(net: Network, inputs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of label 1 for texts that hold a word, or an n-gram; by bucket."""
+def _log_odds(found: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of label 1 for texts that hold a word, or an n-gram, by bucket; from each text's label and buckets."""
+    n, seen = np.zeros(2), (np.zeros((2, WORD_BUCKETS), np.float32), np.zeros((2, GRAM_BUCKETS), np.float32))
+    for label, words, grams in found:
+        n[label] += 1
+        seen[0][label, words] += 1
+        seen[1][label, grams] += 1
     out = []
-    for k, size in ((0, WORD_BUCKETS), (1, GRAM_BUCKETS)):
-        seen = np.zeros((2, size))
-        for x, label in zip(inputs, y, strict=True):
-            seen[label, x[k]] += 1
-        n = np.bincount(y, minlength=2)
-        odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
+    for s in seen:
+        odds = np.log((s[1] + 0.5) / (n[1] + 1)) - np.log((s[0] + 0.5) / (n[0] + 1))
         # what few texts hold tells little
-        out.append((odds * seen.sum(axis=0) / (seen.sum(axis=0) + RARE)).astype(np.float32))
+        out.append((odds * s.sum(axis=0) / (s.sum(axis=0) + RARE)).astype(np.float32))
     return out[0], out[1]
 
 
@@ -326,12 +327,6 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
     word, grams, starts = vocabulary_inputs(vocabulary or ["?"])
     del vocabulary
     counts = np.diff(np.append(starts, len(grams)))
-    gram_of = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-
-    def everything() -> np.ndarray:
-        cut = [*range(0, len(word), 20_000), len(word)]
-        return np.concatenate([pick(np.arange(a, b)) for a, b in zip(cut, cut[1:], strict=False)])
-
     def spans_of(own: np.ndarray) -> np.ndarray:
         n = counts[own]
         return np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -346,7 +341,7 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
             return own, own
         return np.unique(word[own]), np.unique(grams[spans_of(own)])
 
-    word_odds, gram_odds = _log_odds(net, [buckets(r) for r in rows], y)
+    word_odds, gram_odds = _log_odds((int(label), *buckets(r)) for r, label in zip(rows, y, strict=True))
     net.words[:, 0] = 0.25 * np.clip(word_odds, -4, 4)
     net.grams[:, 0] = 0.25 * np.clip(gram_odds, -4, 4)
 
@@ -358,8 +353,25 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
     base = np.cumsum(sizes) - sizes
     at_all = flat[(base[of_text] + begin).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)]
     mask_all = np.arange(WINDOW) < np.minimum(WINDOW, sizes[of_text])[:, None]
-    mean_odds = np.add.reduceat(np.clip(gram_odds, -4, 4)[grams], starts) / counts + np.clip(word_odds, -4, 4)[word]
-    strength = np.where(mask_all, mean_odds.astype(np.float32)[at_all], np.float32(-9)).max(axis=1)
+
+    def block_by_block(of) -> np.ndarray:
+        """A number for each window: what ``of`` makes of a block's own words and its places in them."""
+        out = np.empty(len(at_all), np.float32)
+        for s in range(0, len(at_all), 4 * WINDOW_BATCH):
+            part = slice(s, s + 4 * WINDOW_BATCH)
+            own, local = np.unique(at_all[part], return_inverse=True)
+            out[part] = of(own, local.reshape(-1, WINDOW), mask_all[part])
+        return out
+
+    def by_odds(own: np.ndarray, local: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        n = counts[own]
+        mean = np.add.reduceat(np.clip(gram_odds, -4, 4)[grams[spans_of(own)]], np.cumsum(n) - n) / n
+        return np.where(mask, (mean + np.clip(word_odds, -4, 4)[word[own]])[local], -9).max(axis=1)
+
+    def by_network(own: np.ndarray, local: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return net.logits(net.project(pick(own)), local, mask)
+
+    strength = block_by_block(by_odds)
 
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     squares = [np.full(len(net.words), 1e-3, np.float32), np.full(len(net.grams), 1e-3, np.float32)]
@@ -372,7 +384,7 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
     while epoch + 1 < limits.epochs or step < LEAST_STEPS:
         epoch += 1
         if epoch:
-            strength = net.logits(net.project(everything()), at_all, mask_all)
+            strength = block_by_block(by_network)
         order = np.lexsort((-strength, of_text))
         top = order[first]
         second = order[np.minimum(first + 1, np.append(first[1:], len(order)) - 1)]
@@ -402,7 +414,7 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
                 v -= 8e-3 * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.99**step)) + 1e-8)
             # rows of the two tables that the batch met, by adagrad
             spans = spans_of(own)
-            back = np.searchsorted(own, gram_of[spans])
+            back = np.repeat(np.arange(len(own)), counts[own])
             for table, square, rows_, d in (
                 (net.words, squares[0], word[own], d_x[:, :WORD_DIM]),
                 (net.grams, squares[1], grams[spans], (d_x[:, WORD_DIM:] / counts[own][:, None])[back]),
@@ -412,7 +424,7 @@ def train(texts: list[str | None], labels: list[int], limits: Limits = Limits())
                 np.add.at(total, where, d)
                 square[hit] += (total * total).sum(axis=1)
                 table[hit] -= 0.05 * total / np.sqrt(square[hit])[:, None]
-    strength = net.logits(net.project(everything()), at_all, mask_all)
+    strength = block_by_block(by_network)
     net.slope, net.shift = calibrate(np.maximum.reduceat(strength, first).astype(np.float64), y)
     return net
 
