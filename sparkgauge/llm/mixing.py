@@ -216,5 +216,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, plan: DataFrame | None = None
 
 def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say."""
-    taken = mix(docs, weights).filter(F.col("copies") > 0)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    # the row travels as one column, so no name of its own can clash with the operator's
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    taken = mix(whole, weights).filter(F.col("copies") > 0)
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")

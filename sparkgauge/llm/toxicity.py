@@ -505,6 +505,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5."""
+    """The rows of ``docs`` that score below 0.5, with all their columns (one named ``score`` too)."""
     net = fit(docs, labels, limits)
-    return score(docs, net).filter(F.col("score") < 0.5).select(*docs.columns)
+    plain = docs.withColumnRenamed("score", "_own_score")
+    kept = score(plain, net).filter(F.col("score") < 0.5).drop("score")
+    return kept.withColumnRenamed("_own_score", "score").select(*docs.columns)

@@ -363,4 +363,6 @@ def test_mix_odd_inputs(wide, empty):
     rows = mixing.mix(wide.drop("size", "taken", "copies")).collect()
     assert len(rows) == len(ODD)
     assert mixing.mix(empty).count() == 0
-    assert mixing.apply_mix(wide).columns == wide.columns
+    taken = mixing.apply_mix(wide)
+    assert taken.columns == wide.columns
+    assert taken.filter("not (size <=> doc_id) or not (copies <=> doc_id)").count() == 0

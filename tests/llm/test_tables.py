@@ -218,6 +218,8 @@ def test_toxicity_held_out(spark, wide, empty):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert all(r.score == 0 for r in got if r.doc_id in (10_003, 10_004, 10_005))
     assert toxicity.score_toxicity(empty, labels.limit(0)).count() == 0
+    kept = toxicity.keep_clean(docs.withColumn("score", F.lit("own")), labels, toxicity.Limits(epochs=1))
+    assert (kept.columns, kept.filter("score <> 'own'").count()) == (["doc_id", "text", "score"], 0)
     none = toxicity.score_toxicity(docs, labels.limit(0)).filter("predicted = 1").count()
     assert none == 0
 
