@@ -6,11 +6,11 @@ longer line is a window of its own.  Of each window the line with the smallest h
 last of equal ones) is a fingerprint: any run that repeats somewhere and holds a whole window shares
 a fingerprint with its copy.  Fingerprints are joined to their first position (documents by
 doc_id, then lines); from there a match is extended both ways while lines agree, and the later
-run's lines are deleted.
+run's lines are deleted if they have ``window_chars`` characters or are the whole of both texts.
 
 Lines between two fingerprints, and those beside the outermost one, lie less than a window
-away; a fingerprint therefore carries the hashes of just those neighbours, and extension
-needs no further join.  Hot lines meet their first position only, never each other.
+away; a fingerprint therefore carries the hashes and sizes of just those neighbours and of the line that
+fills the window on each side, and neither extension nor the run's length needs a further join.  Hot lines meet their first position only, never each other.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ def _strip(line: str) -> str:
 
 
 def fingerprints(docs: DataFrame, window_chars: int = WINDOW_CHARS) -> DataFrame:
-    """``doc_id, mark, line, key, before, after, near``: one row per fingerprint.
+    """``doc_id, mark, line, key, before, after, near, sizes, lines``: one row per fingerprint.
 
     ``mark`` tells documents of one doc_id apart; ``line`` counts non-blank lines from 0;
     ``before`` and ``after`` are the neighbours' hashes, nearest first; ``near`` has the line
-    numbers in the text from the first of ``before`` to the last of ``after``.
+    numbers in the text from the first of ``before`` to the last of ``after``, ``sizes`` their characters;
+    ``lines`` counts the document's lines.
     """
     w = int(window_chars)
     rows = docs.filter(F.col("text").isNotNull()).select(
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, window_chars: int = WINDOW_CHARS) -> DataFrame
         x -> if(x.n >= {w} OR i = 0, x.best, NULL))"""
     near = lambda part: f"""
       aggregate({part}, named_struct('n', 0, 'k', 0),
-        (x, s) -> named_struct('n', x.n + s, 'k', if(x.n + s < {w}, x.k + 1, x.k)), x -> x.k)"""
+        (x, s) -> named_struct('n', x.n + s, 'k', if(x.n < {w}, x.k + 1, x.k)), x -> x.k)"""
     back = near(f"reverse(slice(sizes, greatest(1, p - {w} + 1), least(p, {w})))")
     on = near(f"slice(sizes, p + 2, {w})")
     rows = rows.withColumn(
@@ -72,12 +73,13 @@ def fingerprints(docs: DataFrame, window_chars: int = WINDOW_CHARS) -> DataFrame
         F.expr(f"transform(picks, p -> named_struct('line', p, 'key', keys[p], 'back', {back}, 'on', {on}))"),
     )
     # explode() would have the optimizer filter on size(picks) at the scan, all of the above computed twice
-    rows = rows.select("doc_id", "mark", "keys", "nos", F.explode_outer("picks").alias("p"))
+    rows = rows.select("doc_id", "mark", "keys", "sizes", "nos", F.explode_outer("picks").alias("p"))
     return rows.filter(F.col("p").isNotNull()).select(
         "doc_id", "mark", "p.line", "p.key",
         F.expr("reverse(slice(keys, p.line - p.back + 1, p.back))").alias("before"),
         F.expr("slice(keys, p.line + 2, p.on)").alias("after"),
         F.expr("slice(nos, p.line - p.back + 1, p.back + 1 + p.on)").alias("near"),
+        F.expr("slice(sizes, p.line - p.back + 1, p.back + 1 + p.on)").alias("sizes"), F.size("keys").alias("lines"),
     )
 
 
@@ -86,7 +88,7 @@ def repeated_lines(docs: DataFrame, window_chars: int = WINDOW_CHARS) -> DataFra
     marks = materialise(fingerprints(docs, window_chars), "line-fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line")
     first = marks.groupBy("key").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct(place.alias("place"), "before", "after")).alias("first")
+        F.count(F.lit(1)).alias("times"), F.min(F.struct(place.alias("place"), "before", "after", "lines")).alias("first")
     )
     # written first, so that both sides of the join come straight from a shuffle, whose hot keys Spark can split
     first = materialise(first.filter("times > 1"), "first-lines")
@@ -97,7 +99,13 @@ def repeated_lines(docs: DataFrame, window_chars: int = WINDOW_CHARS) -> DataFra
     later = (
         marks.join(first, "key")
         .filter(place != F.col("first.place"))
-        .select("doc_id", "mark", "near", F.size("before").alias("back"), agree("before").alias("n"), agree("after").alias("m"))
+        .select("doc_id", "mark", "near", "sizes", "lines", F.col("first.lines").alias("others"), F.size("before").alias("back"), agree("before").alias("n"), agree("after").alias("m"))
+        .filter(
+            F.expr(
+                f"aggregate(slice(sizes, back - n + 1, n + 1 + m), 0, (x, s) -> x + s) >= {int(window_chars)} "
+                "OR (n + 1 + m = lines AND lines = others)"
+            )
+        )
         .select("doc_id", "mark", F.expr("slice(near, back - n + 1, n + 1 + m)").alias("run"))
     )
     return later.groupBy("doc_id", "mark").agg(

@@ -306,6 +306,38 @@ def test_short_lines_go_in_runs(spark):
     assert got[2] == "foot two is here and it is long enough"
 
 
+def repeated_runs(docs, w=line_dedup.WINDOW_CHARS):
+    """Brute force: per doc_id the lines in runs of w characters, or in whole texts, that stand earlier too."""
+    texts = [(i, [(k, x.strip()) for k, x in enumerate(t.split("\n")) if x.strip()]) for i, t in sorted(docs)]
+    out = {i: set() for i, _ in docs}
+    for at, (i, later) in enumerate(texts):
+        for other, (_, first) in enumerate(texts[: at + 1]):
+            for shift in range(-len(first) + 1, len(later)):
+                if other == at and shift <= 0:
+                    continue
+                run = []
+                for p in range(max(0, shift), min(len(later), len(first) + shift) + 1):
+                    if p < min(len(later), len(first) + shift) and later[p][1] == first[p - shift][1]:
+                        run.append(p)
+                        continue
+                    if run and (sum(len(later[q][1]) for q in run) >= w or len(run) == len(later) == len(first)):
+                        out[i] |= {later[q][0] for q in run}
+                    run = []
+    return out
+
+
+def test_a_short_shared_line_alone_is_no_run(spark):
+    low = next(f"l{i}." for i in range(10_000) if hashlib.md5(f"l{i}.".encode()).hexdigest().startswith("000"))
+    docs = [(i, f"the first line of text {i} is its own\n{low}\nand the last line of text {i} as well") for i in range(4)]
+    docs += [(10, "q\nab"), (11, "q\nab"), (12, "q\nabc"), (13, low)]
+    docs += [(20, f"{low}\nten of them\nand ten more and"), (21, f"x\n{low}\nten of them\nand ten more and\ny")]
+    got = {r.doc_id: set(r.deleted) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(not got[i] for i in (0, 1, 2, 3, 10, 12, 13, 20))
+    assert got[11] == {0, 1}
+    wanted = repeated_runs(docs)
+    assert all(got[i] <= wanted[i] for i in got)
+
+
 def test_line_dedup_odd_inputs(wide, empty):
     rows = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(wide).collect()}
     assert (3, None) in rows
