@@ -1,16 +1,16 @@
 """Line dedup by winnowing over line hashes.
 
 The non-blank lines of a document, without the white space around them, have hashes.
-A window is the shortest run of lines from a line on that has at least ``window_chars`` characters, so a
-longer line is a window of its own.  Of each window the line with the smallest hash (the
-last of equal ones) is a fingerprint: any run that repeats somewhere and holds a whole window shares
-a fingerprint with its copy.  Fingerprints are joined to their first position (documents by
-doc_id, then lines); from there a match is extended both ways while lines agree, and the later
-run's lines are deleted if they have ``window_chars`` characters or are the whole of both texts.
-
-Lines between two fingerprints, and those beside the outermost one, lie less than a window
-away; a fingerprint therefore carries the hashes and sizes of just those neighbours and of the line that
-fills the window on each side, and neither extension nor the run's length needs a further join.  Hot lines meet their first position only, never each other.
+A window is the shortest run of lines from a line on, or back from a line, that has at least
+``window_chars`` characters, so a longer line is a window of its own; a text with fewer is one window.
+Of each window the line with the smallest hash is the fingerprint, and its key is that hash with the
+digest of the window's hashes: a common line has one key for each context it stands in, and
+each key its own first position (documents by doc_id, then lines).  The lines of all other
+positions of a key are deleted.
+
+A run of ``window_chars`` characters is covered by the windows that lie in it, those from its lines on and those
+back from them, so runs that stand earlier are found whole and nothing else is, and
+a match needs no extension.  Hot windows meet their first position only, never each other.
 """
 
 from __future__ import annotations
@@ -30,12 +30,10 @@ def _strip(line: str) -> str:
 
 
 def fingerprints(docs: DataFrame, window_chars: int = WINDOW_CHARS) -> DataFrame:
-    """``doc_id, mark, line, key, before, after, near, sizes, lines``: one row per fingerprint.
+    """``doc_id, mark, line, key, near``: one row per distinct window.
 
-    ``mark`` tells documents of one doc_id apart; ``line`` counts non-blank lines from 0;
-    ``before`` and ``after`` are the neighbours' hashes, nearest first; ``near`` has the line
-    numbers in the text from the first of ``before`` to the last of ``after``, ``sizes`` their characters;
-    ``lines`` counts the document's lines.
+    ``mark`` tells documents of one doc_id apart; ``line`` is the window's first one, counting non-blank lines from 0;
+    ``key`` is the smallest of its hashes with the digest of them all; ``near`` has the numbers of its lines in the text.
     """
     w = int(window_chars)
     rows = docs.filter(F.col("text").isNotNull()).select(
@@ -51,63 +49,40 @@ def fingerprints(docs: DataFrame, window_chars: int = WINDOW_CHARS) -> DataFrame
         F.expr("transform(lines, x -> char_length(x.line))").alias("sizes"),
         F.col("lines.no").alias("nos"),
     )
-    pick = f"""
-      aggregate(
-        slice(sizes, i + 1, {w}),
-        named_struct('n', 0, 'at', i, 'best', i),
-        (x, s) -> named_struct(
-          'n', x.n + s, 'at', x.at + 1,
-          'best', if(x.n < {w} AND keys[x.at] <= keys[x.best], x.at, x.best)),
-        x -> if(x.n >= {w} OR i = 0, x.best, NULL))"""
-    near = lambda part: f"""
+    # lines that fill a window, or null if there are not enough
+    fill = lambda part: f"""
       aggregate({part}, named_struct('n', 0, 'k', 0),
-        (x, s) -> named_struct('n', x.n + s, 'k', if(x.n < {w}, x.k + 1, x.k)), x -> x.k)"""
-    back = near(f"reverse(slice(sizes, greatest(1, p - {w} + 1), least(p, {w})))")
-    on = near(f"slice(sizes, p + 2, {w})")
+        (x, s) -> named_struct('n', x.n + s, 'k', if(x.n < {w}, x.k + 1, x.k)), x -> if(x.n >= {w}, x.k, NULL))"""
+    on = fill(f"slice(sizes, i + 1, {w})")
+    back = fill(f"reverse(slice(sizes, greatest(1, i - {w} + 2), least(i + 1, {w})))")
+    at = "slice(sequence(0, size(sizes)), 1, size(sizes))"
     rows = rows.withColumn(
-        "picks",
-        F.expr(f"""filter(array_distinct(transform(slice(sequence(0, size(sizes)), 1, size(sizes)),
-                   i -> if(sizes[i] >= {w}, i, {pick}))), p -> p IS NOT NULL)"""),
+        "spans",
+        F.expr(f"""filter(array_distinct(flatten(transform({at}, i -> if(sizes[i] >= {w}, array(named_struct('line', i, 'n', 1)),
+                   transform(array(named_struct('line', i, 'n', {on}), named_struct('line', i, 'n', -{back})),
+                     x -> if(x.n < 0, named_struct('line', i + x.n + 1, 'n', -x.n), x)))))), x -> x.n IS NOT NULL)"""),
     ).withColumn(
-        "picks",
-        F.expr(f"transform(picks, p -> named_struct('line', p, 'key', keys[p], 'back', {back}, 'on', {on}))"),
+        "spans", F.expr("if(size(spans) = 0 AND size(sizes) > 0, array(named_struct('line', 0, 'n', size(sizes))), spans)")
+    ).withColumn(
+        "spans",
+        F.expr("""transform(spans, x -> named_struct('line', x.line, 'n', x.n, 'key', if(x.n = 1, keys[x.line],
+                  concat(array_min(slice(keys, x.line + 1, x.n)), unhex(md5(array_join(transform(slice(keys, x.line + 1, x.n), k -> hex(k)), '')))))))"""),
     )
-    # explode() would have the optimizer filter on size(picks) at the scan, all of the above computed twice
-    rows = rows.select("doc_id", "mark", "keys", "sizes", "nos", F.explode_outer("picks").alias("p"))
+    # explode() would have the optimizer filter on size(spans) at the scan, all of the above computed twice
+    rows = rows.select("doc_id", "mark", "nos", F.explode_outer("spans").alias("p"))
     return rows.filter(F.col("p").isNotNull()).select(
-        "doc_id", "mark", "p.line", "p.key",
-        F.expr("reverse(slice(keys, p.line - p.back + 1, p.back))").alias("before"),
-        F.expr("slice(keys, p.line + 2, p.on)").alias("after"),
-        F.expr("slice(nos, p.line - p.back + 1, p.back + 1 + p.on)").alias("near"),
-        F.expr("slice(sizes, p.line - p.back + 1, p.back + 1 + p.on)").alias("sizes"), F.size("keys").alias("lines"),
-    )
+        "doc_id", "mark", "p.line", "p.key", F.expr("slice(nos, p.line + 1, p.n)").alias("near")
+    )
 
 
 def repeated_lines(docs: DataFrame, window_chars: int = WINDOW_CHARS) -> DataFrame:
     """``doc_id, mark, cut``: per document the numbers of the lines (from 0, sorted) that repeat earlier ones."""
     marks = materialise(fingerprints(docs, window_chars), "line-fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "line")
-    first = marks.groupBy("key").agg(
-        F.count(F.lit(1)).alias("times"), F.min(F.struct(place.alias("place"), "before", "after", "lines")).alias("first")
-    )
+    first = marks.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
     # written first, so that both sides of the join come straight from a shuffle, whose hot keys Spark can split
     first = materialise(first.filter("times > 1"), "first-lines")
-    agree = lambda side: F.expr(
-        f"aggregate(zip_with({side}, first.{side}, (a, b) -> a = b), named_struct('k', 0, 'go', true), "
-        "(x, e) -> named_struct('k', if(x.go AND coalesce(e, false), x.k + 1, x.k), 'go', x.go AND coalesce(e, false)), x -> x.k)"
-    )
-    later = (
-        marks.join(first, "key")
-        .filter(place != F.col("first.place"))
-        .select("doc_id", "mark", "near", "sizes", "lines", F.col("first.lines").alias("others"), F.size("before").alias("back"), agree("before").alias("n"), agree("after").alias("m"))
-        .filter(
-            F.expr(
-                f"aggregate(slice(sizes, back - n + 1, n + 1 + m), 0, (x, s) -> x + s) >= {int(window_chars)} "
-                "OR (n + 1 + m = lines AND lines = others)"
-            )
-        )
-        .select("doc_id", "mark", F.expr("slice(near, back - n + 1, n + 1 + m)").alias("run"))
-    )
+    later = marks.join(first, "key").filter(place != F.col("first")).select("doc_id", "mark", F.col("near").alias("run"))
     return later.groupBy("doc_id", "mark").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("run")))).alias("cut")
     )

@@ -338,6 +338,19 @@ def test_a_short_shared_line_alone_is_no_run(spark):
     assert all(got[i] <= wanted[i] for i in got)
 
 
+def test_runs_behind_a_common_line(spark):
+    hot = [f"a common line {k} that text 0 has first of all" for k in range(2)]
+    docs = [(0, "\n".join(hot)), (1, f"{hot[0]}\nshort\n{hot[1]}\ntail\nown 1"), (2, f"x\n{hot[0]}\nshort\n{hot[1]}\ntail\nown 2")]
+    docs += [(3, "20 characters in all\n5 now\nand 20 more in here."), (4, "y\n20 characters in all\n5 now\nand 20 more in here.\nz")]
+    r = np.random.default_rng(7)
+    pool = ["In.", "x", "}", "a few words", "some twenty letters.", "nearly thirty letters in here", *hot, "", " In. "]
+    docs += [(10 + i, "\n".join(r.choice(pool, int(r.integers(1, 9))))) for i in range(80)]
+    docs += [(200, "q"), (201, "q"), (202, "q\nq"), (203, " ")]
+    got = {r.doc_id: set(r.deleted) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[2] == {1, 2, 3, 4}
+    assert got == repeated_runs(docs)
+
+
 def test_line_dedup_odd_inputs(wide, empty):
     rows = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(wide).collect()}
     assert (3, None) in rows
