@@ -47,6 +47,8 @@ def noise_floor(spark: SparkSession, sizes: list[int], seed: int, sims: int = 10
 def consistency_bands(points: DataFrame, order: list[str], seed: int, sims: int = 1000, bins: int = metrics.BINS, level: float = 0.95) -> DataFrame:
     """Per bin the range of accuracies that calibrated points would show: each draw is a column expression."""
     placed = metrics.binned(points, [], order, bins).select("r", "n", "bin", "confidence", "correct")
+    # a point makes ``sims`` rows, so few points need many tasks
+    placed = placed.repartition(4 * points.sparkSession.sparkContext.defaultParallelism)
     draws = placed.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
     draws = with_uniform(draws, seed, F.col("s") * F.col("n") + F.col("r"), "u")
     hit = (F.col("u") < F.col("confidence")).cast("double")

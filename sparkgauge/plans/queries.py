@@ -376,8 +376,7 @@ _BANDS = POINTS.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 50 =
 lim AS (SELECT bin, quantile_cont(a, 0.025) AS lo, quantile_cont(a, 0.975) AS hi FROM sims GROUP BY 1)
 SELECT bin, round(avg(confidence), 6) AS mean_confidence, round(avg(correct::INTEGER), 6) AS accuracy, count(*) AS bin_n, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi FROM binned JOIN lim USING (bin) GROUP BY 1""")
 def q_consistency_bands(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.points(spark, sf).filter(F.col("doc") % 50 == 0)
-    return rounded(simulate.consistency_bands(p, ["doc", "ln"], bootstrap.SEED, sims=40))
+    return rounded(simulate.consistency_bands(views.points(spark, sf), ["doc", "ln"], bootstrap.SEED))
 
 
 @query()

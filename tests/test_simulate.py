@@ -1,6 +1,8 @@
 import pytest
 
-from sparkgauge.operators import simulate
+from sparkgauge.functions.rng import Rng, quantile
+from sparkgauge.operators import bootstrap, simulate
+from sparkgauge.plans import queries
 
 
 def test_noise_floor_is_the_published_one(spark):
@@ -22,3 +24,26 @@ def test_bands_hold_calibrated_points(spark):
     bands = simulate.consistency_bands(p, ["ord"], 1, sims=60).collect()
     assert len(bands) == 15
     assert all(b.lo <= b.mean_confidence <= b.hi for b in bands)
+
+
+def test_bands_take_all_points(spark, tmp_path):
+    rows = [(i, 1, i % 11 / 100, "NR"[i % 3 == 0], "O") for i in range(1, 76)]
+    names = "l_orderkey long, l_linenumber int, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.bin: r for r in queries.q_consistency_bands(spark, str(tmp_path)).collect()}
+    points = sorted((d * 10, i, f == "N") for i, _, d, f, _ in rows)
+    n, draws = len(points), Rng(bootstrap.SEED)
+    of = [((r + 1) * 15 - 1) // n for r in range(n)]
+    simulated = {b: [] for b in of}
+    for _ in range(1000):
+        hits = dict.fromkeys(simulated, 0)
+        for b, (c, _, _) in zip(of, points, strict=True):
+            hits[b] += draws.next() < c
+        for b, k in hits.items():
+            simulated[b].append(k / of.count(b))
+    assert set(got) == set(of)
+    for b, r in got.items():
+        mine = [p for at, p in zip(of, points, strict=True) if at == b]
+        assert r.bin_n == len(mine)
+        assert r.accuracy == pytest.approx(sum(y for _, _, y in mine) / len(mine), abs=1e-6)
+        assert (r.lo, r.hi) == pytest.approx((quantile(simulated[b], 0.025), quantile(simulated[b], 0.975)), abs=1e-6)
