@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkgauge import cli
 from sparkgauge.operators import adapters, corpora, dataset, probes, runlog
-from sparkgauge.plans import matrix, report, score
+from sparkgauge.plans import matrix, queries, report, score
 from sparkgauge.sources import checkpoint, jsonl, sinks
 
 GOOD = {"doc": "a.pdf", "docClass": "inv", "fields": {"/total": {"state": "present", "value": 1240.5}, "/tax": {"state": "null"}, "/po": {"state": "missing"}}}
@@ -92,6 +92,17 @@ def test_flatten(spark):
     assert sorted(k for k, _ in adapters.flatten_value(value)) == [f for f, _ in got]
 
 
+def test_probe_pool_takes_all_events(spark, tmp_path):
+    rows = [(1000, "a"), (1001, "b"), (1002, "b"), (1040, "b"), (5, "c")]
+    spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.doc_class, r.field, r.source_class, r["at"]) for r in queries.q_probe_pool(spark, str(tmp_path)).collect()}
+    # a has f0; b has f7, f14 and f0; c has f35
+    assert got == {
+        ("a", "f14", "b", 0), ("a", "f7", "b", 1), ("a", "f35", "c", 2), ("b", "f35", "c", 0),
+        ("c", "f0", "a", 0), ("c", "f14", "b", 1), ("c", "f7", "b", 2),
+    }
+
+
 def test_mappers(spark):
     chat = {"choices": [{"message": {"content": '```json\n{"total": "12", "x": null}\n```'}, "logprobs": {"content": [{"token": "12", "logprob": 0.0}, {"token": "{", "logprob": -9.0}]}}]}
     rows = spark.createDataFrame([("d", json.dumps(chat)), ("bad", "{}")], "doc string, response string")
