@@ -1,12 +1,13 @@
 """Responses of extraction systems as long tables of fields.
 
-A response arrives as JSON text.  Flattening walks the tree as a recursive SQL query over
-VARIANT; mappers differ in where the answer lies and whether a confidence comes with it.
+A response arrives as JSON text.  Flattening walks each text's tree in Python without
+recursion; mappers differ in where the answer lies and whether a confidence comes with it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -32,41 +33,67 @@ INSTRUCTION = (
 def flatten(rows: DataFrame, key: list[str], column: str) -> DataFrame:
     """``<key>, field, value_json``: leaves of the JSON text in ``column`` by JSON Pointer; empty containers vanish.
 
-    Primitives and null are leaves.  The recursion goes one level a step; rows of all documents advance together.
+    Primitives and null are leaves.  Each text is walked by itself, so neither rows nor levels have a limit.
     """
-    spark = rows.sparkSession
-    view = f"_tree_{id(rows)}"
-    rows.select(*key, F.try_parse_json(column).alias("v")).filter("v is not null").createOrReplaceTempView(view)
-    keys = ", ".join(f"`{k}`" for k in key)
-    parts = "t." + ", t.".join(f"`{k}`" for k in key)
-    return spark.sql(f"""
-      WITH RECURSIVE tree ({keys}, field, v) AS (
-        SELECT {keys}, CAST('' AS STRING), v FROM {view}
-        UNION ALL
-        SELECT {parts}, concat(t.field, '/', coalesce(replace(replace(e.key, '~', '~0'), '/', '~1'), CAST(e.pos AS STRING))), e.value
-        FROM tree t, LATERAL variant_explode(t.v) AS e
-        WHERE schema_of_variant(t.v) LIKE 'OBJECT%' OR schema_of_variant(t.v) LIKE 'ARRAY%'
-      )
-      SELECT {keys}, field, to_json(v) AS value_json FROM tree
-      WHERE field <> '' AND NOT (schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%')
-    """)
+    leaves = F.udf(flatten_text, "array<struct<field: string, raw: string>>")
+    # explode() would have the optimizer filter on size(leaves), all texts walked twice
+    out = rows.select(*key, leaves(column).alias("_leaves")).select(*key, F.explode_outer("_leaves").alias("_leaf")).filter("_leaf is not null")
+    return out.select(*key, F.col("_leaf.field").alias("field"), F.coalesce(F.to_json(F.try_parse_json("_leaf.raw")), F.col("_leaf.raw")).alias("value_json"))
+
+
+_TOKEN = re.compile(r'[ \t\r\n]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.+-])|(?:true|false|null)(?!\w)))')
+
+
+def flatten_text(text: str | None) -> list[tuple[str, str]] | None:
+    """Pointers and JSON texts of the leaves of the first value in ``text``; null if it isn't JSON or an object repeats a key."""
+    out, parts, seen, at, want = [], [], [], 0, "value"
+    while text is not None and (m := _TOKEN.match(text, at)):
+        at, (mark, string, atom) = m.end(), m.groups()
+        if want in ("key", "first key") and string:
+            name = json.loads(string).encode("utf-8", "replace").decode()
+            if name in seen[-1]:
+                return None
+            seen[-1].add(name)
+            parts[-1], want = name.replace("~", "~0").replace("/", "~1"), "colon"
+            continue
+        if want == "colon" and mark == ":":
+            want = "value"
+            continue
+        if want == "next" and mark == ",":
+            if seen[-1] is None:
+                parts[-1] += 1
+            want = "value" if seen[-1] is None else "key"
+            continue
+        if want in ("value", "first value") and mark in ("{", "["):
+            seen.append(set() if mark == "{" else None)
+            parts.append(0)
+            want = "first key" if mark == "{" else "first value"
+            continue
+        if want in ("value", "first value") and not mark:
+            if parts:
+                out.append(("".join(f"/{p}" for p in parts), string or atom))
+        elif mark in ("}", "]") and (want == "next" or want == ("first key" if mark == "}" else "first value")) and (seen[-1] is None) == (mark == "]"):
+            seen.pop()
+            parts.pop()
+        else:
+            return None
+        if not seen:
+            return out
+        want = "next"
+    return None
 
 
 def flatten_value(value: object) -> list[tuple[str, object]]:
-    """The same of one value in Python, for trees deeper than a recursive query goes."""
-    out: list[tuple[str, object]] = []
-
-    def walk(v: object, at: str) -> None:
+    """The same of one value in Python."""
+    out, left = [], [("", value)]
+    while left:
+        at, v = left.pop()
         if isinstance(v, dict):
-            for k, x in v.items():
-                walk(x, f"{at}/{k.replace('~', '~0').replace('/', '~1')}")
+            left += [(f"{at}/{k.replace('~', '~0').replace('/', '~1')}", x) for k, x in reversed(v.items())]
         elif isinstance(v, list):
-            for i, x in enumerate(v):
-                walk(x, f"{at}/{i}")
+            left += [(f"{at}/{i}", x) for i, x in reversed([*enumerate(v)])]
         elif at:
             out.append((at, v))
-
-    walk(value, "")
     return out
 
 

@@ -92,6 +92,22 @@ def test_flatten(spark):
     assert sorted(k for k, _ in adapters.flatten_value(value)) == [f for f, _ in got]
 
 
+def test_flatten_has_no_limit_of_levels(spark):
+    deep = lambda n: '{"a":[' * n + "1.50" + "]}" * n
+    rows = spark.createDataFrame([(n, deep(n)) for n in (60, 5000)], "doc long, j string")
+    assert {(r.doc, r.field, r.value_json) for r in adapters.flatten(rows, ["doc"], "j").collect()} == {(n, "/a/0" * n, "1.5") for n in (60, 5000)}
+    assert adapters.flatten_value(json.loads(deep(60))) == [("/a/0" * 60, 1.5)]
+
+
+def test_flatten_text_reads_what_the_parser_reads(spark):
+    texts = ['{"a":1} x', '{"a":1,"a":2}', '{"a":NaN}', '{"a":01}', "[1.0,1e5,1.50,-0,123456789012345678901234567890]", '{"a":"\t"}', "{'a':1}", '{"a":1,}', '{"a" 1}', "[1,]", "[,1]",
+             "[1 2]", "[1}", "{", "", "[]", "{}", "[[],{}]", ' \n{"a":"\\u00e9\\n","\\u0062/~":[true,false,null,{"":"x"}]}', "[tru]", "[nulls]", "[1.]", "[.5]", "[-]", '["\\x"]', '{"a":1}}', "3", "null"]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc long, j string")
+    parsed = {r.doc: json.loads(r.v) for r in rows.selectExpr("doc", "to_json(try_parse_json(j)) v").collect() if r.v is not None}
+    wanted = {(d, f, json.dumps(v, ensure_ascii=False)) for d, x in parsed.items() for f, v in adapters.flatten_value(x)}
+    assert {(r.doc, r.field, r.value_json) for r in adapters.flatten(rows, ["doc"], "j").collect()} == wanted
+
+
 def test_probe_pool_takes_all_events(spark, tmp_path):
     rows = [(1000, "a"), (1001, "b"), (1002, "b"), (1040, "b"), (5, "c")]
     spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
