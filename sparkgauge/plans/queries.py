@@ -342,7 +342,7 @@ def q_jackknife(spark: SparkSession, sf: str) -> DataFrame:
 def q_pooled_interval(spark: SparkSession, sf: str) -> DataFrame:
     means = judge.cell_means(_judged(spark, sf))
     sums = judge.document_sums(means, "headline", F.col("state") != "present")
-    ci = bootstrap.pooled_interval(spark, sums, ["doc_class", "doc"], None, resamples=500)
+    ci = bootstrap.pooled_interval(spark, sums, ["doc_class", "doc"], None)
     rows = [] if ci is None else [(ci.estimate, ci.lo, ci.hi, ci.method, ci.p_zero)]
     return spark.createDataFrame(rows, "estimate double, lo double, hi double, method string, p_zero double")
 
@@ -381,12 +381,12 @@ def q_consistency_bands(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_noise_floor(spark: SparkSession, sf: str) -> DataFrame:
-    return simulate.noise_floor(spark, [50, 196], bootstrap.SEED, sims=50)
+    return simulate.noise_floor(spark, [50, 196], bootstrap.SEED)
 
 
 @query()
 def q_detectable_effect(spark: SparkSession, sf: str) -> DataFrame:
-    found = simulate.detectable_effect(spark, [6] * 20, 0.75, [0.05, 0.1, 0.2], bootstrap.SEED, sims=60)
+    found = simulate.detectable_effect(spark, [6] * 20, 0.75, [0.05, 0.1, 0.2], bootstrap.SEED)
     return spark.createDataFrame(found["grid"], "delta double, power double")
 
 

@@ -47,3 +47,12 @@ def test_bands_take_all_points(spark, tmp_path):
         assert r.bin_n == len(mine)
         assert r.accuracy == pytest.approx(sum(y for _, _, y in mine) / len(mine), abs=1e-6)
         assert (r.lo, r.hi) == pytest.approx((quantile(simulated[b], 0.025), quantile(simulated[b], 0.975)), abs=1e-6)
+
+
+def test_queries_simulate_as_often_as_the_operators(spark):
+    wanted = {r.n: r.p95 for r in simulate.noise_floor(spark, [50], bootstrap.SEED, sims=1000).collect()}
+    assert {r.n: r.p95 for r in queries.q_noise_floor(spark, "").collect()}[50] == pytest.approx(wanted[50])
+    wanted = simulate.detectable_effect(spark, [6] * 20, 0.75, [0.05, 0.1, 0.2], bootstrap.SEED, sims=600)["grid"]
+    assert [tuple(r) for r in queries.q_detectable_effect(spark, "").collect()] == wanted
+    ci = queries.q_pooled_interval(spark, "/root/testdata/sf0.001").first()
+    assert ci.p_zero < 2 / 501
