@@ -5,6 +5,8 @@ stand inside a longer run of white space always is such a border.  A text is the
 concatenation of its blank-separated chunks, and chunks recur: a worker keeps the ids of
 those it has seen.  New chunks of a batch are encoded in one call as one text, whose ids
 show where a chunk begins; texts and chunks for which that isn't certain are encoded alone.
+So are texts that hold the string of one of the vocabulary's added tokens, which the library
+reads as that token wherever it stands.
 """
 
 from __future__ import annotations
@@ -32,8 +34,7 @@ _FIRST = "\0"
 
 
 class ChunkEncoder:
-    """ids of whole texts; equal to ``encode(text, add_special_tokens=False)`` with special
-    tokens' strings read as ordinary text.
+    """ids of whole texts; equal to ``encode(text, add_special_tokens=False)``.
 
     ``leading_blank``: the vocabulary is byte-level, words carry the blank before them.
     Otherwise white space is dropped and a word ends with its last token.
@@ -43,7 +44,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        # a normaliser may change a text before such tokens are looked for, so no string tells where they are
+        self.hidden = any(t.normalized for t in added) and self.tokenizer.normalizer is not None
         self.leading_blank = leading_blank
         self.cache_chunks = cache_chunks
         self.known: dict[str, bytes] = {}
@@ -118,7 +122,7 @@ class ChunkEncoder:
         if len(self.known) > self.cache_chunks:
             self.known.clear()
             self.heads.clear()
-        split = [self._chunks(t) if t else [] for t in texts]
+        split = [(None if self.hidden or any(a in t for a in self.added) else self._chunks(t)) if t else [] for t in texts]
         need: set[str] = set()
         for chunks in split:
             if chunks:

@@ -6,7 +6,7 @@ from .exact_dedup import ORACLE_SQL as EXACT
 from .line_dedup import WINDOW_CHARS
 from .secrets import ACCESS, ASSIGN, ASSIGN_VALUE_CHARS, HEX, EntropyRules
 
-#: Lines, windows, fingerprints with their neighbours, first positions, matches, deleted lines.
+#: Lines, windows forward and back, their first positions, lines of all other positions.
 LINES = rf"""
 WITH split AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
@@ -15,28 +15,19 @@ WITH split AS (
 ), lines AS (
   SELECT doc_id, no, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS p, md5(line) AS key, length(line) AS size
   FROM (SELECT doc_id, no, trim(part, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM raw) WHERE line <> ''
-), spans AS (
-  SELECT a.doc_id, a.p AS i, b.p AS j, b.key, sum(b.size) OVER (PARTITION BY a.doc_id, a.p ORDER BY b.p) AS upto, b.size
+), runs AS (
+  SELECT a.doc_id, a.p AS i, b.p AS j, sum(b.size) OVER (PARTITION BY a.doc_id, a.p ORDER BY b.p) AS chars
   FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + {WINDOW_CHARS - 1}
 ), windows AS (
-  SELECT doc_id, i, arg_min(j, (key, -j)) AS p, max(upto) >= {WINDOW_CHARS} AS whole FROM spans WHERE upto - size < {WINDOW_CHARS} GROUP BY 1, 2
-), picks AS (
-  SELECT DISTINCT l.doc_id, l.p, l.key FROM windows w JOIN lines l ON l.doc_id = w.doc_id AND l.p = w.p WHERE w.whole OR w.i = 0
-), near AS (
-  SELECT k.doc_id, k.p, n.p - k.p AS step, n.key FROM picks k JOIN lines n ON n.doc_id = k.doc_id AND n.p <> k.p AND abs(n.p - k.p) < {WINDOW_CHARS}
-  WHERE (SELECT sum(m.size) FROM lines m WHERE m.doc_id = k.doc_id AND m.p BETWEEN least(n.p, k.p + 1) AND greatest(n.p, k.p - 1)) < {WINDOW_CHARS}
+  SELECT doc_id, i, min(j) AS j FROM runs WHERE chars >= {WINDOW_CHARS} GROUP BY 1, 2
+  UNION SELECT doc_id, max(i), j FROM runs WHERE chars >= {WINDOW_CHARS} GROUP BY 1, 3
+  UNION SELECT doc_id, 0, max(p) FROM lines GROUP BY 1 HAVING sum(size) < {WINDOW_CHARS}
+), keyed AS (
+  SELECT w.doc_id, w.i, w.j, string_agg(l.key, '' ORDER BY l.p) AS key FROM windows w JOIN lines l ON l.doc_id = w.doc_id AND l.p BETWEEN w.i AND w.j GROUP BY 1, 2, 3
 ), firsts AS (
-  SELECT key, arg_min(doc_id, (doc_id, p)) AS fd, arg_min(p, (doc_id, p)) AS fp FROM picks GROUP BY 1 HAVING count(*) > 1
-), later AS (
-  SELECT k.doc_id, k.p, f.fd, f.fp FROM picks k JOIN firsts f USING (key) WHERE (k.doc_id, k.p) <> (f.fd, f.fp)
-), agree AS (
-  SELECT t.doc_id, t.p, a.step FROM later t JOIN near a ON a.doc_id = t.doc_id AND a.p = t.p
-  JOIN near b ON b.doc_id = t.fd AND b.p = t.fp AND b.step = a.step AND b.key = a.key
-), runs AS (
-  SELECT doc_id, p, step FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id, p, step > 0 ORDER BY abs(step)) AS r FROM agree) WHERE r = abs(step)
+  SELECT key, min((doc_id, i)) AS place FROM keyed GROUP BY 1
 ), gone AS (
-  SELECT DISTINCT l.doc_id, l.no FROM (SELECT doc_id, p FROM later UNION SELECT doc_id, p + step FROM runs) g JOIN lines l USING (doc_id, p)
+  SELECT DISTINCT l.doc_id, l.no FROM keyed k JOIN firsts f USING (key) JOIN lines l ON l.doc_id = k.doc_id AND l.p BETWEEN k.i AND k.j WHERE (k.doc_id, k.i) <> f.place
 )
 SELECT d.doc_id, coalesce(len(s.parts), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_deleted, coalesce(g.nos, '') AS deleted,
   sha256(CASE WHEN g.n IS NULL THEN d.text ELSE coalesce(k.text, '') END) AS text_sha256

@@ -24,7 +24,6 @@ def plain(path, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return np.array(t.encode(text or "", add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -40,9 +39,11 @@ def test_chunks_give_what_whole_texts_give(texts):
             assert np.frombuffer(raw, np.uint32).tolist() == tok.encode(text, add_special_tokens=False).ids, (path, text)
 
 
-def test_special_tokens_are_text():
-    text = "a <|endoftext|> b <|startoftext|>"
-    assert encoding.byte_encoder(BYTE).encode([text])[0] == plain(BYTE, text).tobytes()
+@pytest.mark.parametrize("text", ["a <|endoftext|> b <|startoftext|>", "<|endoftext|>", "x<|startoftext|><|endoftext|>  y", "<|EndOfText|> z"])
+def test_added_tokens_as_the_library_reads_them(text):
+    for path, encoder in ((BYTE, encoding.byte_encoder(BYTE)), (WORD, encoding.word_encoder(WORD))):
+        assert encoder.encode(["some text", text, "some more text"])[1] == plain(path, text).tobytes()
+    assert 50256 in plain(BYTE, "a <|endoftext|> b")
 
 
 # --- token files -----------------------------------------------------------------------
