@@ -31,7 +31,7 @@ def vocabulary(name: str) -> str:
 
 def op1_entropy_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", "source")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,23 @@
 """Mixing sources to target weights by entropy balancing.
 
 The mix gives each document d a rate r(d), the number of times it is taken.  Among all
-rates that meet the token constraints of its source, those nearest to 1 in entropy (tokens
-as weights) have the form ``exp(a + b z(d))``: they are tilted exponentially along the
-constraint functions, here 1 (the source's tokens reach the target) and the centred log
-length z (the mean log length of the source's tokens stays what it is).  The multipliers solve a convex
-dual, one problem a source, by Newton steps whose sums run over the whole table at once;
-tokens are first added up by (source, size), which loses nothing.
+rates between 0 and ``MAX_COPIES`` whose tokens add up to the target of a source, those nearest to 1 in entropy (the sum over
+documents of r log r - r) have the form ``min(MAX_COPIES, exp(a size))``: they are tilted exponentially along the
+document's tokens.  A source that must grow takes more of its long documents, one that must shrink fewer.
+The multiplier ``a`` of each source solves a convex dual; Newton steps for all
+sources at once run over the whole table.  They go on the logarithms of the tokens taken and of x, where a = log(target / size) / x: x lies between
+the source's shortest and longest document, a bracket that only narrows.  Tokens are first added up by (source, size), which loses nothing.
 
 Rates are then rounded to whole copies: a document gets the floor of its rate, and those
 whose fixed random number is lowest against their fraction get one more, up to the exact
 place where the source's target is reached.  What is left below the target there is filled by
-the largest documents that fit, a few rounds.
+the largest documents that fit, until none does; where the document at that place comes nearer to the target, it is taken instead.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,14 +28,11 @@ from .common import materialise, word_count
 MAX_COPIES = 3
 #: Weights of sources in order, repeating.
 WEIGHTS = (1, 2, 3)
-NEWTON_STEPS = 60
-TOLERANCE = 1e-10
-#: Steps of the multipliers are held to this length.
-MAX_STEP = 2.0
+#: A step that does not halve the miss is followed by one that halves the bracket, so that so many are enough for any table.
+NEWTON_STEPS = 250
+TOLERANCE = 1e-9
 #: Cells of the random number in which the border of rounding is searched.
-CELLS = 4096
-#: Rounds in which a document is added to fill what is left below a target.
-FILL_ROUNDS = 4
+CELLS = 32_768
 
 
 def source_key(source: Column) -> Column:
@@ -65,80 +64,101 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_C
 
 
 def solve_dual(cells: DataFrame, targets: DataFrame) -> DataFrame:
-    """Multipliers ``a, b`` of each source by Newton's method.
+    """``k, source_size, target, a``: the multiplier of each source.
 
     ``cells``: ``k, size, n`` (documents of that size).  ``targets``: ``k, source_size, target``.
-    Sources without tokens, or whose target is 0, get rate 1 or 0 at once.
+    A source whose target is ``MAX_COPIES`` sizes has no multiplier (null): all its rates are that.
     """
-    tokens = F.col("n") * F.col("size").cast("double")
-    log = F.log1p(F.col("size").cast("double"))
-    mean = cells.groupBy("k").agg(F.try_divide(F.sum(tokens * log), F.sum(tokens)).alias("mean_log"))
+    tokens, size = F.col("n") * F.col("size").cast("double"), F.col("size").cast("double")
+    ends = cells.filter("size > 0").groupBy("k").agg(F.min("size").alias("least"), F.max("size").alias("longest"), F.sum(tokens * size).alias("square"))
+    full = F.col("target") >= MAX_COPIES * F.col("source_size").cast("double")
+    slope = F.log(F.col("target") / F.col("source_size"))
     state = materialise(
-        targets.join(mean, "k").select(
-            "k", "source_size", "target", F.coalesce("mean_log", F.lit(0.0)).alias("mean_log"),
-            F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), (F.col("source_size") == 0).alias("done"),
+        targets.join(ends, "k").filter(~full).select(
+            "k", "source_size", "target", slope.alias("slope"),
+            # no rate is above target / size if x is the shortest size, none below if x is the longest
+            F.log(F.col("least").cast("double")).alias("low"), F.log(F.col("longest").cast("double")).alias("high"),
+            # where x is if the multiplier is small
+            F.log(F.col("square") / F.col("source_size")).alias("t"), F.lit(None).cast("double").alias("miss"), F.lit(False).alias("done"),
         ),
         "dual-0",
     )
+    multiplier = F.col("slope") * F.exp(-F.col("t"))
     for step in range(1, NEWTON_STEPS + 1):
-        z = log - F.col("mean_log")
-        taken = tokens * F.exp(F.col("a") + F.col("b") * z)
+        rate = F.exp(multiplier * size)
         sums = (
             cells.join(state.filter(~F.col("done")), "k")
             .groupBy("k")
-            .agg(F.sum(taken).alias("s0"), F.sum(taken * z).alias("s1"), F.sum(taken * z * z).alias("s2"))
+            .agg(F.sum(tokens * F.least(F.lit(float(MAX_COPIES)), rate)).alias("s"), F.sum(F.when(rate < MAX_COPIES, tokens * size * rate)).alias("h"))
         )
-        # gradient (s0 - target, s1), Hessian ((s0, s1), (s1, s2))
-        g0, g1 = F.col("s0") - F.col("target"), F.col("s1")
-        det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-        flat = det <= 1e-9 * F.col("s0") * F.col("s0")
-        da = F.when(flat, -g0 / F.col("s0")).otherwise((F.col("s1") * g1 - F.col("s2") * g0) / det)
-        db = F.when(flat, F.lit(0.0)).otherwise((F.col("s1") * g0 - F.col("s0") * g1) / det)
-        held = lambda x: F.greatest(F.lit(-MAX_STEP), F.least(F.lit(MAX_STEP), x))
-        near = (F.abs(g0) <= TOLERANCE * F.col("source_size")) & (F.abs(g1) <= TOLERANCE * F.col("source_size") * 10)
+        off = F.col("s") - F.col("target")
+        near = F.coalesce(F.abs(off) <= TOLERANCE * F.col("source_size"), F.col("done"))
+        # rates come nearer to 1 with larger x
+        further = (off < 0) == (F.col("slope") < 0)
+        low, high = F.when(further, F.col("t")).otherwise(F.col("low")), F.when(further, F.col("high")).otherwise(F.col("t"))
+        newton = F.col("t") + F.try_divide(F.col("s") * F.log(F.col("s") / F.col("target")), F.col("h") * multiplier)
+        miss = F.abs(F.log(F.col("s") / F.col("target")))
+        inside = (newton > low) & (newton < high) & F.coalesce(miss < F.col("miss") / 2, F.lit(True))
+        move = F.when(inside, newton).otherwise((low + high) / 2)
         state = materialise(
             state.join(sums, "k", "left").select(
-                "k", "source_size", "target", "mean_log",
-                F.when(F.col("done") | near, F.col("a")).otherwise(F.col("a") + held(da)).alias("a"),
-                F.when(F.col("done") | near, F.col("b")).otherwise(F.col("b") + held(db)).alias("b"),
-                (F.col("done") | near).alias("done"),
+                "k", "source_size", "target", "slope",
+                F.when(near, F.col("low")).otherwise(low).alias("low"), F.when(near, F.col("high")).otherwise(high).alias("high"),
+                F.when(near, F.col("t")).otherwise(move).alias("t"), miss.alias("miss"), near.alias("done"),
             ),
             f"dual-{step}",
         )
         if state.filter(~F.col("done")).isEmpty():
-            return state
-    return state
+            return targets.join(state.select("k", multiplier.alias("a")), "k", "left")
+    raise ArithmeticError(f"multipliers not settled after {NEWTON_STEPS} steps")
 
 
 def _with_rounding(rows: DataFrame) -> DataFrame:
     """``rate``, whole copies ``base``, and ``v``: one more copy goes to the lowest ``v``."""
-    z = F.log1p(F.col("size").cast("double")) - F.col("mean_log")
-    rate = F.when(F.col("target") >= MAX_COPIES * F.col("source_size"), F.lit(float(MAX_COPIES))).otherwise(
-        F.least(F.lit(float(MAX_COPIES)), F.exp(F.col("a") + F.col("b") * z))
-    )
+    most = F.lit(float(MAX_COPIES))
+    rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("a").isNull(), most).otherwise(F.least(most, F.exp(F.col("a") * F.col("size"))))
     rows = rows.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9))
     # no further copy where the rate is whole
     return rows.withColumn("v", F.when(F.col("rate") - F.col("base") > 1e-9, F.col("u") - (F.col("rate") - F.col("base"))))
 
 
+def fill(free: pd.DataFrame) -> pd.DataFrame:
+    """Of one source's ``size, again, gap`` the largest that fit: per size, the highest ``again`` taken and the tokens."""
+    out, gap = [], float(free["gap"].iloc[0])
+    size, again = free["size"].to_numpy(), free["again"].to_numpy()
+    order = np.lexsort((again, -size))
+    size, again = size[order], again[order]
+    for at, end in zip(*(lambda b: (b, np.append(b[1:], len(size))))(np.flatnonzero(np.append(True, size[1:] != size[:-1]))), strict=True):
+        # rows that are equal in their random number go together
+        own, times = np.unique(again[at:end], return_counts=True)
+        n = int(np.searchsorted(np.cumsum(times) * size[at], gap, side="right"))
+        if n:
+            out.append((free["k"].iloc[0], size[at], own[n - 1], int(times[:n].sum() * size[at])))
+            gap -= out[-1][3]
+    return pd.DataFrame(out, columns=["k", "size", "top", "tokens"])
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Adds ``k``, ``size``, ``u`` (a fixed random number in [0, 1)) to the rows."""
+    """``row`` (all columns as one, so that no name can clash), ``k``, ``size``, and two fixed random numbers in [0, 1): ``u``, ``again``."""
     size = F.coalesce(word_count(F.col("text")), F.lit(0).cast("long"))
-    out = docs.withColumn("_k", source_key(F.col("source").cast("string"))).withColumn("_size", size)
-    mark = F.xxhash64(F.col("doc_id"), F.col("_k"), F.col("_size"), F.lit("mix"))
-    return out.withColumn("_u", F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53))
+    out = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), source_key(F.col("source").cast("string")).alias("k"), size.alias("size")
+    )
+    for name in ("u", "again"):
+        mark = F.xxhash64(F.col("id"), F.col("k"), F.col("size"), F.lit(name))
+        out = out.withColumn(name, F.shiftrightunsigned(mark, 11).cast("double") / float(1 << 53))
+    return out.drop("id")
 
 
 def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
-    """One row a source, all that decides how often a document is taken:
-    ``k, source_size, target, a, b, mean_log, cut, ids``.
+    """One row a source, all that decides how often a document is taken: ``k, source_size, target, a, cut, past, fills``.
 
-    A document takes one more copy if ``v < cut`` or its ``u`` is in ``ids``.
+    A document takes one more copy if ``v < cut`` (or ``v = cut`` where ``past``), or its ``again`` is at most the ``top`` that ``fills`` has for its size.
     """
-    slim = materialise(_numbered(docs).select(F.col("_k").alias("k"), F.col("_size").alias("size"), F.col("_u").alias("u")), "mix-sizes")
+    slim = materialise(_numbered(docs).select("k", "size", "u", "again"), "mix-sizes")
     cells = materialise(slim.groupBy("k", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     totals = cells.groupBy("k").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    solved = solve_dual(cells, materialise(source_targets(totals, weights), "mix-targets"))
+    solved = materialise(solve_dual(cells, materialise(source_targets(totals, weights), "mix-targets")), "mix-rates")
 
     placed = _with_rounding(slim.join(solved, "k"))
     whole = placed.groupBy("k").agg(F.sum(F.col("base") * F.col("size")).alias("whole"))
@@ -166,57 +186,61 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
     cut = inside.groupBy("k").agg(
         F.min(F.when(F.col("sum") > F.col("need"), F.col("v"))).alias("cut"),
         F.max(F.when(F.col("sum") <= F.col("need"), F.col("sum"))).alias("got"),
+        F.min(F.when(F.col("sum") > F.col("need"), F.col("sum") - F.col("need"))).alias("over"),
     )
     plan = materialise(
         solved.join(border, "k", "left").join(cut, "k", "left").select(
-            "k", "source_size", "target", "a", "b", "mean_log",
+            "k", "source_size", "target", "a",
             # without a border every fraction is taken
             F.coalesce("cut", F.lit(2.0)).alias("cut"),
-            F.coalesce(F.col("need") - F.coalesce("got", "before"), F.lit(0.0)).alias("gap"),
-            F.expr("cast(array() as array<double>)").alias("ids"),
+            F.coalesce(F.col("need") - F.coalesce("got", "before"), F.lit(0.0)).alias("gap"), "over",
         ),
-        "mix-plan-0",
+        "mix-plan",
     )
-    for step in range(1, FILL_ROUNDS + 1):
-        free = _with_rounding(slim.join(plan, "k")).filter(
-            (F.col("v") >= F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~F.array_contains("ids", F.col("u"))
-        )
-        pick = free.groupBy("k").agg(F.max(F.struct("size", "u")).alias("pick"))
-        plan = materialise(
-            plan.join(pick, "k", "left").select(
-                "k", "source_size", "target", "a", "b", "mean_log", "cut",
-                (F.col("gap") - F.coalesce("pick.size", F.lit(0))).alias("gap"),
-                F.when(F.col("pick").isNull(), F.col("ids")).otherwise(F.concat("ids", F.array("pick.u"))).alias("ids"),
-            ),
-            f"mix-plan-{step}",
-        )
-    return plan
+    # the gap is below the size of the document at the border; of a size no more than gap / size documents can fill it, so
+    # those with the lowest numbers, some more than that, are all that is looked at: gap x log(gap) rows a source at most
+    free = _with_rounding(slim.join(plan, "k")).filter((F.col("v") >= F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+    most = F.col("gap") / F.col("size")
+    counts = free.groupBy("k", "size").agg(F.count(F.lit(1)).alias("n"))
+    few = free.join(counts, ["k", "size"]).filter(F.col("again") * F.col("n") <= most + 6 * F.sqrt(most) + 12)
+    filled = few.select("k", "size", "again", "gap").groupBy("k").applyInPandas(fill, "k string, size long, top double, tokens long")
+    fills = filled.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("size", "top"))).alias("fills"), F.sum("tokens").alias("filled"))
+    past = F.coalesce(F.col("over") < F.col("gap") - F.coalesce("filled", F.lit(0)), F.lit(False))
+    plan = plan.join(fills, "k", "left").withColumn("past", past)
+    return materialise(plan.select("k", "source_size", "target", "a", "cut", "past", F.when(~F.col("past"), F.col("fills")).alias("fills")), "mix-plan-filled")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, plan: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` with ``size, source_size, target, rate, copies, taken``.
 
-    Size is a text's number of words (null: 0).  Sources by code point, null last, weigh
+    Size is a text's number of words (null: 0), however long the text.  Sources by code point, null last, weigh
     ``weights`` in turn; targets share all sizes by weight, stopped at 3 sizes of a source.
     A null source is a source of its own.  Rows equal in doc_id, source and size are treated alike, so reruns
-    agree and repeated rows are taken equally often; empty texts take 0 words.  An empty table gives no
-    rows.  Further columns pass through; ``_k``, ``_size`` and ``_u`` must not be among them.
+    agree and repeated rows are taken equally often (a tie that doesn't fit the target as a whole is left out); empty texts
+    have rate 1 and take 0 words.  An empty table gives no rows.
+    Further columns pass through, whatever their names; those named like one of the new columns give way to it.
     """
     plan = plan_mix(docs, weights) if plan is None else plan
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies", "taken")]
-    rows = _numbered(docs).select(*own, F.col("_k").alias("k"), F.col("_size").alias("size"), F.col("_u").alias("u"))
+    new = ("size", "source_size", "target", "rate", "copies", "taken")
+    own = [c for c in docs.columns if c.lower() not in new]
     # the plan has a row a source; Spark broadcasts it if its written size is small, and splits hot sources if not
-    rows = _with_rounding(rows.join(plan, "k"))
-    more = F.coalesce((F.col("v") < F.col("cut")) | F.array_contains("ids", F.col("u")) & F.col("v").isNotNull(), F.lit(False))
+    rows = _with_rounding(_numbered(docs).join(plan, "k"))
+    top = F.try_element_at("fills", F.col("size"))
+    more = (F.col("v") < F.col("cut")) | F.col("past") & (F.col("v") == F.col("cut")) | F.coalesce(F.col("again") <= top, F.lit(False)) & (F.col("v") >= F.col("cut"))
+    more = F.coalesce(more, F.lit(False))
     copies = (F.col("base") + more.cast("long")).cast("long")
     return rows.select(
-        *own, "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        *[F.col("row").getField(c).alias(c) for c in own], "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
 def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its copies say."""
-    # the row travels as one column, so no name of its own can clash with the operator's
-    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    """``docs`` as the mix takes them: each row as often as its copies say, all its columns as they are.
+
+    Nulls, empty and long texts, ties, repeated rows, empty tables and other columns as in ``mix``; a row of rate 0 goes.
+    """
+    whole = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     taken = mix(whole, weights).filter(F.col("copies") > 0)
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("_row.*")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(
+        *[F.col("_row").getField(c).alias(c) for c in docs.columns]
+    )

@@ -396,13 +396,59 @@ def test_mix(spark):
     assert {(x.doc_id, x.taken) for x in again} == {(x.doc_id, x.taken) for x in rows}
 
 
-def test_dual_keeps_the_mean_log_length(spark):
-    cells = spark.createDataFrame([("0a", 10, 5), ("0a", 100, 2), ("0b", 7, 1)], "k string, size long, n long")
-    targets = spark.createDataFrame([("0a", 250, 125.0), ("0b", 7, 21.0)], "k string, source_size long, target double")
-    got = {r.k: r for r in mixing.solve_dual(cells, targets).collect()}
-    assert got["0a"].a == pytest.approx(math.log(0.5))
-    assert got["0a"].b == pytest.approx(0, abs=1e-6)
-    assert got["0b"].a == pytest.approx(math.log(3), abs=1e-6)
+def brute_multiplier(sizes, target, most=3):
+    """The root of a monotone function by bisection."""
+    low, high = -50.0, 50.0
+    for _ in range(200):
+        a = (low + high) / 2
+        with np.errstate(over="ignore"):
+            low, high = (a, high) if (sizes * np.minimum(most, np.exp(a * sizes))).sum() < target else (low, a)
+    return a
+
+
+def test_rates_are_tilted_and_solve_the_dual(spark):
+    r = np.random.default_rng(5)
+    groups = {k: r.integers(1, 900, n) for k, n in (("a", 400), ("b", 50), ("c", 3), ("d", 80), ("e", 1))}
+    docs = [(i, " ".join(["w"] * int(n)), k) for i, (k, n) in enumerate((k, n) for k, v in groups.items() for n in v)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    grown = shrunk = 0
+    for k, sizes in groups.items():
+        own = sorted((x for x in rows if x.source == k), key=lambda x: x.size)
+        target, rates = own[0].target, np.array([x.rate for x in own])
+        assert sum(x.rate * x.size for x in own) == pytest.approx(target, rel=1e-6)
+        if target < 3 * sizes.sum() - 1e-6:
+            a = brute_multiplier(sizes.astype(float), target)
+            assert rates == pytest.approx(np.minimum(3, np.exp(a * np.array([x.size for x in own]))), rel=1e-5)
+        grown += len(set(rates[rates < 3])) > 1 and a > 0
+        shrunk += len(set(rates)) > 1 and a < 0
+        # what is left below the target has no room for any document that may be taken once more
+        left = target - sum(x.taken for x in own)
+        assert all(x.size > left for x in own if x.size and x.copies <= x.rate - 1e-6)
+        assert -left < max(x.size for x in own)
+    assert grown and shrunk
+
+
+def brute_fill(rows, gap):
+    left, out = gap, {}
+    for size in sorted({s for s, _ in rows}, reverse=True):
+        for again in sorted({a for s, a in rows if s == size}):
+            n = sum((s, a) == (size, again) for s, a in rows)
+            if n * size > left:
+                break
+            left -= n * size
+            out[size] = again
+    return out
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 12), st.sampled_from([0.1, 0.2, 0.3, 0.4])), min_size=1, max_size=30), st.integers(0, 80))
+def test_fill_takes_the_largest_that_fit(rows, gap):
+    import pandas as pd
+
+    got = mixing.fill(pd.DataFrame({"k": "0a", "size": [s for s, _ in rows], "again": [a for _, a in rows], "gap": float(gap)}))
+    expected = brute_fill(rows, gap)
+    assert dict(zip(got["size"], got["top"], strict=True)) == expected
+    assert sum(got["tokens"]) == sum(s for s, a in rows if a <= expected.get(s, 0))
 
 
 def test_mix_odd_inputs(wide, empty):
@@ -411,4 +457,11 @@ def test_mix_odd_inputs(wide, empty):
     assert mixing.mix(empty).count() == 0
     taken = mixing.apply_mix(wide)
     assert taken.columns == wide.columns
-    assert taken.filter("not (size <=> doc_id) or not (copies <=> doc_id)").count() == 0
+    assert mixing.apply_mix(empty).count() == 0
+    # names that the operator uses itself pass through with their values
+    names = ["k", "a", "u", "v", "base", "cut", "gap", "row", "_row", "again", "fills", "Size", "n", "a.b"]
+    odd = wide.select("doc_id", "text", "source", *[wide.doc_id.alias(c) for c in names])
+    for out in (mixing.mix(odd), mixing.apply_mix(odd)):
+        for r in out.collect():
+            assert all(r[c] == r.doc_id for c in names if c in out.columns)
+    assert mixing.apply_mix(odd).columns == odd.columns
