@@ -37,7 +37,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     pairs = edges
     if large:
         pairs = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = pairs.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+    # written before the join, so that both sides come straight from a shuffle and Spark can split a hub
+    low = materialise(pairs.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "least")
     rows = pairs.join(low, "u")
     if large:
         out = rows.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -12,7 +12,9 @@ order by angle is that by inner product.  Rotations are fitted on a bounded samp
 is the distance that holds a given share of the true neighbours of a bounded sample of queries, found
 against all rows.
 
-Rows and queries meet in blocks: each block of rows is indexed where a block of queries reaches it.
+Rows and queries meet in blocks: a block of rows is indexed once for a large block of queries, so rows are sent once for every
+``BLOCK_QUERIES`` queries and a query leaves one list for every ``BLOCK_ROWS`` rows.  Vectors of different lengths have no inner
+product: each length is a table of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, partitions
 
 #: Vectors on which rotations are fitted, and queries whose true neighbours set the radius.
 FIT_VECTORS = 2048
@@ -37,11 +39,15 @@ ROTATIONS = 4
 #: Short vectors get more rotations, so that codes have so many bits.
 LEAST_BITS = 64
 FIT_STEPS = 25
-BLOCK_ROWS = 32_768
-BLOCK_QUERIES = 512
+#: Rows and queries of a block (128 MB of vectors of 100 numbers); small tables are cut finer, down to LEAST_ROWS, to use all cores.
+BLOCK_ROWS = 131_072
+LEAST_ROWS = 8192
+BLOCK_QUERIES = 32_768
 SUB_BITS = 16
 #: Queries verified at once, and the share of candidates beyond which codes are compared row by row.
 VERIFY_QUERIES = 64
+#: Queries whose candidates are held at once.
+SEARCH_QUERIES = 512
 DENSE = 0.1
 
 
@@ -158,27 +164,33 @@ def _best(query: np.ndarray, score: np.ndarray, name: np.ndarray, k: int) -> np.
     return order[rank < k]
 
 
-def search_block(rows: pd.DataFrame, queries: pd.DataFrame, model: Codes, k: int) -> pd.DataFrame:
-    """The k best rows of one block for each query, of those within the radius (k at least, if there are so many)."""
-    x, y = _matrix(rows["embedding"]), _matrix(queries["embedding"])
-    names, asked = rows["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-    index, codes = MultiIndex(model.encode(x, False)), model.encode(y, True)
-    q, i = index.within(codes, model.radius)
-    few = np.flatnonzero(np.bincount(q, minlength=len(y)) <= k)
-    if len(few):
-        # widen: for these the nearest codes of the block, whatever their distance
-        most = min(k + 1, len(x))
-        near = np.argsort(index.distances(codes[few]), axis=1, kind="stable")[:, :most]
-        both = np.unique(np.stack([np.append(q, np.repeat(few, most)), np.append(i, near.ravel())], axis=1), axis=0)
-        q, i = both[:, 0], both[:, 1]
-    other = names[i] != asked[q]
-    q, i = q[other], i[other]
-    score = np.empty(len(q))
-    for at in range(0, len(q), 100_000):
-        s = slice(at, at + 100_000)
-        score[s] = np.einsum("ij,ij->i", y[q[s]], x[i[s]])
-    at = _best(q, score, names[i], k)
-    return pd.DataFrame({"query_id": asked[q[at]], "vec_id": names[i[at]], "score": score[at]})
+class Block:
+    """One block of rows: its vectors and indexes."""
+
+    def __init__(self, rows: pd.DataFrame, model: Codes):
+        self.x, self.names, self.model = _matrix(rows["embedding"]), rows["vec_id"].to_numpy(), model
+        self.index = MultiIndex(model.encode(self.x, False))
+
+    def search(self, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+        """The k best rows for each query, of those within the radius (k at least, if there are so many)."""
+        y, asked, names = _matrix(queries["embedding"]), queries["query_id"].to_numpy(), self.names
+        codes = self.model.encode(y, True)
+        q, i = self.index.within(codes, self.model.radius)
+        few = np.flatnonzero(np.bincount(q, minlength=len(y)) <= k)
+        if len(few):
+            # widen: for these the nearest codes of the block, whatever their distance
+            most = min(k + 1, len(self.x))
+            near = np.argsort(self.index.distances(codes[few]), axis=1, kind="stable")[:, :most]
+            both = np.unique(np.stack([np.append(q, np.repeat(few, most)), np.append(i, near.ravel())], axis=1), axis=0)
+            q, i = both[:, 0], both[:, 1]
+        other = names[i] != asked[q]
+        q, i = q[other], i[other]
+        score = np.empty(len(q))
+        for at in range(0, len(q), 100_000):
+            s = slice(at, at + 100_000)
+            score[s] = np.einsum("ij,ij->i", y[q[s]], self.x[i[s]])
+        at = _best(q, score, names[i], k)
+        return pd.DataFrame({"query_id": asked[q[at]], "vec_id": names[i[at]], "score": score[at]})
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -235,29 +247,40 @@ def train(rows: DataFrame, queries: DataFrame, k: int, coverage: float = COVERAG
     return Codes(model.planes, model.mean, model.longest, radius)
 
 
-def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, block_rows: int = BLOCK_ROWS,
+def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, block_rows: int | None = None,
             block_queries: int = BLOCK_QUERIES, coverage: float = COVERAGE) -> DataFrame:
     """For each vector whose ``vec_id`` is divisible by ``query_step`` its k nearest found:
     ``query_id, rank, vec_id, score``.
 
     Takes ``vec_id`` and ``embedding`` (further columns are not looked at).  Rows with a null id or vector, a
-    zero vector, or a null or non-finite component take no part; nor do vectors of another
-    length than the most common one (the larger on a tie).  Rows with the query's own id are not its candidates; other
-    repeated rows count each.  Ties in score go to the smaller ``vec_id``.  An empty table gives no rows.
+    zero vector, or a null or non-finite component take no part.  Vectors of other lengths than the
+    query's have no inner product with it and are not its candidates.  Rows with the query's own id are not its candidates; other
+    repeated rows count each; where rows share a query's id, the first of their vectors in order of components asks.
+    Ties in score go to the smaller ``vec_id``.  An empty table gives no rows.
     """
-    rows = usable(vectors)
-    spark = vectors.sparkSession
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    rows = materialise(rows.filter(F.size("embedding") == sizes[0].d), "vectors")
-    queries = rows.filter(F.col("vec_id") % query_step == 0).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    rows = materialise(usable(vectors), "vectors")
+    found = None
+    for r in rows.groupBy(F.size("embedding").alias("d")).count().orderBy("d").collect():  # a row a length
+        part = _nearest(rows.filter(F.size("embedding") == r.d), r["count"], query_step, k, block_rows, block_queries, coverage)
+        if part is not None:
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # a query id has vectors of several lengths only if its rows do; the lists are then one
+    return _ranked(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _nearest(rows: DataFrame, n: int, query_step: int, k: int, block_rows: int | None, block_queries: int, coverage: float) -> DataFrame | None:
+    """``query_id, vec_id, score``: lists of vectors of one length, one for each block of rows; None without queries."""
+    spark = rows.sparkSession
+    queries = rows.filter(F.col("vec_id") % query_step == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     queries = materialise(queries, "query-vectors")
     model = train(rows, queries, k, coverage)
     if model is None:
-        return spark.createDataFrame([], schema)
-    blocks, asks = -(-rows.count() // block_rows), -(-queries.count() // block_queries)
+        return None
+    if block_rows is None:
+        block_rows = max(LEAST_ROWS, min(BLOCK_ROWS, -(-n // partitions(spark))))
+    blocks, asks = -(-n // block_rows), -(-queries.count() // block_queries)
     send = spark.sparkContext.broadcast(model)  # at most (d + 1) x 4 (d + 1) numbers
     deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -265,16 +288,11 @@ def nearest(vectors: DataFrame, query_step: int = 20, k: int = 20, block_rows: i
     right = queries.withColumn("qb", deal("query_id", asks)).withColumn("rb", every(blocks))
 
     def meet(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        out = []
+        out = [pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})]
         # rows of one id all have one block, however many they are
         for at in range(0, len(rows), 2 * block_rows):
-            for to in range(0, len(queries), block_queries):
-                out.append(search_block(rows.iloc[at : at + 2 * block_rows], queries.iloc[to : to + block_queries], send.value, k))
+            block = Block(rows.iloc[at : at + 2 * block_rows], send.value)
+            out += [block.search(queries.iloc[to : to + SEARCH_QUERIES], k) for to in range(0, len(queries), SEARCH_QUERIES)]
         return pd.concat(out)
 
-    met = (
-        left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    )
-    return _ranked(met, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(meet, "query_id long, vec_id long, score double")

@@ -64,8 +64,11 @@ base AS (
 ), letters AS (SELECT doc_id, start, bits, i, unnest(string_split(hit[i + 1:i + {w}], '')) AS c FROM shifted
 ), entropy AS (
   SELECT doc_id, start, bits, i, log2({w}) - sum(n * log2(n)) / {w} AS h FROM (SELECT doc_id, start, bits, i, c, count(*) AS n FROM letters GROUP BY ALL) GROUP BY ALL
+), islands AS (
+  SELECT doc_id, start, i, sum(CASE WHEN i - before <= {w} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, start ORDER BY i) AS run FROM (
+    SELECT *, lag(i) OVER (PARTITION BY doc_id, start ORDER BY i) AS before FROM entropy WHERE h >= bits - 1e-9)
 ), random AS (
-  SELECT doc_id, 3 AS kind, start + min(i) AS start, start + max(i) + {w} AS stop FROM entropy WHERE h >= bits - 1e-9 GROUP BY doc_id, entropy.start
+  SELECT doc_id, 3 AS kind, start + min(i) AS start, start + max(i) + {w} AS stop FROM islands GROUP BY doc_id, islands.start, run
 ), every AS (SELECT * FROM base UNION ALL SELECT * FROM random),
 named AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS span FROM every)
 SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

@@ -5,15 +5,15 @@ matches but not their places, so a text is also split at the same pattern; lengt
 pieces and matches, added up, are the places (in code points).
 
 Entropy: over each candidate string (a long run of characters of keys and tokens) a window
-slides by one character; the window's sum of c log2 c over its characters' counts changes
+slides by one character; counts of the window's characters are carried along, and their sum of c log2 c changes
 only by the character that enters and the one that leaves.  A window counts if
-its entropy reaches the threshold of the candidate's character class; candidates that the
-allow list names, or that lie in a span found by a pattern, are left out.
+its entropy reaches the threshold of the candidate's character class; windows that overlap or touch are one span.
+Candidates that the allow list names, or that lie in a span found by a pattern, are left out.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +37,9 @@ class EntropyRules:
     candidate: str = "[A-Za-z0-9+/_=-]{20,}"
     #: Character classes in the order tried: name, pattern of the whole candidate, bits.
     classes: tuple = (
-        ("digits", "^[0-9]+$", 99.0),
+        ("digits", "^[0-9]+$", 2.8),
         ("hex", "^[0-9a-fA-F]+$", 3.0),
-        ("letters", "^[A-Za-z]+$", 99.0),
+        ("letters", "^[A-Za-z]+$", 3.7),
         ("alnum", "^[A-Za-z0-9]+$", 3.6),
         ("base64", "^.*$", 3.8),
     )
@@ -49,8 +49,8 @@ class EntropyRules:
         "(?i)example|sample|placeholder|dummy|changeme|xxxx",
         "^[A-Za-z]+([/_=-][A-Za-z]*)+$",  # paths and compounds of words
         "^[0-9]+([/_=-][0-9]*)+$",  # dates, numbers, rulers
+        "(?i)123456789|987654321|abcdefghijkl|qwertyuiop",  # rows of digits, letters, keys
     )
-    fixed: tuple = field(default=())
 
 
 _SPAN = "array<struct<start:int,end:int>>"
@@ -70,24 +70,29 @@ def _places(matches: str, pieces: str) -> str:
         x -> x.out)"""
 
 
-def _windows(candidate: str, window: int, bits: str) -> str:
-    """SQL: the part of ``candidate`` (array of characters) that its windows of enough entropy
-    cover, as (from, to); from is -1 where there is none."""
-    count = lambda c, part: f"size(filter({part}, y -> y = {c}))"
+def _windows(codes: str, kinds: str, window: int, bits: str) -> str:
+    """SQL: the runs (array of from, to) of a candidate that its windows of enough entropy cover.
+
+    ``codes``: the candidate's characters as numbers from 1; ``kinds``: how many different ones there are."""
     gain = lambda n: f"(({n} + 1) * log2({n} + 1) - if({n} = 0, 0D, {n} * log2({n})))"
-    entered = count(f"{candidate}[i]", f"slice({candidate}, greatest(1, i - {window} + 2), least(i, {window} - 1))")
-    left = count(f"{candidate}[i - {window}]", f"slice({candidate}, i - {window} + 2, {window} - 1)")
+    came, went = f"{codes}[i]", f"if(i >= {window}, {codes}[i - {window}], 0)"
     # the sum over the window's counts, first without the character that leaves, then with the one that enters
-    total = f"(x.sum - if(i >= {window}, {gain(left)}, 0D) + {gain(entered)})"
+    left = f"(if({went} = 0, 0, get(x.counts, {went} - 1)) - 1)"
+    entered = f"(get(x.counts, {came} - 1) - if({came} = {went}, 1, 0))"
+    total = f"(x.sum - if({went} = 0, 0D, {gain(left)}) + {gain(entered)})"
     full = f"(i >= {window} - 1 AND log2({window}) - {total} / {window} >= {bits} - 1e-9)"
+    apart = f"(x.to >= 0 AND x.to < i - {window} + 1)"
     return f"""
       aggregate(
-        sequence(0, size({candidate}) - 1),
-        named_struct('sum', 0D, 'from', -1, 'to', -1),
+        sequence(0, size({codes}) - 1),
+        named_struct('sum', 0D, 'counts', array_repeat(0, {kinds}), 'from', -1, 'to', -1, 'runs', cast(array() as array<struct<from:int,to:int>>)),
         (x, i) -> named_struct(
           'sum', {total},
-          'from', if(x.from < 0 AND {full}, i - {window} + 1, x.from),
-          'to', if({full}, i + 1, x.to)))"""
+          'counts', transform(x.counts, (held, place) -> held + if(place + 1 = {came}, 1, 0) - if(place + 1 = {went}, 1, 0)),
+          'from', if({full} AND (x.from < 0 OR {apart}), i - {window} + 1, x.from),
+          'to', if({full}, i + 1, x.to),
+          'runs', if({full} AND {apart}, array_append(x.runs, named_struct('from', x.from, 'to', x.to)), x.runs)),
+        x -> if(x.from < 0, x.runs, array_append(x.runs, named_struct('from', x.from, 'to', x.to))))"""
 
 
 def _text(spans: str) -> Column:
@@ -101,7 +106,7 @@ def find_secrets(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataF
     """The rows of ``docs`` with ``base`` and ``found``: arrays of (start, kind, end), where kind
     is the place in ``KINDS``, sorted; ``found`` holds the base spans and those of entropy.
 
-    Null text counts as empty, an empty text has no spans; every row gives one row, repeated
+    Null text counts as empty, an empty text has no spans, a long one is read whole; every row gives one row, repeated
     rows too; an empty table gives no rows.  Further columns pass through, but for ``base``,
     ``found`` and names that begin with ``_s``.
     """
@@ -136,19 +141,20 @@ def find_secrets(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataF
           filter(
             zip_with(_sm_entropy, _sl_entropy, (m, s) -> named_struct(
               'start', s.start, 'bits', {bits},
-              'chars', split(m, ''), 'allowed', {allowed},
+              'text', m, 'allowed', {allowed},
               'known', exists(base, b -> b.start <= s.start AND s.end <= b.end))),
             c -> NOT c.allowed AND NOT c.known AND c.bits <= log2({rules.window}))"""),
     )
-    rows = rows.withColumn(
-        "_sw",
-        F.expr(f"transform(_sc, c -> named_struct('start', c.start, 'at', {_windows('c.chars', rules.window, 'c.bits')}))"),
-    )
+    # a character's number is its place among the different ones of its candidate
+    rows = rows.withColumn("_sk", F.expr("transform(_sc, c -> named_struct('chars', split(c.text, ''), 'kinds', array_distinct(split(c.text, ''))))"))
+    rows = rows.withColumn("_sn", F.expr("transform(_sk, c -> named_struct('codes', transform(c.chars, y -> cast(array_position(c.kinds, y) as int)), 'kinds', size(c.kinds)))"))
+    runs = _windows("n.codes", "n.kinds", rules.window, "c.bits")
+    rows = rows.withColumn("_sw", F.expr(f"zip_with(_sc, _sn, (c, n) -> named_struct('start', c.start, 'runs', {runs}))"))
     rows = rows.withColumn(
         "found",
         F.expr(f"""
-          array_sort(concat(base, transform(filter(_sw, w -> w.at.from >= 0),
-            w -> named_struct('start', w.start + w.at.from, 'kind', {KINDS.index('entropy')}, 'end', w.start + w.at.to))))"""),
+          array_sort(concat(base, flatten(transform(_sw, w -> transform(w.runs,
+            r -> named_struct('start', w.start + r.from, 'kind', {KINDS.index('entropy')}, 'end', w.start + r.to))))))"""),
     )
     return rows.select(*keep, "base", "found")
 

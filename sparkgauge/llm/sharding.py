@@ -22,6 +22,8 @@ from .common import materialise, new_path
 SLOTS = 16_384
 #: How far above the mean a shard may be before slots move, as a share.
 SLACK = 0.02
+#: Rows of a virtual slot that one task numbers, in the mean; fuller slots are numbered in parts.
+SLOT_ROWS = 1_000_000
 #: Bytes that a record takes besides its text.
 RECORD_BYTES = 16
 
@@ -95,8 +97,6 @@ def rebalance(old: SlotMap, weights: list[int], shards: int, slack: float = SLAC
         load[high] -= weights[slot]
         move(slot, low)
         held[low].sort(key=lambda s: (weights[s], s))
-        if len(moved) > 4 * len(of):
-            break
     return SlotMap(shards, of, old.version + 1, sorted(moved))
 
 
@@ -125,38 +125,48 @@ def slot_table(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     ).withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
 
 
-def shard_by_slots(docs: DataFrame, shards: int = 40, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
+def shard_by_slots(docs: DataFrame, shards: int = 40, slots: int = SLOTS, folder: str | None = None, grown: int | None = None) -> DataFrame:
     """Every row with its shard, by the law ``bytes``: shards' sizes are nearly equal.
 
     Takes ``doc_id`` and ``text`` (further columns are not looked at); size is the text's
-    UTF-8 bytes plus 16.  A null text counts as empty, a null ``doc_id`` hashes like a value,
+    UTF-8 bytes plus 16, however long.  A null text counts as empty, a null ``doc_id`` hashes like a value,
     repeated rows each count.  Rows that are equal in id and text share a virtual slot, others
-    spread.  ``slot`` numbers a shard's rows from 0 without gaps: rows of a virtual slot by
-    (doc_id, crc), virtual slots by number.  An empty table gives no rows.  The map's first
-    version is stored in ``folder`` (by default in the shared one).
+    spread.  ``slot`` numbers a shard's rows from 0 without gaps: virtual slots by number, rows of one by
+    (doc_id, crc) but for slots of more than ``SLOT_ROWS`` rows, which are numbered in parts.  An empty table gives no rows.
+
+    The map's first version is stored, and beside it the second: the first edited for ``grown`` shards (one more by default).
+    ``folder`` is kept; without it the maps lie in the shared folder until the driver ends.  ``next_shard`` is the
+    shard by the second version.
     """
     spark = docs.sparkSession
-    table = materialise(slot_table(docs, slots), "slot-table")
+    table = materialise(slot_table(docs, slots).withColumn("row", F.monotonically_increasing_id()), "slot-table")
     stats = table.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # a row a slot
     weights, counts = [0] * slots, [0] * slots
     for r in stats:
         weights[r.vslot], counts[r.vslot] = r.bytes, r.n
     planned = plan(weights, shards)
-    save_map(spark, folder or new_path(spark, "slot-map"), planned)
+    edited = rebalance(planned, weights, grown or shards + 1)
+    folder = folder or new_path(spark, "slot-map")
+    for version in (planned, edited):
+        save_map(spark, folder, version)
     before, offsets = [0] * shards, [0] * slots
     for slot, shard in enumerate(planned.of):
         offsets[slot] = before[shard]
         before[shard] += counts[slot]
-    # one row for each used slot: at most ``slots`` rows of 16 bytes, whatever the table's size
+    # one row for each used slot: at most ``slots`` rows of 24 bytes, whatever the table's size
     placed = spark.createDataFrame(
-        [(s, planned.of[s], offsets[s]) for s in range(slots) if counts[s]], "vslot int, shard int, first long"
+        [(s, planned.of[s], edited.of[s], offsets[s], -(-counts[s] // SLOT_ROWS)) for s in range(slots) if counts[s]],
+        "vslot int, shard int, next_shard int, first long, parts int",
     )
-    order = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    rows = table.join(F.broadcast(placed), "vslot").withColumn("part", F.pmod(F.col("row"), F.col("parts")).cast("int"))
+    upto = Window.partitionBy("vslot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("vslot", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    order = Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32", "size", "row")
     return (
-        table.withColumn("n", F.row_number().over(order))
-        .join(F.broadcast(placed), "vslot")
+        rows.withColumn("n", F.row_number().over(order))
+        .join(starts.select("vslot", "part", "before"), ["vslot", "part"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("first") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot",
+            (F.col("first") + F.col("before") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "next_shard",
         )
     )

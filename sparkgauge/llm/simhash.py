@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, MapType, StructField, StructType, VariantType
 
 from .common import materialise, partitions
 from .components import connected_components, forest
@@ -38,25 +39,27 @@ COUNT_BITS = 16
 BLOCK = 2048
 #: Candidate pairs verified at once.
 SLAB = 2_000_000
-#: The cost of a probe in candidates.
-PROBE_COST = 4.0
+#: The cost of a probe, which is sorted and sent, in candidates.
+PROBE_COST = 32.0
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """SimHash of the word shingles of one text; 0 without words."""
-    return int(_fingerprints([text])[0])
+    return int(_fingerprints([text], words)[0])
 
 
-def _fingerprints(texts: list[str | None]) -> np.ndarray:
+def _fingerprints(texts: list[str | None], shingle: int = SHINGLE_WORDS) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
+    joined = b" ".join([b"%b"] * shingle)
+
     hashes: list[int] = []
     ends = np.empty(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         # bytes.lower changes A-Z only, bytes.split splits at [\x20\x09-\x0D]
         words = text.encode().lower().split() if text else []
-        if len(words) >= SHINGLE_WORDS:
-            hashes += [xxh64_intdigest(b"%b %b %b" % x, SEED) for x in zip(words, words[1:], words[2:], strict=False)]
+        if len(words) >= shingle:
+            hashes += [xxh64_intdigest(joined % x, SEED) for x in zip(*(words[k:] for k in range(shingle)), strict=False)]
         elif words:
             hashes.append(xxh64_intdigest(b" ".join(words), SEED))
         ends[i] = len(hashes)
@@ -74,30 +77,30 @@ def _fingerprints(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a signed long) of every row of ``docs``."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` (with a column ``text``) with ``fp``, the 64 bits as a signed long, in place of ``text``."""
+    names = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             for at in range(0, batch.num_rows, 128):
-                out = _fingerprints(column.slice(at, 128).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, 128), pa.array(out.view(np.int64))], names=["doc_id", "fp"]
-                )
+                out = _fingerprints(column.slice(at, 128).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, 128) for c in names), pa.array(out.view(np.int64))], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    schema = StructType([*(docs.schema[c] for c in names), StructField("fp", LongType())])
+    return docs.mapInArrow(run, schema)
 
 
 def part_count(n: int, radius: int = RADIUS) -> int:
     """Parts for n fingerprints: the number with the least estimated cost of probes and candidates."""
 
     def cost(m: int) -> float:
-        width, spare = BITS / m, radius - m + 1
-        probes = m if spare == 0 else (m - 1) + sum(comb(int(width), i) for i in range(spare + 1)) if m > 2 else 2 * (1 + width)
+        width, (low, more) = BITS / m, divmod(radius - m + 1, m)
+        probes = sum(comb(int(width), i) for j in range(m) for i in range(low + (j < more) + 1))
         return probes * (PROBE_COST + n / 2.0**width)
 
-    return min(range(2, radius + 2), key=cost) if radius else 1
+    return min((m for m in range(2, radius + 2) if radius - m + 1 <= m * MAX_THRESHOLD), key=cost) if radius else 1
 
 
 def group_bits(together: np.ndarray, parts: int) -> list[list[int]]:
@@ -204,39 +207,59 @@ def _statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
     return n, np.abs(both / n - np.outer(mean, mean)) / np.outer(spread, spread)
 
 
+def _hashed(value: np.ndarray) -> np.ndarray:
+    """The cell of a whole part value."""
+    return (((value + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def block_counts(counts: np.ndarray, width: int) -> np.ndarray:
+    """Blocks of the buckets in each hashed cell, from the fingerprints of the cell.
+
+    A cell holds 2^(width - COUNT_BITS) values, of which most are empty or small where parts are wide; what it has beyond the
+    mean and its noise must come from a common value, which has a bucket of so many.
+    """
+    mean = counts.sum() / len(counts)
+    spread = 2.0 ** max(0, width - COUNT_BITS)
+    largest = counts if spread == 1 else np.maximum(counts / spread, counts - mean - 4 * np.sqrt(mean))
+    return np.maximum(1, -(-largest // BLOCK)).astype(np.int64)
+
+
 def _counts(nodes: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
-    """Per part, fingerprints by the low bits of its value: at most 65,536 numbers a part."""
+    """Fingerprints by the low bits of each part's value, then by the hash of each part's value: at most 65,536 numbers each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(groups), 1 << COUNT_BITS), dtype=np.int64)
+        total = np.zeros((2 * len(groups), 1 << COUNT_BITS), dtype=np.int64)
         for batch in batches:
             values = part_values(batch.column("fp").to_numpy(zero_copy_only=False), groups)
             for i in range(len(groups)):
                 np.add.at(total[i], (values[i] & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64), 1)
+                np.add.at(total[len(groups) + i], _hashed(values[i]), 1)
         part, cell = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(part * (1 << COUNT_BITS) + cell), "n": pa.array(total[part, cell])})
 
     rows = nodes.select("fp").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    flat = np.zeros(len(groups) << COUNT_BITS, dtype=np.int64)
+    flat = np.zeros(2 * len(groups) << COUNT_BITS, dtype=np.int64)
     flat[rows["cell"].to_numpy()] = rows["n"].to_numpy()
-    return list(flat.reshape(len(groups), -1))
+    return list(flat.reshape(2 * len(groups), -1))
 
 
 def _dealt(nodes: DataFrame, groups: list[list[int]], counts: list[np.ndarray], radius: int) -> DataFrame:
     """Index entries and probes: ``key`` (part and value), blocks ``a`` and ``b``, ``probe``, ``fp``."""
     widths = [len(g) for g in groups]
-    send = nodes.sparkSession.sparkContext.broadcast((counts, [estimates(c, w) for c, w in zip(counts, widths, strict=True)]))
+    low, hashed = counts[: len(groups)], counts[len(groups) :]
+    send = nodes.sparkSession.sparkContext.broadcast((
+        low, [estimates(c, w) for c, w in zip(low, widths, strict=True)], [block_counts(c, w) for c, w in zip(hashed, widths, strict=True)]
+    ))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tables = send.value
+        counts, tables, cut = send.value
         flips = [masks(w, MAX_THRESHOLD) for w in widths]
 
         def rows(part: int, value: np.ndarray, fp: np.ndarray, probe: bool) -> Iterator[pa.RecordBatch]:
             # a bucket of more than BLOCK entries is cut into blocks of entries (a) and of probes (b)
-            held = counts[part][(value & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)]
-            blocks = -(-held // BLOCK)
+            blocks = cut[part][_hashed(value)]
             if probe:
-                some = held > 0
+                some = counts[part][(value & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)] > 0
                 value, fp, blocks = value[some], fp[some], blocks[some]
             own = ((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % blocks
             again = np.repeat(np.arange(len(fp)), blocks)
@@ -357,31 +380,56 @@ def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, root, component_id`` of each distinct fingerprint of ``prints`` (doc_id, fp)."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
+    roots = connected_components(link(nodes, radius)).withColumnRenamed("node", "fp")
+    placed = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    placed = materialise(placed, "placed")
+    # written before the join, so that both sides come straight from a shuffle and Spark can split a giant component
+    least = materialise(placed.groupBy("root").agg(F.min("low").alias("component_id")), "least-ids")
+    return placed.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``.
 
     Takes ``doc_id`` and ``text`` (further columns are not looked at).  Null, empty and blank
-    texts have fingerprint zero and are linked like any other; texts of one or two words have one shingle.
+    texts have fingerprint zero and are linked like any other; texts of fewer words than a shingle have one
+    shingle, all of them; a text is read whole, however long.
     ``component_id`` is the smallest ``doc_id`` of the component (null only if all its ids are
     null); repeated rows each give a row.  An empty table gives no rows.
     """
-    prints = materialise(fingerprints(docs), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = connected_components(link(nodes, radius)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    placed = materialise(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
+    prints = materialise(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words), "fingerprints")
+    named = components_of(prints, radius).select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest ``doc_id``.
+def _hashable(field: StructField) -> list:
+    """Columns to hash for one of the table's: its values as text where it has a nested type, and where it is null."""
+    c = F.col(f"`{field.name}`")
+    return [F.to_json(F.struct(c)) if isinstance(field.dataType, ArrayType | MapType | StructType | VariantType) else c, c.isNull()]
+
 
-    Rows without a ``doc_id`` stay only where their whole component has none.
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``docs`` with one row of each component, all its columns as they are: that of the smallest ``doc_id``.
+
+    Of rows that share this id the one with the smallest digest stays, one of those that are equal in all columns.  A row
+    without a ``doc_id`` stays only where its whole component has none.  Null, empty and blank texts are one component;
+    an empty table gives no rows.
     """
-    groups = near_duplicates(docs, radius)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    digest = F.xxhash64(*[c for f in docs.schema for c in _hashable(f)])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
+    prints = materialise(fingerprints(rows.drop("row"), words), "fingerprints")
+    kept = components_of(prints, radius)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
+    stays = materialise(prints.join(kept.select("fp", "root"), "fp").groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.digest"), "kept")
+    found = rows.drop("text").join(
+        stays.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest")), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), "left_semi"
+    )
+    if not prints.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        # some rows are equal in all columns: of these one stays; no other row shares its key, so none is lost
+        found = found.groupBy("doc_id", "digest").agg(F.first("row").alias("row"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

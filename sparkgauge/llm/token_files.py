@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, open_files, partitions
@@ -162,16 +162,27 @@ class TokenReader:
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, block_ids: int = BLOCK_IDS,
-                      percentile: float = WIDTH_PERCENTILE, files: int | None = None) -> DataFrame:
+                      percentile: float = WIDTH_PERCENTILE, files: int | None = None, folder: str | None = None) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write ids in ascending ``doc_id`` order.
 
     Takes ``doc_id`` and ``text`` of ``docs`` (further columns are not looked at).  Null text
-    counts as empty; a null ``doc_id`` comes first; equal ids follow each other in no set
-    order.  Returns the manifest, one row a file: ``file`` (number), ``path``, ``documents``,
+    counts as empty, a long one is encoded whole; a null ``doc_id`` comes first; rows of one id follow each other in the order of
+    their texts' hashes and may lie in several files.  Returns the manifest, one row a file: ``file`` (number), ``path``, ``documents``,
     ``ids``, ``first_id`` (ids in all files before).  An empty table gives an empty manifest.
+
+    ``folder`` (new or empty, on a store that all executors reach) is kept, with the manifest in its ``manifest``, which
+    ``read_manifest`` opens; without it the files lie in the shared folder until the driver ends.
     """
     spark = docs.sparkSession
-    folder = new_path(spark, "token-files")
+    kept = folder is not None
+    folder = folder.rstrip("/") if kept else new_path(spark, "token-files")
+    if kept:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(place)
+        if len(store.listStatus(place)):
+            raise FileExistsError(f"{folder} is not empty")
+        folder = store.makeQualified(place).toString()
     parts = files or partitions(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,10 +214,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, block_id
                  "documents": pa.array([len(writer.documents)], pa.int64()), "ids": pa.array([writer.ids], pa.int64())}
             )
 
+    # the hash splits an id that very many rows share
+    order = (F.col("doc_id").asc_nulls_first(), F.col("hash"))
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+        .repartitionByRange(parts, *order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
         .mapInArrow(write, "file int, path string, documents long, ids long")
         .collect()  # one row a file
     )
@@ -214,7 +228,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, block_id
     for r in sorted(rows, key=lambda r: r.file):
         manifest.append((r.file, r.path, r.documents, r.ids, first))
         first += r.ids
-    return spark.createDataFrame(manifest, "file int, path string, documents long, ids long, first_id long")
+    out = spark.createDataFrame(manifest, MANIFEST)
+    if kept:
+        out.coalesce(1).write.parquet(f"{folder}/manifest")  # a row a file
+    return out
+
+
+#: The manifest's columns.
+MANIFEST = "file int, path string, documents long, ids long, first_id long"
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a kept folder, by whatever process."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

@@ -50,10 +50,12 @@ TEXT_BATCH_WORDS = 200_000
 
 @dataclass(frozen=True)
 class Limits:
-    """The bounded sample of labelled texts: at most so many of each label, by hash of doc_id."""
+    """The bounded sample of labelled texts, by hash of doc_id: at most so many of each label, and so many characters in all
+    (the first text is taken whatever its length)."""
 
     toxic: int = 1500
     clean: int = 5000
+    chars: int = 40_000_000
     epochs: int = 8
     seed: int = 11
 
@@ -456,7 +458,12 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Networ
         picked = part if picked is None else picked.unionByName(part)
     # at most limits.toxic + limits.clean rows of 12 bytes
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    rows = texts.orderBy(*order, "toxic", "text").limit(limits.toxic + limits.clean).collect()
+    rows, chars = [], 0
+    for r in texts.orderBy(*order, "toxic", "text").limit(limits.toxic + limits.clean).toLocalIterator():
+        chars += len(r.text or "")
+        if rows and chars > limits.chars:
+            break
+        rows.append(r)
     return train([r.text for r in rows], [r.toxic for r in rows], limits)
 
 
@@ -496,7 +503,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()
 
     Takes ``doc_id`` and ``text`` of ``docs``, ``doc_id`` and ``toxic`` of ``labels`` (further columns are
     not looked at).  Labels other than 0 and 1, and rows without an id, teach nothing; of an id
-    with two labels both count.  Null text counts as empty; a text without words scores 0.  Repeated rows get the same score.  Without labels of both kinds every score is the
+    with two labels both count.  Null text counts as empty; a text without words scores 0; a long one is read whole, in windows.  Repeated rows get the same score.  Without labels of both kinds every score is the
     same, on the side of the one there is (0 without any).  An empty table gives no rows.
     """
     net = fit(docs, labels, limits)
@@ -505,7 +512,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns (one named ``score`` too)."""
+    """The rows of ``docs`` that score below 0.5, with all their columns (one named ``score`` too).
+
+    Null and empty texts score 0 and stay, so do all of equal rows or none; long texts are read whole; an empty table gives no rows.
+    """
     net = fit(docs, labels, limits)
     plain = docs.withColumnRenamed("score", "_own_score")
     kept = score(plain, net).filter(F.col("score") < 0.5).drop("score")

@@ -75,6 +75,38 @@ def test_token_files(spark, wide, tmp_path):
         start += len(ids)
 
 
+def test_kept_files_outlive_the_driver(spark, odd, empty, tmp_path):
+    import subprocess
+    import sys
+
+    manifest = token_files.write_token_files(odd, BYTE, files=2, folder=f"{tmp_path}/out")
+    mine = sorted(tuple(r) for r in token_files.read_token_files(manifest).collect() if r.doc_id == 10)
+    again = token_files.read_manifest(spark, f"{tmp_path}/out")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, manifest.collect()))
+    # another process, without Spark
+    code = f"""
+import glob, sys
+sys.path.insert(0, {str(__import__("pathlib").Path(token_files.__file__).parents[2])!r})
+from sparkgauge.llm.token_files import TokenReader
+n = 0
+for f in sorted(glob.glob({f"{tmp_path}/out/*.ids"!r})):
+    n += len(TokenReader(open(f, "rb")).documents)
+print(n)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) == len(ODD)
+    assert len(mine) == 1
+    with pytest.raises(FileExistsError):
+        token_files.write_token_files(odd, BYTE, folder=f"{tmp_path}/out")
+    assert token_files.read_token_files(token_files.write_token_files(empty, BYTE)).count() == 0
+
+
+def test_an_id_that_many_rows_share_is_split(spark):
+    many = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    manifest = token_files.write_token_files(many, BYTE, files=4).collect()
+    assert len(manifest) == 4
+    assert max(r.documents for r in manifest) < 250
+
+
 def test_random_access(tmp_path):
     r = np.random.default_rng(1)
     docs = [r.integers(0, 50_000, n).astype(np.uint32) for n in (0, 1, 500, 3, 129)]
@@ -165,8 +197,13 @@ def brute_entropy(text, base, rules=secrets.EntropyRules()):
             c = Counter(m[0][i : i + rules.window])
             if -sum(n / rules.window * math.log2(n / rules.window) for n in c.values()) >= bits - 1e-9:
                 hits.append(i)
-        if hits:
-            out.append((m.start() + hits[0], 3, m.start() + hits[-1] + rules.window))
+        runs: list = []
+        for i in hits:
+            if runs and i <= runs[-1][1]:
+                runs[-1][1] = i + rules.window
+            else:
+                runs.append([i, i + rules.window])
+        out += [(m.start() + a, 3, m.start() + b) for a, b in runs]
     return out
 
 
@@ -180,6 +217,19 @@ def test_secrets_equal_brute_force(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
 
 
+def test_every_class_and_separate_runs(spark):
+    r = np.random.default_rng(4)
+    pick = lambda chars, n: "".join(r.choice(list(chars), n))
+    letters, digits, mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "ABCDEFGHabcdefgh01234567+/"
+    texts = [f"a {pick(letters, 42)} b", f"no {pick(digits, 40)}.", f"{pick(mixed, 30)}{'A' * 60}{pick(mixed, 30)}", "internationalisierungsvorschrift", "0" * 40, pick(mixed, 400)]
+    texts += [pick(mixed, int(r.integers(20, 70))) + "a" * int(r.integers(0, 40)) + pick(digits, int(r.integers(0, 50))) for _ in range(40)]
+    got = {x.doc_id: x for x in secrets.secrets_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        base = brute_base(t)
+        assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + brute_entropy(t, base))), t
+    assert [got[i].n_entropy for i in range(5)] == [1, 0, 2, 0, 0]  # a run of digits is a base span already
+
+
 def test_entropy_adds_and_suppresses(spark):
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     n = {r.doc_id: r.n_entropy for r in secrets.secrets_digest(rows).collect()}
@@ -195,7 +245,7 @@ def test_secrets_odd_inputs(wide, empty):
 # --- sharding --------------------------------------------------------------------------
 
 
-def test_sharding(spark, wide, empty):
+def test_sharding(spark, wide, empty, tmp_path, monkeypatch):
     rows = sharding.shard_by_slots(wide, shards=3, slots=64).collect()
     assert len(rows) == len(ODD)
     by: dict = {}
@@ -206,6 +256,16 @@ def test_sharding(spark, wide, empty):
     sizes = Counter((r.doc_id, r.size, r.text_crc32) for r in rows)
     assert sizes == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in ODD)
     assert sharding.shard_by_slots(empty, 3, 64).count() == 0
+    # a slot numbered in parts, the map's versions kept in a folder
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 5)
+    same = spark.range(40).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text")).unionByName(wide.select("doc_id", "text"))
+    rows = sharding.shard_by_slots(same, 3, 8, folder=f"{tmp_path}/map").collect()
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    first, second = (sharding.load_map(spark, f"{tmp_path}/map", v) for v in (1, 2))
+    assert (first.shards, second.shards) == (3, 4)
+    assert all((r.shard, r.next_shard) == (first.of[r.vslot], second.of[r.vslot]) for r in rows)
+    monkeypatch.undo()
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
     loads = [r.b for r in sharding.shard_by_slots(many).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(loads) == 40
@@ -240,13 +300,13 @@ def test_cuckoo_index_is_a_set(steps):
     for add, i in steps:
         key = hashlib.sha256(bytes([i])).digest()
         if add and i not in live:
-            index.insert(key, i)
+            index.insert(key, (i,))
             live.add(i)
         elif not add:
             assert index.delete(key) == (i in live)
             live.discard(i)
         assert len(index) == len(live)
-    assert {v for _, v in index.items()} == live
+    assert {v for _, (v,) in index.items()} == live
     assert all((hashlib.sha256(bytes([i])).digest() in index) == (i in live) for i in range(61))
 
 
@@ -254,7 +314,7 @@ def test_cuckoo_grows_and_verifies():
     index = exact_dedup.CuckooIndex(1)
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
     for k in keys:
-        index.insert(k)
+        index.insert(k, (1,))
     assert index.resized > 0
     assert all(k in index for k in keys)
     # same buckets and fingerprint, another key
@@ -276,6 +336,15 @@ def test_exact_dedup(spark, wide, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_index_versions(spark, tmp_path):
+    table = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    one = exact_dedup.update_index(spark, None, f"{tmp_path}/1", table((1, "a b"), (2, "ab"), (3, "c"), (4, "d")))
+    assert sorted((r.keep_id, r.group_size) for r in one.collect()) == [(1, 2), (3, 1), (4, 1)]
+    two = exact_dedup.update_index(spark, f"{tmp_path}/1", f"{tmp_path}/2", table((5, "a  b"), (6, "e"), (7, "c")), table((3, " c"), (9, "never there")))
+    assert sorted((r.keep_id, r.group_size) for r in two.collect()) == [(4, 1), (5, 3), (6, 1), (7, 1)]
+    assert one.count() == 3
+
+
 # --- line dedup ------------------------------------------------------------------------
 
 

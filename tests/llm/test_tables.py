@@ -100,6 +100,46 @@ def test_links_equal_brute_force(spark, monkeypatch, parts):
     assert got == expected
 
 
+def test_blocks_follow_true_buckets():
+    r = np.random.default_rng(3)
+    # sparse parts of 32 bits: 200 million fingerprints in 65,536 cells, no value common
+    sparse = r.poisson(200e6 / 65_536, 1 << 16)
+    assert simhash.block_counts(sparse, 32).max() <= 1
+    sparse[77] += 10 * simhash.BLOCK
+    assert simhash.block_counts(sparse, 32)[77] >= 10
+    assert simhash.block_counts(np.full(1 << 16, 3 * simhash.BLOCK), 16).max() == 3
+
+
+@pytest.mark.parametrize("radius", [3, 7])
+def test_parts_allow_thresholds_of_the_radius(radius):
+    for n in (10, 10**5, 10**7, 10**9, 10**11):
+        m = simhash.part_count(n, radius)
+        assert 2 <= m <= radius + 1
+        assert radius - m + 1 <= m * simhash.MAX_THRESHOLD
+
+
+def test_wider_links_equal_brute_force(spark):
+    r = np.random.default_rng(8)
+    centre = r.integers(-(2**63), 2**63 - 1, 30)
+    fp = sorted({*map(int, centre), *(int(c) ^ int(sum(1 << int(b) for b in r.choice(63, k, replace=False))) for c in centre for k in range(4, 10))})
+    got = {x.node: x.root for x in components.connected_components(simhash.link(spark.createDataFrame([(x,) for x in fp], "fp long"), 7)).collect()}
+    assert got == union_find([(a, b) for a, b in itertools.combinations(fp, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 7])
+
+
+def test_a_hub_with_many_neighbours(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 5000) for i in range(1, 3000)]
+    got = {r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {0}
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = [(5, "a b c d", 1), (5, "a b c d", 1), (5, "a b c d", 2), (2, "another text of its own", 1), (5, "another text of its own", 3), (None, "no id here", 1), (None, "no id here", 1), (None, "nor here, but else", 1)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, digest int"))
+    got = sorted((r.text, r.doc_id) for r in kept.collect())
+    assert got == sorted([("a b c d", 5), ("another text of its own", 2), ("no id here", None), ("nor here, but else", None)])
+    assert kept.columns == ["doc_id", "text", "digest"]
+
+
 def test_near_duplicates(spark, wide, empty):
     rows = simhash.near_duplicates(wide).collect()
     assert len(rows) == len(ODD)
@@ -113,6 +153,7 @@ def test_near_duplicates(spark, wide, empty):
     kept = simhash.keep_one(wide)
     assert kept.columns == wide.columns
     assert sorted(r.doc_id for r in kept.filter("doc_id < 6").collect()) == [1, 3]
+    assert simhash.keep_one(empty).count() == 0
 
 
 # --- neighbours ------------------------------------------------------------------------
@@ -151,6 +192,32 @@ def test_nearest_recall(spark):
     assert hits >= 0.9 * 75 * 20
 
 
+def test_recall_on_the_embeddings_table(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(path).select("vec_id", "embedding")
+    every = [(r.vec_id, np.array(r.embedding, float)) for r in rows.collect() if r.embedding is not None]
+    ids, x = np.array([i for i, _ in every]), np.stack([v for _, v in every])
+    got = {}
+    for r in neighbours.nearest(rows).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = np.where(ids == ids[i], -np.inf, x @ x[i])
+        true = {*ids[np.lexsort((ids, -s))[:20]].tolist()}
+        hits, total = hits + len(true & got[int(ids[i])]), total + len(true)
+    assert hits >= 0.9 * total
+
+
+def test_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.25]), (2, [0.25, 0.5]), (20, [1.0, 1.0, 1.0]), (21, [0.0, 0.0, 2.0]), (40, [3.0] * 5)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 2, 0.5), (0, 2, 1, 0.25), (20, 1, 21, 2.0)]
+
+
 def test_nearest_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r.rank, r.vec_id) for r in neighbours.nearest(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
@@ -186,6 +253,75 @@ def test_gradients():
     assert d_x[0, 2] == pytest.approx((up - loss()) / 2e-2, abs=2e-4)
 
 
+def plain_logit(net, words):
+    """One window's logit, number by number."""
+    import math
+
+    logistic = lambda x: 1 / (1 + math.exp(-x))
+    h, p = toxicity.HIDDEN, {k: v.astype(float) for k, v in net.p.items()}
+    x = []
+    for w in words:
+        word, grams, _ = toxicity.word_inputs([w])
+        x.append([*net.words[word[0]].astype(float), *np.mean([net.grams[g].astype(float) for g in grams], axis=0)])
+    states = [[0.0] * (2 * h) for _ in words]
+    for side, order, base in (("f", range(len(words)), 0), ("b", range(len(words) - 1, -1, -1), h)):
+        s = [0.0] * h
+        for t in order:
+            into = [sum(x[t][i] * p["W" + side][i, j] for i in range(len(x[t]))) + p["B" + side][j] for j in range(3 * h)]
+            back = lambda v, j: sum(v[i] * p["U" + side][i, j] for i in range(h))  # noqa: B023, E731
+            z = [logistic(into[j] + back(s, j)) for j in range(h)]
+            r = [logistic(into[h + j] + back(s, h + j)) for j in range(h)]
+            rs = [a * b for a, b in zip(r, s, strict=True)]
+            m = [math.tanh(into[2 * h + j] + back(rs, 2 * h + j)) for j in range(h)]
+            s = [(1 - z[j]) * m[j] + z[j] * s[j] for j in range(h)]
+            states[t][base : base + h] = s
+    e = [sum(math.tanh(sum(st[i] * p["A"][i, k] for i in range(2 * h)) + p["a"][k]) * p["v"][k] for k in range(toxicity.ATTENTION)) for st in states]
+    weight = [math.exp(v - max(e)) for v in e]
+    context = [sum(w * st[i] for w, st in zip(weight, states, strict=True)) / sum(weight) for i in range(2 * h)]
+    return sum(c * w for c, w in zip(context, p["w"], strict=True)) + p["c"][0]
+
+
+def test_scores_equal_a_plain_forward_pass():
+    net = toxicity.Network(5)
+    net.p["a"][:], net.p["c"][:] = 0.3, -0.2
+    words = [f"w{i * 7 % 23}x" for i in range(70)]
+    texts = [" ".join(words[:n]) for n in (1, 5, 32, 33, 70)]
+    for text, got in zip(texts, toxicity.Scorer(net).window_logits(texts), strict=True):
+        own = text.split()
+        expected = [plain_logit(net, own[s : s + toxicity.WINDOW]) for s in toxicity.windows(len(own))]
+        assert got.tolist() == pytest.approx(expected, abs=1e-4)
+
+
+def ordered(n, seed=3):
+    """Texts whose label is only in the order of two words, so that no count of words can tell it."""
+    r = np.random.default_rng(seed)
+    for i in range(n):
+        words = list(r.choice([f"filler{k}" for k in range(40)], int(r.integers(8, 24))))
+        at = int(r.integers(0, len(words)))
+        y = i % 2
+        words[at:at] = ["zuq", "wop"] if y else ["wop", "zuq"]
+        yield " ".join(words), y
+
+
+def test_the_recurrent_part_learns_what_word_counts_cannot():
+    rows = list(ordered(1200))
+    net = toxicity.train([t for t, _ in rows[:900]], [y for _, y in rows[:900]], toxicity.Limits(epochs=25))
+    right = lambda n: np.mean((toxicity.Scorer(n).scores([t for t, _ in rows[900:]]) >= 0.5) == [y == 1 for _, y in rows[900:]])
+    full = right(net)
+    for side in "fb":
+        net.p["U" + side][:] = 0
+    assert full >= 0.9
+    assert right(net) <= 0.75
+
+
+def test_the_sample_is_bounded_in_characters(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, limits: seen.append(texts))
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "doc_id long, text string")
+    toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")), toxicity.Limits(chars=1050))
+    assert len(seen[0]) == 10
+
+
 def test_windows_overlap_and_cover():
     for n in (0, 1, 32, 33, 48, 1000):
         starts = toxicity.windows(n)
@@ -250,6 +386,16 @@ def test_pipeline(spark, tmp_path):
     assert now.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
 
 
+def test_stages_take_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in ([], [(None, None, None, None, None)] * 2):
+        now = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            assert (now.count() > 0) == bool(rows), name
+
+
 def test_entries_are_registered():
     assert [int(k[2:].split("_")[0]) for k in entries.QUERIES] == list(range(1, 11))
     assert set(entries.ORACLE_SQL) <= set(entries.QUERIES)
