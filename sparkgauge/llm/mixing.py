@@ -32,7 +32,7 @@ WEIGHTS = (1, 2, 3)
 NEWTON_STEPS = 250
 TOLERANCE = 1e-9
 #: Cells of the random number in which the border of rounding is searched.
-CELLS = 32_768
+CELLS = 4096
 
 
 def source_key(source: Column) -> Column:

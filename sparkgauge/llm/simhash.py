@@ -8,6 +8,9 @@ program picks, for each fingerprint, the thresholds with the fewest estimated ca
 part values.  Every fingerprint is indexed under its m part values and probes all values within its
 thresholds; candidates are verified on all 64 bits.
 
+A link may also have to hold on 64 further bits of the same texts (``more``), which keeps chance apart from likeness where the
+radius is wide: of two unrelated texts 3.8e-11 are within 7 of 64 bits, and a 4,000th of those within 18 of the other 64.
+
 Only distinct fingerprints are linked.  Large buckets are split into blocks that meet each
 other block by block, and a task passes on a forest of its links, not all pairs.
 """
@@ -31,6 +34,10 @@ BITS = 64
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
+#: What counts as a near copy where one document of each group is kept: shingles of five words, so many of 64 bits and of 64 further ones.
+NEAR_WORDS = 5
+NEAR_RADIUS = 7
+NEAR_CHECK = 18
 #: The largest threshold tried for one part.
 MAX_THRESHOLD = 2
 #: Values of a part are counted in so many cells (their low bits), so counts have a fixed size.
@@ -45,26 +52,32 @@ PROBE_COST = 32.0
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """SimHash of the word shingles of one text; 0 without words."""
-    return int(_fingerprints([text], words)[0])
+    return int(_fingerprints([text], words)[0][0])
 
 
-def _fingerprints(texts: list[str | None], shingle: int = SHINGLE_WORDS) -> np.ndarray:
+def _fingerprints(texts: list[str | None], shingle: int = SHINGLE_WORDS, seeds: tuple = (SEED,)) -> list[np.ndarray]:
+    """For each seed the fingerprints of the texts."""
     from xxhash import xxh64_intdigest
 
     joined = b" ".join([b"%b"] * shingle)
-
-    hashes: list[int] = []
+    hashes: list[list[int]] = [[] for _ in seeds]
     ends = np.empty(len(texts), dtype=np.int64)
     for i, text in enumerate(texts):
         # bytes.lower changes A-Z only, bytes.split splits at [\x20\x09-\x0D]
         words = text.encode().lower().split() if text else []
         if len(words) >= shingle:
-            hashes += [xxh64_intdigest(joined % x, SEED) for x in zip(*(words[k:] for k in range(shingle)), strict=False)]
-        elif words:
-            hashes.append(xxh64_intdigest(b" ".join(words), SEED))
-        ends[i] = len(hashes)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    h = np.array(hashes, dtype="<u8")
+            runs = [joined % x for x in zip(*(words[k:] for k in range(shingle)), strict=False)]
+        else:
+            runs = [b" ".join(words)] if words else []
+        for out, seed in zip(hashes, seeds, strict=True):
+            out += [xxh64_intdigest(x, seed) for x in runs]
+        ends[i] = len(hashes[0])
+    return [_majority(np.array(h, dtype="<u8"), ends) for h in hashes]
+
+
+def _majority(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bits set in over half the hashes of each text, whose hashes end at ``ends``."""
+    out = np.zeros(len(ends), dtype=np.uint64)
     begin = 0
     for i, end in enumerate(ends.tolist()):
         if end > begin:
@@ -77,18 +90,24 @@ def _fingerprints(texts: list[str | None], shingle: int = SHINGLE_WORDS) -> np.n
     return out
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` (with a column ``text``) with ``fp``, the 64 bits as a signed long, in place of ``text``."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, check: bool = False) -> DataFrame:
+    """``docs`` (with a column ``text``) with ``fp`` and ``more``, 64 bits as a signed long each, in place of ``text``.
+
+    ``more`` is 0 unless ``check``."""
     names = [c for c in docs.columns if c != "text"]
+    seeds = (SEED, SEED + 1) if check else (SEED,)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("text")
             for at in range(0, batch.num_rows, 128):
-                out = _fingerprints(column.slice(at, 128).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, 128) for c in names), pa.array(out.view(np.int64))], names=[*names, "fp"])
+                fp, *more = _fingerprints(column.slice(at, 128).to_pylist(), words, seeds)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(at, 128) for c in names), pa.array(fp.view(np.int64)), pa.array((more[0] if more else np.zeros_like(fp)).view(np.int64))],
+                    names=[*names, "fp", "more"],
+                )
 
-    schema = StructType([*(docs.schema[c] for c in names), StructField("fp", LongType())])
+    schema = StructType([*(docs.schema[c] for c in names), StructField("fp", LongType()), StructField("more", LongType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -244,7 +263,7 @@ def _counts(nodes: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
 
 
 def _dealt(nodes: DataFrame, groups: list[list[int]], counts: list[np.ndarray], radius: int) -> DataFrame:
-    """Index entries and probes: ``key`` (part and value), blocks ``a`` and ``b``, ``probe``, ``fp``."""
+    """Index entries and probes: ``key`` (part and value), blocks ``a`` and ``b``, ``probe``, ``fp``, ``more``."""
     widths = [len(g) for g in groups]
     low, hashed = counts[: len(groups)], counts[len(groups) :]
     send = nodes.sparkSession.sparkContext.broadcast((
@@ -255,12 +274,12 @@ def _dealt(nodes: DataFrame, groups: list[list[int]], counts: list[np.ndarray],
         counts, tables, cut = send.value
         flips = [masks(w, MAX_THRESHOLD) for w in widths]
 
-        def rows(part: int, value: np.ndarray, fp: np.ndarray, probe: bool) -> Iterator[pa.RecordBatch]:
+        def rows(part: int, value: np.ndarray, fp: np.ndarray, more: np.ndarray, probe: bool) -> Iterator[pa.RecordBatch]:
             # a bucket of more than BLOCK entries is cut into blocks of entries (a) and of probes (b)
             blocks = cut[part][_hashed(value)]
             if probe:
                 some = counts[part][(value & np.uint64((1 << COUNT_BITS) - 1)).astype(np.int64)] > 0
-                value, fp, blocks = value[some], fp[some], blocks[some]
+                value, fp, more, blocks = value[some], fp[some], more[some], blocks[some]
             own = ((fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % blocks
             again = np.repeat(np.arange(len(fp)), blocks)
             other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
@@ -270,30 +289,30 @@ def _dealt(nodes: DataFrame, groups: list[list[int]], counts: list[np.ndarray],
                 s = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_pydict({
                     "key": pa.array(key[again[s]].view(np.int64)), "a": pa.array(a[s].astype(np.int32)), "b": pa.array(b[s].astype(np.int32)),
-                    "probe": pa.array(np.full(len(again[s]), probe)), "fp": pa.array(fp[again[s]]),
+                    "probe": pa.array(np.full(len(again[s]), probe)), "fp": pa.array(fp[again[s]]), "more": pa.array(more[again[s]]),
                 })
 
         for batch in batches:
-            every = batch.column("fp").to_numpy(zero_copy_only=False)
+            every, other = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "more"))
             for start in range(0, len(every), 20_000):
-                fp = every[start : start + 20_000]
+                fp, more = every[start : start + 20_000], other[start : start + 20_000]
                 values = part_values(fp, groups)
                 chosen = allocate(values, tables, widths, radius)
                 for i in range(len(groups)):
-                    yield from rows(i, values[i], fp, False)
+                    yield from rows(i, values[i], fp, more, False)
                     for t in range(MAX_THRESHOLD + 1):
                         who = chosen[i] >= t
                         if who.any():
                             flip = flips[i][t]
-                            yield from rows(i, (values[i][who][:, None] ^ flip).ravel(), np.repeat(fp[who], len(flip)), True)
+                            yield from rows(i, (values[i][who][:, None] ^ flip).ravel(), np.repeat(fp[who], len(flip)), np.repeat(more[who], len(flip)), True)
 
-    return nodes.select("fp").mapInArrow(deal, "key long, a int, b int, probe boolean, fp long")
+    return nodes.select("fp", "more").mapInArrow(deal, "key long, a int, b int, probe boolean, fp long, more long")
 
 
-def _verify(radius: int):
+def _verify(radius: int, check: int):
     """Links of sorted buckets, as a forest: the function for mapInArrow."""
 
-    def pairs(group: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(group: np.ndarray, probe: np.ndarray, fp: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # rows are sorted by (group, probe): entries first
         starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         sizes = np.diff(np.append(starts, len(group)))
@@ -312,16 +331,18 @@ def _verify(radius: int):
                 before = np.cumsum(total) - total
                 g = np.searchsorted(before, n, side="right") - 1
                 n -= before[g]
-                i = fp[starts[at:to][g] + n // probes[at:to][g]]
-                q = fp[starts[at:to][g] + entries[at:to][g] + n % probes[at:to][g]]
+                i = starts[at:to][g] + n // probes[at:to][g]
+                q = starts[at:to][g] + entries[at:to][g] + n % probes[at:to][g]
                 # a probe finds all its neighbours, so the larger of two needs no look back
-                linked = (i > q) & (np.bitwise_count((i ^ q).view(np.uint64)) <= radius)
-                if linked.any():
-                    yield i[linked], q[linked]
+                linked = (fp[i] > fp[q]) & (np.bitwise_count((fp[i] ^ fp[q]).view(np.uint64)) <= radius)
+                i, q = i[linked], q[linked]
+                both = np.bitwise_count((more[i] ^ more[q]).view(np.uint64)) <= check
+                if both.any():
+                    yield fp[i[both]], fp[q[both]]
             at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "a", "b", "probe", "fp")
+        names = ("key", "a", "b", "probe", "fp", "more")
         held: list[list[np.ndarray]] = []
         n_held = 0
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -329,9 +350,9 @@ def _verify(radius: int):
 
         def settle(rows: list[np.ndarray]) -> None:
             nonlocal found, n_found
-            key, a, b, probe, fp = rows
+            key, a, b, probe, fp, more = rows
             new = np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-            for x in pairs(np.cumsum(new), probe, fp):
+            for x in pairs(np.cumsum(new), probe, fp, more):
                 found.append(x)
                 n_found += len(x[0])
                 if n_found > 4 * SLAB:
@@ -363,9 +384,9 @@ def _verify(radius: int):
     return run
 
 
-def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges ``a, b`` with the components of all pairs of ``nodes`` (distinct ``fp``) that differ in at most
-    ``radius`` bits.  Tasks give forests, so there are fewer edges than links."""
+def link(nodes: DataFrame, radius: int = RADIUS, check: int = BITS) -> DataFrame:
+    """Edges ``a, b`` with the components of all pairs of ``nodes`` (distinct ``fp``, and ``more``) that differ in at most
+    ``radius`` bits of ``fp`` and ``check`` of ``more``.  Tasks give forests, so there are fewer edges than links."""
     n, together = _statistics(nodes)
     spark = nodes.sparkSession
     if n < 2:
@@ -376,14 +397,16 @@ def link(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return (
         dealt.repartition(parts, "key", "a", "b")
         .sortWithinPartitions("key", "a", "b", "probe")
-        .mapInArrow(_verify(radius), "a long, b long")
+        .mapInArrow(_verify(radius, check), "a long, b long")
     )
 
 
-def components_of(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fp, root, component_id`` of each distinct fingerprint of ``prints`` (doc_id, fp)."""
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
-    roots = connected_components(link(nodes, radius)).withColumnRenamed("node", "fp")
+def components_of(prints: DataFrame, radius: int = RADIUS, check: int = BITS) -> DataFrame:
+    """``fp, root, component_id`` of each distinct fingerprint of ``prints`` (doc_id, fp, more).
+
+    Texts of one fingerprint are taken for one; ``more`` is then the smallest of theirs."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("more").alias("more")), "distinct-fingerprints")
+    roots = connected_components(link(nodes, radius, check)).withColumnRenamed("node", "fp")
     placed = nodes.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "placed")
     # written before the join, so that both sides come straight from a shuffle and Spark can split a giant component
@@ -413,7 +436,7 @@ def _hashable(field: StructField) -> list:
     return [F.to_json(F.struct(c)) if isinstance(field.dataType, ArrayType | MapType | StructType | VariantType) else c, c.isNull()]
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = NEAR_RADIUS, words: int = NEAR_WORDS, check: int = NEAR_CHECK) -> DataFrame:
     """``docs`` with one row of each component, all its columns as they are: that of the smallest ``doc_id``.
 
     Of rows that share this id the one with the smallest digest stays, one of those that are equal in all columns.  A row
@@ -422,8 +445,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS)
     """
     digest = F.xxhash64(*[c for f in docs.schema for c in _hashable(f)])
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", digest.alias("digest"))
-    prints = materialise(fingerprints(rows.drop("row"), words), "fingerprints")
-    kept = components_of(prints, radius)
+    prints = materialise(fingerprints(rows.drop("row"), words, check < BITS), "fingerprints")
+    kept = components_of(prints, radius, check)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest"))
     stays = materialise(prints.join(kept.select("fp", "root"), "fp").groupBy("root").agg(first.alias("first")).select("first.doc_id", "first.digest"), "kept")
     found = rows.drop("text").join(

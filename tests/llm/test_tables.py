@@ -94,7 +94,7 @@ def test_links_equal_brute_force(spark, monkeypatch, parts):
     fp = sorted({*map(int, centre), *near})
     monkeypatch.setattr(simhash, "part_count", lambda n, radius=3: parts)
     monkeypatch.setattr(simhash, "BLOCK", 16)
-    nodes = spark.createDataFrame([(x,) for x in fp], "fp long")
+    nodes = spark.createDataFrame([(x, 0) for x in fp], "fp long, more long")
     got = {x.node: x.root for x in components.connected_components(simhash.link(nodes)).collect()}
     expected = union_find([(a, b) for a, b in itertools.combinations(fp, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 3])
     assert got == expected
@@ -122,7 +122,7 @@ def test_wider_links_equal_brute_force(spark):
     r = np.random.default_rng(8)
     centre = r.integers(-(2**63), 2**63 - 1, 30)
     fp = sorted({*map(int, centre), *(int(c) ^ int(sum(1 << int(b) for b in r.choice(63, k, replace=False))) for c in centre for k in range(4, 10))})
-    got = {x.node: x.root for x in components.connected_components(simhash.link(spark.createDataFrame([(x,) for x in fp], "fp long"), 7)).collect()}
+    got = {x.node: x.root for x in components.connected_components(simhash.link(spark.createDataFrame([(x, 0) for x in fp], "fp long, more long"), 7)).collect()}
     assert got == union_find([(a, b) for a, b in itertools.combinations(fp, 2) if bin((a ^ b) & (2**64 - 1)).count("1") <= 7])
 
 
@@ -132,6 +132,27 @@ def test_a_hub_with_many_neighbours(spark):
     assert got == {0}
 
 
+def test_links_hold_on_the_further_bits(spark):
+    links = lambda *rows: {x.node: x.root for x in components.connected_components(simhash.link(spark.createDataFrame(list(rows), "fp long, more long"), 7, 18)).collect()}
+    assert links((0, 0), (1, 2**19 - 1)) == {}
+    assert links((0, 0), (1, 2**18 - 1)) == {0: 0, 1: 0}
+    # too far apart on the further bits, and linked through another
+    assert links((0, 0), (1, 2**19 - 1), (2, 2**18 - 1), (2**40, 0)) == {0: 0, 1: 0, 2: 0, 2**40: 0}
+
+
+def test_near_copies_go_and_others_stay(spark):
+    r = np.random.default_rng(11)
+    words = ["".join(r.choice(list("abcdefghiklmnoprstu"), 6)) for _ in range(4000)]
+    texts = [list(r.choice(words, 400)) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts[:30]):
+        t[200] = "changed"
+        rows.append((100 + i, " ".join(t)))
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept >= set(range(60))
+    assert len(kept) <= 62
+
+
 def test_one_row_of_each_component_stays(spark):
     rows = [(5, "a b c d", 1), (5, "a b c d", 1), (5, "a b c d", 2), (2, "another text of its own", 1), (5, "another text of its own", 3), (None, "no id here", 1), (None, "no id here", 1), (None, "nor here, but else", 1)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, digest int"))
