@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as JavaScript's trim() and \\s have it: Unicode's and the byte order mark.
-JS_SPACE = "(?U)[\\s\\x{FEFF}]"
+#: White space as JavaScript's trim() and \\s have it.
+JS_SPACES = "\\t\\n\\x0B\\f\\r\\x20\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
+JS_SPACE = f"[{JS_SPACES}]"
 
 
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{JS_SPACE}+|{JS_SPACE}+$", "")
+    return F.regexp_replace(c, f"^{JS_SPACE}+|{JS_SPACE}+\\z", "")
 
 
 def collapse(c: Column) -> Column:
@@ -25,12 +26,12 @@ def token_form(c: Column) -> Column:
 def wildcard(pointer: Column) -> Column:
     """Array indexes of a JSON Pointer become ``*``; a first part without a slash before it stays."""
     return F.array_join(
-        F.transform(F.split(pointer, "/"), lambda t, i: F.when((i > 0) & t.rlike("^[0-9]+$"), F.lit("*")).otherwise(t)), "/"
+        F.transform(F.split(pointer, "/"), lambda t, i: F.when((i > 0) & t.rlike("^[0-9]+\\z"), F.lit("*")).otherwise(t)), "/"
     )
 
 
 def canonical_field(pointer: Column) -> Column:
-    return F.array_join(F.transform(F.split(pointer, "/"), lambda t: F.when(t.rlike("^[0-9]+$"), F.lit("*")).otherwise(t)), "/")
+    return F.array_join(F.transform(F.split(pointer, "/"), lambda t: F.when(t.rlike("^[0-9]+\\z"), F.lit("*")).otherwise(t)), "/")
 
 
 def escape_token(c: Column) -> Column:
@@ -50,7 +51,7 @@ def pointer_error(pointer: Column) -> Column:
 
 
 def pointer_tokens(pointer: Column) -> Column:
-    return F.transform(F.slice(F.split(pointer, "/"), 2, 10_000), unescape_token)
+    return F.transform(F.filter(F.split(pointer, "/", -1), lambda t, i: i > 0), unescape_token)
 
 
 def search_tokens(field: Column) -> Column:
@@ -76,7 +77,7 @@ def currency_form(c: Column) -> Column:
     Currency signs and white space go; commas count only as thousands separators; a minus
     sign or parentheses negate; minus zero is zero.
     """
-    bare = F.regexp_replace(c, "(?U)[\\p{Sc}\\s\\x{FEFF}]", "")
+    bare = F.regexp_replace(c, f"[\\p{{Sc}}{JS_SPACES}]", "")
     inner = F.regexp_extract(bare, "^\\((.*)\\)$", 1)
     negative = (bare.rlike("^\\(.*\\)$")) | bare.startswith("-")
     body = F.regexp_replace(F.when(bare.rlike("^\\(.*\\)$"), inner).otherwise(bare), "^-", "")

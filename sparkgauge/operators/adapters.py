@@ -23,19 +23,13 @@ from ..functions.values import valid_confidence
 PAGE_CAP = 8
 #: Fixed value: the form of a served calibrator stamp.
 STAMP = r"^cal-\d{4}\.\d{2}-\d+$"
-#: Fixed value: the instruction that all prompted systems get.
-INSTRUCTION = (
-    "Extract the following fields from the document. Return JSON matching this schema. "
-    "Use null for fields not present in the document."
-)
-
 
 def flatten(rows: DataFrame, key: list[str], column: str) -> DataFrame:
     """``<key>, field, value_json``: leaves of the JSON text in ``column`` by JSON Pointer; empty containers vanish.
 
-    Primitives and null are leaves.  Each text is walked by itself, so neither rows nor levels have a limit.
+    Primitives and null are leaves.  Each text is walked by itself, in Arrow batches, so neither rows nor levels have a limit.
     """
-    leaves = F.udf(flatten_text, "array<struct<field: string, raw: string>>")
+    leaves = F.udf(flatten_text, "array<struct<field: string, raw: string>>", useArrow=True)
     # explode() would have the optimizer filter on size(leaves), all texts walked twice
     out = rows.select(*key, leaves(column).alias("_leaves")).select(*key, F.explode_outer("_leaves").alias("_leaf")).filter("_leaf is not null")
     return out.select(*key, F.col("_leaf.field").alias("field"), F.coalesce(F.to_json(F.try_parse_json("_leaf.raw")), F.col("_leaf.raw")).alias("value_json"))
@@ -83,20 +77,6 @@ def flatten_text(text: str | None) -> list[tuple[str, str]] | None:
     return None
 
 
-def flatten_value(value: object) -> list[tuple[str, object]]:
-    """The same of one value in Python."""
-    out, left = [], [("", value)]
-    while left:
-        at, v = left.pop()
-        if isinstance(v, dict):
-            left += [(f"{at}/{k.replace('~', '~0').replace('/', '~1')}", x) for k, x in reversed(v.items())]
-        elif isinstance(v, list):
-            left += [(f"{at}/{i}", x) for i, x in reversed([*enumerate(v)])]
-        elif at:
-            out.append((at, v))
-    return out
-
-
 def _object(text) -> F.Column:
     return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rng import Rng, normal_cdf, normal_quantile, quantile, with_uniform
+from .order import numbered_rows
 
 RESAMPLES = 10_000
 SEED = 20260712
@@ -34,36 +35,35 @@ class Interval:
 
 
 def numbered(clusters: DataFrame, order: list[str], stratum: str | None = None) -> DataFrame:
-    """Adds ``stratum_no``, ``at`` (place in the stratum) and ``size``, in the order of ``order``.
+    """Adds ``stratum_no``, ``at`` (place in the stratum), ``size`` and ``offset`` (clusters of all strata before), in the order of ``order``.
 
     Clusters are documents' sums: one row a document.
     """
-    s = F.col(stratum) if stratum else F.lit(0)
-    rows = clusters.withColumn("_s", s)
-    w = Window.partitionBy("_s")
-    first = rows.groupBy("_s").agg(F.count(F.lit(1)).alias("size"))
-    run = Window.orderBy("_s")
-    first = first.withColumn("stratum_no", F.row_number().over(run) - 1).withColumn(
-        "offset", F.coalesce(F.sum("size").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    return rows.withColumn("at", F.row_number().over(w.orderBy(*order)) - 1).join(first, "_s").drop("_s")
+    whole = clusters.select(F.struct(*clusters.columns).alias("row"), (F.col(stratum) if stratum else F.lit(0)).alias("stratum"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    rows = numbered_rows(whole, ["stratum"], [f"_o{i}" for i in range(len(order))])
+    # strata differ in the clusters before them
+    return rows.select("row.*", F.col("before").alias("stratum_no"), F.col("r").alias("at"), F.col("n").alias("size"), F.col("before").alias("offset"))
 
 
 def resample_sums(spark: SparkSession, clusters: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
-    """``b, total, n`` of each resample of numbered clusters (``stratum_no, at, size, offset, total, n``)."""
+    """``b, total, n`` of each resample of numbered clusters (``stratum_no, at, size, offset, total, n``).
+
+    Draw i of resample b is row b N + i of a range, so draws spread over all tasks and no row holds more than one.
+    """
     strata = clusters.groupBy("stratum_no").agg(F.first("size").alias("size"), F.first("offset").alias("offset"))
-    count = clusters.agg(F.count(F.lit(1)).alias("all_n"))
-    draws = (
-        spark.range(resamples)
-        .withColumnRenamed("id", "b")
-        .crossJoin(count)  # one row
-        .crossJoin(F.broadcast(strata))  # a row a stratum: classes
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
-    )
-    draws = with_uniform(draws, seed, F.col("b") * F.col("all_n") + F.col("offset") + F.col("i"), "u")
+    count = clusters.count()
+    draws = spark.range(resamples * count).select(F.expr(f"id div {max(1, count)}").alias("b"), (F.col("id") % max(1, count)).alias("i"), "id")
+    draws = with_uniform(draws, seed, F.col("id"), "u")
+    one = strata.limit(2).count() < 2
+    if one:
+        draws = draws.withColumn("stratum_no", F.lit(0).cast("long")).withColumn("size", F.lit(count))
+    else:
+        # a row a stratum: classes
+        draws = draws.join(F.broadcast(strata), (F.col("i") >= F.col("offset")) & (F.col("i") < F.col("offset") + F.col("size")))
     # never null: else the join's "is not null" would be pushed down, all of the random column copied into it
-    draws = draws.select("b", "stratum_no", F.coalesce(F.floor(F.col("u") * F.col("size")), F.lit(-1)).alias("at"))
-    return draws.join(clusters.select("stratum_no", "at", "total", "n"), ["stratum_no", "at"]).groupBy("b").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    draws = draws.select("b", F.coalesce(F.col("stratum_no") + F.floor(F.col("u") * F.col("size")), F.lit(-1)).alias("place"))
+    drawn = clusters.select((F.col("stratum_no") + F.col("at")).alias("place"), "total", "n")
+    return draws.join(drawn, "place").groupBy("b").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def _acceleration(jack: list[float]) -> float:
@@ -149,10 +149,10 @@ def holm(tests: DataFrame, by: list[str], p: str = "p", order: str = "ord", alph
 
 
 def jackknife(clusters: DataFrame, by: list[str]) -> DataFrame:
-    """Leave-one-out means of each cluster: ``jack``."""
-    w = Window.partitionBy(*by)
-    t, n = F.sum("total").over(w), F.sum("n").over(w)
-    return clusters.withColumn("jack", F.try_divide(t - F.col("total"), (n - F.col("n")).cast("double")))
+    """Leave-one-out means of each cluster: ``jack``; groups' sums come from one aggregation and are joined back."""
+    sums = clusters.groupBy(*by).agg(F.sum("total").alias("_t"), F.sum("n").alias("_n"))
+    left = clusters.join(sums, by)
+    return left.withColumn("jack", F.try_divide(F.col("_t") - F.col("total"), (F.col("_n") - F.col("n")).cast("double"))).drop("_t", "_n")
 
 
 def percentile_interval(sums: DataFrame, by: list[str], level: float = 0.95) -> DataFrame:

@@ -1,8 +1,8 @@
 """Calibration metrics over points ``(group columns, order columns, confidence, correct)``.
 
 Bins, ranks and running sums over all points of a group need its global order.  A window
-would put a group into one task, so counts by distinct confidence come first, and running sums
-over them go in two levels (``running``).
+would put a group into one task.  Ranks come from a sort over the cluster (``numbered_rows``); for curves counts by distinct confidence come
+first, and running sums over them go in two levels (``running``).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered_rows
+
 BINS = 15
 
 
@@ -44,16 +46,8 @@ def running(counts: DataFrame, by: list[str], names: list[str], descending: bool
 
 
 def ranked(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds ``r`` (from 0, by confidence then ``order``) and ``n`` within each group.
-
-    A point's rank is the number of points with other confidences before it, a running sum over distinct
-    confidences, plus its place among equal ones: no task needs more than one confidence's points.
-    """
-    per = points.groupBy(*by, "confidence").agg(F.count(F.lit(1)).alias("m"))
-    per = running(per, by, ["m"]).select(*by, "confidence", (F.col("run_m") - F.col("m")).alias("_before"), F.col("all_m").alias("n"))
-    out = points.join(per, [*by, "confidence"])
-    place = F.row_number().over(Window.partitionBy(*by, "confidence").orderBy(*order)) - 1
-    return out.withColumn("r", F.col("_before") + place).drop("_before")
+    """Adds ``r`` (from 0, by confidence then ``order``) and ``n`` within each group; no confidence needs a task of its own."""
+    return numbered_rows(points, by, ["confidence", *order]).drop("before")
 
 
 def binned(points: DataFrame, by: list[str], order: list[str], bins: int = BINS) -> DataFrame:

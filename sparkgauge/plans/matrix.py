@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 CAP_BRANCHES = ("unresolved", "cap-confirmed", "cap-absent")
 PASSES = ("main", "probe")
-#: Flags that the planner sets; an arm's extra arguments may not.
+#: Flags that the planner sets; an arm's extra arguments may not.
 RESERVED = (
     "--golden", "--adapter", "--docs", "--out", "--repeat", "--live", "--expected-spend-usd", "--pricing-basis", "--pricing-as-of",
     "--cal-test-manifest", "--confirm-spend", "--fresh", "--resume", "--cap-branch", "--class", "--plan-only", "--cell",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -25,16 +26,25 @@ def write_json(path: str | Path, value: object) -> None:
     durable_write(path, json.dumps(value, indent=2, sort_keys=False) + "\n")
 
 
-def sweep_hits(rows: DataFrame, text: Column, extra: dict[str, str] | None = None) -> DataFrame:
+def sweeps(own_domain: str | None = None, extra: dict[str, str] | None = None) -> dict[str, str]:
+    """The standing patterns and the user's own; addresses of ``own_domain`` may leave."""
+    found = SWEEPS | (extra or {})
+    if own_domain:
+        found["email"] = found["email"].replace("@", "@(?!" + re.escape(own_domain) + ")", 1)
+    return found
+
+
+def sweep_hits(rows: DataFrame, text: Column, extra: dict[str, str] | None = None, own_domain: str | None = None) -> DataFrame:
     """``label, hit``: one row for each text and pattern that matches; the first 60 characters of it."""
-    patterns = SWEEPS | (extra or {})
+    patterns = sweeps(own_domain, extra)
     found = F.array(*[F.struct(F.lit(k).alias("label"), F.substring(F.regexp_substr(text, F.lit(p)), 1, 60).alias("hit")) for k, p in patterns.items()])
     return rows.select(F.explode(F.filter(found, lambda x: x["hit"].isNotNull())).alias("f")).select("f.*")
 
 
 def denylist(text: str) -> dict[str, str]:
-    rows = [x.strip() for x in text.splitlines()]
-    return {f"denylist line {i + 1}": f"(?i){x}" for i, x in enumerate(r for r in rows if r and not r.startswith("#"))}
+    """A user's own patterns, a line each, without regard to case; blank lines and those that begin with # say nothing."""
+    said = enumerate((line.strip() for line in text.split("\n")), 1)
+    return {f"own pattern of line {at}": f"(?i){line}" for at, line in said if line[:1] not in ("", "#")}
 
 
 def write_dataset(tables: dict[str, DataFrame], folder: str, order: dict[str, list[str]], extra: dict[str, str] | None = None) -> None:
@@ -44,8 +54,8 @@ def write_dataset(tables: dict[str, DataFrame], folder: str, order: dict[str, li
         if hit:
             raise ValueError(f"{name}: {hit.label}: {hit.hit}")
     for name, table in tables.items():
-        # a published file, one per table: sorted over the cluster, merged in order
-        table.orderBy(*order[name]).select(F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{folder}/{name}")
+        # sorted over the cluster; parts in order of their names are the table in order
+        table.orderBy(*order[name]).select(F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(f"{folder}/{name}")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -84,19 +84,40 @@ def test_checkpoint(spark, tmp_path):
         pass
 
 
+def leaves_of(value):
+    """Pointers and values of a tree's leaves, by a walk in Python."""
+    out, left = [], [("", value)]
+    while left:
+        at, v = left.pop()
+        if isinstance(v, dict | list):
+            pairs = list(v.items()) if isinstance(v, dict) else [(str(i), x) for i, x in enumerate(v)]
+            left += [(f"{at}/{k.replace('~', '~0').replace('/', '~1')}", x) for k, x in reversed(pairs)]
+        elif at:
+            out.append((at, v))
+    return out
+
+
+def test_many_documents_and_levels(spark):
+    """More nodes than a recursive query has rows, and more levels than it has."""
+    many = spark.range(700_000).select("id", F.lit('{"a":[1,2],"b":{}}').alias("j"))
+    assert adapters.flatten(many, ["id"], "j").groupBy("field").count().orderBy("field").collect() == [("/a/0", 700_000), ("/a/1", 700_000)]
+    deep = spark.createDataFrame([(1, '{"a":' * 150 + "1" + "}" * 150)], "id int, j string")
+    assert adapters.flatten(deep, ["id"], "j").first().field == "/a" * 150
+
+
 def test_flatten(spark):
     value = {"a": {"b/c": [1, None, {"~": "x"}], "none": [], "e": {}}, "t": True}
     rows = spark.createDataFrame([("d", json.dumps(value)), ("e", "3"), ("f", "{")], "doc string, j string")
     got = sorted((r.field, r.value_json) for r in adapters.flatten(rows, ["doc"], "j").collect())
     assert got == [("/a/b~1c/0", "1"), ("/a/b~1c/1", "null"), ("/a/b~1c/2/~0", '"x"'), ("/t", "true")]
-    assert sorted(k for k, _ in adapters.flatten_value(value)) == [f for f, _ in got]
+    assert sorted(k for k, _ in leaves_of(value)) == [f for f, _ in got]
 
 
 def test_flatten_has_no_limit_of_levels(spark):
     deep = lambda n: '{"a":[' * n + "1.50" + "]}" * n
     rows = spark.createDataFrame([(n, deep(n)) for n in (60, 5000)], "doc long, j string")
     assert {(r.doc, r.field, r.value_json) for r in adapters.flatten(rows, ["doc"], "j").collect()} == {(n, "/a/0" * n, "1.5") for n in (60, 5000)}
-    assert adapters.flatten_value(json.loads(deep(60))) == [("/a/0" * 60, 1.5)]
+    assert leaves_of(json.loads(deep(60))) == [("/a/0" * 60, 1.5)]
 
 
 def test_flatten_text_reads_what_the_parser_reads(spark):
@@ -104,18 +125,17 @@ def test_flatten_text_reads_what_the_parser_reads(spark):
              "[1 2]", "[1}", "{", "", "[]", "{}", "[[],{}]", ' \n{"a":"\\u00e9\\n","\\u0062/~":[true,false,null,{"":"x"}]}', "[tru]", "[nulls]", "[1.]", "[.5]", "[-]", '["\\x"]', '{"a":1}}', "3", "null"]
     rows = spark.createDataFrame([*enumerate(texts)], "doc long, j string")
     parsed = {r.doc: json.loads(r.v) for r in rows.selectExpr("doc", "to_json(try_parse_json(j)) v").collect() if r.v is not None}
-    wanted = {(d, f, json.dumps(v, ensure_ascii=False)) for d, x in parsed.items() for f, v in adapters.flatten_value(x)}
+    wanted = {(d, f, json.dumps(v, ensure_ascii=False)) for d, x in parsed.items() for f, v in leaves_of(x)}
     assert {(r.doc, r.field, r.value_json) for r in adapters.flatten(rows, ["doc"], "j").collect()} == wanted
 
 
 def test_probe_pool_takes_all_events(spark, tmp_path):
-    rows = [(1000, "a"), (1001, "b"), (1002, "b"), (1040, "b"), (5, "c")]
-    spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    rows = [(7, 1, "a"), (1001, 1, "b"), (14, 2, "b"), (70_000, 1, "b"), (12, 3, "c")]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {(r.doc_class, r.field, r.source_class, r["at"]) for r in queries.q_probe_pool(spark, str(tmp_path)).collect()}
-    # a has f0; b has f7, f14 and f0; c has f35
+    # a has f1_0; b has f1_0 (twice) and f2_0; c has f3_5
     assert got == {
-        ("a", "f14", "b", 0), ("a", "f7", "b", 1), ("a", "f35", "c", 2), ("b", "f35", "c", 0),
-        ("c", "f0", "a", 0), ("c", "f14", "b", 1), ("c", "f7", "b", 2),
+        ("a", "f2_0", "b", 0), ("a", "f3_5", "c", 1), ("b", "f3_5", "c", 0), ("c", "f1_0", "a", 0), ("c", "f2_0", "b", 1),
     }
 
 
@@ -189,7 +209,7 @@ def test_dataset_and_sweep(spark, tmp_path):
     with pytest.raises(ValueError, match="local path|email"):
         sinks.write_dataset({"t": bad}, str(tmp_path / "out"), {"t": ["v"]})
     assert not (tmp_path / "out").exists()
-    assert sinks.denylist("# no\nfoo\n\nbar") == {"denylist line 1": "(?i)foo", "denylist line 2": "(?i)bar"}
+    assert sinks.denylist("# no\nfoo\n\nbar") == {"own pattern of line 2": "(?i)foo", "own pattern of line 4": "(?i)bar"}
     assert sinks.same_rows(bad, bad)
 
 

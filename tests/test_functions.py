@@ -80,3 +80,18 @@ def test_variates_and_quantile():
     assert math.isnan(quantile([], 0.5))
     with pytest.raises(ValueError):
         r.gamma(0)
+
+
+def test_white_space_is_that_of_javascript(spark):
+    rows = spark.createDataFrame([("\x85a\x85",), ("\ufeffa\u2028",), ("\u180ea",)], "t string")
+    assert [r[0] for r in rows.select(text.js_trim(F.col("t"))).collect()] == ["\x85a\x85", "a", "\u180ea"]
+
+
+def test_a_line_end_is_no_part_of_an_index(spark):
+    rows = spark.createDataFrame([("/a/12\n/b",), ("/a/12/b",)], "p string")
+    assert [r[0] for r in rows.select(text.wildcard(F.col("p"))).collect()] == ["/a/12\n/b", "/a/*/b"]
+
+
+def test_pointers_of_any_length_are_split(spark):
+    p = "/x~1y" * 12_000
+    assert spark.createDataFrame([(p,)], "p string").select(F.size(text.pointer_tokens(F.col("p")))).first()[0] == 12_000

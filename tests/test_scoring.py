@@ -156,3 +156,26 @@ def test_gate(spark):
     rows = spark.createDataFrame([(0.8, 0.1, 0.81, 0.1), (0.8, 0.1, None, None), (0.8, 0.3, 0.8, 0.1)], "f1 double, ece double, base_f1 double, base_ece double")
     got = [(r.f1_drop, r.ece_rise, r.high_ece, r.passed) for r in calibrate.gate(rows, 0.7, 0.2).collect()]
     assert got == [(True, False, False, False), (False, False, False, True), (False, True, True, False)]
+
+
+def test_numbering_in_a_global_order(spark):
+    from pyspark.sql import functions as F
+
+    from sparkgauge.operators.order import numbered_rows
+
+    rows = [(g, (i * 7919) % 40, at * 1000 + i) for at, (g, m) in enumerate((("a", 500), ("b", 1), ("c", 90), (None, 7))) for i in range(m)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(7)
+    for by in (["g"], []):
+        got = numbered_rows(df, by, ["v", "i"]).collect()
+        key = lambda r: ((r[0] is not None, r[0] or "") if by else (), r[1], r[2])  # noqa: B023, E731
+        expected, seen = {}, {}
+        for r in sorted(rows, key=key):
+            own = r[0] if by else 0
+            seen.setdefault(own, 0)
+            expected[r] = seen[own]
+            seen[own] += 1
+        assert {(r.g, r.v, r.i): r.r for r in got} == expected
+        assert all(r.n == seen[r.g if by else 0] for r in got)
+    plan = numbered_rows(df, ["g"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
+    assert numbered_rows(df.filter(F.lit(False)), ["g"], ["v"]).count() == 0
