@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
-import math
+import re
 import sys
 from pathlib import Path
 
@@ -17,17 +17,16 @@ from pyspark.sql import functions as F
 from .operators import adapters, corpora, dataset, judge, probes
 from .plans import matrix, report, score
 from .plans import run as runs
-from .sources import jsonl, sinks
+from .sources import discovery, jsonl, sinks
 from .sources.jsonl import InputError
 from .sources.sinks import same_rows, write_json
 
 
 def number(text: str) -> float:
-    """A finite number; an empty string is none."""
-    value = float(text)
-    if not math.isfinite(value):
+    """A plain decimal: digits, with a sign and a fraction if need be; no exponent, no other spelling."""
+    if not re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", text.strip()):
         raise ValueError(text)
-    return value
+    return float(text)
 
 
 def session() -> SparkSession:
@@ -47,7 +46,8 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     many = {"required": True, "action": "append"}
     verb("score", predictions=many, golden=many, out=need, normalizers={})
-    verb("fabrication", predictions=many, golden=many, strikes={}, seed={"type": int, "default": 20260712}, resamples={"type": int, "default": 10_000}, out=need)
+    some = {"action": "append"}
+    verb("fabrication", predictions=some, golden=some, arm_dir={}, corpora={}, run_pass={"default": "main", "choices": ["main", "probe"]}, strikes={}, seed={"type": int, "default": 20260712}, resamples={"type": int, "default": 10_000}, out=need)
     verb("report", scores=need, baseline={}, out=need)
     verb("ci", scores=need, min_f1={"type": number} | need, max_ece={"type": number} | need, baseline={}, eps_f1={"type": number, "default": 0.005}, eps_ece={"type": number, "default": 0.005})
     verb("calibrate", scores=need, max_error={"type": number, "default": 0.05})
@@ -80,7 +80,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     if args.verb == "score":
         write_json(args.out, score.score(spark, args.golden, args.predictions, args.normalizers))
     elif args.verb == "fabrication":
-        write_json(args.out, score.fabrication(spark, args.golden, args.predictions, args.strikes, args.seed, args.resamples))
+        golden = args.golden or (discovery.golden_files(args.corpora, args.run_pass) if args.corpora else None)
+        predictions = args.predictions or (discovery.prediction_files(args.arm_dir, args.run_pass) if args.arm_dir else None)
+        if not golden or not predictions:
+            raise score.UsageError("--golden or --corpora, and --predictions or --arm-dir, are needed")
+        write_json(args.out, score.fabrication(spark, golden, predictions, args.strikes, args.seed, args.resamples))
     elif args.verb == "report":
         now = json.loads(Path(args.scores).read_text())
         old = json.loads(Path(args.baseline).read_text()) if args.baseline else None
@@ -90,6 +94,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         out.mkdir(parents=True, exist_ok=True)
         (out / "report.txt").write_text(report.metric_table(now, old))
         (out / "risk-coverage.svg").write_text(report.risk_coverage_svg(now.get("riskCoverage", [])))
+        (out / "reliability.svg").write_text(report.reliability_svg(*score.reliability(spark, args.scores)))
     elif args.verb == "ci":
         if args.baseline is not None and not args.baseline.strip():
             raise score.UsageError("the baseline's path is empty")
@@ -101,7 +106,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif args.verb == "curves":
         m = json.loads(Path(args.manifest).read_text())
         base = Path(args.manifest).parent
-        print(json.dumps(score.curves(spark, {k: str(base / v) for k, v in m["variants"].items()}, m["full"]), indent=2))
+        full = m.get("full", "full")
+        if "full" not in m and "logprobFree" not in m.get("variants", {}):
+            raise score.UsageError("manifest: variants need full and logprobFree")
+        print(json.dumps(score.curves(spark, {k: str(base / v) for k, v in m["variants"].items()}, full), indent=2))
     elif args.verb == "matrix":
         c = json.loads(Path(args.config).read_text())
         arms = tuple(matrix.Arm(a["id"], a["adapter"], a.get("usdPerUnit"), tuple(a.get("extraArgs", ()))) for a in c["armModes"])

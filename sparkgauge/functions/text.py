@@ -157,3 +157,20 @@ def failure_kind(status: Column) -> Column:
         .when(status.isin(401, 402, 403, 407), F.lit("fatal"))
         .when((status < 200) | (status >= 300), F.lit("contract_failure"))
     )
+
+
+# --- what may be published -------------------------------------------------------------
+
+
+def redact_url(url: Column) -> Column:
+    """A project's id in a path gives way to a fixed mark; the first one only."""
+    return F.regexp_replace(url, "^(.*?)/projects/[^/]+/", "$1/projects/<gcp-project>/")
+
+
+def redact_ray(ray: Column) -> Column:
+    """A request ray without the letters of its place, 64 characters at most."""
+    return F.regexp_replace(F.substring(ray, 1, 64), "-[A-Za-z]{3}\\z", "")
+
+
+def salted_digest(salt: Column, doc_class: Column, doc: Column) -> Column:
+    return F.sha2(F.concat_ws(":", salt, doc_class, doc), 256)

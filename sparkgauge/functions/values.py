@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import token_form
+from .text import normal_form, token_form
 
 #: Strings that say that there is no value.
 ABSTENTION_TOKENS = ("n/a", "not present", "not applicable", "none", "unknown")
@@ -57,3 +57,31 @@ def field_violation(is_object: Column, has_value: Column, has_confidence: Column
         .when(~has_value, F.lit("no_value_key"))
         .when(has_confidence & ~valid_confidence(confidence), F.lit("invalid_confidence"))
     )
+
+
+def provenance_fault(p: Column) -> Column:
+    """The first kept key whose value is no string of 1 to 200 characters; null if all are such or missing."""
+    return F.coalesce(*[F.when(p[k].isNotNull() & ~F.length(p[k]).between(1, 200), F.lit(k)) for k in PROVENANCE_KEYS])
+
+
+#: A JSON string with the colon after it if it is a key.
+_STRING = r'"(?:[^"\\]|\\.)*+":?'
+
+
+def normal_container(kind: Column, value_json: Column) -> Column:
+    """A canonical JSON array or object with every string in it, keys apart, in its normal form; all else as it is."""
+    strings, between = F.regexp_extract_all(value_json, F.lit(_STRING), F.lit(0)), F.split(value_json, _STRING, -1)
+    text = lambda x: F.from_json(F.concat(F.lit('{"v":'), x, F.lit("}")), "v string")["v"]
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    normal = F.transform(strings, lambda x: F.when(x.endswith(":"), x).otherwise(quoted(normal_form(kind, text(x)))))
+    pairs = F.zip_with(between, normal, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.array_join(pairs, "")
+
+
+def salted_members(rows, ids, salt: Column):
+    """``rows(doc_class, doc)`` with ``digest`` and ``known``: whether a list of salted digests has it."""
+    from .text import salted_digest
+
+    listed = ids.select(F.col("digest").alias("_listed")).distinct()
+    out = rows.withColumn("digest", salted_digest(salt, F.col("doc_class"), F.col("doc")))
+    return out.join(listed, out["digest"] == listed["_listed"], "left").withColumn("known", F.col("_listed").isNotNull()).drop("_listed")

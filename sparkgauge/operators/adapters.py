@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import failure_kind, logprob_confidence, repair_json
 from ..functions.values import valid_confidence
+from .requests import check_fields
 
 #: Pages that one system takes at most.
 PAGE_CAP = 8
@@ -148,6 +149,14 @@ def over_cap(documents: DataFrame, cap: int = PAGE_CAP) -> DataFrame:
     return documents.filter(F.col("pages") > cap)
 
 
+def refuse_over_cap(documents: DataFrame, cap: int = PAGE_CAP) -> DataFrame:
+    """The documents, if none is beyond the cap; else an error that names the first."""
+    first = over_cap(documents, cap).orderBy("doc_class", "doc").first()
+    if first is not None:
+        raise ValueError(f"{first.doc_class}/{first.doc}: {first.pages} pages, {cap} at most")
+    return documents
+
+
 def stamp_violations(records: DataFrame, expected: str | None = None) -> DataFrame:
     """Records whose calibrator stamp is none, malformed or not the expected one."""
     stamp = F.col("provenance.calibratorVersion")
@@ -165,11 +174,12 @@ BACKOFF_S = (0.5, 1.0)
 
 
 def run_extraction(units: DataFrame, extract: Callable[[dict], dict], retries: int = 2, deadline: float = DEADLINE_S,
-                   backoff: tuple[float, ...] = BACKOFF_S) -> DataFrame:
+                   backoff: tuple[float, ...] = BACKOFF_S, check: bool = False) -> DataFrame:
     """Call ``extract`` for each planned unit (any columns): ``availability, request_attempts, response, error``.
 
     ``extract`` raises ``ConnectionError`` for transport failures, which are tried again up to
-    ``retries`` times within one deadline, and ``ValueError`` for unusable answers; anything else stops the job.
+    ``retries`` times within one deadline, and ``ValueError`` for unusable answers; anything else stops the job.  With ``check``
+    an answer's ``fields`` must be fit to be recorded.
     """
     names = units.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
@@ -190,7 +200,10 @@ def run_extraction(units: DataFrame, extract: Callable[[dict], dict], retries: i
                     try:
                         # a call that never ends is left behind in its thread
                         caller = ThreadPoolExecutor(1)
-                        answer = json.dumps(caller.submit(extract, row).result(max(0.0, end - time.monotonic())))
+                        found = caller.submit(extract, row).result(max(0.0, end - time.monotonic()))
+                        if check:
+                            check_fields(found.get("fields") if isinstance(found, dict) else None)
+                        answer = json.dumps(found)
                         state, error = "completed", None
                     except (ConnectionError, TimeoutError) as e:
                         error = str(e) or "deadline"

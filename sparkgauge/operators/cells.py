@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_form, wildcard
-from ..functions.values import DEFAULT_CONFIDENCE, equal_values, json_string, predicted_state
+from ..functions.values import DEFAULT_CONFIDENCE, equal_values, json_string, normal_container, predicted_state
 
 KEY = ["doc_class", "doc", "field"]
 
@@ -34,7 +34,8 @@ def with_rules(cells: DataFrame, rules: DataFrame) -> DataFrame:
 
 def _form(kind: Column, value_json: Column) -> Column:
     text = F.coalesce(json_string(value_json), F.when(value_json.rlike("^-?[0-9]"), value_json))
-    return F.when(kind.isNotNull() & text.isNotNull(), normal_form(kind, text)).otherwise(value_json)
+    inside = F.when(value_json.rlike(r"^[\[{]"), normal_container(kind, value_json)).otherwise(value_json)
+    return F.when(kind.isNull(), value_json).when(text.isNotNull(), normal_form(kind, text)).otherwise(inside)
 
 
 def correctness(cells: DataFrame, kind: Column | None = None) -> DataFrame:

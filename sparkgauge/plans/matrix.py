@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,3 +98,48 @@ METRICS = ("f1", "precision", "recall", "ece", "brier", "auroc")
 def mean_over_repeats(scores: DataFrame, by: tuple[str, ...] = ("arm", "doc_class", "pass", "column")) -> DataFrame:
     """Means of per-repeat corpus metrics; not a pooled metric."""
     return scores.groupBy(*by).agg(*[F.avg(m).alias(m) for m in METRICS if m in scores.columns], F.count(F.lit(1)).alias("repeats"))
+
+
+def execute(plan: list[dict], run_cell: Callable[[dict], int], score: Callable[[dict, int, str], dict], out: str | Path, meta: Callable[[dict], dict | None] = lambda cell: None) -> dict:
+    """Run and score planned cells (rows of ``cells``) one after the other; the matrix manifest.
+
+    ``run_cell`` gives an exit code; a cell that fails is recorded and the next goes on.  ``score(cell, repeat, kind)`` gives a scores
+    file's content.  Each cell gets a summary with every repeat's corpus metrics and the means of the primary ones; the manifest
+    lists outcomes and what keeps the whole from being published: incomplete cells, gaps in their metadata (``meta``), more than one commit.
+    """
+    from ..sources.sinks import write_json
+
+    outcomes, problems, commits, costs = [], [], set(), []
+    for cell in plan:
+        name = f"{cell['arm']}/{cell['doc_class']}/{cell['pass']}"
+        code, status, repeats = run_cell(cell), "completed", []
+        if code:
+            status = "failed_or_paused"
+        else:
+            for repeat in range(1, cell["repeats"] + 1):
+                for kind in cell["scorings"]:
+                    try:
+                        found = score(cell, repeat, kind)
+                    except (ValueError, OSError):
+                        status = "scoring_failed"
+                        continue
+                    repeats.append({"repeat": repeat, "kind": kind, "corpus": found["corpus"], "normalizedCorpus": (found.get("normalized") or {}).get("corpus")})
+            primary = [r for r in repeats if r["kind"] == "primary"]
+            mean = lambda of: {m: sum(r[of][m] for r in primary) / len(primary) for m in METRICS} if primary and all(r[of] for r in primary) else {}  # noqa: B023, E731
+            (Path(out) / name).mkdir(parents=True, exist_ok=True)
+            write_json(Path(out) / name / "scores.json", {
+                "formatVersion": 1, "cell": {k: cell[k] for k in ("arm", "adapter", "doc_class", "pass", "repeats")}, "repeats": repeats,
+                "meanOverRepeats": mean("corpus"), "meanOverRepeatsNormalized": mean("normalizedCorpus"),
+            })
+        about = meta(cell)
+        outcomes.append({"cell": name, "status": status, "runExit": code})
+        problems += [f"{name}: {status}"] if status != "completed" else []
+        problems += [f"{name}: no run manifest"] if about is None else [f"{name}: {g}" for g in about.get("missing", [])]
+        commits |= {about["commit"]} if about and about.get("commit") else set()
+        costs.append({"cell": name, "expectedUsd": cell.get("expected_usd"), "spend": (about or {}).get("spend"), "startedAt": (about or {}).get("startedAt")})
+    problems += ["more than one commit"] if len(commits) > 1 else []
+    manifest = {"formatVersion": 1, "generatedAt": datetime.now(UTC).isoformat(), "cells": outcomes, "validation": {"publicationReady": not problems, "problems": problems}}
+    Path(out).mkdir(parents=True, exist_ok=True)
+    write_json(Path(out) / "matrix-manifest.json", manifest)
+    write_json(Path(out) / "cost-log.json", costs)
+    return manifest

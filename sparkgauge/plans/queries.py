@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rng, text, values
-from ..operators import adapters, bootstrap, calibrate, cells, corpora, dataset, judge, metrics, probes, runlog, simulate
+from ..operators import adapters, bootstrap, calibrate, cells, corpora, dataset, judge, metrics, probes, requests, runlog, simulate
 from ..sources import checkpoint, sinks
 from . import matrix, views
 from .views import CELLS, JUDGED, POINTS, table
@@ -382,10 +382,17 @@ def q_detectable_effect(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(found["grid"], "delta double, power double")
 
 
-@query()
+#: Newton steps of the ridged fit over counts by confidence, as many as the fit needs to stand still.
+@query(f"""WITH RECURSIVE {POINTS}, c AS (SELECT confidence AS x, count(*)::DOUBLE AS m, sum(correct::INTEGER)::DOUBLE AS y FROM points GROUP BY 1),
+it AS (SELECT 0 AS k, 0::DOUBLE AS a, 0::DOUBLE AS b UNION ALL
+  SELECT k + 1, (szx * sw - swx * sz) / ((swxx + {calibrate.RIDGE}) * sw - swx * swx), ((swxx + {calibrate.RIDGE}) * sz - swx * szx) / ((swxx + {calibrate.RIDGE}) * sw - swx * swx)
+  FROM (SELECT k, sum(w * m) AS sw, sum(w * m * x) AS swx, sum(w * m * x * x) AS swxx, sum(z) AS sz, sum(z * x) AS szx FROM (
+    SELECT k, x, m, greatest(mu * (1 - mu), {calibrate.WEIGHT_FLOOR}) AS w, greatest(mu * (1 - mu), {calibrate.WEIGHT_FLOOR}) * m * eta + y - m * mu AS z
+    FROM (SELECT k, x, m, y, a * x + b AS eta, 1 / (1 + exp(-(a * x + b))) AS mu FROM it, c WHERE k < 30)) GROUP BY k))
+SELECT round(a, 6) AS a, round(b, 6) AS b FROM it WHERE k = 30""")
 def q_platt(spark: SparkSession, sf: str) -> DataFrame:
     a, b = calibrate.fit_platt(views.points(spark, sf))
-    return spark.createDataFrame([(a, b)], "a double, b double")
+    return rounded(spark.createDataFrame([(a, b)], "a double, b double"))
 
 
 _ABLATION = """SELECT cls AS variant, ece, brier FROM e JOIN b USING (cls)"""
@@ -490,11 +497,114 @@ def q_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.sweep_hits(table(spark, sf, "documents"), F.col("text")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_name AS name, sha256('salt:' || n_name) AS digest, r_name IS NOT NULL AS known FROM nation LEFT JOIN (SELECT r_name, sha256('salt:' || r_name) AS d FROM region) ON d = sha256('salt:' || n_name)")
+@query("""SELECT r_name AS doc_class, n_name AS doc, sha256('salt:' || r_name || ':' || n_name) AS digest, n_nationkey % 3 = 0 AS known FROM nation JOIN region ON r_regionkey = n_regionkey""")
 def q_salted_membership(spark: SparkSession, sf: str) -> DataFrame:
-    salted = lambda c: F.sha2(F.concat(F.lit("salt:"), F.col(c)), 256)
-    known = table(spark, sf, "region").select(salted("r_name").alias("digest"), F.lit(True).alias("k"))
-    return table(spark, sf, "nation").select(F.col("n_name").alias("name"), salted("n_name").alias("digest")).join(known, "digest", "left").select("name", "digest", F.coalesce("k", F.lit(False)).alias("known"))
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("doc_class"), F.col("n_name").alias("doc"), "n_nationkey")
+    salt = F.lit("salt")
+    ids = rows.filter("n_nationkey % 3 = 0").select(text.salted_digest(salt, F.col("doc_class"), F.col("doc")).alias("digest"))
+    return values.salted_members(rows.drop("n_nationkey"), ids, salt)
+
+
+@query("""SELECT event_id, 'https://h/v1/projects/<gcp-project>/' || user_id || '/projects/x' AS url, 'ray' || event_id AS ray FROM events""")
+def q_redactions(spark: SparkSession, sf: str) -> DataFrame:
+    url = F.concat(F.lit("https://h/v1/projects/p-"), "event_type", F.lit("/"), F.col("user_id").cast("string"), F.lit("/projects/x"))
+    return table(spark, sf, "events").select("event_id", text.redact_url(url).alias("url"), text.redact_ray(F.concat(F.lit("ray"), F.col("event_id").cast("string"), F.lit("-FRA"))).alias("ray"))
+
+
+@query("SELECT doc_id, md5(to_base64(encode(text))) AS b64, sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
+def q_base64(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").filter("text is not null")
+    return d.select("doc_id", F.md5(requests.base64_text(F.col("text").cast("binary"))).alias("b64"), F.sha2("text", 256).alias("digest"))
+
+
+@query("""SELECT event_id, replace(replace(props, '~', '~0'), '/', '~1') AS escaped, props AS back, CASE WHEN event_id % 3 = 1 THEN 'invalid escape' WHEN event_id % 3 = 2 THEN 'does not start with /' END AS fault FROM events""")
+def q_pointer_escapes(spark: SparkSession, sf: str) -> DataFrame:
+    escaped, k = text.escape_token(F.col("props")), F.col("event_id") % 3
+    p = F.when(k == 0, F.concat(F.lit("/"), escaped)).when(k == 1, F.lit("/a~2b")).otherwise(F.lit("a/b"))
+    return table(spark, sf, "events").select("event_id", escaped.alias("escaped"), F.get(text.pointer_tokens(F.concat(F.lit("/"), escaped)), F.lit(0)).alias("back"), text.pointer_error(p).alias("fault"))
+
+
+@query("""SELECT o_orderkey, '{"a/b":["' || CAST(floor(o_totalprice) AS BIGINT) || '",true,null],"n":{"k":"' || CAST(floor(o_totalprice) AS BIGINT) || '"}}' AS form FROM orders""")
+def q_normal_containers(spark: SparkSession, sf: str) -> DataFrame:
+    money = F.format_number(F.floor("o_totalprice"), 0)
+    j = F.concat(F.lit('{"a/b":["$'), money, F.lit('.00",true,null],"n":{"k":" '), money, F.lit('"}}'))
+    return table(spark, sf, "orders").select("o_orderkey", values.normal_container(F.lit("currency"), j).alias("form"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'requestId' WHEN event_id % 3 = 1 THEN 'modelVersion' END AS fault, CASE WHEN event_id % 3 <> 1 THEN 'm' || user_id END AS model FROM events""")
+def q_provenance(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    model = F.when(k == 1, F.repeat(F.lit("x"), 201)).otherwise(F.concat(F.lit("m"), F.col("user_id").cast("string")))
+    none = F.lit(None).cast("string")
+    p = F.struct(model.alias("modelVersion"), none.alias("vendorVersion"), none.alias("calibratorVersion"), none.alias("apiVersion"), F.when(k == 0, F.lit("")).alias("requestId"))
+    rows = table(spark, sf, "events").select("event_id", p.alias("p"))
+    return rows.select("event_id", values.provenance_fault(F.col("p")).alias("fault"), values.clean_provenance(F.col("p"))["modelVersion"].alias("model"))
+
+
+@query("SELECT cls, doc, ln, round(1 / (1 + exp(-(2.5 * confidence - 1))), 6) AS confidence FROM (WITH " + POINTS + " SELECT * FROM points)")
+def q_calibrated(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(calibrate.apply_platt(views.points(spark, sf), 2.5, -1.0).select("cls", "doc", "ln", "confidence"))
+
+
+# --- responses of each kind, from events -----------------------------------------------
+
+_RESPONSES = "SELECT event_id, '/n' AS field, CAST(user_id AS VARCHAR) AS value_json FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT event_id, '/t/0', '\"' || event_type || '\"' FROM events WHERE event_id % 7 <> 0"
+
+
+def _mapped(spark: SparkSession, sf: str, kind: str, wrap) -> DataFrame:
+    """Fields of responses that hold an answer, and one row with a null field for those that failed."""
+    answer = F.concat(F.lit('{"n": '), F.col("user_id").cast("string"), F.lit(', "t": ["'), "event_type", F.lit('"]}'))
+    rows = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit('{"other": 1}')).otherwise(wrap(answer)).alias("response"))
+    fields, failed = adapters.get_adapter(kind)(rows, ["event_id"])
+    none = F.lit(None).cast("string")
+    return fields.select("event_id", "field", "value_json").unionByName(failed.select("event_id", none.alias("field"), none.alias("value_json")))
+
+
+_FAILED = " UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 7 = 0"
+_as_text = lambda a: F.replace(F.replace(a, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+@query(_RESPONSES + _FAILED)
+def q_chat_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped(spark, sf, "chat", lambda a: F.concat(F.lit('{"choices": [{"message": {"content": "```json\\n'), _as_text(a), F.lit('\\n```"}}]}')))
+
+
+@query(_RESPONSES + _FAILED)
+def q_candidate_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return _mapped(spark, sf, "candidates", lambda a: F.concat(F.lit('{"candidates": [{"content": {"parts": [{"text": "Here: "}, {"text": "'), _as_text(a), F.lit('"}]}}]}')))
+
+
+@query(_RESPONSES + _FAILED)
+def q_annotation_fields(spark: SparkSession, sf: str) -> DataFrame:
+    as_json = F.col("event_id") % 2 == 0
+    return _mapped(spark, sf, "annotation", lambda a: F.concat(F.lit('{"document_annotation": '), F.when(as_json, a).otherwise(F.concat(F.lit('"'), _as_text(a), F.lit('"'))), F.lit("}")))
+
+
+@query(_RESPONSES + _FAILED)
+def q_job_fields(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.when(F.col("event_id") % 2 == 0, F.lit("data")).otherwise(F.lit("extract_result"))
+    return _mapped(spark, sf, "job", lambda a: F.concat(F.lit('{"'), name, F.lit('": '), a, F.lit("}")))
+
+
+@query("""SELECT event_id, '/n' AS field, CASE WHEN event_id % 3 = 0 THEN 'null' ELSE CAST(user_id AS VARCHAR) END AS value_json, CASE WHEN event_id % 3 <> 0 THEN 0.25 END::DOUBLE AS confidence, false AS failed FROM events WHERE event_id % 3 <> 1 AND event_id % 7 <> 0
+UNION ALL SELECT event_id, NULL, NULL, NULL, true FROM events WHERE event_id % 7 = 0""")
+def q_stated_fields(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    n = F.when(k == 0, F.lit('{"state": "null"}')).when(k == 1, F.lit('{"state": "missing"}')).otherwise(F.concat(F.lit('{"state": "present", "confidence": 0.25, "value": '), F.col("user_id").cast("string"), F.lit("}")))
+    bad = F.lit('{"fields": {"/n": {"state": "present"}}}')
+    rows = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, bad).otherwise(F.concat(F.lit('{"fields": {"/n": '), n, F.lit("}}"))).alias("response"))
+    fields, failed = adapters.get_adapter("stated")(rows, ["event_id"])
+    none = F.lit(None)
+    lost = failed.select("event_id", none.cast("string").alias("field"), none.cast("string").alias("value_json"), none.cast("double").alias("confidence"), F.lit(True).alias("failed"))
+    return fields.withColumn("failed", F.lit(False)).unionByName(lost)
+
+
+@query("""SELECT event_id FROM events WHERE event_id % 4 <> 0""")
+def q_stamp_violations(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    stamp = F.when(k == 0, F.lit("cal-2026.05-1")).when(k == 1, F.lit("cal-2026.5")).when(k == 2, F.lit("cal-2026.05-2"))
+    rows = table(spark, sf, "events").select("event_id", F.struct(stamp.alias("calibratorVersion")).alias("provenance"))
+    return adapters.stamp_violations(rows, "cal-2026.05-1").select("event_id")
 
 
 @query("""SELECT doc, field, tokens[list_position(found, true)] AS token FROM (
@@ -531,6 +641,36 @@ def q_probe_goldens(spark: SparkSession, sf: str) -> DataFrame:
     return probes.probe_goldens(g, p).drop("value_json")
 
 
+_SHEET = "sheet AS (SELECT event_type AS doc_class, 'f' || (event_id % 11) AS field, event_id AS line, CAST(user_id AS VARCHAR) AS doc, event_id % 3 = 0 AS visible FROM events)"
+
+
+def _sheet(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_type").alias("doc_class"), F.concat(F.lit("f"), (F.col("event_id") % 11).cast("string")).alias("field"), F.col("event_id").alias("line"), F.col("user_id").cast("string").alias("doc"), (F.col("event_id") % 3 == 0).alias("visible"))
+
+
+@query(f"WITH {_SHEET} SELECT doc_class, field, string_agg(doc, ',' ORDER BY line) AS documents FROM sheet WHERE visible GROUP BY 1, 2")
+def q_strikes(spark: SparkSession, sf: str) -> DataFrame:
+    return probes.strikes(_sheet(spark, sf)).select("doc_class", "field", F.array_join("documents", ",").alias("documents"))
+
+
+_STRUCK = _SHEET + ", p AS (SELECT DISTINCT doc_class, field FROM sheet), s AS (SELECT DISTINCT doc_class, field FROM sheet WHERE field IN ('f1', 'f7'))"
+
+
+def _probes_and_strikes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = _sheet(spark, sf).select("doc_class", "field").distinct()
+    return p, p.filter(F.col("field").isin("f1", "f7"))
+
+
+@query(f"WITH {_STRUCK} SELECT doc_class, field FROM p ANTI JOIN s USING (doc_class, field)")
+def q_remaining_probes(spark: SparkSession, sf: str) -> DataFrame:
+    return probes.struck_probes(*_probes_and_strikes(spark, sf))
+
+
+@query(f"WITH {_STRUCK} SELECT doc_class, field, s.field IS NOT NULL AS struck FROM p LEFT JOIN s USING (doc_class, field)".replace("s.field IS NOT NULL", "(doc_class, field) IN (SELECT (doc_class, field) FROM s)").replace(" LEFT JOIN s USING (doc_class, field)", ""))
+def q_probe_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.probe_rows(*_probes_and_strikes(spark, sf))
+
+
 _PAGES = "pages_ AS (SELECT DISTINCT doc_class, doc, doc % 12 + 1 AS pages FROM goldens)"
 
 
@@ -624,6 +764,14 @@ def q_publication_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return runlog.publication_gaps(meta, ("startedAt", "spend"))
 
 
+@query("""SELECT 'incomplete: ' || n_name AS problem FROM nation WHERE n_nationkey % 6 = 0 UNION ALL SELECT n_name || ' lacks spend' FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT '2 commits'""")
+def q_publication_problems(spark: SparkSession, sf: str) -> DataFrame:
+    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
+    cells_ = n.select(F.col("n_name").alias("cell"), F.when(k % 6 == 0, "paused").otherwise("complete").alias("status"), F.when(k % 2 == 0, "c1").otherwise("c2").alias("commit"))
+    meta = n.select(F.col("n_name").alias("cell"), F.when(k % 5 != 0, 1.0).alias("spend"))
+    return runlog.publication_problems(cells_, runlog.publication_gaps(meta, ("spend",)))
+
+
 @query("""WITH arms AS (SELECT * FROM (VALUES ('a1', 'stated', 0.02::DOUBLE), ('a4', 'annotation', 0.005::DOUBLE)) t(arm, adapter, usd)), passes AS (SELECT unnest(['main', 'probe']) AS pass),
 docs AS (SELECT DISTINCT r_name AS doc_class, n_nationkey AS doc FROM nation JOIN region ON r_regionkey = n_regionkey)
 SELECT arm, doc_class, pass, CASE WHEN pass = 'probe' THEN 1 ELSE 3 END AS repeats, count(*) AS docs, count(*) FILTER (NOT (adapter = 'annotation' AND doc % 7 = 0)) AS run_docs,

@@ -46,6 +46,59 @@ def stamp_label(observed: dict) -> str:
     return "not surfaced" if observed["status"] == "not_surfaced" else f"mixed ({', '.join(observed['values'])}; {observed['missing']} without)"
 
 
+#: What stands in a confidence column of an arm that has no numbers there.
+NO_CONFIDENCE = {"none": "none surfaced", "unasked": "not requested"}
+
+
+def with_interval(v: dict | None, digits: int = 3) -> str:
+    return "—" if v is None else f"{v['estimate']:.{digits}f}" + (f" [{v['lo']:.{digits}f}, {v['hi']:.{digits}f}]" if v.get("lo") is not None else "")
+
+
+def blocks(arms: list[dict]) -> list[dict]:
+    """Plain arms first, ablations (names with a +) after them, each in the order given."""
+    return sorted(arms, key=lambda a: "+" in a["arm"])
+
+
+def confidence_cell(arm: dict, key: str) -> str:
+    """A number only where the arm has confidences of its own; never one made from the default."""
+    c = arm["confidence"]
+    return with_interval(c.get(key)) if c["kind"] == "numeric" else NO_CONFIDENCE[c["kind"]]
+
+
+def headline_table(arms: list[dict]) -> str:
+    """The only table that has a price, and it always stands beside all other measures."""
+    rows = [
+        [a["arm"], with_interval(a["macroF1"]["normalized"]), percent(a["fabrication"]), confidence_cell(a, "errorAtCoverage90"), f"${a['usdPer1kPages']:.2f}"]
+        for a in blocks(arms)
+    ]
+    return table(["arm", "macro-F1 (norm.)", "fabrication (pooled)", "error at coverage 0.9", "$ per 1k pages"], rows)
+
+
+def accuracy_table(arms: list[dict], classes: list[str], footnote: str = "") -> str:
+    """F1 by class, normalised and strict side by side, without a price."""
+    cells = lambda a, c: [with_interval((a["perClassF1"].get(c) or {}).get(k)) for k in ("normalized", "strict")]
+    rows = [[a["arm"], *(x for c in classes for x in cells(a, c))] for a in blocks(arms)]
+    return table(["arm", *(f"{c} ({k})" for c in classes for k in ("norm.", "strict"))], rows) + (footnote + "\n" if footnote else "")
+
+
+def confidence_table(arms: list[dict]) -> str:
+    """ECE, Brier and error at coverage 0.9 of arms with confidences, whose served version stands by the name."""
+    name = lambda a: f"{a['arm']} ({a['confidence']['stamp']})" if a["confidence"]["kind"] == "numeric" else a["arm"]
+    return table(["arm (version)", "ECE", "Brier", "error at coverage 0.9"], [[name(a), *(confidence_cell(a, k) for k in ("ece", "brier", "errorAtCoverage90"))] for a in blocks(arms)])
+
+
+def effect_table(rows: list[dict], assumptions: str) -> str:
+    """Smallest detectable differences by class; null where no step of the grid reaches the power."""
+    points = lambda v: "> grid" if v is None else f"~{100 * v:.1f} pp"
+    body = [[r["class"], f"{r['docs']} x {r['fields'] / r['docs']:.1f}", points(r["at75"]), points(r["at90"])] for r in rows]
+    return table(["class", "documents x fields", "at base .75", "at base .90"], body) + assumptions + "\n"
+
+
+def noise_table(rows: list[dict]) -> str:
+    """Plug-in ECE that confidences show which are right on average, by number of points."""
+    return table(["points", "n", "mean [5th, 95th percentile]"], [[r["label"], r["n"], f"{r['mean']:.3f} [{r['p05']:.3f}, {r['p95']:.3f}]"] for r in rows])
+
+
 #: Plot colours.
 INK, GRID, MAIN, BAND = "#1b1f24", "#d0d7de", "#0b63ce", "#cfe3ff"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, calibrate, cells, judge, metrics
+from ..operators import bootstrap, calibrate, cells, judge, metrics, simulate
 from ..sources import jsonl
 
 ORDER = ["doc_ord", "field_ord"]
@@ -104,6 +104,15 @@ def fabrication(spark: SparkSession, golden: str | list[str], predictions: str |
         means.unpersist()
 
 
+def reliability(spark: SparkSession, scores: str, sims: int = 1000) -> tuple[list[dict], list[dict]]:
+    """Bins of a scores file's points and the ranges that calibrated ones would show; empty without points."""
+    points = jsonl.read_points(spark, scores)
+    if points.isEmpty():
+        return [], []
+    bands = _rows(simulate.consistency_bands(points, ["ord"], bootstrap.SEED, sims).orderBy("bin"))
+    return bands, bands
+
+
 def calibration(spark: SparkSession, scores: str, max_error: float = 0.05) -> dict:
     """Platt fit, metrics before and after, and the selective threshold on calibrated confidences."""
     points = jsonl.read_points(spark, scores)
