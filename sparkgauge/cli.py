@@ -1,4 +1,5 @@
-"""Command line: run, matrix, score, fabrication, report, ci, calibrate, curves, probes, corpora, dataset, dataset-check.
+"""Command line: run, matrix, score, fabrication, report, ci, calibrate, curves, probes, probes-verify,
+probes-strike, corpora, dataset, dataset-check.
 
 Exit codes: 0 done, 1 a gate or check failed, 2 wrong usage or input, 3 no number can be given.
 """
@@ -19,7 +20,7 @@ from .plans import matrix, report, score
 from .plans import run as runs
 from .sources import discovery, jsonl, sinks
 from .sources.jsonl import InputError
-from .sources.sinks import same_rows, write_json
+from .sources.sinks import write_json
 
 
 def number(text: str) -> float:
@@ -52,15 +53,68 @@ def parser() -> argparse.ArgumentParser:
     verb("ci", scores=need, min_f1={"type": number} | need, max_ece={"type": number} | need, baseline={}, eps_f1={"type": number, "default": 0.005}, eps_ece={"type": number, "default": 0.005})
     verb("calibrate", scores=need, max_error={"type": number, "default": 0.05})
     verb("curves", manifest=need)
-    verb("matrix", config=need, documents=need)
+    verb("matrix", config=need, documents=need, goldens={}, fixtures={}, out={})
     verb("dataset-check", a=need, b=need)
     verb("run", golden=need, adapter=need, fixtures=need, out=need, repeat={"type": int, "default": 1}, limit={"type": int}, resume_open={"action": "store_true"})
-    verb("probes", schemas=need, seed={"type": int, "default": 20260712}, out=need)
+    verb("probes", schemas=need, golden=some, seed={"type": int, "default": 20260712}, out=need)
+    verb("probes-verify", probes=need, texts=need, out=need)
+    verb("probes-strike", probes=need, worksheet=need, out=need)
     verb("corpora", golden=need, pages=need, out=need)
-    verb("dataset", golden=many, predictions=many, strikes={}, arm=need, run_pass={"default": "main", "choices": ["main", "probe"]}, denylist={}, out=need)
+    verb("dataset", golden=many, predictions=many, strikes={}, arm=need, run_pass={"default": "main", "choices": ["main", "probe"]}, denylist={}, probes={}, own_domain={}, out=need)
     return p
 
 
+def recorded_answers(spark: SparkSession, folder: str | Path):
+    """Answers from a folder of recorded ones, a file each."""
+    recorded = {r.name: r.response for r in adapters.fixtures(spark, str(folder)).collect()}
+
+    def answer(unit: dict) -> dict:
+        if unit["doc"] not in recorded:
+            raise ValueError(f"no recorded answer for {unit['doc']}")
+        return json.loads(recorded[unit["doc"]])
+
+    return answer
+
+
+def read_selection(path: str) -> dict[str, list[tuple[str, str]]]:
+    said = json.loads(Path(path).read_text())
+    if said.get("formatVersion") != 1:
+        raise score.UsageError(f"{path}: format version 1 is needed")
+    return {c: [(p["field"], p["sourceClass"]) for p in v] for c, v in said["probes"].items()}
+
+
+def probe_table(spark: SparkSession, drawn: dict[str, list[tuple[str, str]]]):
+    return spark.createDataFrame([(c, f, s) for c, v in drawn.items() for f, s in v], "doc_class string, field string, source_class string")
+
+
+def execute_matrix(spark: SparkSession, plan: list[dict], goldens: Path, fixtures: Path, out: Path) -> dict:
+    """Planned cells against recorded answers (``fixtures/<arm>``): runs, scores by repeat, summaries, manifest, cost log."""
+    place = lambda cell: out / cell["arm"] / cell["doc_class"] / cell["pass"]
+
+    def run_cell(cell: dict) -> int:
+        try:
+            config = runs.RunConfig(str(goldens / cell["golden"]), cell["adapter"], str(place(cell)), cell["repeats"])
+            return 0 if runs.run(spark, config, recorded_answers(spark, fixtures / cell["arm"]))["status"] == "complete" else 3
+        except (ValueError, OSError) as e:
+            print(f"matrix: {cell['arm']}/{cell['doc_class']}/{cell['pass']}: {e}", file=sys.stderr)
+            return 2
+
+    def score_cell(cell: dict, repeat: int, kind: str) -> dict:
+        rules = goldens / f"normalizers.{cell['doc_class']}.json"
+        found = score.score(spark, str(goldens / cell["golden"]), str(place(cell) / f"predictions.repeat-{repeat:03}.jsonl"), str(rules) if rules.is_file() else None)
+        write_json(place(cell) / f"scores.{kind}.repeat-{repeat:03}.json", found)
+        return found
+
+    def about(cell: dict) -> dict | None:
+        path = place(cell) / "run-manifest.json"
+        if not path.is_file():
+            return None
+        m = json.loads(path.read_text())
+        return {"commit": m["code"]["commit"], "missing": m["missingFields"], "spend": cell.get("expected_usd"), "startedAt": None}
+
+    return matrix.execute(plan, run_cell, score_cell, out, about)
+
+
 def main(argv: list[str] | None = None) -> int:
     try:
         args = parser().parse_args(argv)
@@ -114,16 +168,18 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         c = json.loads(Path(args.config).read_text())
         arms = tuple(matrix.Arm(a["id"], a["adapter"], a.get("usdPerUnit"), tuple(a.get("extraArgs", ()))) for a in c["armModes"])
         m = matrix.Matrix(arms, tuple(c["classes"]), c.get("repeats", 3), tuple(c.get("passes", matrix.PASSES)), c.get("capBranch", "unresolved"))
-        for r in matrix.cells(spark, m, spark.read.json(args.documents)).collect():
-            print(json.dumps(r.asDict()))
+        plan = [r.asDict() for r in matrix.cells(spark, m, spark.read.json(args.documents)).collect()]  # tens of cells
+        if args.out is None:
+            for cell in plan:
+                print(json.dumps(cell))
+        else:
+            if args.goldens is None or args.fixtures is None:
+                raise score.UsageError("--out needs --goldens and --fixtures")
+            done = execute_matrix(spark, plan, Path(args.goldens), Path(args.fixtures), Path(args.out))
+            print(json.dumps(done))
+            return 0 if all(c["status"] == "completed" for c in done["cells"]) else 1
     elif args.verb == "run":
-        recorded = {r.name: r.response for r in adapters.fixtures(spark, args.fixtures).collect()}  # recorded answers, a file each
-
-        def answer(unit: dict) -> dict:
-            if unit["doc"] not in recorded:
-                raise ValueError(f"no recorded answer for {unit['doc']}")
-            return json.loads(recorded[unit["doc"]])
-
+        answer = recorded_answers(spark, args.fixtures)
         health = runs.run(spark, runs.RunConfig(args.golden, args.adapter, args.out, args.repeat, limit=args.limit, resume_open=args.resume_open), answer)
         print(json.dumps(health))
         return 0 if health["status"] == "complete" else 1
@@ -135,6 +191,27 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         (out / "probes.json").write_text(probes.selection_json(drawn, args.seed) + "\n")
         for c, found in drawn.items():
             (out / f"{c}.probe.schema.json").write_text(corpora.format_schema(probes.probe_schema(schemas[c], found)) + "\n")
+        if args.golden:
+            goldens = probes.probe_goldens(jsonl.read_goldens(spark, args.golden), probe_table(spark, drawn))
+            for c in drawn:
+                lines = goldens.filter(F.col("doc_class") == c).groupBy("doc", "doc_class").agg(F.sort_array(F.collect_list("field")).alias("f")).orderBy("doc").toLocalIterator()
+                text = "".join(json.dumps({"doc": r.doc, "docClass": c, "fields": {f: {"state": "missing"} for f in r.f}}) + "\n" for r in lines)
+                (out / f"golden.{c}.probe.jsonl").write_text(text)
+            (out / "WORKSHEET.md").write_text("\n".join(probes.worksheet(goldens)) + "\n")
+    elif args.verb == "probes-verify":
+        named = probe_table(spark, read_selection(args.probes))
+        hits = probes.text_hits(spark.read.schema("doc_class string, doc string, text string").json(args.texts), named)
+        found = [r.asDict() for r in hits.orderBy("doc_class", "doc", "field").collect()]  # a few: probes are absent by design
+        write_json(args.out, {"formatVersion": 1, "hits": found})
+        return 1 if found else 0
+    elif args.verb == "probes-strike":
+        selection = read_selection(args.probes)
+        struck = probes.strikes(jsonl.read_worksheet(spark, args.worksheet))
+        left = {(r.doc_class, r.field) for r in probes.struck_probes(probe_table(spark, selection), struck).collect()}
+        out = Path(args.out)
+        out.mkdir(parents=True, exist_ok=True)
+        (out / "probes.json").write_text(probes.selection_json({c: [x for x in v if (c, x[0]) in left] for c, v in selection.items()}, json.loads(Path(args.probes).read_text())["seed"]) + "\n")
+        write_json(out / "strikes.json", {"formatVersion": 1, "struck": [{"docClass": r.doc_class, "field": r.field, "documents": r.documents} for r in struck.orderBy("doc_class", "field").collect()]})
     elif args.verb == "corpora":
         goldens = jsonl.read_goldens(spark, args.golden)
         counts = corpora.corpus_counts(goldens, spark.read.json(args.pages)).collect()  # a row a class
@@ -151,12 +228,15 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         rows = dataset.prediction_rows(judge.cell_records(goldens, records), struck, args.arm, args.run_pass)
         extra = sinks.denylist(Path(args.denylist).read_text()) if args.denylist else None
         try:
-            sinks.write_dataset({"predictions": rows, "audit": dataset.audit_rows(goldens, struck)}, args.out, {"predictions": ["doc_class", "doc", "repeat", "field"], "audit": ["doc_class", "doc", "field"]}, extra)
+            tables, order = {"predictions": rows, "audit": dataset.audit_rows(goldens, struck)}, {"predictions": ["doc_class", "doc", "repeat", "field"], "audit": ["doc_class", "doc", "field"], "probes": ["doc_class", "field"]}
+            if args.probes:
+                tables["probes"] = dataset.probe_rows(probe_table(spark, read_selection(args.probes)), struck)
+            sinks.write_dataset(tables, args.out, order, sinks.sweeps(args.own_domain, extra))
         except ValueError as e:
             print(f"dataset: {e}", file=sys.stderr)
             return 1
     else:
-        return 0 if same_rows(spark.read.text(args.a), spark.read.text(args.b)) else 1
+        return 0 if sinks.content_digest(args.a) == sinks.content_digest(args.b) else 1
     return 0
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runlog
 from ..operators.adapters import run_extraction
+from ..operators.requests import check_fields
 from ..sources import checkpoint, jsonl
 from ..sources.checkpoint import Lease, durable_append, durable_write
 from ..sources.sinks import write_json
@@ -54,6 +55,17 @@ def code_state(folder: str | Path = ".") -> str:
     return head.stdout.strip() + ("+changes" if git("status", "--porcelain").stdout.strip() else "")
 
 
+def fit_to_record(extract: Callable[[dict], dict]) -> Callable[[dict], dict]:
+    """The same, with answers that may not be recorded as contract failures."""
+
+    def checked(unit: dict) -> dict:
+        fields = extract(unit)
+        check_fields(fields)
+        return fields
+
+    return checked
+
+
 def _planned(goldens: DataFrame) -> DataFrame:
     return goldens.groupBy("doc_class", "doc").agg(F.min("doc_ord").alias("doc_ord"))
 
@@ -98,7 +110,7 @@ def run(spark: SparkSession, config: RunConfig, extract: Callable[[dict], dict],
         units = left.toLocalIterator(prefetchPartitions=True)
         while wave := [u for _, u in zip(range(config.wave), units, strict=False)]:
             rows = spark.createDataFrame(wave, left.schema).repartition(min(len(wave), spark.sparkContext.defaultParallelism))
-            for r in sorted(run_extraction(rows, extract, config.retries).collect(), key=lambda r: (r.repeat, r.doc_ord)):
+            for r in sorted(run_extraction(rows, fit_to_record(extract), config.retries).collect(), key=lambda r: (r.repeat, r.doc_ord)):
                 durable_append(log_path, {
                     "kind": "prediction", "doc": r.doc, "docClass": r.doc_class, "repeat": r.repeat, "fields": json.loads(r.response) if r.response else {},
                     "availability": r.availability, "requestAttempts": r.request_attempts, "transportRetries": r.request_attempts - 1, **({"error": r.error} if r.error else {}),
@@ -126,6 +138,13 @@ def _finish(spark: SparkSession, config: RunConfig, planned: DataFrame, mark: st
     frame = spark.createDataFrame([(r["repeat"], i, r["availability"]) for i, r in enumerate(rows)], "repeat int, seq int, availability string")
     health = runlog.health(frame, len(order) * config.repeats, limit, ["seq"]) | {"status": status, "adapter": config.adapter}
     write_json(out / "run-health.json", health)
+    durable_write(out / "run-events.jsonl", "".join(json.dumps(e) + "\n" for e in log.events))
+    state, meta = log.header["codeState"], {"startedAt": log.header["startedAt"], "completedAt": datetime.now(UTC).isoformat() if status == "complete" else None}
+    gaps = [k for k, v in (meta | {"spend": config.usd_per_unit, "code.commit": None if state == "none" or state.endswith("+changes") else state}).items() if v is None]
+    write_json(out / "run-manifest.json", {
+        "formatVersion": 1, "adapter": config.adapter, "fingerprint": mark, "code": {"commit": state.removesuffix("+changes"), "dirty": state.endswith("+changes")},
+        "goldenSha256": hashlib.sha256(Path(config.golden).read_bytes()).hexdigest() if Path(config.golden).is_file() else None, "planned": len(order) * config.repeats, "status": status, "missingFields": gaps,
+    })
     write_json(out / "run-meta.json", {"fingerprint": mark, "startedAt": log.header["startedAt"], "completedAt": datetime.now(UTC).isoformat() if status == "complete" else None, "codeState": log.header["codeState"], "config": asdict(config), "events": log.events})
     return health
 

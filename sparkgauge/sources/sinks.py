@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from pathlib import Path
@@ -62,6 +63,16 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def content_digest(folder: str | Path) -> str:
+    """SHA-256 of the bytes of a table's parts, in the order of their names; a single file is its own only part."""
+    path, digest = Path(folder), hashlib.sha256()
+    for part in sorted(path.glob("part-*")) if path.is_dir() else [path]:
+        with part.open("rb") as f:
+            while block := f.read(1 << 20):
+                digest.update(block)
+    return digest.hexdigest()
+
+
 def write_repeats(records: DataFrame, folder: str) -> None:
     """Predictions by repeat, one folder a repeat, ordered by document."""
     lines = records.select("repeat", "doc_ord", F.to_json(F.struct(*[c for c in records.columns if c != "doc_ord"])).alias("value"))
