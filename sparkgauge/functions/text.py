@@ -77,16 +77,26 @@ def currency_form(c: Column) -> Column:
     Currency signs and white space go; commas count only as thousands separators; a minus
     sign or parentheses negate; minus zero is zero.
     """
-    bare = F.regexp_replace(c, f"[\\p{{Sc}}{JS_SPACES}]", "")
-    inner = F.regexp_extract(bare, "^\\((.*)\\)$", 1)
-    negative = (bare.rlike("^\\(.*\\)$")) | bare.startswith("-")
-    body = F.regexp_replace(F.when(bare.rlike("^\\(.*\\)$"), inner).otherwise(bare), "^-", "")
-    valid = body.rlike("^([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\\.[0-9]+)?$") | body.rlike("^\\.[0-9]+$")
-    plain = F.replace(body, F.lit(","), F.lit(""))
-    whole = F.regexp_replace(F.regexp_extract(plain, "^([0-9]*)", 1), "^0+(?=[0-9])", "")
-    part = F.regexp_replace(F.regexp_extract(plain, "\\.([0-9]+)$", 1), "0+$", "")
-    digits = F.concat(F.when(whole == "", F.lit("0")).otherwise(whole), F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)))
-    return F.when(valid, F.when(negative & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits))
+    valid = "^([0-9]+|[0-9]{1,3}(,[0-9]{3})+)(\\.[0-9]+)?\\z|^\\.[0-9]+\\z"
+
+    def decimal(parts: Column, negative: Column) -> Column:
+        whole = F.regexp_replace(F.get(parts, F.lit(0)), "^0+(?=[0-9])", "")
+        rest = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "0+\\z", "")
+        digits = F.concat(F.when(whole == "", F.lit("0")).otherwise(whole), F.when(rest == "", F.lit("")).otherwise(F.concat(F.lit("."), rest)))
+        return _let(digits, lambda d: F.when(negative & (d != "0"), F.concat(F.lit("-"), d)).otherwise(d))
+
+    def amount(bare: Column) -> Column:
+        inside = bare.startswith("(") & bare.endswith(")") & (F.length(bare) > 1)
+        body = F.regexp_replace(F.when(inside, bare.substr(F.lit(2), F.length(bare) - 2)).otherwise(bare), "^-", "")
+        plain = lambda x: F.split(F.replace(x, F.lit(","), F.lit("")), "\\.", -1)
+        return _let(body, lambda x: F.when(x.rlike(valid), decimal(plain(x), inside | bare.startswith("-"))))
+
+    return _let(F.regexp_replace(c, f"[\\p{{Sc}}{JS_SPACES}]", ""), amount)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: as a column it would be copied to each place in it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 #: Months by their first three letters, in order.
@@ -99,20 +109,21 @@ MONTH_NAMES = (
 
 def date_form(c: Column) -> Column:
     """ISO date of ``2024-01-31``, ``1/31/24``, ``01/31/2024``, ``Jan 31, 2024`` and the like; null if it is no date."""
-    t = collapse(c)
-    iso = F.regexp_extract(t, "^([0-9]{4}-[0-9]{2}-[0-9]{2})$", 1)
-    us = "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})$"
-    named = f"^(?i)({MONTH_NAMES})\\.? ([0-9]{{1,2}}),? ([0-9]{{4}})$"
-    year = F.regexp_extract(t, us, 3)
-    full = F.when(F.length(year) == 4, year).when(year < "50", F.concat(F.lit("20"), year)).otherwise(F.concat(F.lit("19"), year))
+    us = "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}|[0-9]{2})\\z"
+    named = f"^(?i)({MONTH_NAMES})\\.? ([0-9]{{1,2}}),? ([0-9]{{4}})\\z"
     two = lambda x: F.lpad(x, 2, "0")
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(F.regexp_extract(t, named, 1), 1, 3)))
-    found = (
-        F.when(iso != "", iso)
-        .when(t.rlike(us), F.concat_ws("-", full, two(F.regexp_extract(t, us, 1)), two(F.regexp_extract(t, us, 2))))
-        .when(t.rlike(named), F.concat_ws("-", F.regexp_extract(t, named, 3), two(month.cast("string")), two(F.regexp_extract(t, named, 2))))
-    )
-    return F.date_format(F.try_to_date(found, "yyyy-MM-dd"), "yyyy-MM-dd")
+
+    def iso_of(t: Column) -> Column:
+        full = lambda y: F.when(F.length(y) == 4, y).when(y < "50", F.concat(F.lit("20"), y)).otherwise(F.concat(F.lit("19"), y))
+        year = _let(F.regexp_extract(t, us, 3), full)
+        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(t, 1, 3)))
+        return (
+            F.when(t.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}\\z"), t)
+            .when(t.rlike(us), F.concat_ws("-", year, two(F.regexp_extract(t, us, 1)), two(F.regexp_extract(t, us, 2))))
+            .when(t.rlike(named), F.concat_ws("-", F.regexp_extract(t, named, 3), two(month.cast("string")), two(F.regexp_extract(t, named, 2))))
+        )
+
+    return F.date_format(F.try_to_date(_let(collapse(c), iso_of), "yyyy-MM-dd"), "yyyy-MM-dd")
 
 
 def normal_form(kind: Column, value: Column) -> Column:

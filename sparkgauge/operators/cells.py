@@ -40,8 +40,9 @@ def _form(kind: Column, value_json: Column) -> Column:
 
 def correctness(cells: DataFrame, kind: Column | None = None) -> DataFrame:
     """Adds ``correct``: a present gold needs an equal present value, another gold needs none."""
-    kind = F.lit(None).cast("string") if kind is None else kind
-    equal = equal_values(_form(kind, F.col("pred_json")), _form(kind, F.col("gold_json")))
+    alike = equal_values(F.col("pred_json"), F.col("gold_json"))
+    # equal values have equal forms, so forms are made only of those that differ
+    equal = alike if kind is None else F.when(alike, True).otherwise(F.when(kind.isNull(), False).otherwise(equal_values(_form(kind, F.col("pred_json")), _form(kind, F.col("gold_json")))))
     return cells.withColumn(
         "correct",
         F.when(F.col("gold_state") == "present", (F.col("pred_state") == "present") & equal).otherwise(F.col("pred_state") != "present"),
@@ -72,9 +73,11 @@ def score_table(cells: DataFrame, by: list[str]) -> DataFrame:
 
 def dual_columns(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """Cells counted twice, ``column`` strict and normalized, in one pass."""
-    ruled = with_rules(cells, rules)
-    both = ruled.withColumn("column", F.explode(F.array(F.lit("strict"), F.lit("normalized"))))
-    return confusion(correctness(both, F.when(F.col("column") == "normalized", F.col("kind"))))
+    ruled = correctness(with_rules(cells, rules)).withColumnRenamed("correct", "_strict")
+    ruled = correctness(ruled, F.col("kind")).withColumnRenamed("correct", "_normalized")
+    # both verdicts are made before rows are doubled
+    sides = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{c}").alias("correct")) for c in ("strict", "normalized")])
+    return confusion(ruled.withColumn("_side", F.explode(sides)).select("*", "_side.column", "_side.correct").drop("_side", "_strict", "_normalized"))
 
 
 def unmatched(goldens: DataFrame, predictions: DataFrame) -> DataFrame:
