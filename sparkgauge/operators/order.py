@@ -11,14 +11,22 @@ from pyspark.storagelevel import StorageLevel
 _PLACE = 33
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows however often they are read: a reliable checkpoint in the shared folder, which a lost executor does not touch;
+    where none is set (a single machine) they are kept by the session."""
+    if rows.sparkSession.sparkContext.getCheckpointDir():
+        return rows.checkpoint()
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def numbered_rows(rows: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
     """Adds ``r`` (from 0, by ``order``) and ``n`` within each group of ``by``, and ``before``: the rows of all smaller groups.
 
     Rows are sorted over the cluster by range, then numbered inside their partitions; counts of partitions and of groups turn that into
-    places.  No task holds more than a range, however many rows a group or a value has.  The sorted rows are kept, as
+    places.  No task holds more than a range, however many rows a group or a value has.  The sorted rows are settled first, as
     two passes over them must see the same ranges.
     """
-    placed = rows.orderBy(*by, *order).withColumn("_id", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    placed = settled(rows.orderBy(*by, *order).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", _PLACE).alias("_part")
     # a row a partition
     parts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
