@@ -407,6 +407,88 @@ def test_pipeline(spark, tmp_path):
     assert now.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
 
 
+def near_groups(rows):
+    """Smallest id of each document's group, by all pairs: five words, 7 bits and 18 further ones."""
+    import re
+
+    import xxhash
+
+    def bits(text, seed):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        runs = [" ".join(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) > 4 else [" ".join(words)] if words else []
+        h = [xxhash.xxh64_intdigest(x.encode(), seed) for x in runs]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    two = {i: (bits(t, 42), bits(t, 43)) for i, t in rows}
+    far = lambda a, b: bin(a ^ b).count("1")
+    edges = [(a, b) for a, b in itertools.combinations(sorted(two), 2) if far(two[a][0], two[b][0]) <= 7 and (far(two[a][1], two[b][1]) <= 18 or two[a][0] == two[b][0])]
+    return {**{i: i for i in two}, **union_find(edges)}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
+    """run() against plain Python, stage by stage; the network is fitted once and shared."""
+    import zlib
+    from collections import Counter
+
+    from test_rows import WORD, brute_targets, plain, repeated_runs
+
+    r = np.random.default_rng(21)
+    rows = list(corpus(160))
+    shared = "a passage of some length that several of the documents hold, word for word"
+    texts = {i: t + ("\n" + shared if i % 9 == 1 else "") for i, t, _ in rows}
+    for k, i in enumerate((1, 2, 3, 5, 6)):
+        texts[500 + k] = texts[i]
+        words = texts[i].split(" ")
+        words[len(words) // 2] = "other"
+        texts[600 + k] = " ".join(words)
+    texts |= {700: "", 701: " ", 702: "kurz"}
+    docs = [(i, t, "en", f"s{int(r.integers(0, 4))}", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    net = toxicity.train([t for _, t, _ in rows[:100]], [y for _, _, y in rows[:100]], toxicity.Limits(epochs=3))
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **k: net)
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    # toxicity: the largest logit of a text's windows
+    def is_toxic(text):
+        words = text.lower().split()
+        logit = max(plain_logit(net, words[s : s + toxicity.WINDOW]) for s in toxicity.windows(len(words))) if words else None
+        return logit is not None and net.slope * logit + net.shift >= 0
+
+    kept = {i: t for i, t in texts.items() if not is_toxic(t)}
+    assert 0 < len(kept) < len(texts)
+    # line dedup
+    gone = repeated_runs(list(kept.items()))
+    kept = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in kept.items()}
+    # near duplicates
+    group = near_groups(list(kept.items()))
+    kept = {i: t for i, t in kept.items() if group[i] == i}
+    # mixing: every document whole, 0 to 3 times; sources near their targets
+    sources = {i: s for i, _, _, s, _ in docs}
+    size = {i: len(t.split()) for i, t in kept.items()}
+    copies = {}
+    ids = {i: np.append(plain(WORD, t), 2).astype("<u4") for i, t in kept.items()}
+    assert {p.doc_id for p in pieces} <= set(kept)
+    for i in kept:
+        own = [p for p in pieces if p.doc_id == i]
+        assert all(p.doc_tokens == len(ids[i]) and zlib.crc32(ids[i][p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in own)
+        n, left = divmod(sum(p.length for p in own), len(ids[i]))
+        copies[i] = n
+        assert left == 0
+        assert n <= 3
+        assert Counter(x for p in own for x in range(p.start, p.start + p.length)) == (Counter({x: n for x in range(len(ids[i]))}) if n else Counter())
+    targets = brute_targets({s: sum(size[i] for i in kept if sources[i] == s) for s in {sources[i] for i in kept}})
+    for s, target in targets.items():
+        assert abs(sum(copies[i] * size[i] for i in kept if sources[i] == s) - target) <= max(size[i] for i in kept if sources[i] == s)
+    # packing: sequences without gaps
+    for q in {p.sequence_id for p in pieces}:
+        at = 0
+        for p in sorted((p for p in pieces if p.sequence_id == q), key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 4096
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
