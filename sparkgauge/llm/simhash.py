@@ -40,8 +40,8 @@ NEAR_RADIUS = 7
 NEAR_CHECK = 18
 #: The largest threshold tried for one part.
 MAX_THRESHOLD = 2
-#: Values of a part are counted in so many cells (their low bits), so counts have a fixed size.
-COUNT_BITS = 16
+#: Values of a part are counted in 2^COUNT_BITS cells (by their low bits, and by their hash), so counts have a fixed size.
+COUNT_BITS = 12
 #: Fingerprints of a block in a large bucket.
 BLOCK = 2048
 #: Candidate pairs verified at once.
@@ -244,7 +244,7 @@ def block_counts(counts: np.ndarray, width: int) -> np.ndarray:
 
 
 def _counts(nodes: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
-    """Fingerprints by the low bits of each part's value, then by the hash of each part's value: at most 65,536 numbers each."""
+    """Fingerprints by the low bits of each part's value, then by the hash of each part's value: at most 4,096 numbers each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2 * len(groups), 1 << COUNT_BITS), dtype=np.int64)

@@ -107,7 +107,7 @@ def test_blocks_follow_true_buckets():
     assert simhash.block_counts(sparse, 32).max() <= 1
     sparse[77] += 10 * simhash.BLOCK
     assert simhash.block_counts(sparse, 32)[77] >= 10
-    assert simhash.block_counts(np.full(1 << 16, 3 * simhash.BLOCK), 16).max() == 3
+    assert simhash.block_counts(np.full(1 << simhash.COUNT_BITS, 3 * simhash.BLOCK), simhash.COUNT_BITS).max() == 3
 
 
 @pytest.mark.parametrize("radius", [3, 7])
