@@ -76,8 +76,9 @@ def test_thresholds_sum_and_spare_common_values():
         groups = simhash.group_bits(np.abs(np.eye(64)), m)
         assert sorted(b for g in groups for b in g) == list(range(64))
         values = simhash.part_values(fp, groups)
-        counts = [np.ones(1 << 16, dtype=np.int64) for _ in groups]
-        counts[0][:] = 100_000
+        counts = [np.ones(1 << simhash.COUNT_BITS, dtype=np.int64) for _ in groups]
+        # as many fingerprints of each of the first part's values as for 65,536 cells of 100,000
+        counts[0][:] = 100_000 << (16 - simhash.COUNT_BITS)
         chosen = simhash.allocate(values, [simhash.estimates(c, len(g)) for c, g in zip(counts, groups, strict=True)], [len(g) for g in groups])
         assert (chosen.sum(axis=0) == 3 - m + 1).all()
         if m > 2:
