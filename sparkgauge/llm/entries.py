@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from .collocations import mine_collocations
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .line_dedup import dedup_lines
@@ -76,6 +77,10 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_slots(read_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_phrase_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_balance": op1_entropy_balance,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_harmonic_packing": op8_harmonic_packing,
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_virtual_slots": op10_virtual_slots,
+    "op11_phrase_hashing": op11_phrase_hashing,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]
