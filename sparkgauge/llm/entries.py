@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from .collocations import mine_collocations
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .lexical import rank_documents
 from .line_dedup import dedup_lines
 from .mixing import mix
 from .neighbours import nearest
 from .oracles import ORACLE_SQL
 from .packing import harmonic_pack
+from .quality import score_quality
 from .secrets import secrets_digest
 from .sharding import shard_by_slots
 from .simhash import near_duplicates
@@ -81,6 +83,14 @@ def op11_phrase_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_entropy_balance": op1_entropy_balance,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_entropy_secrets": op9_entropy_secrets,
     "op10_virtual_slots": op10_virtual_slots,
     "op11_phrase_hashing": op11_phrase_hashing,
+    "op12_random_indexing": op12_random_indexing,
+    "op13_bit_sliced": op13_bit_sliced,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES", "vocabulary"]

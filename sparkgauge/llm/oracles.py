@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .collocations import oracle_sql as collocations_sql
 from .exact_dedup import ORACLE_SQL as EXACT
+from .lexical import oracle_sql as lexical_sql
 from .line_dedup import WINDOW_CHARS
 from .secrets import ACCESS, ASSIGN, ASSIGN_VALUE_CHARS, HEX, EntropyRules
 
@@ -79,4 +80,4 @@ FROM documents d LEFT JOIN named n USING (doc_id) GROUP BY 1
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op4_line_winnowing": LINES, "op6_cuckoo_dedup": EXACT, "op9_entropy_secrets": secrets_sql(), "op11_phrase_hashing": collocations_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_line_winnowing": LINES, "op6_cuckoo_dedup": EXACT, "op9_entropy_secrets": secrets_sql(), "op11_phrase_hashing": collocations_sql(), "op13_bit_sliced": lexical_sql()}

@@ -20,11 +20,14 @@ def tables():
 def test_query_equals_its_sql(spark, tmp_path, name):
     import duckdb
 
-    spark.createDataFrame(tables(), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(d, t, ["en", "de", None][d % 3]) for d, t in tables()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t) for i, t in tables()[::9]], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = QUERIES[name](spark, str(tmp_path))
     columns = sorted(got.columns)
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    c.sql(f"create view benchmark as select * from '{tmp_path}/benchmark.parquet/*.parquet'")
     expected = c.sql(ORACLE_SQL[name])
     assert sorted(expected.columns) == columns
     mine, other = (sorted(map(tuple, x), key=repr) for x in (got.select(*columns).collect(), expected.select(*columns).fetchall()))
