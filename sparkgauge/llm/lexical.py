@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,7 @@ class _Postings:
         place = np.repeat(np.arange(len(self.held)), [len(h[0]) for h in self.held])
         order = np.argsort(term, kind="stable")
         own, first = np.unique(term[order], return_index=True)
-        cuts = list(zip(first, np.append(first[1:], len(term)), strict=True))
+        cuts = list(pairwise([*first, len(term)]))
         place, tf = place[order].astype(np.uint16), tf[order].astype(np.uint32)
         n_docs, n_terms = sum(n > 0 for n in self.sizes), sum(self.sizes)
         one = lambda x, kind: pa.array([x], kind)

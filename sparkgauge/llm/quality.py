@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,7 @@ class ContextSums:
         """The buckets that were met, by block."""
         met = np.flatnonzero(self.table[:, DIM])
         block, first = np.unique(met // BLOCK, return_index=True)
-        cuts = list(zip(first, np.append(first[1:], len(met)), strict=True))
+        cuts = list(pairwise([*first, len(met)]))
         return _sum_rows(block.tolist(), [met[a:b] % BLOCK for a, b in cuts], [self.table[met[a:b]] for a, b in cuts])
 
 
@@ -156,7 +157,7 @@ def context_table(docs: DataFrame) -> np.ndarray:
     if n > 4 * blocks:  # many tasks send every block, so a block is summed in parts first
         rows = rows.repartition(n, "block", F.pmod(F.spark_partition_id(), F.lit(n // blocks))).mapInArrow(_add_blocks, _SUMS)
     out = np.zeros((_BUCKETS, DIM + 1), dtype=np.int64)
-    for r in rows.repartition(min(n, blocks), "block").mapInArrow(_add_blocks, _SUMS).toLocalIterator():
+    for r in rows.repartition(min(n, blocks), "block").mapInArrow(_add_blocks, _SUMS).collect():
         place, own = _open(r)
         out[r.block * BLOCK + place.astype(np.int64)] += own
     return out

@@ -54,7 +54,7 @@ def phrases_by_hand(rows, rules):
 def test_phrases_equal_the_definition_and_the_sql(spark, tmp_path, rules):
     import duckdb
 
-    rows = [*texts(), (900, None, "en"), (901, "", None), (902, "of the of the of the " * 60, "en")]
+    rows = [*texts(), (900, None, "en"), (901, "", None), (902, "of the of the of the " * 120, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
     got = as_rows(collocations.mine_collocations(docs, rules), *PHRASES)
     assert got == phrases_by_hand(rows, rules)
