@@ -1,7 +1,7 @@
 """Phrases of words that occur together more often than their parts tell, mined pass by pass with hashed buckets.
 
-Pass k reads the texts once.  It counts exactly those k-word phrases that may be frequent, and counts all phrases of k + 1
-words that may be frequent in a table of buckets.  A phrase may be frequent if both its parts of k - 1 words are (they are looked
+Pass k reads the texts once.  It counts exactly those k-word phrases that may be frequent, counts all phrases of k + 1
+words that may be frequent in a table of buckets, and from the second pass on leaves to the next only the runs of words that such phrases cover.  A phrase may be frequent if both its parts of k - 1 words are (they are looked
 up in a bit table of all frequent ones) and if the bucket that it fell into in the pass before reached the threshold.
 Both tables only ever let too many phrases through: what is counted is counted by its words, so hashes
 decide on cost, never on a result.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import count
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -82,33 +82,49 @@ def _power(wanted: float, most: int) -> int:
 
 
 class _Chunk:
-    """Tokens of some documents: ids of (lang, word), with an end after each piece."""
+    """Tokens of some documents, language by language: ids of (lang, word), with an end after each piece."""
 
     def __init__(self, rows: list[tuple[bytes, bytes]]):
-        number = count(2)
-        known: dict[bytes, defaultdict] = {}
-        parts = []
+        number, parts = count(2), []
+        self.spans: list[tuple[bytes, int, int]] = []
+        own: dict[bytes, list[bytes]] = {}
         for lang, text in rows:
-            if lang not in known:
-                known[lang] = defaultdict(number.__next__, {b"\n": _END, b"": _NONE})
-            words = text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
-            parts.append(np.fromiter(map(known[lang].__getitem__, words), dtype=np.int32, count=len(words)))
-            parts.append(np.zeros(1, dtype=np.int32))
-        ids = np.concatenate(parts)
-        ids = ids[ids != _NONE]
-        # an end after an end parts nothing
-        self.ids = ids[np.append(True, (ids[1:] != _END) | (ids[:-1] != _END))]
-        self.size = next(number)
-        self.words: list[bytes] = [b""] * self.size
-        self.langs: list[bytes] = [b""] * self.size
-        self.hashes = np.zeros(self.size, dtype=np.uint64)
-        for lang, own in known.items():
-            for word, i in own.items():
-                if i > _NONE:
-                    self.words[i], self.langs[i], self.hashes[i] = word, lang, _word_hash(lang, word)
+            own.setdefault(lang, []).append(text)
+        named: list[tuple[bytes, bytes]] = [(b"", b"\n"), (b"", b"")]
+        at = 0
+        for lang, texts in own.items():
+            known = defaultdict(number.__next__, {b"\n": _END, b"": _NONE})
+            words = b"\n".join([*texts, b""]).translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
+            ids = np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
+            ids = ids[ids != _NONE]
+            # an end after an end parts nothing
+            ids = ids[np.append(True, (ids[1:] != _END) | (ids[:-1] != _END))]
+            parts.append(ids)
+            self.spans.append((lang, at, at + len(ids)))
+            at += len(ids)
+            named += [(lang, w) for w in list(known)[2:]]
+        self.ids = np.concatenate(parts)
+        self.langs, self.words = zip(*named, strict=True)
+        self.size = len(named)
+        self.hashes = np.fromiter((_word_hash(*x) for x in named), dtype=np.uint64, count=len(named))
         ends = np.flatnonzero(self.ids == _END)
         self.room = np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(len(self.ids))
 
+    def kept(self, at: np.ndarray, k: int) -> tuple[list[bytes], list[bytes]]:
+        """For each language the words that phrases of k words at ``at`` cover, with an end wherever one was left out."""
+        change = np.zeros(len(self.ids) + 1, dtype=np.int32)
+        np.add.at(change, at, 1)
+        np.add.at(change, at + k, -1)
+        covered = np.cumsum(change[:-1]) > 0
+        langs, texts = [], []
+        for lang, a, b in self.spans:
+            place = a + np.flatnonzero(covered[a:b])
+            if len(place):
+                ids = np.insert(self.ids[place], np.flatnonzero(np.diff(place) > 1) + 1, _END)
+                langs.append(lang)
+                texts.append(b" ".join([self.words[i] for i in ids.tolist()]))
+        return langs, texts
+
     def phrase_hashes(self, most: int) -> list[np.ndarray]:
         """Hashes of the phrases of 1 to ``most`` words that begin at each token."""
         out = [self.hashes[self.ids]]
@@ -118,6 +134,10 @@ class _Chunk:
 
     def counted(self, at: np.ndarray, k: int) -> tuple[list[bytes], list[bytes], np.ndarray]:
         """Languages, phrases and counts of the k words at ``at``, told apart by their ids."""
+        if k == 1:
+            n = np.bincount(self.ids[at], minlength=self.size)
+            own = np.flatnonzero(n).tolist()
+            return [self.langs[i] for i in own], [self.words[i] for i in own], n[own]
         code = self.ids[at].astype(np.int64)
         for j in range(1, k):
             if len(code) and int(code.max()) >= (1 << 62) // self.size:
@@ -142,7 +162,7 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[_Chunk]:
 
 
 def _row(lang=None, phrase=None, n=None, block=None, places=None, counts=None) -> pa.RecordBatch:
-    size = len(n if n is not None else block)
+    size = len(block if lang is None else lang)
     fill = lambda x, kind: pa.nulls(size, kind) if x is None else pa.array(x, kind)
     text = lambda x: fill(x, pa.binary()).cast(pa.string())
     columns = [text(lang), text(phrase), fill(n, pa.int64()), fill(block, pa.int32()), fill(places, pa.binary()), fill(counts, pa.binary())]
@@ -156,7 +176,7 @@ def _blocks(at: np.ndarray, threshold: int) -> pa.RecordBatch:
     block = (place >> np.uint64(BLOCK_BITS)).astype(np.int64)
     low = (place & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.uint16)
     own, first = np.unique(block, return_index=True)
-    cuts = list(zip(first, np.append(first[1:], len(place)), strict=True))
+    cuts = list(pairwise([*first, len(place)]))
     return _row(block=own.astype(np.int32), places=[low[a:b].tobytes() for a, b in cuts], counts=[n[a:b].tobytes() for a, b in cuts])
 
 
@@ -177,7 +197,7 @@ def _table(rows: DataFrame, power: int, salts: tuple[int, ...], threshold: int)
     bits = np.zeros(1 << (power - 3), dtype=np.uint8)
     step = 1 << (BLOCK_BITS - 3)
     spread = rows.select("block", "places", "counts").repartition(min(partitions(rows.sparkSession), 1 << (power - BLOCK_BITS)), "block")
-    for r in spread.mapInArrow(add, "block int, bits binary").toLocalIterator():
+    for r in spread.mapInArrow(add, "block int, bits binary").collect():  # at most 2 ** (max_bits - 3) bytes
         bits[r.block * step : (r.block + 1) * step] = np.frombuffer(r.bits, dtype=np.uint8)
     return BitTable(bits, power, salts)
 
@@ -201,7 +221,7 @@ def _frequent_table(frequent: DataFrame, most: int) -> BitTable:
 
 
 def _pass(docs: DataFrame, k: int, rules: Rules, power: int, parts: BitTable | None, buckets: BitTable | None) -> DataFrame:
-    """Counts of phrases of k words, and buckets of those of k + 1, in one reading of the texts."""
+    """Counts of phrases of k words, buckets of those of k + 1, and the texts that are left, in one reading."""
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast((parts, buckets))
 
@@ -223,6 +243,8 @@ def _pass(docs: DataFrame, k: int, rules: Rules, power: int, parts: BitTable | N
                 at = np.flatnonzero(may[:-1] & may[1:] & (chunk.room[: n - k] > k))
                 if len(at):
                     yield _blocks(_mixed(h[k][at], k + 1) >> np.uint64(64 - power), rules.threshold)
+                    if k > 1:
+                        yield _row(*chunk.kept(at, k + 1))
 
     return materialise(docs.mapInArrow(run, _RAW), f"phrases-{k}")
 
@@ -236,7 +258,7 @@ def frequent_phrases(docs: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame
     found = []
     for k in range(1, rules.longest + 1):
         raw = _pass(own, k, rules, power, parts, buckets)
-        counts = raw.filter("block is null")
+        counts = raw.filter("count is not null")
         if k == 1:
             n = materialise(counts.groupBy("lang").agg(F.sum("count").alias("n")), "words")
         frequent = counts.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).filter(F.col("f") >= rules.threshold)
@@ -244,6 +266,8 @@ def frequent_phrases(docs: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame
         if k < rules.longest:
             parts = _frequent_table(found[-1], rules.max_bits)
             buckets = _table(raw.filter("block is not null"), power, (k + 1,), rules.threshold)
+        if k > 1:
+            own = raw.filter("count is null and block is null").select("lang", F.col("phrase").alias("text"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
