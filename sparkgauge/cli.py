@@ -15,12 +15,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import adapters, corpora, dataset, judge, probes
-from .plans import matrix, report, score
+from .operators import adapters, corpora, dataset, judge, pdf, probes
+from .plans import corpus, matrix, report, score
 from .plans import run as runs
-from .sources import discovery, jsonl, sinks
+from .sources import digest, discovery, jsonl, sinks
 from .sources.jsonl import InputError
 from .sources.sinks import write_json
+from .sources.store import Store, resolve
 
 
 def number(text: str) -> float:
@@ -53,13 +54,16 @@ def parser() -> argparse.ArgumentParser:
     verb("ci", scores=need, min_f1={"type": number} | need, max_ece={"type": number} | need, baseline={}, eps_f1={"type": number, "default": 0.005}, eps_ece={"type": number, "default": 0.005})
     verb("calibrate", scores=need, max_error={"type": number, "default": 0.05})
     verb("curves", manifest=need)
-    verb("matrix", config=need, documents=need, goldens={}, fixtures={}, out={})
+    flag = {"action": "store_true"}
+    passed_on = {"confirm_spend": flag, "resume_paused": flag, "recover_stale_lock": flag, "allow_commit_drift": flag}
+    verb("matrix", config=need, corpora={}, pdfs={}, documents={}, goldens={}, fixtures={}, out={}, live=flag, cell=some, plan_only=flag, **passed_on)
     verb("dataset-check", a=need, b=need)
-    verb("run", golden=need, adapter=need, fixtures=need, out=need, repeat={"type": int, "default": 1}, limit={"type": int}, resume_open={"action": "store_true"})
+    spend = {"expected_spend_usd": {}, "pricing_basis": {}, "pricing_as_of": {}}
+    verb("run", golden=need, adapter=need, docs={}, fixtures={}, out=need, repeat={"type": int, "default": 1}, limit={"type": int}, live=flag, resume_open=flag, mistral_cap_branch={"choices": matrix.CAP_BRANCHES}, cal_test_manifest=some, commit_sha={}, **spend, **passed_on)
     verb("probes", schemas=need, golden=some, seed={"type": int, "default": 20260712}, out=need)
     verb("probes-verify", probes=need, texts=need, out=need)
     verb("probes-strike", probes=need, worksheet=need, out=need)
-    verb("corpora", golden=need, pages=need, out=need)
+    verb("corpora", source={}, cal_test={}, manifests={}, **{"class": some}, golden={}, pages={}, out=need)
     verb("dataset", golden=many, predictions=many, strikes={}, arm=need, run_pass={"default": "main", "choices": ["main", "probe"]}, denylist={}, probes={}, own_domain={}, out=need)
     return p
 
@@ -76,6 +80,25 @@ def recorded_answers(spark: SparkSession, folder: str | Path):
     return answer
 
 
+def check_split(spark: SparkSession, golden: str, manifests: list[str] | None, live: bool) -> None:
+    """Split manifests (``class=path``) must name their class; a live run needs one for each class of its golden set."""
+    named = {}
+    for item in manifests or []:
+        c, _, path = item.partition("=")
+        if not c or not path:
+            raise score.UsageError("--cal-test-manifest takes <class>=<path>")
+        said = json.loads(Path(path).read_text())
+        if not isinstance(said, dict) or said.get("class") != c or not isinstance(said.get("calTestGoldenHash"), str):
+            raise score.UsageError(f"{path}: no split manifest of {c}")
+        named[c] = said
+    if live or named:
+        classes = {r.doc_class for r in jsonl.golden_rows(spark, golden).select("doc_class").distinct().collect()}
+        if unknown := set(named) - classes:
+            raise score.UsageError(f"--cal-test-manifest: {min(unknown)} is no class of the golden set")
+        if live and (missing := classes - set(named)):
+            raise score.UsageError(f"--cal-test-manifest is missing for {min(missing)}")
+
+
 def read_selection(path: str) -> dict[str, list[tuple[str, str]]]:
     said = json.loads(Path(path).read_text())
     if said.get("formatVersion") != 1:
@@ -87,32 +110,89 @@ def probe_table(spark: SparkSession, drawn: dict[str, list[tuple[str, str]]]):
     return spark.createDataFrame([(c, f, s) for c, v in drawn.items() for f, s in v], "doc_class string, field string, source_class string")
 
 
-def execute_matrix(spark: SparkSession, plan: list[dict], goldens: Path, fixtures: Path, out: Path) -> dict:
-    """Planned cells against recorded answers (``fixtures/<arm>``): runs, scores by repeat, summaries, manifest, cost log."""
-    place = lambda cell: out / cell["arm"] / cell["doc_class"] / cell["pass"]
+def read_exclusions(folder: Path, classes: list[str]) -> tuple[tuple[str, str], ...]:
+    """Documents beyond the cap, as the corpus build counted them."""
+    path = folder / corpus.COUNTS
+    said = json.loads(path.read_text()) if path.is_file() else None
+    if not isinstance(said, dict) or "classes" not in said:
+        raise score.UsageError(f"{path}: counts of a corpus build are needed for a confirmed cap")
+    return tuple((c, x["doc"]) for c, own in said["classes"].items() if c in classes for x in own.get("conditionalExclusions") or [])
+
+
+def matrix_plan(spark: SparkSession, args: argparse.Namespace) -> tuple[matrix.Matrix, list[dict], Path | None]:
+    """The matrix of a config file, its cells in order, and the corpus folder; all that may be wrong with the inputs is found here."""
+    said, folder = json.loads(Path(args.config).read_text()), None
+    excluded, rules = (), {}
+    known = tuple(adapters.REGISTRY)
+    if args.corpora:
+        folder = resolve(args.corpora)
+        m = matrix.read_config(said, known)
+        if m.cap_branch == "cap-confirmed":
+            excluded = read_exclusions(folder, list(m.classes))
+    elif args.goldens:
+        folder = Path(args.goldens)
+    m = matrix.read_config(said, known, excluded)
+    if args.corpora:
+        parts = []
+        for c in m.classes:
+            for p in m.passes:
+                path = matrix.golden_path(f"golden.{c}{'.probe' if p == 'probe' else ''}.jsonl", folder, args.out or ".")
+                if not path.exists():
+                    raise score.UsageError(f"{path}: no golden set for {c}" + (": draw probes first" if p == "probe" else ""))
+                parts.append(jsonl.golden_rows(spark, str(path)).select(F.lit(c).alias("doc_class"), F.lit(p).alias("pass"), "doc"))
+            rules[c] = folder / f"normalizers.{c}.json"
+            if not rules[c].is_file():
+                raise score.UsageError(f"{rules[c]}: no normaliser table for {c}")
+            if jsonl.read_rules(spark, str(rules[c])).filter(F.col("doc_class") != c).first():
+                raise score.UsageError(f"{rules[c]}: a table of another class")
+        documents = parts[0]
+        for part in parts[1:]:
+            documents = documents.unionByName(part)
+    elif args.documents:
+        documents = spark.read.schema("doc_class string, pass string, doc string").json(args.documents)
+    else:
+        raise score.UsageError("--corpora is needed, or --documents")
+    plan = [r.asDict() for r in matrix.cells(spark, m, documents, args.live).collect()]  # tens of cells
+    return m, matrix.chosen(plan, args.cell), folder
+
+
+def execute_matrix(spark: SparkSession, m: matrix.Matrix, plan: list[dict], folder: Path, fixtures: Path, out: Path, args: argparse.Namespace, passed_on: tuple[str, ...]) -> dict:
+    """Planned cells against recorded answers (``fixtures/<arm>``): capped golden sets, runs, scores by repeat, summaries, manifest, cost log."""
+    place = lambda cell: out / matrix.cell_name(cell)
+    for name in sorted({g for c in plan for g in c["scoring_goldens"] if g.endswith(".capped.jsonl")}):
+        c = next(x for x in plan if name in x["scoring_goldens"])
+        matrix.derive_capped(spark, matrix.golden_path(name.replace(".capped.jsonl", ".jsonl"), folder, out), c["excluded"], out / "derived" / name)
 
     def run_cell(cell: dict) -> int:
+        line = matrix.run_args(cell, m, folder, args.pdfs or folder / "pdfs", out, args.live, (*passed_on, "--fixtures", str(fixtures / cell["arm"])))
         try:
-            config = runs.RunConfig(str(goldens / cell["golden"]), cell["adapter"], str(place(cell)), cell["repeats"])
-            return 0 if runs.run(spark, config, recorded_answers(spark, fixtures / cell["arm"]))["status"] == "complete" else 3
-        except (ValueError, OSError) as e:
-            print(f"matrix: {cell['arm']}/{cell['doc_class']}/{cell['pass']}: {e}", file=sys.stderr)
+            return run(parser().parse_args(["run", *line]), spark)
+        except SystemExit as e:
+            return int(e.code or 2)
+        except (ValueError, OSError, RuntimeError) as e:
+            print(f"matrix: {matrix.cell_name(cell)}: {e}", file=sys.stderr)
             return 2
 
     def score_cell(cell: dict, repeat: int, kind: str) -> dict:
-        rules = goldens / f"normalizers.{cell['doc_class']}.json"
-        found = score.score(spark, str(goldens / cell["golden"]), str(place(cell) / f"predictions.repeat-{repeat:03}.jsonl"), str(rules) if rules.is_file() else None)
+        rules = folder / f"normalizers.{cell['doc_class']}.json"
+        golden = matrix.golden_path(cell["scoring_goldens"][cell["scorings"].index(kind)], folder, out)
+        # answers to documents that a capped golden set lacks meet nothing
+        found = score.score(spark, str(golden), str(place(cell) / f"predictions.repeat-{repeat:03}.jsonl"), str(rules) if rules.is_file() else None)
         write_json(place(cell) / f"scores.{kind}.repeat-{repeat:03}.json", found)
         return found
 
     def about(cell: dict) -> dict | None:
-        path = place(cell) / "run-manifest.json"
-        if not path.is_file():
+        read = lambda name: json.loads((place(cell) / name).read_text()) if (place(cell) / name).is_file() else None
+        m, meta, health = read("run-manifest.json"), read("run-meta.json") or {}, read("run-health.json") or {}
+        if m is None:
             return None
-        m = json.loads(path.read_text())
-        return {"commit": m["code"]["commit"], "missing": m["missingFields"], "spend": cell.get("expected_usd"), "startedAt": None}
+        return {
+            "commit": m["code"]["commit"], "missing": m["missingFields"], "spend": meta.get("spendPreflight"), "startedAt": meta.get("startedAt"), "fingerprint": m.get("fingerprint"),
+            "availability": health.get("aggregate"), "requestIds": m.get("requestIds"),
+        }
 
-    return matrix.execute(plan, run_cell, score_cell, out, about)
+    said = {"live": args.live, "config": json.loads(Path(args.config).read_text()), "conditionalExclusions": [{"docClass": c, "doc": d} for c, d in m.excluded]}
+    return matrix.execute(plan, run_cell, score_cell, out, about, said)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -165,22 +245,33 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             raise score.UsageError("manifest: variants need full and logprobFree")
         print(json.dumps(score.curves(spark, {k: str(base / v) for k, v in m["variants"].items()}, full), indent=2))
     elif args.verb == "matrix":
-        c = json.loads(Path(args.config).read_text())
-        arms = tuple(matrix.Arm(a["id"], a["adapter"], a.get("usdPerUnit"), tuple(a.get("extraArgs", ()))) for a in c["armModes"])
-        m = matrix.Matrix(arms, tuple(c["classes"]), c.get("repeats", 3), tuple(c.get("passes", matrix.PASSES)), c.get("capBranch", "unresolved"))
-        plan = [r.asDict() for r in matrix.cells(spark, m, spark.read.json(args.documents)).collect()]  # tens of cells
+        m, plan, folder = matrix_plan(spark, args)
+        given = {"--confirm-spend": args.confirm_spend, "--resume-paused": args.resume_paused, "--recover-stale-lock": args.recover_stale_lock, "--allow-commit-drift": args.allow_commit_drift}
+        passed_on = tuple(flag for flag, on in given.items() if on)
         if args.out is None:
             for cell in plan:
                 print(json.dumps(cell))
+        elif args.plan_only:
+            for cell in plan:
+                print(f"{matrix.cell_name(cell)}: run {' '.join(matrix.run_args(cell, m, folder or '.', args.pdfs or (folder or Path()) / 'pdfs', args.out, args.live, passed_on))}")
         else:
-            if args.goldens is None or args.fixtures is None:
-                raise score.UsageError("--out needs --goldens and --fixtures")
-            done = execute_matrix(spark, plan, Path(args.goldens), Path(args.fixtures), Path(args.out))
+            if folder is None or args.fixtures is None:
+                raise score.UsageError("--out needs --corpora or --goldens, and --fixtures")
+            done = execute_matrix(spark, m, plan, folder, Path(args.fixtures), Path(args.out), args, passed_on)
             print(json.dumps(done))
             return 0 if all(c["status"] == "completed" for c in done["cells"]) else 1
     elif args.verb == "run":
-        answer = recorded_answers(spark, args.fixtures)
-        health = runs.run(spark, runs.RunConfig(args.golden, args.adapter, args.out, args.repeat, limit=args.limit, resume_open=args.resume_open), answer)
+        if args.fixtures is None:
+            raise score.UsageError("--fixtures is needed: there is no way to a service from here")
+        if args.mistral_cap_branch is not None and args.adapter != matrix.Matrix.capped_adapter:
+            raise score.UsageError(f"--mistral-cap-branch is for the adapter {matrix.Matrix.capped_adapter}")
+        usd, basis, as_of = runs.check_pricing(args.expected_spend_usd, args.pricing_basis, args.pricing_as_of) if args.live else (None, None, None)
+        config = runs.RunConfig(
+            args.golden, args.adapter, args.out, args.repeat, limit=args.limit, live=args.live, spend_confirmed=args.confirm_spend, resume_open=args.resume_open or args.resume_paused, expected_usd=usd,
+            pricing_basis=basis, pricing_as_of=as_of, recover_lease=args.recover_stale_lock, allow_drift=args.allow_commit_drift,
+        )
+        check_split(spark, args.golden, args.cal_test_manifest, args.live)
+        health = runs.run(spark, config, recorded_answers(spark, args.fixtures), args.commit_sha)
         print(json.dumps(health))
         return 0 if health["status"] == "complete" else 1
     elif args.verb == "probes":
@@ -212,7 +303,17 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         out.mkdir(parents=True, exist_ok=True)
         (out / "probes.json").write_text(probes.selection_json({c: [x for x in v if (c, x[0]) in left] for c, v in selection.items()}, json.loads(Path(args.probes).read_text())["seed"]) + "\n")
         write_json(out / "strikes.json", {"formatVersion": 1, "struck": [{"docClass": r.doc_class, "field": r.field, "documents": r.documents} for r in struck.orderBy("doc_class", "field").collect()]})
+    elif args.verb == "corpora" and (args.source or args.cal_test or args.manifests):
+        if not (args.source and args.cal_test and args.manifests):
+            raise score.UsageError("--source, --cal-test and --manifests go together")
+        told = spark.read.schema("doc_class string, doc string, pages int").json(args.pages) if args.pages else None
+        places = corpus.Places(*(p.rstrip("/") for p in (args.source, args.cal_test, args.manifests)))
+        said = corpus.build(spark, places, args.out, (lambda _: told) if told is not None else pdf.count_pages, getattr(args, "class"))
+        counts = json.loads(Store(spark, args.out).read(f"{said['version']}/{corpus.COUNTS}"))
+        print("\n".join([*corpus.summary(counts), f"published {said['version']} in {args.out}"]))
     elif args.verb == "corpora":
+        if not args.golden or not args.pages:
+            raise score.UsageError("--source, --cal-test and --manifests are needed, or --golden and --pages for schemas and counts alone")
         goldens = jsonl.read_goldens(spark, args.golden)
         counts = corpora.corpus_counts(goldens, spark.read.json(args.pages)).collect()  # a row a class
         schemas = {c: corpora.nullable_schema(goldens.filter(F.col("doc_class") == c).select(F.col("field").alias("pointer"))) for c in sorted(r.doc_class for r in counts if r.doc_class)}
@@ -236,7 +337,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             print(f"dataset: {e}", file=sys.stderr)
             return 1
     else:
-        return 0 if sinks.content_digest(args.a) == sinks.content_digest(args.b) else 1
+        at = digest.difference(spark, args.a, args.b)
+        if at is not None:
+            print(f"dataset-check: lines {at.first + 1} to {at.end} differ ({at.lines[0]} and {at.lines[1]} lines there)", file=sys.stderr)
+            return 1
     return 0
 
 

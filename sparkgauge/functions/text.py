@@ -59,11 +59,6 @@ def search_tokens(field: Column) -> Column:
     return F.array_distinct(F.array(field, F.trim(F.replace(field, F.lit("_"), F.lit(" ")))))
 
 
-def first_hit(text: Column, tokens: Column) -> Column:
-    """The first of ``tokens`` that the text holds, case folded; null if none."""
-    return F.get(F.filter(tokens, lambda t: F.contains(F.lower(text), F.lower(t))), F.lit(0))
-
-
 # --- normal forms of values ------------------------------------------------------------
 
 

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import Rng
-from ..functions.text import first_hit, search_tokens
+from ..functions.text import search_tokens
 
 PER_CLASS = 3
 SEED = 20260712
+#: Characters of the tokens that are searched for at once (some 60 bytes each in an automaton).
+PATTERN_CHARS = 2_000_000
 
 
 def leaf_fields(spark: SparkSession, schemas: dict[str, dict]) -> DataFrame:
@@ -65,10 +69,75 @@ def probe_goldens(documents: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
-def text_hits(texts: DataFrame, probes: DataFrame) -> DataFrame:
-    """Probes that a document's own text names: ``doc_class, doc, field, token``."""
-    rows = texts.join(probes.select("doc_class", "field"), "doc_class").withColumn("token", first_hit(F.col("text"), search_tokens(F.col("field"))))
-    return rows.filter("token is not null").select("doc_class", "doc", "field", "token")
+def _patterns(fields: DataFrame, most: int) -> Iterator[list[tuple[str, str, list[str]]]]:
+    """The fields (``doc_class, field``) with their tokens, in lots of at most ``most`` characters (one field at least)."""
+    rows = fields.select("doc_class", "field").distinct().withColumn("tokens", search_tokens(F.col("field")))
+    size = rows.agg(F.sum(F.aggregate("tokens", F.lit(0), lambda a, t: a + F.length(t)))).first()[0] or 0
+    lots = max(1, -(-2 * size // most)) if size > most else 1
+    for lot in range(lots):
+        found = rows.filter(F.pmod(F.xxhash64("doc_class", "field"), F.lit(lots)) == lot).collect()
+        if found:
+            yield [(r.doc_class, r.field, list(r.tokens)) for r in found]
+
+
+class Finder:
+    """Which fields a text names: one automaton over the tokens of all fields, so a text is read once however many there are."""
+
+    def __init__(self, fields: list[tuple[str, str, list[str]]]):
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        named: dict[str, list[tuple[str, str, int, str]]] = {}
+        # every text holds the empty token
+        self.always = [(c, f, i, t) for c, f, tokens in fields for i, t in enumerate(tokens) if not t]
+        for c, f, tokens in fields:
+            for i, t in enumerate(tokens):
+                if t:
+                    named.setdefault(t.lower(), []).append((c, f, i, t))
+        for token, own in named.items():
+            self.automaton.add_word(token, own)
+        self.any = bool(named)
+        if self.any:
+            self.automaton.make_automaton()
+
+    def found(self, doc_class: str, text: str) -> dict[str, str]:
+        """The first of its tokens for each field of the class that the text names."""
+        hits = {id(own): own for _, own in self.automaton.iter(text.lower())} if self.any else {}
+        best: dict[str, tuple[int, str]] = {}
+        for c, f, i, t in [*self.always, *(x for own in hits.values() for x in own)]:
+            if c == doc_class and (f not in best or i < best[f][0]):
+                best[f] = (i, t)
+        return {f: t for f, (_, t) in sorted(best.items())}
+
+
+def text_hits(texts: DataFrame, probes: DataFrame, most: int = PATTERN_CHARS) -> DataFrame:
+    """Probes that a document's own text names: ``doc_class, doc, field, token``.
+
+    Texts are read once for each lot of fields; a lot's tokens have at most ``most`` characters, which bounds what is sent.  Null texts name nothing.
+    """
+    kind = dict(texts.dtypes)["doc"]
+    out = None
+    for lot in _patterns(probes, most):
+        sent = texts.sparkSession.sparkContext.broadcast(lot)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            finder = Finder(sent.value)
+            for batch in batches:
+                at, fields, tokens = [], [], []
+                for i, (c, text) in enumerate(zip(batch.column("doc_class"), batch.column("text"), strict=True)):
+                    if text.is_valid and c.is_valid:
+                        for f, t in finder.found(c.as_py(), text.as_py()).items():
+                            at.append(i)
+                            fields.append(f)
+                            tokens.append(t)
+                own = batch.select(["doc_class", "doc"]).take(pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(fields, pa.string()), pa.array(tokens, pa.string())], names=["doc_class", "doc", "field", "token"])
+
+        found = texts.select("doc_class", "doc", "text").mapInArrow(run, f"doc_class string, doc {kind}, field string, token string")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = texts.select("doc_class", "doc", F.lit("").alias("field"), F.lit("").alias("token")).limit(0)
+    return out
 
 
 def strikes(worksheet: DataFrame) -> DataFrame:

@@ -4,21 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import judge
+from .order import runs
 
 
 def streaks(records: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds ``streak``: contract failures in a row up to this record; anything else resets it.
-
-    A run's log is ordered; arms run side by side.
-    """
-    w = Window.partitionBy(*by).orderBy(*order)
-    fails = F.col("availability") == "contract_failure"
-    rows = records.withColumn("_island", F.sum((~fails).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inner = Window.partitionBy(*by, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("streak", F.sum(fails.cast("int")).over(inner)).drop("_island")
+    """Adds ``streak``: contract failures in a row up to this record; anything else resets it.  A log may be as long as it likes."""
+    return runs(records, by, order, F.col("availability") == "contract_failure", "streak")
 
 
 def trips(records: DataFrame, by: list[str], order: list[str], limit: int) -> DataFrame:

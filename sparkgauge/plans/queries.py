@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import rng, text, values
 from ..operators import adapters, bootstrap, calibrate, cells, corpora, dataset, judge, metrics, probes, requests, runlog, simulate
-from ..sources import checkpoint, sinks
+from ..sources import checkpoint, digest, sinks
 from . import matrix, views
 from .views import CELLS, JUDGED, POINTS, table
 
@@ -344,6 +344,59 @@ def q_pooled_interval(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "estimate double, lo double, hi double, method string, p_zero double")
 
 
+def _cluster_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return _counted(spark, sf).groupBy("doc_class", "doc").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+#: Draw k of a resample goes to the class of the cluster at place k.
+@query(f"""WITH {_JOINED}, per AS (SELECT doc_class, doc, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM counted GROUP BY 1, 2),
+clusters AS (SELECT *, row_number() OVER (ORDER BY doc_class, doc) - 1 AS pos FROM per),
+sized AS (SELECT *, count(*) OVER (PARTITION BY doc_class) AS size, min(pos) OVER (PARTITION BY doc_class) AS before FROM clusters),
+draws AS (SELECT i // (SELECT count(*) FROM clusters) AS b, i % (SELECT count(*) FROM clusters) AS k, u FROM {_mulberry(f'(SELECT {bootstrap.RESAMPLES} * count(*) FROM clusters)')}),
+drawn AS (SELECT b, before + floor(u * size)::BIGINT AS pos FROM draws JOIN sized ON pos = k)
+SELECT b, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM drawn JOIN clusters USING (pos) GROUP BY 1""")
+def q_pooled_f1_sums(spark: SparkSession, sf: str) -> DataFrame:
+    placed = bootstrap.numbered(_cluster_cells(spark, sf), ["doc_class", "doc"], "doc_class")
+    return bootstrap.resample_vectors(spark, placed, ["tp", "fp", "fn"])
+
+
+#: No SQL: its normal quantiles; the sums have one, and a test compares intervals with a loop.
+@query()
+def q_f1_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    clusters = _cluster_cells(spark, sf)
+    classes = sorted(r.doc_class for r in clusters.select("doc_class").distinct().collect())
+    wide, columns = bootstrap.by_class(clusters, classes, ["tp", "fp", "fn"])
+    closings = {"pooled": bootstrap.pooled_f1, "macro": bootstrap.macro_f1(len(classes))} | {c: (lambda s, i=i: bootstrap.pooled_f1(lambda x: s(f"{x}{i}"))) for i, c in enumerate(classes)}
+    found = bootstrap.resampled(spark, wide, ["tp", "fp", "fn", *columns], closings, ["doc_class", "doc"], "doc_class")
+    rows = [(name, ci.estimate, ci.lo, ci.hi, ci.method) for name, r in found.items() for ci in [r.interval()]]
+    return rounded(spark.createDataFrame(rows, "name string, estimate double, lo double, hi double, method string"))
+
+
+_BASE = "view"
+
+
+@query(f"""WITH m AS (SELECT event_type AS arm, user_id AS doc, avg(value) AS v FROM events GROUP BY 1, 2),
+base AS (SELECT doc, v, row_number() OVER (ORDER BY doc) - 1 AS pos FROM m WHERE arm = '{_BASE}'),
+pairs AS (SELECT m.arm, b.pos, m.v - b.v AS d FROM m JOIN base b USING (doc) WHERE m.arm <> '{_BASE}'),
+est AS (SELECT arm, avg(d) AS estimate, sum(d) AS total, count(*) AS docs FROM pairs GROUP BY 1),
+draws AS (SELECT i // (SELECT count(*) FROM base) AS b, floor(u * (SELECT count(*) FROM base))::BIGINT AS pos FROM {_mulberry(f'(SELECT {bootstrap.RESAMPLES} * count(*) FROM base)')}),
+times AS (SELECT b, pos, count(*) AS k FROM draws GROUP BY 1, 2),
+boot AS (SELECT arm, b, sum(k * d) / sum(k) AS s FROM times JOIN pairs USING (pos) GROUP BY 1, 2),
+p AS (SELECT arm, least(1, 2 * least((1 + count(*) FILTER (s <= 0)) / (count(*) + 1.0), (1 + count(*) FILTER (s >= 0)) / (count(*) + 1.0))) AS p,
+  (count(*) FILTER (s < estimate) + count(*) FILTER (s = estimate) / 2) / count(*) AS below FROM boot JOIN est USING (arm) GROUP BY 1),
+jack AS (SELECT e.arm, (e.total - coalesce(d, 0)) / (docs - (d IS NOT NULL)::INT) AS v FROM est e CROSS JOIN base b LEFT JOIN pairs p ON p.arm = e.arm AND p.pos = b.pos),
+away AS (SELECT arm, avg(v) OVER (PARTITION BY arm) - v AS x FROM jack), a AS (SELECT arm, sum(x ** 3) / (6 * sum(x ** 2) ** 1.5) AS acceleration FROM away GROUP BY 1),
+s AS (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY p, arm) + 1 AS k FROM p)
+SELECT arm AS contrast, docs, round(estimate, 6) AS estimate, round(below, 6) AS below, round(acceleration, 6) AS acceleration, round(p, 6) AS p,
+  round(max(least(1.0, k * p)) OVER w, 6) AS adjusted, round(0.05 / k, 6) AS step_alpha, min(p <= 0.05 / k) OVER w AS rejected
+FROM s JOIN est USING (arm) JOIN a USING (arm) WINDOW w AS (ORDER BY p, arm ROWS UNBOUNDED PRECEDING)""")
+def q_contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    values = e.groupBy(F.col("event_type").alias("arm"), F.lit("all").alias("doc_class"), F.col("user_id").alias("doc")).agg(F.avg("value").alias("value"))
+    found = bootstrap.contrasts(spark, values, _BASE)
+    return rounded(found.select("contrast", "docs", "estimate", "below", "acceleration", "p", "adjusted", "step_alpha", "rejected"))
+
+
 _PAIRED = """a AS (SELECT event_type AS doc_class, user_id AS doc, avg(value) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2),
 b AS (SELECT event_type AS doc_class, user_id AS doc, avg(value) AS m FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2)"""
 
@@ -607,14 +660,19 @@ def q_stamp_violations(spark: SparkSession, sf: str) -> DataFrame:
     return adapters.stamp_violations(rows, "cal-2026.05-1").select("event_id")
 
 
-@query("""SELECT doc, field, tokens[list_position(found, true)] AS token FROM (
-  SELECT d.doc_id AS doc, f.field, f.tokens, list_transform(f.tokens, lambda t: contains(lower(d.text), lower(t))) AS found FROM documents d,
-    (SELECT * FROM (VALUES ('Licensed_under', ['Licensed_under', 'Licensed under']), ('license', ['license']), ('token', ['token'])) v(field, tokens)) f
-  WHERE d.text IS NOT NULL) WHERE list_contains(found, true)""")
+#: Fields are the first words of benchmark items, single and in pairs, in the two languages that have most texts.
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+f AS (SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS doc_class, unnest([w[1] || '_' || w[2], w[3], upper(w[4])]) AS field FROM w),
+t AS (SELECT *, CASE WHEN replace(field, '_', ' ') = field THEN [field] ELSE [field, trim(replace(field, '_', ' '))] END AS tokens FROM f WHERE field IS NOT NULL)
+SELECT doc_class, doc, field, tokens[list_position(found, true)] AS token FROM (
+  SELECT t.doc_class, d.doc_id AS doc, field, tokens, list_transform(tokens, lambda x: contains(lower(d.text), lower(x))) AS found
+  FROM documents d JOIN t ON t.doc_class = d.lang WHERE d.text IS NOT NULL) WHERE list_contains(found, true)""")
 def q_text_hits(spark: SparkSession, sf: str) -> DataFrame:
-    texts = table(spark, sf, "documents").select(F.lit("x").alias("doc_class"), F.col("doc_id").alias("doc"), "text")
-    fields = spark.createDataFrame([("x", "Licensed_under"), ("x", "license"), ("x", "token")], "doc_class string, field string")
-    return probes.text_hits(texts, fields).select("doc", "field", "token")
+    texts = table(spark, sf, "documents").select(F.col("lang").alias("doc_class"), F.col("doc_id").alias("doc"), "text")
+    w = F.split("text", " ")
+    names = F.array(F.concat(F.get(w, F.lit(0)), F.lit("_"), F.get(w, F.lit(1))), F.get(w, F.lit(2)), F.upper(F.get(w, F.lit(3))))
+    fields = table(spark, sf, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "en").otherwise("fr").alias("doc_class"), F.explode(names).alias("field")).filter("field is not null")
+    return probes.text_hits(texts, fields)
 
 
 # --- probes, corpora, dataset ----------------------------------------------------------
@@ -686,6 +744,40 @@ def q_corpus_counts(spark: SparkSession, sf: str) -> DataFrame:
     return corpora.corpus_counts(views.goldens(spark, sf), _pages(spark, sf))
 
 
+#: A split made from orders, with each kind of fault at its own orders: files, source and frozen goldens, manifests.
+_SPLIT = """o AS (SELECT o_orderstatus AS c, o_orderkey AS k, (o_orderkey % 3000)::INT AS m, o_custkey AS cust FROM orders),
+files AS (SELECT c AS doc_class, k || '.pdf' AS doc, CASE WHEN m % 101 = 7 THEN NULL ELSE k % 13 END AS pages FROM o WHERE m % 97 <> 5),
+source AS (SELECT c AS doc_class, CASE WHEN m % 89 = 3 THEN k || '.PDF' ELSE k::VARCHAR END AS doc, CASE WHEN m % 83 = 2 THEN 'Z' ELSE c END AS row_class, cust::VARCHAR AS cells, k, m FROM o WHERE m % 79 <> 11),
+sources AS (SELECT doc_class, doc, row_class, cells FROM source UNION ALL SELECT doc_class, k::VARCHAR, doc_class, 'again' FROM source WHERE m % 73 = 1),
+frozen AS (SELECT c AS doc_class, k || CASE WHEN k % 2 = 0 THEN '.pdf' ELSE '' END AS doc, c AS row_class, CASE WHEN m % 71 = 9 THEN 'other' ELSE cust::VARCHAR END AS cells FROM o WHERE m % 67 <> 8),
+named AS (SELECT *, CASE WHEN lower(doc) LIKE '%.pdf' THEN doc ELSE doc || '.pdf' END AS file FROM sources),
+s AS (SELECT doc_class, file AS doc, count(*) AS n, max((row_class, cells)) AS g, bool_or(lower(doc) LIKE '%.pdf') AS suffixed, bool_or(row_class <> doc_class) AS strange FROM named GROUP BY 1, 2),
+f AS (SELECT doc_class, CASE WHEN doc LIKE '%.pdf' THEN doc ELSE doc || '.pdf' END AS doc, count(*) AS n, max((row_class, cells)) AS g FROM frozen GROUP BY 1, 2),
+every AS (SELECT doc_class, doc, pages, d.doc_class IS NOT NULL AS there, coalesce(s.n, 0) AS sn, coalesce(f.n, 0) AS fn, s.g AS sg, f.g AS fg, suffixed, strange
+  FROM (SELECT *, doc_class AS dc FROM files) d FULL JOIN s USING (doc_class, doc) FULL JOIN f USING (doc_class, doc))"""
+
+
+@query(f"""WITH {_SPLIT.replace("d.doc_class IS NOT NULL", "dc IS NOT NULL")}
+SELECT doc_class, doc, unnest(list_filter([CASE WHEN strange THEN 'source row of another class' END, CASE WHEN suffixed THEN 'source row names a file' END, CASE WHEN sn > 1 THEN 'more than one source row' END,
+  CASE WHEN fn > 1 THEN 'more than one frozen row' END, CASE WHEN there AND sn = 0 THEN 'document without a source row' END, CASE WHEN there AND fn = 0 THEN 'document without a frozen row' END,
+  CASE WHEN NOT there AND fn > 0 THEN 'frozen row without a document' END, CASE WHEN there AND sn = 1 AND fn = 1 AND sg <> fg THEN 'source and frozen rows differ' END,
+  CASE WHEN there AND coalesce(pages, 0) < 1 THEN 'no page count' END], lambda x: x IS NOT NULL)) AS fault FROM every
+UNION ALL SELECT c, NULL, 'frozen goldens aren''t those of the manifest' FROM (SELECT DISTINCT c FROM o) WHERE c = 'F' UNION ALL SELECT c, NULL, 'manifest without the class and its hash' FROM (SELECT DISTINCT c FROM o) WHERE c = 'P'""")
+def q_corpus_faults(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("doc_class"), F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 3000).alias("m"), F.col("o_custkey").cast("string").alias("cust"))
+    key, m = F.col("k").cast("string"), F.col("m")
+    files = o.filter(m % 97 != 5).select("doc_class", F.concat(key, F.lit(".pdf")).alias("doc"), F.when(m % 101 != 7, F.col("k") % 13).alias("pages"))
+    source = o.filter(m % 79 != 11)
+    own = source.select("doc_class", F.when(m % 89 == 3, F.concat(key, F.lit(".PDF"))).otherwise(key).alias("doc"), F.when(m % 83 == 2, "Z").otherwise(F.col("doc_class")).alias("row_class"), F.col("cust").alias("cells"))
+    twice = source.filter(m % 73 == 1).select("doc_class", key.alias("doc"), F.col("doc_class").alias("row_class"), F.lit("again").alias("cells"))
+    frozen = o.filter(m % 67 != 8).select("doc_class", F.concat(key, F.when(F.col("k") % 2 == 0, ".pdf").otherwise("")).alias("doc"), F.col("doc_class").alias("row_class"), F.when(m % 71 == 9, "other").otherwise(F.col("cust")).alias("cells"))
+    classes = o.select("doc_class").distinct()
+    manifests = classes.select("doc_class", F.when(F.col("doc_class") != "P", F.col("doc_class")).alias("named"), F.sha2("doc_class", 256).alias("expected"))
+    hashes = classes.select("doc_class", F.sha2(F.when(F.col("doc_class") == "F", "changed").otherwise(F.col("doc_class")), 256).alias("sha256"))
+    built = corpora.build_rows(files, own.unionByName(twice), frozen)
+    return corpora.document_faults(built).unionByName(corpora.class_faults(classes, files, manifests, hashes))
+
+
 @query(f"WITH {CELLS}, {_PAGES} SELECT doc_class, pages, count(*) AS docs FROM pages_ GROUP BY 1, 2")
 def q_page_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return corpora.page_histogram(_pages(spark, sf))
@@ -715,6 +807,17 @@ def q_dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.summary(dataset.prediction_rows(_judged(spark, sf), views.strikes(spark, sf), "a1", "main"))
 
 
+@query(f"""WITH l AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS r, l_orderkey || '/' || l_linenumber || ' ' || l_returnflag || l_linestatus AS line FROM lineitem),
+h AS (SELECT r, sha256(r || chr(10) || line) AS h FROM l),
+w AS (SELECT r // 1000 AS range, unnest([0, 1, 2, 3]) AS i, ('0x' || unnest([h[1:16], h[17:32], h[33:48], h[49:64]]))::UBIGINT AS x FROM h),
+x AS (SELECT range, i, count(*) AS lines, bit_xor(x) AS x FROM w GROUP BY 1, 2)
+SELECT range, any_value(lines) AS lines, string_agg(lpad(lower(to_hex(x)), 16, '0'), '' ORDER BY i) AS digest FROM x GROUP BY 1""")
+def q_dataset_digest(spark: SparkSession, sf: str) -> DataFrame:
+    line = F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit(" "), F.col("l_returnflag"), F.col("l_linestatus"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", line.alias("value"))
+    return digest.range_digests(rows, ["l_orderkey", "l_linenumber"], size=1000)
+
+
 @query(f"WITH {CELLS} SELECT g.doc_class, g.doc, g.field, g.state, coalesce(s.reason, 'confirmed') AS verdict FROM goldens g LEFT JOIN strikes s USING (doc_class, doc, field) WHERE g.state <> 'present'")
 def q_audit(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.audit_rows(views.goldens(spark, sf), views.strikes(spark, sf))

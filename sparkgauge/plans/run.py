@@ -40,6 +40,13 @@ class RunConfig:
     usd_per_unit: float | None = None
     spend_confirmed: bool = False
     resume_open: bool = False
+    #: What the whole run is expected to cost, from which rates, and as of which day.
+    expected_usd: float | None = None
+    pricing_basis: str | None = None
+    pricing_as_of: str | None = None
+    #: Take over the folder of a run whose process is gone; go on with a log that other code began.
+    recover_lease: bool = False
+    allow_drift: bool = False
 
     def fingerprint(self, documents: str) -> str:
         keep = {k: v for k, v in asdict(self).items() if k in ("adapter", "repeats", "retries", "limit", "live")}
@@ -78,7 +85,7 @@ def run(spark: SparkSession, config: RunConfig, extract: Callable[[dict], dict],
     out = Path(config.out)
     out.mkdir(parents=True, exist_ok=True)
     state = code_state() if state is None else state
-    if config.live and (config.usd_per_unit is None or not config.spend_confirmed):
+    if config.live and ((config.usd_per_unit is None and config.expected_usd is None) or not config.spend_confirmed):
         raise ValueError("run: a live run needs a price and confirmed spend")
     if config.live and state.endswith("+changes"):
         raise ValueError("run: a live run needs a clean tree")
@@ -86,12 +93,12 @@ def run(spark: SparkSession, config: RunConfig, extract: Callable[[dict], dict],
     digest = planned.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "doc_class", "doc"))), "\n"), 256)).first()[0]
     mark, limit = config.fingerprint(digest), config.limit or config.repeats
     log_path = out / "run.checkpoint.jsonl"
-    with Lease(out):
+    with Lease(out, mark, config.recover_lease) as lease:
         log = checkpoint.load(log_path, mark)
         if log is None:
             checkpoint.start(log_path, mark, datetime.now(UTC).isoformat(), state)
             log = checkpoint.load(log_path, mark)
-        elif log.header["codeState"] != state:
+        elif log.header["codeState"] != state and not config.allow_drift:
             raise ValueError("run: the log was begun by other code")
         elif log.torn:
             # the last line was cut off by a crash: leave it out for good
@@ -103,8 +110,9 @@ def run(spark: SparkSession, config: RunConfig, extract: Callable[[dict], dict],
         if log.events and log.events[-1]["kind"] == "circuit_open":
             if not config.resume_open:
                 return _finish(spark, config, planned, mark, limit, "paused")
-            durable_append(log_path, {"kind": "manual_resume", "at": datetime.now(UTC).isoformat()})
+            durable_append(log_path, {"kind": "manual_resume", "at": datetime.now(UTC).isoformat()}, lease)
             streak = 0
+        write_json(out / "spend-preflight.json", preflight(config, planned.count(), len(log.records)))
         done = spark.createDataFrame([(r["docClass"], r["doc"], r["repeat"]) for r in log.records], "doc_class string, doc string, repeat int")
         left = checkpoint.pending(planned, config.repeats, done).join(planned, ["doc_class", "doc"]).orderBy("repeat", "doc_ord").cache()
         units = left.toLocalIterator(prefetchPartitions=True)
@@ -114,10 +122,10 @@ def run(spark: SparkSession, config: RunConfig, extract: Callable[[dict], dict],
                 durable_append(log_path, {
                     "kind": "prediction", "doc": r.doc, "docClass": r.doc_class, "repeat": r.repeat, "fields": json.loads(r.response) if r.response else {},
                     "availability": r.availability, "requestAttempts": r.request_attempts, "transportRetries": r.request_attempts - 1, **({"error": r.error} if r.error else {}),
-                })
+                }, lease)
                 streak = streak + 1 if r.availability == "contract_failure" else 0
             if streak >= limit:
-                durable_append(log_path, {"kind": "circuit_open", "streak": streak, "at": datetime.now(UTC).isoformat()})
+                durable_append(log_path, {"kind": "circuit_open", "streak": streak, "at": datetime.now(UTC).isoformat()}, lease)
                 return _finish(spark, config, planned, mark, limit, "paused")
         return _finish(spark, config, planned, mark, limit, "complete")
 
@@ -140,15 +148,46 @@ def _finish(spark: SparkSession, config: RunConfig, planned: DataFrame, mark: st
     write_json(out / "run-health.json", health)
     durable_write(out / "run-events.jsonl", "".join(json.dumps(e) + "\n" for e in log.events))
     state, meta = log.header["codeState"], {"startedAt": log.header["startedAt"], "completedAt": datetime.now(UTC).isoformat() if status == "complete" else None}
-    gaps = [k for k, v in (meta | {"spend": config.usd_per_unit, "code.commit": None if state == "none" or state.endswith("+changes") else state}).items() if v is None]
+    gaps = [k for k, v in (meta | {"spend": config.usd_per_unit if config.expected_usd is None else config.expected_usd, "code.commit": None if state == "none" or state.endswith("+changes") else state}).items() if v is None]
     write_json(out / "run-manifest.json", {
         "formatVersion": 1, "adapter": config.adapter, "fingerprint": mark, "code": {"commit": state.removesuffix("+changes"), "dirty": state.endswith("+changes")},
         "goldenSha256": hashlib.sha256(Path(config.golden).read_bytes()).hexdigest() if Path(config.golden).is_file() else None, "planned": len(order) * config.repeats, "status": status, "missingFields": gaps,
     })
-    write_json(out / "run-meta.json", {"fingerprint": mark, "startedAt": log.header["startedAt"], "completedAt": datetime.now(UTC).isoformat() if status == "complete" else None, "codeState": log.header["codeState"], "config": asdict(config), "events": log.events})
+    spend = json.loads((out / "spend-preflight.json").read_text()) if (out / "spend-preflight.json").is_file() else None
+    write_json(out / "run-meta.json", {"fingerprint": mark, "spendPreflight": spend, "startedAt": log.header["startedAt"], "completedAt": datetime.now(UTC).isoformat() if status == "complete" else None, "codeState": log.header["codeState"], "config": asdict(config), "events": log.events})
     return health
 
 
+def preflight(config: RunConfig, documents: int, restored: int) -> dict:
+    """What is left to run and what it is expected to cost, before any call; costs are null without a price."""
+    planned = documents * config.repeats
+    whole = config.expected_usd if config.expected_usd is not None else None if config.usd_per_unit is None else config.usd_per_unit * planned
+    left = max(0, planned - restored)
+    return {
+        "mode": "live" if config.live else "recorded", "adapter": config.adapter, "documents": documents, "repeats": config.repeats, "plannedUnits": planned, "remainingUnits": left, "retriesPerUnit": config.retries,
+        "expectedUsd": whole, "expectedRemainingUsd": None if whole is None else whole * left / max(1, planned), "pricingBasis": config.pricing_basis, "pricingAsOf": config.pricing_as_of,
+    }
+
+
+def check_pricing(expected: str | None, basis: str | None, as_of: str | None) -> tuple[float, str, str]:
+    """A live run's price as its flags say it; an error if one is missing or no price."""
+    try:
+        usd = float(expected or "")
+    except ValueError:
+        usd = 0.0
+    if not 0 < usd < float("inf"):
+        raise ValueError("run: a live run needs --expected-spend-usd above zero")
+    if not (basis or "").strip():
+        raise ValueError("run: a live run needs --pricing-basis")
+    try:
+        day = datetime.strptime(as_of or "", "%Y-%m-%d").strftime("%Y-%m-%d")
+    except ValueError:
+        day = None
+    if day is None or day != as_of:
+        raise ValueError("run: a live run needs --pricing-as-of as YYYY-MM-DD")
+    return usd, basis.strip(), as_of
+
+
 def spend_preflight(planned: int, restored: int, usd_per_unit: float) -> str:
     left = runlog.spend_left(planned, restored, usd_per_unit)
     return f"{planned - restored} of {planned} units left, expected spend ${left:.2f}"

@@ -1,4 +1,4 @@
-"""Which files a corpus folder and an arm's folder hold for a pass."""
+"""Which files a corpus folder (its published version, if it has one) and an arm's folder hold for a pass."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 from .jsonl import InputError
+from .store import resolve
 
 #: The forms of file names, by pass.
 GOLDEN_NAMES = {"main": r"golden\.[^.]+\.jsonl", "probe": r"golden\.[^.]+\.probe\.jsonl"}
@@ -14,7 +15,7 @@ REPEAT_NAMES = r"predictions\.repeat-\d+\.jsonl"
 
 def golden_files(corpora: str | Path, run_pass: str = "main") -> list[str]:
     """Golden files of all classes, by name; those of probes lie in ``probes``.  None at all is an error."""
-    folder = Path(corpora) / ("probes" if run_pass == "probe" else "")
+    folder = resolve(corpora) / ("probes" if run_pass == "probe" else "")
     found = sorted(p.name for p in folder.iterdir() if re.fullmatch(GOLDEN_NAMES[run_pass], p.name)) if folder.is_dir() else []
     if not found:
         raise InputError(f"{folder}: no golden files of the {run_pass} pass")
@@ -34,7 +35,7 @@ def class_schemas(corpora: str | Path) -> dict[str, Path]:
     out = {}
     for path in golden_files(corpora):
         name = Path(path).name.split(".")[1]
-        out[name] = Path(corpora) / f"{name}.schema.json"
+        out[name] = resolve(corpora) / f"{name}.schema.json"
         if not out[name].is_file():
             raise InputError(f"{out[name]}: no schema for class {name}")
     return out

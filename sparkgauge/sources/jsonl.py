@@ -44,8 +44,8 @@ def _is_text(path: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(F.col("raw"), path, "variant")) == "STRING", F.lit(False))
 
 
-def read_goldens(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``doc_class, doc, doc_ord, field, field_ord, state, value_json``; ``doc_ord`` orders documents as the files do."""
+def golden_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, ord, doc_class, doc, schema, fields``: a row a line, as the files have them; the first line with a fault is raised."""
     rows = _parse(lines(spark, paths), schemas.GOLDEN_LINE)
     j = F.col("j")
     cells = F.map_entries(j["fields"])
@@ -64,7 +64,12 @@ def read_goldens(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
     rows = rows.withColumn("fault", fault)
     _check(rows, "golden")
-    good = rows.select(j["docClass"].alias("doc_class"), j["doc"].alias("doc"), F.col("ord").alias("doc_ord"), j["fields"].alias("fields"))
+    return rows.select("file", "ord", j["docClass"].alias("doc_class"), j["doc"].alias("doc"), j["schema"].alias("schema"), j["fields"].alias("fields"))
+
+
+def read_goldens(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``doc_class, doc, doc_ord, field, field_ord, state, value_json``; ``doc_ord`` orders documents as the files do."""
+    good = golden_rows(spark, paths).withColumnRenamed("ord", "doc_ord")
     twice = good.groupBy("doc_class", "doc").count().filter("count > 1").first()
     if twice:
         raise InputError(f"golden: {twice.doc_class}/{twice.doc} appears {twice['count']} times")

@@ -102,7 +102,7 @@ def test_matrix_runs_and_scores_cells(spark, tmp_path, golden, monkeypatch):
         for d in docs:
             (tmp_path / "fx" / arm / f"{d}.json").write_text(json.dumps({"/a": {"value": "v", "confidence": 0.9}}))
     config, docs = tmp_path / "m.json", tmp_path / "docs.json"
-    config.write_text(json.dumps({"armModes": [{"id": a, "adapter": "stated", "usdPerUnit": 0.1} for a in ("a2", "a1")], "classes": ["c"], "repeats": 1, "passes": ["main"]}))
+    config.write_text(json.dumps({"formatVersion": 1, "capBranch": "unresolved", "armModes": [{"id": a, "adapter": "stated", "usdPerUnit": 0.1} for a in ("a2", "a1")], "classes": ["c"], "repeats": 1, "passes": ["main"]}))
     docs.write_text("".join(json.dumps({"doc_class": "c", "pass": "main", "doc": d}) + "\n" for d in "pqrst"))
     code = cli.main(["matrix", "--config", str(config), "--documents", str(docs), "--goldens", str(tmp_path), "--fixtures", str(tmp_path / "fx"), "--out", str(tmp_path / "o")])
     done = json.loads((tmp_path / "o/matrix-manifest.json").read_text())
