@@ -29,7 +29,7 @@ from .common import materialise, partitions
 #: A-Z become a-z, these characters end a piece, a tab parts words like a blank.
 _TABLE = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words that a task counts at once (about 100 bytes each).
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 750_000
 #: Buckets of a block, as a power of two.
 BLOCK_BITS = 16
 _FOLD, _SALT = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
