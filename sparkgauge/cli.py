@@ -302,7 +302,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         out = Path(args.out)
         out.mkdir(parents=True, exist_ok=True)
         (out / "probes.json").write_text(probes.selection_json({c: [x for x in v if (c, x[0]) in left] for c, v in selection.items()}, json.loads(Path(args.probes).read_text())["seed"]) + "\n")
-        write_json(out / "strikes.json", {"formatVersion": 1, "struck": [{"docClass": r.doc_class, "field": r.field, "documents": r.documents} for r in struck.orderBy("doc_class", "field").collect()]})
+        write_json(out / "strikes.json", {"formatVersion": 1, "struck": [{"docClass": r.doc_class, "field": r.field, "documents": r.documents} for r in probes.in_order(struck, "place").orderBy("place").collect()]})
     elif args.verb == "corpora" and (args.source or args.cal_test or args.manifests):
         if not (args.source and args.cal_test and args.manifests):
             raise score.UsageError("--source, --cal-test and --manifests go together")

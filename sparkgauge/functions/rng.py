@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,15 @@ def with_uniform(df: DataFrame, seed: int, draw: Column, name: str) -> DataFrame
     )
 
 
+def uniforms(seed: int, draws: np.ndarray) -> np.ndarray:
+    """The same draws in numpy, for tasks that make many at once."""
+    word = np.uint64(WORD)
+    a = (np.uint64(seed & WORD) + np.uint64(STEP) * ((draws.astype(np.uint64) + np.uint64(1)) & word)) & word
+    t = (a ^ (a >> np.uint64(15))) * (a | np.uint64(1)) & word
+    t = ((t + ((t ^ (t >> np.uint64(7))) * (t | np.uint64(61)) & word)) & word) ^ t
+    return (t ^ (t >> np.uint64(14))) / 4294967296.0
+
+
 class Rng:
     """The same stream, one draw after the other, with normal, gamma and beta variates."""
 

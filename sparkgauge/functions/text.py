@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -142,7 +144,25 @@ def repair_json(raw: Column) -> Column:
     sliced = F.when(braces != "", braces).when(brackets != "", brackets)
     relaxed = F.regexp_replace(sliced, ",\\s*([}\\]])", "$1")
     parse = lambda c: F.to_json(F.try_parse_json(c))
-    return F.coalesce(parse(raw), parse(fenced), parse(sliced), parse(relaxed))
+    found = F.coalesce(parse(raw), parse(fenced), parse(sliced), parse(relaxed))
+    # an object that repeats a key is no VARIANT: only such texts, and those that are no JSON at all, are looked at again
+    again = F.udf(_last_of_keys, "string", useArrow=True)
+    return F.coalesce(found, again(F.when(found.isNull() & raw.isNotNull(), F.array(raw, fenced, sliced, relaxed))))
+
+
+def _last_of_keys(texts: list[str | None] | None) -> str | None:
+    """The first of ``texts`` that is JSON, with the last value of each key."""
+
+    def refuse(word: str):
+        raise ValueError(word)
+
+    for text in texts if texts is not None else ():
+        try:
+            if text is not None:
+                return json.dumps(json.loads(text, parse_constant=refuse), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            continue
+    return None
 
 
 def logprob_confidence(tokens: Column, value: Column) -> Column:

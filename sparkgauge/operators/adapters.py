@@ -40,15 +40,19 @@ _TOKEN = re.compile(r'[ \t\r\n]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/
 
 
 def flatten_text(text: str | None) -> list[tuple[str, str]] | None:
-    """Pointers and JSON texts of the leaves of the first value in ``text``; null if it isn't JSON or an object repeats a key."""
+    """Pointers and JSON texts of the leaves of the first value in ``text``, null if it isn't JSON; of a key that an object repeats the last value counts."""
     out, parts, seen, at, want = [], [], [], 0, "value"
+    marks: list[tuple[str, int] | None] = []  # by level: the key that is being read, and the leaves before it
+    gone: list[tuple[int, int]] = []  # leaves of values that a later one replaced
     while text is not None and (m := _TOKEN.match(text, at)):
         at, (mark, string, atom) = m.end(), m.groups()
         if want in ("key", "first key") and string:
             name = json.loads(string).encode("utf-8", "replace").decode()
+            if marks[-1] is not None:
+                seen[-1][marks[-1][0]] = (marks[-1][1], len(out))
             if name in seen[-1]:
-                return None
-            seen[-1].add(name)
+                gone.append(seen[-1][name])
+            marks[-1] = (name, len(out))
             parts[-1], want = name.replace("~", "~0").replace("/", "~1"), "colon"
             continue
         if want == "colon" and mark == ":":
@@ -60,7 +64,8 @@ def flatten_text(text: str | None) -> list[tuple[str, str]] | None:
             want = "value" if seen[-1] is None else "key"
             continue
         if want in ("value", "first value") and mark in ("{", "["):
-            seen.append(set() if mark == "{" else None)
+            seen.append({} if mark == "{" else None)
+            marks.append(None)
             parts.append(0)
             want = "first key" if mark == "{" else "first value"
             continue
@@ -69,11 +74,13 @@ def flatten_text(text: str | None) -> list[tuple[str, str]] | None:
                 out.append(("".join(f"/{p}" for p in parts), string or atom))
         elif mark in ("}", "]") and (want == "next" or want == ("first key" if mark == "}" else "first value")) and (seen[-1] is None) == (mark == "]"):
             seen.pop()
+            marks.pop()
             parts.pop()
         else:
             return None
         if not seen:
-            return out
+            dropped = {i for a, b in gone for i in range(a, b)}
+            return [x for i, x in enumerate(out) if i not in dropped] if dropped else out
         want = "next"
     return None
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.rng import STEP, WORD, Rng, normal_cdf, normal_quantile, quantile
+from ..functions.rng import Rng, normal_cdf, normal_quantile, quantile, uniforms
 from .cells import scores
 from .order import numbered_rows, settled
 
@@ -55,16 +55,6 @@ def numbered(clusters: DataFrame, order: list[str], stratum: str | None = None)
     return rows.select("row.*", F.col("before").alias("stratum_no"), F.col("r").alias("at"), F.col("n").alias("size"), F.col("before").alias("offset"))
 
 
-def _uniform(seed: int, first: int, n: int) -> np.ndarray:
-    """Draws ``first`` to ``first + n`` of the stream of ``seed``, as ``rng.with_uniform`` makes them."""
-    word = np.uint64(WORD)
-    i = np.arange(first + 1, first + n + 1, dtype=np.uint64) & word
-    a = (np.uint64(seed & WORD) + np.uint64(STEP) * i) & word
-    t = (a ^ (a >> np.uint64(15))) * (a | np.uint64(1)) & word
-    t = ((t + ((t ^ (t >> np.uint64(7))) * (t | np.uint64(61)) & word)) & word) ^ t
-    return (t ^ (t >> np.uint64(14))) / 4294967296.0
-
-
 def _packed(placed: DataFrame, columns: list[str], size: int) -> DataFrame:
     """``block, low, data``: the vectors of ``size`` clusters in a row, in the order of their places."""
 
@@ -106,7 +96,8 @@ def resample_vectors(spark: SparkSession, placed: DataFrame, columns: list[str],
                         if before + n <= low or before >= high:
                             continue  # no draw of this stratum can fall into the block
                         for at in range(0, n, DRAWS):
-                            u = _uniform(seed, b * count + before + at, min(DRAWS, n - at))
+                            first = b * count + before + at
+                            u = uniforms(seed, np.arange(first, first + min(DRAWS, n - at)))
                             place = before + np.floor(u * n).astype(np.int64)
                             if before < low or before + n > high:
                                 place = place[(place >= low) & (place < high)]

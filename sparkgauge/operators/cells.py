@@ -71,6 +71,16 @@ def score_table(cells: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
+def monotone_faults(forms: DataFrame, by: list[str]) -> DataFrame:
+    """Where a normal form tells apart what is equal without it: ``before, one, other``, for each value and group of ``by``.
+
+    ``forms``: a row a value, ``before`` (canonical JSON text, by which values are equal) and ``after``.  A form without such a row can only
+    turn wrong cells right, never right ones wrong.  Values meet by classes of equality, not in pairs.
+    """
+    seen = forms.withColumn("after", F.coalesce("after", F.lit("null"))).groupBy(*by, "before").agg(F.min("after").alias("one"), F.max("after").alias("other"))
+    return seen.filter("one <> other")
+
+
 def dual_columns(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """Cells counted twice, ``column`` strict and normalized, in one pass."""
     ruled = correctness(with_rules(cells, rules)).withColumnRenamed("correct", "_strict")

@@ -12,10 +12,16 @@ _PLACE = 33
 
 
 def settled(rows: DataFrame) -> DataFrame:
-    """The same rows however often they are read: a reliable checkpoint in the shared folder, which a lost executor does not touch;
-    where none is set (a single machine) they are kept by the session."""
-    if rows.sparkSession.sparkContext.getCheckpointDir():
+    """The same rows however often they are read: a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names, which a lost executor
+    does not touch.  Where none is set, a single machine's session keeps them; on a cluster that is an error, as rows made again may differ."""
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir():
         return rows.checkpoint()
+    if own := sc.getConf().get("spark.checkpoint.dir"):
+        sc.setCheckpointDir(own)
+        return rows.checkpoint()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import Rng
 from ..functions.text import search_tokens
+from .order import numbered_rows
 
 PER_CLASS = 3
 SEED = 20260712
@@ -150,6 +151,18 @@ def strikes(worksheet: DataFrame) -> DataFrame:
     )
 
 
+#: Collation of names: letters before case and accents, as people sort.
+COLLATION = "UNICODE"
+
+
+def in_order(struck: DataFrame, place: str) -> DataFrame:
+    """Adds ``place``: where a strike stands when classes, then fields, are sorted as people sort names; equal ones by their bytes."""
+    order = [F.collate("doc_class", COLLATION), F.collate("field", COLLATION), "doc_class", "field"]
+    names = [f"_o{i}" for i in range(4)]
+    rows = struck.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in zip(names, order, strict=True)})
+    return numbered_rows(rows, [], names).withColumn(place, F.col("r")).drop("r", "n", "before", *names)
+
+
 def struck_probes(probes: DataFrame, struck: DataFrame) -> DataFrame:
     """Probes without struck ones; a strike of no probe is an error."""
     key = ["doc_class", "field"]

@@ -7,13 +7,15 @@ size, a delta) run in parallel.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rng import Rng, normal_quantile, quantile, with_uniform
+from ..functions.rng import Rng, normal_quantile, quantile, uniforms
 from . import metrics
 
 
@@ -45,19 +47,36 @@ def noise_floor(spark: SparkSession, sizes: list[int], seed: int, sims: int = 10
 
 
 def consistency_bands(points: DataFrame, order: list[str], seed: int, sims: int = 1000, bins: int = metrics.BINS, level: float = 0.95) -> DataFrame:
-    """Per bin the range of accuracies that calibrated points would show: each draw is a column expression."""
+    """Per bin the range of accuracies that calibrated points would show.
+
+    A task draws all simulations of its points, draw s n + r for simulation s and the point at place r, and sends a count a bin and
+    simulation; points are never multiplied.
+    """
     placed = metrics.binned(points, [], order, bins).select("r", "n", "bin", "confidence", "correct")
-    # a point makes ``sims`` rows, so few points need many tasks
-    placed = placed.repartition(4 * points.sparkSession.sparkContext.defaultParallelism)
-    draws = placed.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sims - 1).cast("long"))))
-    draws = with_uniform(draws, seed, F.col("s") * F.col("n") + F.col("r"), "u")
-    hit = (F.col("u") < F.col("confidence")).cast("double")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r, own, confidence = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("r", "bin", "confidence"))
+            n = batch.column("n")[0].as_py()
+            found, at = np.unique(own, return_inverse=True)
+            for b in found.tolist():
+                hits.setdefault(b, np.zeros(sims, dtype=np.int64))
+            for s in range(sims):
+                times = np.bincount(at[uniforms(seed, s * n + r) < confidence], minlength=len(found))
+                for b, k in zip(found.tolist(), times.tolist(), strict=True):
+                    hits[b][s] += k
+        for b, k in hits.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(sims, b)).cast(pa.int64()), pa.array(np.arange(sims)), pa.array(k)], names=["bin", "s", "hits"])
+
     tail = (1 - level) / 2
-    simulated = draws.groupBy("bin", "s").agg(F.avg(hit).alias("accuracy")).groupBy("bin").agg(
-        F.percentile("accuracy", F.lit(tail)).alias("lo"), F.percentile("accuracy", F.lit(1 - tail)).alias("hi")
-    )
+    sums = placed.select("r", "n", F.col("bin").cast("long").alias("bin"), "confidence").mapInArrow(draw, "bin long, s long, hits long").groupBy("bin", "s").agg(F.sum("hits").alias("hits"))
     seen = placed.groupBy("bin").agg(F.avg("confidence").alias("mean_confidence"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("bin_n"))
-    return seen.join(simulated, "bin")
+    simulated = sums.join(F.broadcast(seen.select(F.col("bin").cast("long").alias("bin"), "bin_n")), "bin").withColumn("x", F.col("hits") / F.col("bin_n"))
+    bands = simulated.groupBy("bin").agg(F.percentile("x", F.lit(tail)).alias("lo"), F.percentile("x", F.lit(1 - tail)).alias("hi"))
+    return seen.join(bands, "bin")
 
 
 def _paired_t(rng: Rng, fields: list[int], base: float, delta: float, shared: float, spread: float) -> float:

@@ -292,20 +292,22 @@ def q_invention_risk_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- statistics ------------------------------------------------------------------------
 
-def _mulberry(n: str) -> str:
-    """SQL: ``i, u`` of the first n draws.  A product of two words is taken modulo 2^32 in halves, so 64 bits are enough."""
+def _mulberry(n: str, rows: str | None = None) -> str:
+    """SQL: ``i, u`` of the first n draws, or of those that ``rows`` names (``i``).  A product of two words is taken modulo 2^32 in halves, so 64 bits are enough."""
     word, times = (lambda x: f"(({x}) & 4294967295)"), (lambda a, b: f"((({a}) * (({b}) & 65535) + (((({a}) * (({b}) >> 16)) & 65535) << 16)) & 4294967295)")
     return f"""(SELECT i, xor(t3, t3 >> 14) / 4294967296.0 AS u FROM (
       SELECT i, xor({word(f"t2 + {times('w', 't2 | 61')}")}, t2) AS t3 FROM (SELECT i, t2, xor(t2, t2 >> 7) AS w FROM (
         SELECT i, {times('x', 'a | 1')} AS t2 FROM (SELECT i, a, xor(a, a >> 15) AS x FROM (
-          SELECT i, {word(f"{bootstrap.SEED} + {times('1831565813', word('i + 1'))}")} AS a FROM range({n}) t(i)))))))"""
+          SELECT i, {word(f"{bootstrap.SEED} + {times('1831565813', word('i + 1'))}")} AS a FROM {rows or f'range({n})'} t(i)))))))"""
 
 
-@query(f"SELECT i AS draw, u FROM {_mulberry('1000')}")
+@query(f"SELECT i AS draw, u FROM {_mulberry('', '(SELECT o_orderkey FROM orders)')}")
 def q_random_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return rng.with_uniform(spark.range(1000).withColumnRenamed("id", "draw"), bootstrap.SEED, F.col("draw"), "u")
+    return rng.with_uniform(table(spark, sf, "orders").select(F.col("o_orderkey").alias("draw")), bootstrap.SEED, F.col("draw"), "u")
 
 
+#: The class whose documents the simulations take, and the arm that others are held against.
+_BASE = "view"
 _CLUSTERS = """clusters AS (SELECT *, row_number() OVER (ORDER BY doc_class, doc) - 1 AS pos, count(*) OVER () AS size FROM (
   SELECT event_type AS doc_class, user_id AS doc, sum(value) AS total, count(*) AS n FROM events GROUP BY 1, 2))"""
 _RESAMPLED = _CLUSTERS + f""", draws AS (SELECT i // (SELECT count(*) FROM clusters) AS b, u FROM {_mulberry(f'(SELECT {bootstrap.RESAMPLES} * count(*) FROM clusters)')}),
@@ -372,9 +374,6 @@ def q_f1_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.createDataFrame(rows, "name string, estimate double, lo double, hi double, method string"))
 
 
-_BASE = "view"
-
-
 @query(f"""WITH m AS (SELECT event_type AS arm, user_id AS doc, avg(value) AS v FROM events GROUP BY 1, 2),
 base AS (SELECT doc, v, row_number() OVER (ORDER BY doc) - 1 AS pos FROM m WHERE arm = '{_BASE}'),
 pairs AS (SELECT m.arm, b.pos, m.v - b.v AS d FROM m JOIN base b USING (doc) WHERE m.arm <> '{_BASE}'),
@@ -424,14 +423,18 @@ def q_consistency_bands(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(simulate.consistency_bands(views.points(spark, sf), ["doc", "ln"], bootstrap.SEED))
 
 
+#: No SQL for these two: rejection draws; tests compare them with published figures.  Sizes are those of the classes' documents, fields those of each document of a class.
 @query()
 def q_noise_floor(spark: SparkSession, sf: str) -> DataFrame:
-    return simulate.noise_floor(spark, [50, 196], bootstrap.SEED)
+    sizes = views.goldens(spark, sf).groupBy("doc_class").agg(F.count_distinct("doc").alias("n")).select("n").distinct()
+    return simulate.noise_floor(spark, sorted(r.n for r in sizes.collect()), bootstrap.SEED)  # a row a class
 
 
 @query()
 def q_detectable_effect(spark: SparkSession, sf: str) -> DataFrame:
-    found = simulate.detectable_effect(spark, [6] * 20, 0.75, [0.05, 0.1, 0.2], bootstrap.SEED)
+    per = views.goldens(spark, sf).filter(F.col("doc_class") == _BASE).groupBy("doc").agg(F.count(F.lit(1)).alias("fields"))
+    fields = [r.fields for r in per.orderBy("doc").collect()]  # a number a document of one class
+    found = simulate.detectable_effect(spark, fields, 0.75, [0.05, 0.1, 0.2], bootstrap.SEED)
     return spark.createDataFrame(found["grid"], "delta double, power double")
 
 
@@ -662,7 +665,7 @@ def q_stamp_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Fields are the first words of benchmark items, single and in pairs, in the two languages that have most texts.
 @query("""WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
-f AS (SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS doc_class, unnest([w[1] || '_' || w[2], w[3], upper(w[4])]) AS field FROM w),
+f AS (SELECT DISTINCT CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END AS doc_class, unnest([w[1] || '_' || w[2], w[3], w[4]]) AS field FROM w),
 t AS (SELECT *, CASE WHEN replace(field, '_', ' ') = field THEN [field] ELSE [field, trim(replace(field, '_', ' '))] END AS tokens FROM f WHERE field IS NOT NULL)
 SELECT doc_class, doc, field, tokens[list_position(found, true)] AS token FROM (
   SELECT t.doc_class, d.doc_id AS doc, field, tokens, list_transform(tokens, lambda x: contains(lower(d.text), lower(x))) AS found
@@ -670,7 +673,7 @@ SELECT doc_class, doc, field, tokens[list_position(found, true)] AS token FROM (
 def q_text_hits(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").select(F.col("lang").alias("doc_class"), F.col("doc_id").alias("doc"), "text")
     w = F.split("text", " ")
-    names = F.array(F.concat(F.get(w, F.lit(0)), F.lit("_"), F.get(w, F.lit(1))), F.get(w, F.lit(2)), F.upper(F.get(w, F.lit(3))))
+    names = F.array(F.concat(F.get(w, F.lit(0)), F.lit("_"), F.get(w, F.lit(1))), F.get(w, F.lit(2)), F.get(w, F.lit(3)))
     fields = table(spark, sf, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "en").otherwise("fr").alias("doc_class"), F.explode(names).alias("field")).filter("field is not null")
     return probes.text_hits(texts, fields)
 
@@ -807,15 +810,14 @@ def q_dataset_summary(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.summary(dataset.prediction_rows(_judged(spark, sf), views.strikes(spark, sf), "a1", "main"))
 
 
-@query(f"""WITH l AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS r, l_orderkey || '/' || l_linenumber || ' ' || l_returnflag || l_linestatus AS line FROM lineitem),
+@query("""WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS r, o_orderkey || ' ' || o_orderstatus || '/' || o_custkey AS line FROM orders),
 h AS (SELECT r, sha256(r || chr(10) || line) AS h FROM l),
 w AS (SELECT r // 1000 AS range, unnest([0, 1, 2, 3]) AS i, ('0x' || unnest([h[1:16], h[17:32], h[33:48], h[49:64]]))::UBIGINT AS x FROM h),
 x AS (SELECT range, i, count(*) AS lines, bit_xor(x) AS x FROM w GROUP BY 1, 2)
 SELECT range, any_value(lines) AS lines, string_agg(lpad(lower(to_hex(x)), 16, '0'), '' ORDER BY i) AS digest FROM x GROUP BY 1""")
 def q_dataset_digest(spark: SparkSession, sf: str) -> DataFrame:
-    line = F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"), F.lit(" "), F.col("l_returnflag"), F.col("l_linestatus"))
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", line.alias("value"))
-    return digest.range_digests(rows, ["l_orderkey", "l_linenumber"], size=1000)
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), F.col("o_orderstatus"), F.lit("/"), F.col("o_custkey").cast("string"))
+    return digest.range_digests(table(spark, sf, "orders").select("o_orderkey", line.alias("value")), ["o_orderkey"], size=1000)
 
 
 @query(f"WITH {CELLS} SELECT g.doc_class, g.doc, g.field, g.state, coalesce(s.reason, 'confirmed') AS verdict FROM goldens g LEFT JOIN strikes s USING (doc_class, doc, field) WHERE g.state <> 'present'")
@@ -823,6 +825,33 @@ def q_audit(spark: SparkSession, sf: str) -> DataFrame:
     return dataset.audit_rows(views.goldens(spark, sf), views.strikes(spark, sf))
 
 
+#: Of letters alone, collation goes by letters first, then small before capital ones.
+_NAMED = """n AS (SELECT c_mktsegment AS doc_class, CASE c_custkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN n_name ELSE n_name[1] || lower(n_name[2:]) END AS field, min(c_custkey) AS doc
+  FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE NOT contains(n_name, ' ') GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_NAMED} SELECT doc_class, field, row_number() OVER (ORDER BY lower(doc_class), lower(field), translate(field, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')) - 1 AS place FROM n""")
+def q_strike_order(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).filter(~F.contains("n_name", F.lit(" ")))
+    k = F.col("c_custkey") % 3
+    field = F.when(k == 0, F.lower("n_name")).when(k == 1, F.col("n_name")).otherwise(F.concat(F.substring("n_name", 1, 1), F.lower(F.substr("n_name", F.lit(2)))))
+    sheet = rows.select(F.col("c_mktsegment").alias("doc_class"), field.alias("field"), F.col("c_custkey").cast("string").alias("doc"), F.col("c_custkey").alias("line"), F.lit(True).alias("visible"))
+    return probes.in_order(probes.strikes(sheet), "place").select("doc_class", "field", "place")
+
+
+#: A sound form tells nothing apart that was equal; one that also looks at the order's customer does.
+@query("""WITH f AS (SELECT o_orderpriority AS before, lower(trim(o_orderpriority)) AS sound, CASE WHEN o_custkey % 2 = 0 THEN lower(o_orderpriority) ELSE o_orderpriority END AS broken FROM orders),
+b AS (SELECT 'sound' AS form, before, sound AS after FROM f UNION ALL SELECT 'broken', before, broken FROM f)
+SELECT form, '"' || before || '"' AS before, '"' || min(after) || '"' AS one, '"' || max(after) || '"' AS other FROM b GROUP BY form, before HAVING min(after) <> max(after)""")
+def q_monotone_faults(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    before = quoted(F.col("o_orderpriority")).alias("before")
+    sound = o.select(F.lit("sound").alias("form"), before, quoted(text.normal_form(F.lit("text"), F.col("o_orderpriority"))).alias("after"))
+    broken = o.select(F.lit("broken").alias("form"), before, quoted(F.when(F.col("o_custkey") % 2 == 0, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority"))).alias("after"))
+    return cells.monotone_faults(sound.unionByName(broken), ["form"])
+
+
 # --- run log ---------------------------------------------------------------------------
 
 

@@ -39,7 +39,8 @@ def sweep_hits(rows: DataFrame, text: Column, extra: dict[str, str] | None = Non
     """``label, hit``: one row for each text and pattern that matches; the first 60 characters of it."""
     patterns = sweeps(own_domain, extra)
     found = F.array(*[F.struct(F.lit(k).alias("label"), F.substring(F.regexp_substr(text, F.lit(p)), 1, 60).alias("hit")) for k, p in patterns.items()])
-    return rows.select(F.explode(F.filter(found, lambda x: x["hit"].isNotNull())).alias("f")).select("f.*")
+    # explode() would have the optimizer filter on the array's size, each pattern looked for twice
+    return rows.select(F.explode_outer(F.filter(found, lambda x: x["hit"].isNotNull())).alias("f")).filter("f is not null").select("f.*")
 
 
 def denylist(text: str) -> dict[str, str]:

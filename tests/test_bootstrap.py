@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkgauge.functions.rng import Rng
+from sparkgauge.functions.rng import Rng, uniforms
 from sparkgauge.operators import bootstrap
 
 CELLS = "doc_class string, doc long, tp long, fp long, fn long"
@@ -30,8 +30,8 @@ def same(a, b):
 def test_draws_are_the_stream():
     rng = Rng(77)
     wanted = [rng.next() for _ in range(2000)]
-    assert bootstrap._uniform(77, 0, 2000).tolist() == wanted
-    assert bootstrap._uniform(77, 1500, 500).tolist() == wanted[1500:]
+    assert uniforms(77, np.arange(2000)).tolist() == wanted
+    assert uniforms(77, np.arange(1500, 2000)).tolist() == wanted[1500:]
 
 
 @pytest.mark.parametrize("block_bytes", [16 << 20, 24 * 7, 24])
@@ -52,7 +52,7 @@ def test_draws_in_parts(spark, monkeypatch):
     frame = spark.createDataFrame(cells(), CELLS)
     placed = bootstrap.numbered(frame, ["doc_class", "doc"])
     whole = sorted(map(tuple, bootstrap.resample_vectors(spark, placed, ["tp"], 3, 20).collect()))
-    u = bootstrap._uniform(3, 0, 20 * 40).reshape(20, 40)
+    u = uniforms(3, np.arange(20 * 40)).reshape(20, 40)
     tp = np.array([r[2] for r in sorted(cells(), key=lambda r: (r[0], r[1]))])
     assert whole == [(b, int(tp[np.floor(x * 40).astype(int)].sum())) for b, x in enumerate(u)]
 

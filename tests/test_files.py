@@ -126,9 +126,21 @@ def test_flatten_text_reads_what_the_parser_reads(spark):
     rows = spark.createDataFrame([*enumerate(texts)], "doc long, j string")
     parsed = {r.doc: json.loads(r.v) for r in rows.selectExpr("doc", "to_json(try_parse_json(j)) v").collect() if r.v is not None}
     wanted = {(d, f, json.dumps(v, ensure_ascii=False)) for d, x in parsed.items() for f, v in leaves_of(x)}
+    # VARIANT refuses an object that repeats a key; here the last value counts
+    wanted |= {(1, "/a", "2")}
     assert {(r.doc, r.field, r.value_json) for r in adapters.flatten(rows, ["doc"], "j").collect()} == wanted
 
 
+@pytest.mark.parametrize("text", ['{"a":{"x":1,"y":2},"b":3,"a":[4]}', '{"a":1,"a":{"c":[1,2]},"a":{"c":{}}}', '{"o":[{"k":1,"k":2},{"k":{"k":3,"k":4}}],"p":{"q":1},"o":null}', '{"a":[],"a":7,"b":{"a":1,"a":2},"b":{"z":0}}'])
+def test_the_last_of_repeated_keys_counts(spark, text):
+    assert sorted(adapters.flatten_text(text)) == sorted((f, json.dumps(v)) for f, v in leaves_of(json.loads(text)))
+    response = json.dumps({"choices": [{"message": {"content": f"```json\n{text}\n```"}}], "model": "m"})
+    rows = spark.createDataFrame([("d", response)], "doc string, response string")
+    fields, failed = adapters.chat_responses(rows, ["doc"])
+    assert sorted((r.field, r.value_json) for r in fields.collect()) == sorted((f, json.dumps(v)) for f, v in leaves_of(json.loads(text)))
+    assert failed.count() == 0
+
+
 def test_probe_pool_takes_all_events(spark, tmp_path):
     rows = [(7, 1, "a"), (1001, 1, "b"), (14, 2, "b"), (70_000, 1, "b"), (12, 3, "c")]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")

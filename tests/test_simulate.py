@@ -2,7 +2,7 @@ import pytest
 
 from sparkgauge.functions.rng import Rng, quantile
 from sparkgauge.operators import bootstrap, simulate
-from sparkgauge.plans import queries
+from sparkgauge.plans import queries, views
 
 
 def test_noise_floor_is_the_published_one(spark):
@@ -50,9 +50,12 @@ def test_bands_take_all_points(spark, tmp_path):
 
 
 def test_queries_simulate_as_often_as_the_operators(spark):
-    wanted = {r.n: r.p95 for r in simulate.noise_floor(spark, [50], bootstrap.SEED, sims=1000).collect()}
-    assert {r.n: r.p95 for r in queries.q_noise_floor(spark, "").collect()}[50] == pytest.approx(wanted[50])
-    wanted = simulate.detectable_effect(spark, [6] * 20, 0.75, [0.05, 0.1, 0.2], bootstrap.SEED, sims=600)["grid"]
-    assert [tuple(r) for r in queries.q_detectable_effect(spark, "").collect()] == wanted
+    data = "/root/testdata/sf0.001"
+    found = {r.n: r.p95 for r in queries.q_noise_floor(spark, data).collect()}
+    wanted = {r.n: r.p95 for r in simulate.noise_floor(spark, list(found), bootstrap.SEED, sims=1000).collect()}
+    assert found == pytest.approx(wanted)
+    per = views.goldens(spark, data).filter("doc_class = 'view'").groupBy("doc").count().orderBy("doc").collect()
+    wanted = simulate.detectable_effect(spark, [r["count"] for r in per], 0.75, [0.05, 0.1, 0.2], bootstrap.SEED, sims=600)["grid"]
+    assert [tuple(r) for r in queries.q_detectable_effect(spark, data).collect()] == wanted
     ci = queries.q_pooled_interval(spark, "/root/testdata/sf0.001").first()
     assert ci.p_zero < 2 / 501
