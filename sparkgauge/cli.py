@@ -15,10 +15,11 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import adapters, corpora, dataset, judge, pdf, probes
+from .operators import adapters, corpora, dataset, judge, pdf, probes, requests
 from .plans import corpus, matrix, report, score
 from .plans import run as runs
-from .sources import digest, discovery, jsonl, sinks
+from .sources import digest, discovery, http, jsonl, sinks
+from .sources.checkpoint import LeaseError
 from .sources.jsonl import InputError
 from .sources.sinks import write_json
 from .sources.store import Store, resolve
@@ -59,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
     verb("matrix", config=need, corpora={}, pdfs={}, documents={}, goldens={}, fixtures={}, out={}, live=flag, cell=some, plan_only=flag, **passed_on)
     verb("dataset-check", a=need, b=need)
     spend = {"expected_spend_usd": {}, "pricing_basis": {}, "pricing_as_of": {}}
-    verb("run", golden=need, adapter=need, docs={}, fixtures={}, out=need, repeat={"type": int, "default": 1}, limit={"type": int}, live=flag, resume_open=flag, mistral_cap_branch={"choices": matrix.CAP_BRANCHES}, cal_test_manifest=some, commit_sha={}, **spend, **passed_on)
+    verb("run", golden=need, adapter=need, docs={}, fixtures={}, out=need, repeat={"type": int, "default": 1}, limit={"type": int}, live=flag, resume_open=flag, mistral_cap_branch={"choices": matrix.CAP_BRANCHES}, cal_test_manifest=some, commit_sha={}, url={}, key_env={}, auth={"choices": ["bearer", "x-goog-api-key"], "default": "bearer"}, model={}, instruction={}, schema={}, **spend, **passed_on)
     verb("probes", schemas=need, golden=some, seed={"type": int, "default": 20260712}, out=need)
     verb("probes-verify", probes=need, texts=need, out=need)
     verb("probes-strike", probes=need, worksheet=need, out=need)
@@ -205,7 +206,7 @@ def main(argv: list[str] | None = None) -> int:
     except score.NoNumber as e:
         print(f"{args.verb}: {e}", file=sys.stderr)
         return 3
-    except (InputError, score.UsageError, OSError, ValueError) as e:
+    except (InputError, score.UsageError, OSError, ValueError, LeaseError, requests.Fatal) as e:
         print(f"{args.verb}: {e}", file=sys.stderr)
         return 2
 
@@ -261,8 +262,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             print(json.dumps(done))
             return 0 if all(c["status"] == "completed" for c in done["cells"]) else 1
     elif args.verb == "run":
-        if args.fixtures is None:
-            raise score.UsageError("--fixtures is needed: there is no way to a service from here")
+        if args.fixtures is None and not args.live:
+            raise score.UsageError("--fixtures is needed, or --live")
+        if args.fixtures is None and not (args.docs and args.url and args.key_env and args.schema):
+            raise score.UsageError("--live needs --docs, --url, --key-env and --schema, or recorded answers by --fixtures")
         if args.mistral_cap_branch is not None and args.adapter != matrix.Matrix.capped_adapter:
             raise score.UsageError(f"--mistral-cap-branch is for the adapter {matrix.Matrix.capped_adapter}")
         usd, basis, as_of = runs.check_pricing(args.expected_spend_usd, args.pricing_basis, args.pricing_as_of) if args.live else (None, None, None)
@@ -271,7 +274,16 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
             pricing_basis=basis, pricing_as_of=as_of, recover_lease=args.recover_stale_lock, allow_drift=args.allow_commit_drift,
         )
         check_split(spark, args.golden, args.cal_test_manifest, args.live)
-        health = runs.run(spark, config, recorded_answers(spark, args.fixtures), args.commit_sha)
+        if args.fixtures is not None:
+            health = runs.run(spark, config, recorded_answers(spark, args.fixtures), args.commit_sha)
+        else:
+            service = http.Service(args.url, args.key_env, args.auth)
+            service.key()
+            instruction = Path(args.instruction).read_text() if args.instruction else ""
+            files = jsonl.read_documents(spark, args.docs).join(jsonl.golden_rows(spark, args.golden).select("doc_class", "doc"), "doc")
+            made = requests.bodies(files, args.adapter, Path(args.schema).read_text(), args.model or "", instruction)
+            calls = http.jobs(service) if args.adapter == "job" else http.answers(service)
+            health = runs.run(spark, config, calls, args.commit_sha, made, adapters.get_adapter(args.adapter))
         print(json.dumps(health))
         return 0 if health["status"] == "complete" else 1
     elif args.verb == "probes":

@@ -176,11 +176,15 @@ def logprob_confidence(tokens: Column, value: Column) -> Column:
     return F.when(F.size(tokens) > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.exp(mean))))
 
 
+#: Statuses that may pass, and those that would meet every call.
+RETRIED_STATUS, FATAL_STATUS = (408, 425, 429), (401, 402, 403, 407)
+
+
 def failure_kind(status: Column) -> Column:
     """What an HTTP status means for a call: null (usable), transport_failure, fatal or contract_failure."""
     return (
-        F.when(status.isin(408, 425, 429) | (status >= 500), F.lit("transport_failure"))
-        .when(status.isin(401, 402, 403, 407), F.lit("fatal"))
+        F.when(status.isin(*RETRIED_STATUS) | (status >= 500), F.lit("transport_failure"))
+        .when(status.isin(*FATAL_STATUS), F.lit("fatal"))
         .when((status < 200) | (status >= 300), F.lit("contract_failure"))
     )
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import failure_kind, logprob_confidence, repair_json
 from ..functions.values import valid_confidence
-from .requests import check_fields
+from .requests import Fatal, check_fields
 
 #: Pages that one system takes at most.
 PAGE_CAP = 8
@@ -185,7 +185,7 @@ def run_extraction(units: DataFrame, extract: Callable[[dict], dict], retries: i
     """Call ``extract`` for each planned unit (any columns): ``availability, request_attempts, response, error``.
 
     ``extract`` raises ``ConnectionError`` for transport failures, which are tried again up to
-    ``retries`` times within one deadline, and ``ValueError`` for unusable answers; anything else stops the job.  With ``check``
+    ``retries`` times within one deadline, ``ValueError`` for unusable answers, and ``Fatal`` (``availability`` is ``fatal``) where no further call makes sense; anything else stops the job.  With ``check``
     an answer's ``fields`` must be fit to be recorded.
     """
     names = units.columns
@@ -216,6 +216,8 @@ def run_extraction(units: DataFrame, extract: Callable[[dict], dict], retries: i
                         error = str(e) or "deadline"
                     except ValueError as e:
                         state, error = "contract_failure", str(e)
+                    except Fatal as e:
+                        state, error = "fatal", str(e)
                     finally:
                         caller.shutdown(wait=False)
                 out.append(row | {"availability": state, "request_attempts": attempts, "response": answer, "error": error})

@@ -15,12 +15,12 @@ from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import runlog
 from ..operators.adapters import run_extraction
-from ..operators.requests import check_fields
+from ..operators.requests import Fatal, check_fields
 from ..sources import checkpoint, jsonl
 from ..sources.checkpoint import Lease, durable_append, durable_write
 from ..sources.sinks import write_json
@@ -77,10 +77,40 @@ def _planned(goldens: DataFrame) -> DataFrame:
     return goldens.groupBy("doc_class", "doc").agg(F.min("doc_ord").alias("doc_ord"))
 
 
-def run(spark: SparkSession, config: RunConfig, extract: Callable[[dict], dict], state: str | None = None) -> dict:
+#: What tells a unit, with its place.
+UNIT = ["doc_class", "doc", "repeat", "doc_ord"]
+_OUTCOME = "doc_class string, doc string, repeat int, doc_ord long, availability string, request_attempts int, response string, error string"
+
+
+def mapped(spark: SparkSession, outcomes: list[Row], mapper: Callable[[DataFrame, list[str]], tuple[DataFrame, DataFrame]]) -> list[Row]:
+    """A wave's raw answers as fields, by an adapter's mapper; what it can't read is a contract failure.  Answers are there already: no call is made again."""
+    frame = spark.createDataFrame([tuple(r[c] for c in [*UNIT, "availability", "request_attempts", "response", "error"]) for r in outcomes], _OUTCOME)
+    fields, failed = mapper(frame.filter("availability = 'completed'").select(*UNIT, "response"), UNIT)
+    found: dict[tuple, dict] = {}
+    for r in fields.collect():
+        value = {"value": json.loads(r.value_json)}
+        found.setdefault(tuple(r[c] for c in UNIT), {})[r.field] = value if r.confidence is None else value | {"confidence": r.confidence}
+    lost = {tuple(r) for r in failed.select(*UNIT).collect()}
+    out = []
+    for r in outcomes:
+        unit, said = tuple(r[c] for c in UNIT), r.asDict()
+        if r.availability == "completed":
+            try:
+                if unit in lost:
+                    raise ValueError("the answer holds no fields")
+                check_fields(found.get(unit, {}))
+                said["response"] = json.dumps(found.get(unit, {}))
+            except ValueError as e:
+                said |= {"availability": "contract_failure", "response": None, "error": str(e)}
+        out.append(Row(**said))
+    return out
+
+
+def run(spark: SparkSession, config: RunConfig, extract: Callable[[dict], dict], state: str | None = None, bodies: DataFrame | None = None,
+        mapper: Callable[[DataFrame, list[str]], tuple[DataFrame, DataFrame]] | None = None) -> dict:
     """Run what is left; returns the health record.  ``extract(unit)`` answers fields by pointer, each ``{value, confidence?}``.
 
-    Refused before any call: a live run without confirmed spend or from a tree with changes, a log of other code.
+    With ``bodies`` (``doc_class, doc`` and what a request needs) a unit carries them, and with a ``mapper`` answers are a service's own, read by it.  Refused before any call: a live run without confirmed spend or from a tree with changes, a log of other code.
     """
     out = Path(config.out)
     out.mkdir(parents=True, exist_ok=True)
@@ -117,13 +147,22 @@ def run(spark: SparkSession, config: RunConfig, extract: Callable[[dict], dict],
         left = checkpoint.pending(planned, config.repeats, done).join(planned, ["doc_class", "doc"]).orderBy("repeat", "doc_ord").cache()
         units = left.toLocalIterator(prefetchPartitions=True)
         while wave := [u for _, u in zip(range(config.wave), units, strict=False)]:
-            rows = spark.createDataFrame(wave, left.schema).repartition(min(len(wave), spark.sparkContext.defaultParallelism))
-            for r in sorted(run_extraction(rows, fit_to_record(extract), config.retries).collect(), key=lambda r: (r.repeat, r.doc_ord)):
+            rows = spark.createDataFrame(wave, left.schema)
+            if bodies is not None:
+                rows = rows.join(bodies, ["doc_class", "doc"])
+            rows = rows.repartition(min(len(wave), spark.sparkContext.defaultParallelism))
+            outcomes = run_extraction(rows, extract if mapper else fit_to_record(extract), config.retries).select(*UNIT, "availability", "request_attempts", "response", "error").collect()
+            for r in sorted(mapped(spark, outcomes, mapper) if mapper else outcomes, key=lambda r: (r.repeat, r.doc_ord)):
+                if r.availability == "fatal":
+                    continue
                 durable_append(log_path, {
                     "kind": "prediction", "doc": r.doc, "docClass": r.doc_class, "repeat": r.repeat, "fields": json.loads(r.response) if r.response else {},
                     "availability": r.availability, "requestAttempts": r.request_attempts, "transportRetries": r.request_attempts - 1, **({"error": r.error} if r.error else {}),
                 }, lease)
                 streak = streak + 1 if r.availability == "contract_failure" else 0
+            if ends := [r.error for r in outcomes if r.availability == "fatal"]:
+                # what was answered is in the log; these units are left for the run after the cause is mended
+                raise Fatal(f"run: {ends[0]}")
             if streak >= limit:
                 durable_append(log_path, {"kind": "circuit_open", "streak": streak, "at": datetime.now(UTC).isoformat()}, lease)
                 return _finish(spark, config, planned, mark, limit, "paused")
