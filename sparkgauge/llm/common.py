@@ -44,7 +44,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+def materialise(df: DataFrame, name: str = "table", **options: object) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts the lineage like a reliable checkpoint (a lost executor costs nothing
@@ -52,7 +52,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{new_path(spark, name)}/data"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +85,18 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(blanks, " "), lambda w: w != "")).cast("long")
 
 
+def aside(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, dict[str, Column]]:
+    """The columns ``own`` as far as they are there, with all others in one struct, so that no name of theirs can clash with an
+    operator's; and how each of the others comes out of it again."""
+    kept = {c.lower(): c for c in docs.columns}
+    names = [kept[c] for c in own if c in kept]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    others = [c for c in docs.columns if c not in names]
+    rest = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(others)]) if others else F.lit(None).cast("int")
+    rows = docs.select(*[quoted(c).alias(c.lower()) for c in names], rest.alias("_aside"))
+    return rows, {c: F.col("_aside")[f"c{i}"] for i, c in enumerate(others)}
+
+
 def ordered_first(*columns: Column) -> Column:
     """A struct that orders by ``columns`` with nulls after all values."""
     return F.struct(*[c for x in columns for c in (x.isNull(), x)])

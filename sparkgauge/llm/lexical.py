@@ -30,8 +30,10 @@ from .common import materialise
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Documents of a block: 64 words of 64 bits; and (document, term) pairs after which a block ends early.
-BLOCK_DOCS, BLOCK_POSTINGS = 4096, 1_000_000
+#: Documents of a block (16 words of 64 bits), and (document, term) pairs after which a block ends early: a row of either table has a few MB.
+BLOCK_DOCS, BLOCK_POSTINGS = 1024, 250_000
+#: Rows are large, so row groups are small and their size is looked at row by row: a writer holds one in memory.
+_GROUPS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
 #: (query, term) pairs of a lot at about 100 bytes each: a lot's terms and weights are what is broadcast.
 LOT_PAIRS = 500_000
 #: Terms added at once.
@@ -64,10 +66,6 @@ def query_terms(items: DataFrame, text: str = "text") -> DataFrame:
     return items.select("item_id", F.explode(found).alias("term")).distinct()
 
 
-def _binary(column: pa.Array) -> list:
-    return column.cast(pa.binary()).to_pylist()
-
-
 class _Postings:
     """The block that a task fills."""
 
@@ -108,13 +106,23 @@ class _Postings:
         )
 
 
-def _sliced(value: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes]:
-    """Words that hold a document of the term, and those words of each slice, the lowest slice first."""
-    word, local = np.unique(place >> 6, return_inverse=True)
-    bits = np.zeros((len(word) * 64, max(1, int(value.max()).bit_length())), dtype=np.uint8)
-    bits[local * 64 + (place & 63)] = (value[:, None] >> np.arange(bits.shape[1])) & 1
-    packed = np.packbits(bits, axis=0, bitorder="little")
-    return word.astype(np.uint8).tobytes(), np.ascontiguousarray(packed.T).tobytes()
+def term_slices(value: np.ndarray, place: np.ndarray, n: np.ndarray) -> list[tuple[bytes, bytes] | None]:
+    """For each term the words that hold a document of it, and those words of each slice, the lowest first; null where all values are zero.
+
+    ``n``: how many of the values, with their places in ascending order, are each term's.
+    """
+    term = np.repeat(np.arange(len(n)), n)
+    key = (term << 16) | (place >> 6)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    bit, bits = np.uint64(1) << (place & 63).astype(np.uint64), int(value.max()).bit_length()
+    slices = np.empty((bits, len(starts)), dtype=np.uint64)
+    for b in range(bits):
+        slices[b] = np.bitwise_or.reduceat(np.where((value >> b) & 1, bit, np.uint64(0)), starts)
+    word = (place[starts] >> 6).astype(np.uint8)
+    first = np.cumsum(n) - n
+    most = np.maximum.reduceat(value, first).tolist()
+    cuts = np.searchsorted(term[starts], np.arange(len(n) + 1)).tolist()
+    return [(word[a:b].tobytes(), slices[: m.bit_length(), a:b].tobytes()) if m else None for m, (a, b) in zip(most, pairwise(cuts), strict=True)]
 
 
 def build_index(docs: DataFrame, vocabulary: list[bytes]) -> Index:
@@ -127,15 +135,15 @@ def build_index(docs: DataFrame, vocabulary: list[bytes]) -> Index:
         number = {t: i for i, t in enumerate(names)}
         block = _Postings()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _binary(batch.column("text")), strict=True):
-                block.add(doc_id, text, number)
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), strict=True):
+                block.add(doc_id.as_py(), text.as_py(), number)
                 if block.full():
                     yield block.row(names)
                     block = _Postings()
         if block.ids:
             yield block.row(names)
 
-    postings = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(post, _POSTINGS), "postings")
+    postings = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(post, _POSTINGS), "postings", **_GROUPS)
     n = postings.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
     each = postings.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy("x.terms").agg(F.sum("x.dfs").alias("df"))
     # at most as many rows as the vocabulary has terms
@@ -146,22 +154,18 @@ def build_index(docs: DataFrame, vocabulary: list[bytes]) -> Index:
         n_docs, n_terms, weight = weigh.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("ids", "sizes", "terms", "places", "tfs")}
-                size = np.array(row["sizes"], dtype=np.int64)
-                m = 50 + 50 * size * n_docs // max(1, n_terms)
-                words, slices, kept = [], [], []
-                for term, place, tf in zip(row["terms"], row["places"], row["tfs"], strict=True):
-                    at, times = np.frombuffer(place, dtype=np.uint16).astype(np.int64), np.frombuffer(tf, dtype=np.uint32).astype(np.int64)
-                    value = weight[term.encode()] * (1_000_000_000 * times // (1000 * times + 20 * m[at]))
-                    if value.any():
-                        w, s = _sliced(value, at)
-                        words.append(w)
-                        slices.append(s)
-                        kept.append(term)
-                columns = [pa.array([row["ids"]], pa.list_(pa.int64())), pa.array([kept], pa.list_(pa.string())), pa.array([words], pa.list_(pa.binary())), pa.array([slices], pa.list_(pa.binary()))]
+                row = {c: batch.column(c)[i].as_py() for c in ("ids", "sizes", "terms", "dfs", "places", "tfs")}
+                m = 50 + 50 * np.array(row["sizes"], dtype=np.int64) * n_docs // max(1, n_terms)
+                n, found = np.array(row["dfs"], dtype=np.int64), []
+                if len(n):
+                    at = np.frombuffer(b"".join(row["places"]), dtype=np.uint16).astype(np.int64)
+                    times = np.frombuffer(b"".join(row["tfs"]), dtype=np.uint32).astype(np.int64)
+                    own = np.repeat(np.array([weight[t.encode()] for t in row["terms"]], dtype=np.int64), n)
+                    found = [(t, x) for t, x in zip(row["terms"], term_slices(own * (1_000_000_000 * times // (1000 * times + 20 * m[at])), at, n), strict=True) if x]
+                columns = [pa.array([row["ids"]], pa.list_(pa.int64())), pa.array([[t for t, _ in found]], pa.list_(pa.string())), *(pa.array([[x[k] for _, x in found]], pa.list_(pa.binary())) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays(columns, names=["ids", "terms", "words", "slices"])
 
-    return Index(materialise(postings.mapInArrow(impacts, _INDEX), "impacts"), statistics)
+    return Index(materialise(postings.mapInArrow(impacts, _INDEX), "impacts", **_GROUPS), statistics)
 
 
 def add_slices(x: np.ndarray) -> np.ndarray:

@@ -150,7 +150,7 @@ def test_blocks_change_nothing(spark, monkeypatch):
     row = block.row([t.encode() for t in vocabulary]).to_pylist()[0]
     for term, place, tf in zip(row["terms"], row["places"], row["tfs"], strict=True):
         at, n = np.frombuffer(place, np.uint16).astype(np.int64), np.frombuffer(tf, np.uint32).astype(np.int64)
-        words, slices = lexical._sliced(n, at)
+        ((words, slices),) = lexical.term_slices(n, at, np.array([len(n)]))
         w = np.frombuffer(words, np.uint8)
         s = np.frombuffer(slices, np.uint64).reshape(-1, len(w))
         back = {}
@@ -173,7 +173,7 @@ def test_slices_add_and_rank_like_numbers():
         values = r.integers(0, 1 << 34, (n, wide * 64)) * (r.random((n, wide * 64)) < 0.4)
         x = np.zeros((36, n, wide), np.uint64)
         for i, v in enumerate(values):
-            w, s = lexical._sliced(v, np.arange(wide * 64))
+            ((w, s),) = lexical.term_slices(v, np.arange(wide * 64), np.array([len(v)]))
             own = np.frombuffer(s, np.uint64).reshape(-1, len(np.frombuffer(w, np.uint8)))
             x[: len(own), i, np.frombuffer(w, np.uint8)] = own
         total, sums = lexical.add_slices(x), values.sum(axis=0)
@@ -184,6 +184,18 @@ def test_slices_add_and_rank_like_numbers():
             assert sorted(at.tolist()) == sorted(want) and np.array_equal(score, sums[at])
 
 
+def test_slices_of_many_terms_are_those_of_each():
+    r = np.random.default_rng(6)
+    n = np.array([1, 5, 200, 3, 64])
+    place = np.concatenate([np.sort(r.choice(1024, k, replace=False)) for k in n])
+    value = r.integers(1, 1 << 30, n.sum()) * (np.repeat(np.arange(5), n) != 3)
+    found, first = lexical.term_slices(value, place, n), np.cumsum(n) - n
+    assert found[3] is None
+    for k in (0, 1, 2, 4):
+        own = slice(first[k], first[k] + n[k])
+        assert found[k] == lexical.term_slices(value[own], place[own], n[k : k + 1])[0]
+
+
 def test_context_sums_equal_a_plain_loop():
     r = np.random.default_rng(3)
     docs = [r.integers(0, 40, n).astype(np.int32) for n in (0, 1, 2, 30, 200)]
