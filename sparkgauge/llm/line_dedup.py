@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, materialise
+from .common import SPACE_CHARS, aside, materialise
 
 WINDOW_CHARS = 32
 
@@ -96,20 +96,23 @@ def dedup_lines(docs: DataFrame, window_chars: int = WINDOW_CHARS) -> DataFrame:
     Blank lines stay and stand in no run.  A null text stays null, an empty one empty; a
     document all of whose lines repeat is left with an empty or blank text.  Rows that agree in doc_id and text are
     one document here and all get its result.  An empty table gives no rows.  Further columns pass
-    through, but for ``deleted``, ``n_lines`` and names that begin with ``_l``; ``n_chars``, if there,
+    through whatever their names, but for ``deleted`` and ``n_lines`` (in any case); ``n_chars``, if there,
     is that of the new text.
     """
-    keep = [c for c in docs.columns if c not in ("deleted", "n_lines")]
+    order, (docs, others) = docs.columns, aside(docs, ("doc_id", "text", "n_chars"))
     cuts = repeated_lines(docs, window_chars).select(
         F.col("doc_id").alias("_l_doc"), F.col("mark").alias("_l_mark"), F.col("cut").alias("_l_cut")
     )
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_l_doc")) & (F.unhex(F.md5("text")) == F.col("_l_mark"))
-    rows = docs.select(*keep).join(cuts, same, "left").withColumn("_l_all", F.split("text", "\n", -1))
+    rows = docs.join(cuts, same, "left").withColumn("_l_all", F.split("text", "\n", -1))
     rows = rows.withColumn("deleted", F.coalesce("_l_cut", F.expr("cast(array() as array<int>)")))
     left = F.expr("transform(array_except(sequence(0, size(_l_all) - 1), deleted), i -> _l_all[i])")
     rows = rows.withColumn("_l_text", F.when(F.size("deleted") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
-    new = {"text": F.col("_l_text")} | ({"n_chars": F.when(F.size("deleted") > 0, F.char_length("_l_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in keep else {})
+    new = {"doc_id": F.col("doc_id"), "text": F.col("_l_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("deleted") > 0, F.char_length("_l_text").cast("long")).otherwise(F.col("n_chars"))
+    every = {c: others[c] if c in others else new[c.lower()] for c in order if c.lower() not in ("deleted", "n_lines")}
     return rows.select(
-        *[new[c].alias(c) if c in new else F.col(c) for c in keep], "deleted",
+        *[x.alias(c) for c, x in every.items()], "deleted",
         F.coalesce(F.size("_l_all"), F.lit(0)).cast("long").alias("n_lines"),
     )

@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 #: The patterns of the base spans, in the order of their kinds.
 ASSIGN = (
     "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -107,10 +109,10 @@ def find_secrets(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataF
     is the place in ``KINDS``, sorted; ``found`` holds the base spans and those of entropy.
 
     Null text counts as empty, an empty text has no spans, a long one is read whole; every row gives one row, repeated
-    rows too; an empty table gives no rows.  Further columns pass through, but for ``base``,
-    ``found`` and names that begin with ``_s``.
+    rows too; an empty table gives no rows.  Further columns pass through whatever their names, but for ``base``
+    and ``found`` (in any case).
     """
-    keep = [c for c in docs.columns if c not in ("base", "found")]
+    order, (docs, others) = docs.columns, aside(docs, ("doc_id", "text"))
     rows = docs.withColumn("_st", F.coalesce("text", F.lit("")))
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "entropy": rules.candidate}
     for kind, pattern in patterns.items():
@@ -156,7 +158,8 @@ def find_secrets(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataF
           array_sort(concat(base, flatten(transform(_sw, w -> transform(w.runs,
             r -> named_struct('start', w.start + r.from, 'kind', {KINDS.index('entropy')}, 'end', w.start + r.to))))))"""),
     )
-    return rows.select(*keep, "base", "found")
+    every = {c: others[c] if c in others else F.col(c.lower()) for c in order if c.lower() not in ("base", "found")}
+    return rows.select(*[x.alias(c) for c, x in every.items()], "base", "found")
 
 
 def secrets_digest(docs: DataFrame, rules: EntropyRules = EntropyRules()) -> DataFrame:

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import aside
+
 WINDOW = 32
 STRIDE = 16
 WORD_BUCKETS = 1 << 15
@@ -517,6 +519,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) ->
     Null and empty texts score 0 and stay, so do all of equal rows or none; long texts are read whole; an empty table gives no rows.
     """
     net = fit(docs, labels, limits)
-    plain = docs.withColumnRenamed("score", "_own_score")
-    kept = score(plain, net).filter(F.col("score") < 0.5).drop("score")
-    return kept.withColumnRenamed("_own_score", "score").select(*docs.columns)
+    plain, others = aside(docs, ("text",))
+    kept = score(plain, net).filter(F.col("score") < 0.5)
+    return kept.select(*[others.get(c, F.col("text")).alias(c) for c in docs.columns])
