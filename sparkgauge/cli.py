@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import adapters, corpora, dataset, judge, pdf, probes, requests
-from .plans import corpus, matrix, report, score
+from .plans import arms, corpus, matrix, report, score
 from .plans import run as runs
 from .sources import digest, discovery, http, jsonl, sinks
 from .sources.checkpoint import LeaseError
@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     verb("score", predictions=many, golden=many, out=need, normalizers={})
     some = {"action": "append"}
     verb("fabrication", predictions=some, golden=some, arm_dir={}, corpora={}, run_pass={"default": "main", "choices": ["main", "probe"]}, strikes={}, seed={"type": int, "default": 20260712}, resamples={"type": int, "default": 10_000}, out=need)
-    verb("report", scores=need, baseline={}, out=need)
+    verb("report", scores={}, matrix={}, corpora={}, baseline={}, out=need, seed={"type": int, "default": 20260712}, resamples={"type": int, "default": 10_000})
     verb("ci", scores=need, min_f1={"type": number} | need, max_ece={"type": number} | need, baseline={}, eps_f1={"type": number, "default": 0.005}, eps_ece={"type": number, "default": 0.005})
     verb("calibrate", scores=need, max_error={"type": number, "default": 0.05})
     verb("curves", manifest=need)
@@ -220,7 +220,17 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
         if not golden or not predictions:
             raise score.UsageError("--golden or --corpora, and --predictions or --arm-dir, are needed")
         write_json(args.out, score.fabrication(spark, golden, predictions, args.strikes, args.seed, args.resamples))
+    elif args.verb == "report" and args.matrix:
+        if not args.corpora or args.scores:
+            raise score.UsageError("--matrix needs --corpora, and no --scores")
+        tables = arms.build(spark, args.matrix, args.corpora, args.baseline, args.seed, args.resamples)
+        out = Path(args.out)
+        out.mkdir(parents=True, exist_ok=True)
+        for name, text in tables.items():
+            (out / name).write_text(text)
     elif args.verb == "report":
+        if not args.scores:
+            raise score.UsageError("--scores is needed, or --matrix and --corpora")
         now = json.loads(Path(args.scores).read_text())
         old = json.loads(Path(args.baseline).read_text()) if args.baseline else None
         if now.get("version") != 1 or not isinstance(now.get("corpus"), dict):

@@ -68,7 +68,7 @@ def confidence_cell(arm: dict, key: str) -> str:
 def headline_table(arms: list[dict]) -> str:
     """The only table that has a price, and it always stands beside all other measures."""
     rows = [
-        [a["arm"], with_interval(a["macroF1"]["normalized"]), percent(a["fabrication"]), confidence_cell(a, "errorAtCoverage90"), f"${a['usdPer1kPages']:.2f}"]
+        [a["arm"], with_interval(a["macroF1"]["normalized"]), percent(a["fabrication"]), confidence_cell(a, "errorAtCoverage90"), "—" if a["usdPer1kPages"] is None else f"${a['usdPer1kPages']:.2f}"]
         for a in blocks(arms)
     ]
     return table(["arm", "macro-F1 (norm.)", "fabrication (pooled)", "error at coverage 0.9", "$ per 1k pages"], rows)
@@ -87,6 +87,13 @@ def confidence_table(arms: list[dict]) -> str:
     return table(["arm (version)", "ECE", "Brier", "error at coverage 0.9"], [[name(a), *(confidence_cell(a, k) for k in ("ece", "brier", "errorAtCoverage90"))] for a in blocks(arms)])
 
 
+def contrast_table(rows: list[dict], baseline: str) -> str:
+    """Differences to the baseline with their intervals, p-values as corrected, and the intervals of the corrected levels."""
+    span = lambda r, a, b: f"[{r[a]:+.3f}, {r[b]:+.3f}]"
+    body = [[r["contrast"], r["docs"], f"{r['estimate']:+.3f} {span(r, 'lo', 'hi')}", f"{r['p']:.4f}", f"{r['adjusted']:.4f}", span(r, "adjusted_lo", "adjusted_hi"), "yes" if r["rejected"] else "no"] for r in rows]
+    return table([f"arm less {baseline}", "documents", "difference", "p", "p (Holm)", "interval (Holm)", "distinguishable"], body)
+
+
 def effect_table(rows: list[dict], assumptions: str) -> str:
     """Smallest detectable differences by class; null where no step of the grid reaches the power."""
     points = lambda v: "> grid" if v is None else f"~{100 * v:.1f} pp"
