@@ -1,7 +1,7 @@
 """Responses of extraction systems as long tables of fields.
 
-A response arrives as JSON text.  Flattening walks each text's tree in Python without
-recursion; mappers differ in where the answer lies and whether a confidence comes with it.
+A response arrives as JSON text.  Flattening unfolds a tree level by level; mappers differ in where
+the answer lies and whether a confidence comes with it.
 """
 
 from __future__ import annotations
@@ -25,15 +25,36 @@ PAGE_CAP = 8
 #: Fixed value: the form of a served calibrator stamp.
 STAMP = r"^cal-\d{4}\.\d{2}-\d+$"
 
+#: Levels of a tree that are unfolded as columns; what lies deeper is walked text by text.
+LEVELS = 6
+
+
 def flatten(rows: DataFrame, key: list[str], column: str) -> DataFrame:
     """``<key>, field, value_json``: leaves of the JSON text in ``column`` by JSON Pointer; empty containers vanish.
 
-    Primitives and null are leaves.  Each text is walked by itself, in Arrow batches, so neither rows nor levels have a limit.
+    Primitives and null are leaves.  Levels are unfolded one after the other, each as a lateral join that leaves leaves as they are.
+    Only texts that VARIANT refuses (an object repeats a key) and what lies below ``LEVELS`` are walked in Python, in Arrow batches, so neither rows nor levels have a limit.
     """
+    spark = rows.sparkSession
+    own = [F.col(k) for k in key]
+    out = rows.select(*own, F.col(column).alias("_text"), F.try_parse_json(column).alias("_v"), F.lit("").alias("_path")).filter("_text is not null")
+    token = F.coalesce(F.replace(F.replace(F.col("key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
+    for _ in range(LEVELS):
+        down = out.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
+        inner = F.col("pos").isNotNull()
+        # of what has no members only empty containers go
+        out = down.filter(inner | ~F.coalesce(F.to_json("_v").isin("{}", "[]"), F.lit(False))).select(
+            *own, F.when(F.col("_v").isNull(), F.col("_text")).alias("_text"), F.when(inner, F.col("value")).otherwise(F.col("_v")).alias("_v"), F.when(inner, F.concat("_path", F.lit("/"), token)).otherwise(F.col("_path")).alias("_path")
+        )
+    out = out.select(*own, "_path", F.coalesce(F.to_json("_v"), F.col("_text")).alias("_json"), F.col("_text").isNotNull().alias("_raw"))
+    rest = F.col("_raw") | F.col("_json").startswith("{") | F.col("_json").startswith("[")
     leaves = F.udf(flatten_text, "array<struct<field: string, raw: string>>", useArrow=True)
-    # explode() would have the optimizer filter on size(leaves), all texts walked twice
-    out = rows.select(*key, leaves(column).alias("_leaves")).select(*key, F.explode_outer("_leaves").alias("_leaf")).filter("_leaf is not null")
-    return out.select(*key, F.col("_leaf.field").alias("field"), F.coalesce(F.to_json(F.try_parse_json("_leaf.raw")), F.col("_leaf.raw")).alias("value_json"))
+    plain = F.array(F.struct(F.lit("").alias("field"), F.col("_json").alias("raw")))
+    # a text that is a primitive as a whole has no field
+    out = out.withColumn("_rest", rest).filter("_rest or _path <> ''").withColumn("_walked", leaves(F.when(F.col("_rest"), F.col("_json"))))
+    out = out.select(*own, "_path", "_rest", F.explode_outer(F.when(F.col("_rest"), F.col("_walked")).otherwise(plain)).alias("_leaf")).filter("_leaf is not null")
+    value = F.when(F.col("_rest"), F.coalesce(F.to_json(F.try_parse_json("_leaf.raw")), F.col("_leaf.raw"))).otherwise(F.col("_leaf.raw"))
+    return out.select(*own, F.concat("_path", "_leaf.field").alias("field"), value.alias("value_json"))
 
 
 _TOKEN = re.compile(r'[ \t\r\n]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.+-])|(?:true|false|null)(?!\w)))')
