@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,15 +49,24 @@ def flatten(rows: DataFrame, key: list[str], column: str) -> DataFrame:
         )
     out = out.select(*own, "_path", F.coalesce(F.to_json("_v"), F.col("_text")).alias("_json"), F.col("_text").isNotNull().alias("_raw"))
     rest = F.col("_raw") | F.col("_json").startswith("{") | F.col("_json").startswith("[")
-    leaves = F.udf(flatten_text, "array<struct<field: string, raw: string>>", useArrow=True)
+    leaves = F.arrow_udf(_walked, "array<struct<field: string, raw: string>>")
     plain = F.array(F.struct(F.lit("").alias("field"), F.col("_json").alias("raw")))
     # a text that is a primitive as a whole has no field
-    out = out.withColumn("_rest", rest).filter("_rest or _path <> ''").withColumn("_walked", leaves(F.when(F.col("_rest"), F.col("_json"))))
+    out = out.withColumn("_rest", rest).filter("_path <> '' or _rest").withColumn("_walked", leaves(F.when(F.col("_rest"), F.col("_json"))))
     out = out.select(*own, "_path", "_rest", F.explode_outer(F.when(F.col("_rest"), F.col("_walked")).otherwise(plain)).alias("_leaf")).filter("_leaf is not null")
     value = F.when(F.col("_rest"), F.coalesce(F.to_json(F.try_parse_json("_leaf.raw")), F.col("_leaf.raw"))).otherwise(F.col("_leaf.raw"))
     return out.select(*own, F.concat("_path", "_leaf.field").alias("field"), value.alias("value_json"))
 
 
+def _walked(texts: pa.Array) -> pa.Array:
+    """``flatten_text`` of those texts that are not null; the others cost nothing."""
+    kind = pa.list_(pa.struct([("field", pa.string()), ("raw", pa.string())]))
+    if texts.null_count == len(texts):
+        return pa.nulls(len(texts), kind)
+    found = (flatten_text(t) for t in texts.to_pylist())
+    return pa.array([None if leaves is None else [{"field": f, "raw": raw} for f, raw in leaves] for leaves in found], kind)
+
+
 _TOKEN = re.compile(r'[ \t\r\n]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?(?![\w.+-])|(?:true|false|null)(?!\w)))')
 
 
@@ -106,42 +116,50 @@ def flatten_text(text: str | None) -> list[tuple[str, str]] | None:
     return None
 
 
-def _object(text) -> F.Column:
-    return F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), text)
+def _with_answer(rows: DataFrame, text: F.Column) -> DataFrame:
+    """Adds ``answer``: ``text`` if it is a JSON object.  It comes out of a generator, so that filters on it read it instead of making it again."""
+    kept = F.transform(F.array(text), lambda t: F.when(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), t))
+    return rows.withColumn("answer", F.explode(kept))
+
+
+def _split(r: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Fields of the answers, without a confidence, and the keys of rows that have none."""
+    return flatten(r.filter("answer is not null"), key, "answer").withColumn("confidence", F.lit(None).cast("double")), r.filter("answer is null").select(*key)
 
 
 def chat_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Chat completions (``response`` JSON text): fields with confidence from token logprobs, and failed keys."""
+    """Chat completions (``response`` JSON text): fields with confidence from token logprobs, and failed keys.
+
+    Tokens go along with their answer, as one more column of its leaves, so rows of one key, or of none, don't meet.
+    """
     schema = "choices array<struct<message: struct<content: string>, logprobs: struct<content: array<struct<token: string, logprob: double>>>>>, model string"
-    r = rows.withColumn("r", F.from_json("response", schema)).withColumn("answer", _object(repair_json(F.get("r.choices", F.lit(0))["message"]["content"])))
-    tokens = r.select(*key, F.get("r.choices", F.lit(0))["logprobs"]["content"].alias("tokens"))
-    fields = flatten(r.filter("answer is not null"), key, "answer").join(tokens, key)
+    choice = F.get(F.from_json("response", schema)["choices"], F.lit(0))
+    r = rows.withColumn("_choice", choice).withColumn("_tokens", F.col("_choice.logprobs.content"))
+    r = _with_answer(r, repair_json(F.col("_choice.message.content")))
+    fields = flatten(r.filter("answer is not null"), [*key, "_tokens"], "answer")
     plain = F.when(F.col("value_json").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), "value_json", F.lit("}")), "v string")["v"]).otherwise(F.col("value_json"))
-    return fields.withColumn("confidence", logprob_confidence(F.col("tokens"), plain)).drop("tokens"), r.filter("answer is null").select(*key)
+    return fields.withColumn("confidence", logprob_confidence(F.col("_tokens"), plain)).drop("_tokens"), r.filter("answer is null").select(*key)
 
 
 def candidate_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Responses whose text comes in parts of the first candidate; no confidence."""
     schema = "candidates array<struct<content: struct<parts: array<struct<text: string>>>>>, modelVersion string"
     text = F.array_join(F.get(F.from_json("response", schema)["candidates"], F.lit(0))["content"]["parts"]["text"], "")
-    r = rows.withColumn("answer", _object(repair_json(text)))
-    return flatten(r.filter("answer is not null"), key, "answer").withColumn("confidence", F.lit(None).cast("double")), r.filter("answer is null").select(*key)
+    return _split(_with_answer(rows, repair_json(text)), key)
 
 
 def annotation_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Document annotations, an object or a JSON string; not repaired; no confidence."""
     v = F.try_variant_get(F.try_parse_json("response"), F.lit("$.document_annotation"), "variant")
     text = F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, F.lit("$"), "string")), F.to_json(v))
-    r = rows.withColumn("answer", _object(text))
-    return flatten(r.filter("answer is not null"), key, "answer").withColumn("confidence", F.lit(None).cast("double")), r.filter("answer is null").select(*key)
+    return _split(_with_answer(rows, text), key)
 
 
 def job_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Completed extraction jobs: ``data`` or ``extract_result``; no confidence."""
     v = F.try_parse_json("response")
     text = F.coalesce(*[F.to_json(F.try_variant_get(v, F.lit(p), "variant")) for p in ("$.extract_result", "$.data")])
-    r = rows.withColumn("answer", _object(text))
-    return flatten(r.filter("answer is not null"), key, "answer").withColumn("confidence", F.lit(None).cast("double")), r.filter("answer is null").select(*key)
+    return _split(_with_answer(rows, text), key)
 
 
 def stated_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
