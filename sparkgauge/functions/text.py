@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,25 +142,52 @@ def normal_form(kind: Column, value: Column) -> Column:
 
 def repair_json(raw: Column) -> Column:
     """The first of these that parses, as JSON text: as it is, without a code fence, the outermost
-    braces or brackets, the same without commas before a closer; null if none does."""
-    fenced = js_trim(F.regexp_replace(F.regexp_replace(js_trim(raw), "(?i)^```(?:json)?\\s*", ""), "\\s*```$", ""))
-    braces, brackets = F.regexp_extract(fenced, "(?s)(\\{.*\\})", 1), F.regexp_extract(fenced, "(?s)(\\[.*\\])", 1)
-    sliced = F.when(braces != "", braces).when(brackets != "", brackets)
-    relaxed = F.regexp_replace(sliced, ",\\s*([}\\]])", "$1")
+    braces or brackets, the same without commas before a closer; null if none does.
+
+    Each is made once, and only if those before it don't parse.
+    """
     parse = lambda c: F.to_json(F.try_parse_json(c))
-    found = F.coalesce(parse(raw), parse(fenced), parse(sliced), parse(relaxed))
+
+    def unfenced(c: Column) -> Column:
+        return js_trim(F.regexp_replace(F.regexp_replace(js_trim(c), "(?i)^```(?:json)?\\s*", ""), "\\s*```$", ""))
+
+    def outermost(c: Column) -> Column:
+        part = lambda p: _let(F.regexp_extract(c, p, 1), lambda x: F.when(x != "", x))
+        return F.coalesce(part("(?s)(\\{.*\\})"), part("(?s)(\\[.*\\])"))
+
+    def relaxed(c: Column) -> Column:
+        return F.regexp_replace(c, ",\\s*([}\\]])", "$1")
+
+    # each rung hands on what was found, the text it tried, and those before it
+    step = lambda found, text, tries: F.struct(found.alias("found"), text.alias("text"), tries.alias("tries"))
+    ladder = _let(raw, lambda c: step(parse(c), c, F.array(c)))
+    down = lambda rung: lambda s: step(s["found"], F.when(s["found"].isNull(), rung(s["text"])), s["tries"])
+    for rung in (unfenced, outermost, relaxed):
+        ladder = _let(ladder, down(rung))
+        ladder = _let(ladder, lambda s: step(F.coalesce(s["found"], parse(s["text"])), s["text"], F.when(s["found"].isNull(), F.concat(s["tries"], F.array(s["text"])))))
+    ladder = _let(ladder, lambda s: F.struct(s["found"].alias("found"), F.when(s["found"].isNull(), s["tries"]).alias("tries")))
     # an object that repeats a key is no VARIANT: only such texts, and those that are no JSON at all, are looked at again
-    again = F.udf(_last_of_keys, "string", useArrow=True)
-    return F.coalesce(found, again(F.when(found.isNull() & raw.isNotNull(), F.array(raw, fenced, sliced, relaxed))))
+    return F.arrow_udf(_last_of_keys, "string")(ladder)
+
+
+def _last_of_keys(ladder: pa.Array) -> pa.Array:
+    """``found``, or else the first of ``tries`` that is JSON, with the last value of each key."""
+    found, tries = pc.struct_field(ladder, "found"), pc.struct_field(ladder, "tries")
+    open_rows = np.flatnonzero(tries.is_valid().to_numpy(zero_copy_only=False))
+    if not len(open_rows):
+        return found
+    out = found.to_pylist()
+    for i in open_rows.tolist():
+        out[i] = _reparsed(tries[i].as_py())
+    return pa.array(out, pa.string())
 
 
-def _last_of_keys(texts: list[str | None] | None) -> str | None:
-    """The first of ``texts`` that is JSON, with the last value of each key."""
+def _reparsed(texts: list[str | None]) -> str | None:
 
     def refuse(word: str):
         raise ValueError(word)
 
-    for text in texts if texts is not None else ():
+    for text in texts:
         try:
             if text is not None:
                 return json.dumps(json.loads(text, parse_constant=refuse), ensure_ascii=False, separators=(",", ":"))

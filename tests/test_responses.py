@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+from sparkgauge.functions import text
 from sparkgauge.operators import adapters
 
 
@@ -20,3 +23,10 @@ def test_chat_rows_of_one_key_or_none_keep_their_own_tokens(spark):
     assert [x[:3] for x in got] == [("1", "a", "/v"), ("2", "a", "/v"), ("3", None, "/v")]
     assert [round(x[3], 6) for x in got] == [0.367879, 0.135335, 0.049787]
     assert [r.doc for r in failed.collect()] == ["b"]
+
+
+def test_rungs_of_a_repair_are_made_once(spark):
+    odd = [(1, '```json\n{"a": 1, "a": 2}\n```'), (2, 'so: {"a": [1,],}.'), (3, "none"), (4, None), (5, '{"b": 1}')]
+    rows = spark.createDataFrame(odd, "k int, raw string").repartition(1).select("k", text.repair_json(F.col("raw")).alias("out"))
+    assert plan(rows).count("try_parse_json") <= 4
+    assert {r.k: r.out for r in rows.collect()} == {1: '{"a":2}', 2: '{"a":[1]}', 3: None, 4: None, 5: '{"b":1}'}
