@@ -25,6 +25,13 @@ def test_chat_rows_of_one_key_or_none_keep_their_own_tokens(spark):
     assert [r.doc for r in failed.collect()] == ["b"]
 
 
+def test_answers_are_made_once(spark):
+    """Six levels and one look at what is left; the ladder's four parses, and one for the kind of the answer."""
+    rows = spark.createDataFrame([(1, "{}")], "k int, response string")
+    fields, _ = adapters.candidate_responses(rows, ["k"])
+    assert plan(fields).count("try_parse_json") <= 7
+
+
 def test_rungs_of_a_repair_are_made_once(spark):
     odd = [(1, '```json\n{"a": 1, "a": 2}\n```'), (2, 'so: {"a": [1,],}.'), (3, "none"), (4, None), (5, '{"b": 1}')]
     rows = spark.createDataFrame(odd, "k int, raw string").repartition(1).select("k", text.repair_json(F.col("raw")).alias("out"))
