@@ -8,15 +8,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.rng import Rng, normal_quantile, quantile, uniforms
+from ..functions.rng import STEP, Rng, normal_quantile, quantile, uniforms
 from . import metrics
+from .order import numbered_rows, settled
+
+#: Documents of a block, and simulations that one task row makes of it.
+DOCUMENTS, SIMULATIONS = 4096, 50
 
 
 def plugin_ece(confidence: np.ndarray, correct: np.ndarray, bins: int = metrics.BINS) -> float:
@@ -79,7 +85,52 @@ def consistency_bands(points: DataFrame, order: list[str], seed: int, sims: int
     return seen.join(bands, "bin")
 
 
+def _normal(seed: int, first: int, count: int) -> np.ndarray:
+    """Normals ``first`` to ``first + count`` (excluded) of the stream that ``Rng(seed).normal()`` gives.
+
+    Pair p is made of draws 2 p and 2 p + 1, and only a draw of zero as a pair's first is skipped, which moves all later ones by one.  A draw is zero
+    only in state 0, so at one place in 2^32.
+    """
+    pairs = np.arange(first // 2, (first + count + 1) // 2, dtype=np.uint64)
+    zero, skipped = (-seed * pow(STEP, -1, 1 << 32) - 1) % (1 << 32), 0
+    at = pairs * np.uint64(2)
+    while len(pairs) and zero <= int(at[-1]) + 1:
+        # skips before this one have moved the pairs' first draws
+        if (zero - skipped) % 2 == 0:
+            at[at >= zero] += np.uint64(1)
+            skipped += 1
+        zero += 1 << 32
+    radius = np.sqrt(-2 * np.log(uniforms(seed, at)))
+    angle = 2 * math.pi * uniforms(seed, at + np.uint64(1))
+    out = np.empty(2 * len(pairs))
+    out[0::2], out[1::2] = radius * np.cos(angle), radius * np.sin(angle)
+    return out[first % 2 : first % 2 + count]
+
+
+def _wins(z: np.ndarray, fields: np.ndarray, za: float, zb: float, shared: float, spread: float) -> np.ndarray:
+    """Per document the fields that arm b has right more than arm a; a document takes 1 + 3 normals a field."""
+    common, own = math.sqrt(shared), math.sqrt(1 - shared)
+    before = np.cumsum(fields) - fields
+    doc = np.repeat(np.arange(len(fields)), fields)
+    start = 3 * before + np.arange(len(fields))
+    u = (spread * z[start])[doc]
+    place = start[doc] + 1 + 3 * (np.arange(len(doc)) - before[doc])
+    s = common * z[place]
+    more = (s + own * z[place + 2] < zb + u).astype(np.int64) - (s + own * z[place + 1] < za + u)
+    return np.bincount(doc, weights=more, minlength=len(fields)).astype(np.int64)
+
+
+def _t_of(sums: list[tuple[int, int, int, int]]) -> float:
+    """Paired t of documents' differences ``more / fields``, from (fields, documents, sum of more, sum of its square), in whole numbers."""
+    n = sum(k for _, k, _, _ in sums)
+    total = sum((Fraction(x, m) for m, _, x, _ in sums), Fraction(0))
+    square = sum((Fraction(xx, m * m) for m, _, _, xx in sums), Fraction(0))
+    mean, se = float(total / n), math.sqrt((square - total * total / n) / (n - 1) / n)
+    return mean / se if se else (0.0 if mean == 0 else math.inf)
+
+
 def _paired_t(rng: Rng, fields: list[int], base: float, delta: float, shared: float, spread: float) -> float:
+    """One simulation as a sequential loop, for tests."""
     za, zb = (normal_quantile(min(0.999, max(0.001, x))) for x in (base, base + delta))
     common, own = math.sqrt(shared), math.sqrt(1 - shared)
     deltas = []
@@ -96,21 +147,67 @@ def _paired_t(rng: Rng, fields: list[int], base: float, delta: float, shared: fl
     return mean / se if se else (0.0 if mean == 0 else math.inf)
 
 
-def detectable_effect(spark: SparkSession, fields: list[int], base: float, grid: list[float], seed: int, shared: float = 0.6,
-                      spread: float = 0.7, alpha: float = 0.05, power: float = 0.8, sims: int = 600) -> dict:
-    """Smallest delta of ``grid`` found with ``power``; the null and each delta are groups of their own."""
-    if len(fields) < 2 or not 0 < base < 1 or not grid or min(grid) <= 0:
+def _document_blocks(documents: DataFrame, order: list[str]) -> DataFrame:
+    """``offset, fields``: runs of ``DOCUMENTS`` documents in order, and the normals of a simulation that come before each."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        by = np.argsort(table.column("r").to_numpy(), kind="stable")
+        fields = table.column("fields").to_numpy()[by]
+        return pa.table({"block": pa.array([table.column("_block")[0].as_py()], pa.int64()), "takes": pa.array([int((1 + 3 * fields).sum())], pa.int64()), "fields": pa.array([fields], pa.list_(pa.int64()))})
+
+    rows = numbered_rows(documents.select(*order, F.col("fields").cast("long").alias("fields")), [], order).withColumn("_block", F.floor(F.col("r") / DOCUMENTS))
+    blocks = settled(rows.select("r", "fields", "_block").groupBy("_block").applyInArrow(pack, "block long, takes long, fields array<long>"))
+    # a row a block
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("block", F.coalesce(F.sum("takes").over(earlier), F.lit(0)).alias("offset"))
+    return blocks.join(F.broadcast(offsets), "block")
+
+
+def detectable_effect(spark: SparkSession, fields: list[int] | DataFrame, base: float, grid: list[float], seed: int, shared: float = 0.6,
+                      spread: float = 0.7, alpha: float = 0.05, power: float = 0.8, sims: int = 600, order: list[str] | None = None) -> dict:
+    """Smallest delta of ``grid`` found with ``power``.
+
+    ``fields`` holds a number a document: a list, or a table (``fields`` and the columns of ``order``, which tells documents apart).
+    Each simulation draws what a sequential loop draws: how many normals a document takes is known beforehand, so a block of documents makes its own
+    in any simulation.  What reaches the driver is a number a delta and simulation.
+    """
+    if not isinstance(fields, DataFrame):
+        fields, order = spark.createDataFrame([(i, m) for i, m in enumerate(fields)], "at long, fields long"), ["at"]
+    blocks = _document_blocks(fields, order)
+    docs, takes, count = blocks.agg(F.coalesce(F.sum(F.size("fields")), F.lit(0)), F.sum("takes"), F.count(F.lit(1))).first()
+    if docs < 2 or not 0 < base < 1 or not grid or min(grid) <= 0:
         raise ValueError("two documents, a base in (0, 1) and positive deltas are needed")
+    usable = [0.0, *(d for d in sorted(set(grid)) if base + d < 1)]
+    streams = [seed ^ 0x9E3779B9 if d == 0 else seed + round(d * 1e6) for d in usable]
+    ends = [[normal_quantile(min(0.999, max(0.001, x))) for x in (base, base + d)] for d in usable]
+    parts = -(-sims // SIMULATIONS)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        delta = float(group["delta"].iloc[0])
-        rng = Rng(seed ^ 0x9E3779B9 if delta == 0 else seed + round(delta * 1e6))
-        t = [abs(_paired_t(rng, fields, base, delta, shared, spread)) for _ in range(sims)]
-        return pd.DataFrame({"delta": [delta], "t": [t]})
-
-    usable = [d for d in sorted(grid) if base + d < 1]
-    rows = spark.createDataFrame([(d,) for d in [0.0, *usable]], "delta double")
-    found = {r.delta: list(r.t) for r in rows.groupBy("delta").applyInPandas(run, "delta double, t array<double>").collect()}
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, d = np.array(row["fields"], dtype=np.int64), row["stream"]
+                kinds, kind = np.unique(own, return_inverse=True)
+                out = []
+                for s in range(row["part"] * SIMULATIONS, min(sims, (row["part"] + 1) * SIMULATIONS)):
+                    z = _normal(streams[d], s * takes + row["offset"], int(own.sum()) * 3 + len(own))
+                    more = _wins(z, own, *ends[d], shared, spread)
+                    sums = (np.bincount(kind), np.bincount(kind, weights=more), np.bincount(kind, weights=more * more))
+                    out += [(d, s, m, *x) for m, *x in zip(kinds.tolist(), *(x.astype(np.int64).tolist() for x in sums), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["stream", "s", "m", "k", "x", "xx"])
+
+    each = blocks.withColumn("stream", F.explode(F.sequence(F.lit(0), F.lit(len(usable) - 1)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    spread_out = each.select("offset", "fields", "stream", "part").repartition(min(count * parts * len(usable), 1_000), "offset", "stream", "part")
+    sums = spread_out.mapInArrow(draw, "stream long, s long, m long, k long, x long, xx long").groupBy("stream", "s", "m").agg(*[F.sum(c).alias(c) for c in ("k", "x", "xx")])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["stream"], r["s"], abs(_t_of([(x["m"], x["k"], x["x"], x["xx"]) for x in r["sums"]]))) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["stream", "s", "t"])
+
+    closed = sums.groupBy("stream", "s").agg(F.collect_list(F.struct("m", "k", "x", "xx")).alias("sums")).mapInArrow(close, "stream long, s long, t double")
+    found: dict[float, list[float]] = {d: [] for d in usable}
+    for r in closed.collect():
+        found[usable[r.stream]].append(r.t)
     threshold = quantile(found[0.0], 1 - alpha)
     table = [(d, sum(t > threshold for t in found[d]) / sims if d in found else math.nan) for d in sorted(grid)]
     return {"mde": next((d for d, p in table if p >= power), None), "grid": table, "null_threshold": threshold}

@@ -433,8 +433,7 @@ def q_noise_floor(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def q_detectable_effect(spark: SparkSession, sf: str) -> DataFrame:
     per = views.goldens(spark, sf).filter(F.col("doc_class") == _BASE).groupBy("doc").agg(F.count(F.lit(1)).alias("fields"))
-    fields = [r.fields for r in per.orderBy("doc").collect()]  # a number a document of one class
-    found = simulate.detectable_effect(spark, fields, 0.75, [0.05, 0.1, 0.2], bootstrap.SEED)
+    found = simulate.detectable_effect(spark, per, 0.75, [0.05, 0.1, 0.2], bootstrap.SEED, order=["doc"])
     return spark.createDataFrame(found["grid"], "delta double, power double")
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from sparkgauge.functions.rng import Rng, quantile
+from sparkgauge.functions.rng import STEP, Rng, quantile
 from sparkgauge.operators import bootstrap, simulate
 from sparkgauge.plans import queries, views
 
@@ -59,3 +59,23 @@ def test_queries_simulate_as_often_as_the_operators(spark):
     assert [tuple(r) for r in queries.q_detectable_effect(spark, data).collect()] == wanted
     ci = queries.q_pooled_interval(spark, "/root/testdata/sf0.001").first()
     assert ci.p_zero < 2 / 501
+
+
+def test_effect_of_a_table_is_that_of_the_loop(spark, monkeypatch):
+    """Blocks that cut the documents anywhere, in a table's order, draw what one loop over them draws."""
+    fields = [5, 1, 7, 3, 3, 4] * 5
+    loop = lambda delta, seed: [abs(simulate._paired_t(rng, fields, 0.75, delta, 0.6, 0.7)) for rng in [Rng(seed)] for _ in range(60)]
+    none = loop(0.0, 7 ^ 0x9E3779B9)
+    wanted = [(d, sum(t > quantile(none, 0.95) for t in loop(d, 7 + round(d * 1e6))) / 60) for d in (0.1, 0.2)]
+    monkeypatch.setattr(simulate, "DOCUMENTS", 7)
+    table = spark.createDataFrame([(f"{i:02}", m) for i, m in enumerate(fields)], "doc string, fields long").repartition(3)
+    assert simulate.detectable_effect(spark, table, 0.75, [0.1, 0.2], 7, sims=60, order=["doc"])["grid"] == wanted
+
+
+@pytest.mark.parametrize("zero", [None, 0, 1, 6, 7])
+def test_normals_skip_a_draw_of_zero_like_the_stream(zero):
+    seed = 7 if zero is None else -(zero + 1) * STEP % 2**32
+    rng = Rng(seed)
+    wanted = [rng.normal() for _ in range(40)]
+    for first in (0, 1, 6, 9):
+        assert simulate._normal(seed, first, 20).tolist() == pytest.approx(wanted[first : first + 20], abs=1e-12)
