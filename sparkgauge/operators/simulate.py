@@ -23,6 +23,8 @@ from .order import numbered_rows, settled
 
 #: Documents of a block, and simulations that one task row makes of it.
 DOCUMENTS, SIMULATIONS = 4096, 50
+#: Points of a block of a stream at least, blocks about at most, points before a block in which it falls in, blocks that a task walks at once, points that a task holds.
+POINTS, BLOCKS, WARM, LANES, HELD = 4096, 65_536, 1500, 1024, 1 << 22
 
 
 def plugin_ece(confidence: np.ndarray, correct: np.ndarray, bins: int = metrics.BINS) -> float:
@@ -35,21 +37,146 @@ def plugin_ece(confidence: np.ndarray, correct: np.ndarray, bins: int = metrics.
     return float(np.abs(y - c).sum() / n)
 
 
+def _gammas(seed: int, at: np.ndarray, kept: np.ndarray, shape: float) -> np.ndarray:
+    """``Rng.gamma`` of many places of one stream at once; ``at`` (next draw) and ``kept`` (NaN: none) go on in place."""
+    if shape < 1:
+        g = _gammas(seed, at, kept, shape + 1)
+        u = uniforms(seed, at)
+        at += u == 0
+        u = np.where(u == 0, uniforms(seed, at), u)
+        at += np.uint64(1)
+        return g * u ** (1 / shape)
+    d = shape - 1 / 3
+    c = 1 / math.sqrt(9 * d)
+    out, left = np.empty(len(at)), np.arange(len(at))
+    while len(left):
+        i, x = at[left], kept[left]
+        fresh = np.flatnonzero(np.isnan(x))
+        rest = np.full(len(left), np.nan)
+        if len(fresh):
+            j = i[fresh]
+            u = uniforms(seed, j)
+            if not u.all():
+                j = j + (u == 0)
+                u = uniforms(seed, j)
+            radius, angle = np.sqrt(-2 * np.log(u)), 2 * math.pi * uniforms(seed, j + np.uint64(1))
+            x[fresh], rest[fresh], i[fresh] = radius * np.cos(angle), radius * np.sin(angle), j + np.uint64(2)
+        kept[left] = rest
+        tried = 1 + c * x > 0
+        u = uniforms(seed, i)
+        at[left] = i + tried
+        taken = tried & (u < 1 - 0.0331 * x**4)
+        v = (1 + c * x) ** 3
+        close = np.flatnonzero(tried & ~taken & (u > 0))
+        taken[close] = np.log(u[close]) < 0.5 * x[close] ** 2 + d * (1 - v[close] + np.log(v[close]))
+        out[left[taken]] = d * v[taken]
+        left = left[~taken]
+    return out
+
+
+def _points(seed: int, at: np.ndarray, kept: np.ndarray, a: float, b: float) -> tuple[np.ndarray, np.ndarray]:
+    """The next confidence and outcome at many places of the stream."""
+    x = _gammas(seed, at, kept, a)
+    confidence = x / (x + _gammas(seed, at, kept, b))
+    correct = uniforms(seed, at) < confidence
+    at += np.uint64(1)
+    return confidence, correct
+
+
+def _until(seed: int, at: np.ndarray, kept: np.ndarray, end: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Goes on with each place to the first point that begins at ``end`` or later; how many points that are."""
+    count, left = np.zeros(len(at), dtype=np.int64), np.flatnonzero(at < end)
+    while len(left):
+        i, k = at[left], kept[left]
+        _points(seed, i, k, a, b)
+        at[left], kept[left] = i, k
+        count[left] += 1
+        left = left[i < end[left]]
+    return count
+
+
+_ENTRY = "block long, at long, kept double, count long, end long, end_kept double"
+
+
+def _entries(spark: SparkSession, seed: int, points: int, a: float, b: float) -> list[np.ndarray]:
+    """``at, kept, count`` of blocks of the stream that hold ``points`` points or more: the first point that begins in a block, and the points of the block.
+
+    How many draws a point takes hangs on the draws, but sequences that begin anywhere soon fall in with the right one.  So a block begins ``WARM`` points
+    early, and its first point is right if the block before ends there; where it doesn't, the block is made again from that end.  A row a block reaches the driver.
+    """
+    probe, none = np.zeros(1, dtype=np.uint64), np.full(1, np.nan)
+    for _ in range(WARM):
+        _points(seed, probe, none, a, b)
+    rate = int(probe[0]) / WARM  # draws a point
+    size = math.ceil(rate * max(POINTS, points // BLOCKS))
+    warm = math.ceil(rate * WARM)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, at, kept = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "at", "kept"))
+            at, kept = at.astype(np.uint64), kept.astype(float)
+            edge = (block * size).astype(np.uint64)
+            _until(seed, at, kept, edge, a, b)
+            first, first_kept = at.copy(), kept.copy()
+            count = _until(seed, at, kept, edge + np.uint64(size), a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block, first.astype(np.int64), first_kept, count, at.astype(np.int64), kept)], names=["block", "at", "kept", "count", "end", "end_kept"])
+
+    def run(block: np.ndarray, at: np.ndarray, kept: np.ndarray) -> dict[str, np.ndarray]:
+        starts = spark.createDataFrame(pa.table({"block": block, "at": at, "kept": kept})).repartition(max(1, min(len(block), max(spark.sparkContext.defaultParallelism, len(block) // LANES))))
+        found = starts.mapInArrow(go, _ENTRY).toArrow().sort_by("block")
+        return {c: found.column(c).to_numpy(zero_copy_only=False).copy() for c in found.column_names}
+
+    known: dict[str, np.ndarray] = {}
+    while not known or known["count"].sum() < points:
+        done = len(known["block"]) if known else 0
+        have = int(known["count"].sum()) if known else 0
+        block = np.arange(done, done + math.ceil((points - have) * rate * 1.01 / size) + 1)
+        more = run(block, np.maximum(block * size - warm, 0), np.full(len(block), np.nan))
+        known = {c: np.concatenate([known[c], more[c]]) for c in more} if known else more
+        while len(bad := 1 + np.flatnonzero((known["at"][1:] != known["end"][:-1]) | ~((known["kept"][1:] == known["end_kept"][:-1]) | (np.isnan(known["kept"][1:]) & np.isnan(known["end_kept"][:-1]))))):
+            again = run(bad, known["end"][bad - 1], known["end_kept"][bad - 1])
+            for c in again:
+                known[c][bad] = again[c]
+    return [known[c] for c in ("at", "kept", "count")]
+
+
 def noise_floor(spark: SparkSession, sizes: list[int], seed: int, sims: int = 1000, bins: int = metrics.BINS, a: float = 5, b: float = 1.5) -> DataFrame:
-    """``n, mean, p05, p95`` of the plug-in ECE of a perfectly calibrated arm; one group a size."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        n, rng, found = int(group["n"].iloc[0]), Rng(seed), []
-        for _ in range(sims):
-            confidence, correct = np.empty(n), np.empty(n, bool)
-            for i in range(n):
-                confidence[i] = c = rng.beta(a, b)
-                correct[i] = rng.next() < c
-            found.append(plugin_ece(confidence, correct, bins))
-        return pd.DataFrame({"n": [n], "mean": [math.fsum(found) / sims], "p05": [quantile(found, 0.05)], "p95": [quantile(found, 0.95)]})
-
-    rows = spark.createDataFrame([(n,) for n in sizes], "n long")
-    return rows.groupBy("n").applyInPandas(run, "n long, mean double, p05 double, p95 double")
+    """``n, mean, p05, p95`` of the plug-in ECE of a perfectly calibrated arm.
+
+    Simulations of a size follow each other on one stream, as in a sequential loop.  Where each point begins is found block by block; a task then makes a few
+    simulations, all their blocks at once, and holds ``HELD`` points or one simulation.
+    """
+    sizes = sorted(set(sizes))
+    at, kept, count = _entries(spark, seed, max(sizes) * sims, a, b) if sizes else [np.zeros(0)] * 3
+    ends = np.cumsum(count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, low, high = row["n"], row["n"] * row["low"], row["n"] * row["high"]
+                own = slice(np.searchsorted(ends, low, "right"), np.searchsorted(ends, high, "left") + 1)
+                place, rest, points = at[own].astype(np.uint64), kept[own].copy(), count[own]
+                confidence, correct = np.empty((points.max(), len(place))), np.empty((points.max(), len(place)), bool)
+                for i in range(len(confidence)):
+                    confidence[i], correct[i] = _points(seed, place, rest, a, b)
+                real = np.arange(len(confidence)) < points[:, None]
+                before = int(ends[own][0] - points[0])
+                confidence, correct = (x.T[real][low - before : high - before].reshape(-1, n) for x in (confidence, correct))
+                found = [plugin_ece(c, y, bins) for c, y in zip(confidence, correct, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(found), pa.int64()), pa.array(found)], names=["n", "ece"])
+
+    def close(group: pd.DataFrame) -> pd.DataFrame:
+        found = group["ece"].tolist()  # a number a simulation
+        return pd.DataFrame({"n": [group["n"].iloc[0]], "mean": [math.fsum(found) / sims], "p05": [quantile(found, 0.05)], "p95": [quantile(found, 0.95)]})
+
+    rows = []
+    for n in sizes:
+        each = max(1, min(HELD // n, -(-sims // (2 * spark.sparkContext.defaultParallelism))))
+        rows += [(n, s, min(sims, s + each)) for s in range(0, sims, each)]
+    parts = spark.createDataFrame(rows, "n long, low long, high long").repartition(max(1, len(rows)), "n", "low")
+    return parts.mapInArrow(run, "n long, ece double").groupBy("n").applyInPandas(close, "n long, mean double, p05 double, p95 double")
 
 
 def consistency_bands(points: DataFrame, order: list[str], seed: int, sims: int = 1000, bins: int = metrics.BINS, level: float = 0.95) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from sparkgauge.functions.rng import STEP, Rng, quantile
@@ -79,3 +80,22 @@ def test_normals_skip_a_draw_of_zero_like_the_stream(zero):
     wanted = [rng.normal() for _ in range(40)]
     for first in (0, 1, 6, 9):
         assert simulate._normal(seed, first, 20).tolist() == pytest.approx(wanted[first : first + 20], abs=1e-12)
+
+
+@pytest.mark.parametrize(("a", "b", "warm"), [(5, 1.5, 1500), (5, 1.5, 3), (0.7, 0.4, 3)])
+def test_noise_floor_is_that_of_the_loop(spark, monkeypatch, a, b, warm):
+    """Also where blocks begin too late to fall in with the stream, and are made again."""
+    monkeypatch.setattr(simulate, "POINTS", 64)
+    monkeypatch.setattr(simulate, "WARM", warm)
+    monkeypatch.setattr(simulate, "HELD", 500)
+    wanted = {}
+    for n in (33, 80):
+        rng, found = Rng(bootstrap.SEED), []
+        for _ in range(40):
+            points = [(c, rng.next() < c) for c in (rng.beta(a, b) for _ in range(n))]
+            found.append(simulate.plugin_ece(*(np.array(x) for x in zip(*points, strict=True))))
+        wanted[n] = (sum(found) / 40, quantile(found, 0.05), quantile(found, 0.95))
+    got = {r.n: (r["mean"], r.p05, r.p95) for r in simulate.noise_floor(spark, [80, 33], bootstrap.SEED, sims=40, a=a, b=b).collect()}
+    assert set(got) == set(wanted)
+    for n in got:
+        assert got[n] == pytest.approx(wanted[n], abs=1e-12)
