@@ -140,49 +140,79 @@ def normal_form(kind: Column, value: Column) -> Column:
 # --- responses -------------------------------------------------------------------------
 
 
-def repair_json(raw: Column) -> Column:
-    """The first of these that parses, as JSON text: as it is, without a code fence, the outermost
-    braces or brackets, the same without commas before a closer; null if none does.
+#: Fixed value: how every JSON text begins.  A parser says no to others by an exception, which costs more than all the rest of a repair.
+JSON_START = '^[ \\t\\r\\n]*(?:[\\[{"]|-?[0-9]|true|false|null)'
 
-    Each is made once, and only if those before it don't parse.
-    """
-    parse = lambda c: F.to_json(F.try_parse_json(c))
 
-    def unfenced(c: Column) -> Column:
-        return js_trim(F.regexp_replace(F.regexp_replace(js_trim(c), "(?i)^```(?:json)?\\s*", ""), "\\s*```$", ""))
+def repair_text(c: Column) -> Column:
+    """The text, if it begins like JSON: what a parser is asked."""
+    return F.when(c.rlike(JSON_START), c)
+
+
+def parsed_text(c: Column) -> Column:
+    return F.to_json(F.try_parse_json(repair_text(c)))
+
+
+def _unfenced(c: Column) -> Column:
+    full = js_trim(F.regexp_replace(F.regexp_replace(js_trim(c), "(?i)^```(?:json)?\\s*", ""), "\\s*```$", ""))
+    # most texts hold no fence and begin and end with a visible character of ASCII: the patterns would look at each of their places for nothing
+    bare = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(F.contains(c, F.lit("```")), full).when(bare, c).otherwise(js_trim(c))
+
+
+def _outermost(c: Column) -> Column:
+    return F.coalesce(*[F.get(F.regexp_extract_all(c, F.lit(p), F.lit(0)), F.lit(0)) for p in ("(?s)\\{.*\\}", "(?s)\\[.*\\]")])
+
 
-    def outermost(c: Column) -> Column:
-        part = lambda p: _let(F.regexp_extract(c, p, 1), lambda x: F.when(x != "", x))
-        return F.coalesce(part("(?s)(\\{.*\\})"), part("(?s)(\\[.*\\])"))
+def _relaxed(c: Column) -> Column:
+    return F.regexp_replace(c, ",\\s*([}\\]])", "$1")
 
-    def relaxed(c: Column) -> Column:
-        return F.regexp_replace(c, ",\\s*([}\\]])", "$1")
 
+#: What a repair tries after the text as it is, each from the text before.
+RUNGS: tuple[Callable[[Column], Column], ...] = (_unfenced, _outermost, _relaxed)
+
+
+def repair_json(raw: Column) -> Column:
+    """The first of these that parses, as JSON text: as it is, without a code fence, the outermost
+    braces or brackets, the same without commas before a closer; null if none does.
+
+    Each is made once, and only if those before it don't parse; what doesn't begin like JSON is not given to a parser.
+    As one column this is a lambda in a lambda, which Spark interprets; over a table ``adapters.repaired`` does the same in compiled code.
+    """
     # each rung hands on what was found, the text it tried, and those before it
     step = lambda found, text, tries: F.struct(found.alias("found"), text.alias("text"), tries.alias("tries"))
-    ladder = _let(raw, lambda c: step(parse(c), c, F.array(c)))
+    ladder = _let(raw, lambda c: step(parsed_text(c), c, F.array(repair_text(c))))
     down = lambda rung: lambda s: step(s["found"], F.when(s["found"].isNull(), rung(s["text"])), s["tries"])
-    for rung in (unfenced, outermost, relaxed):
+    for rung in RUNGS:
         ladder = _let(ladder, down(rung))
-        ladder = _let(ladder, lambda s: step(F.coalesce(s["found"], parse(s["text"])), s["text"], F.when(s["found"].isNull(), F.concat(s["tries"], F.array(s["text"])))))
-    ladder = _let(ladder, lambda s: F.struct(s["found"].alias("found"), F.when(s["found"].isNull(), s["tries"]).alias("tries")))
-    # an object that repeats a key is no VARIANT: only such texts, and those that are no JSON at all, are looked at again
-    return F.arrow_udf(_last_of_keys, "string")(ladder)
+        ladder = _let(ladder, lambda s: step(F.coalesce(s["found"], parsed_text(s["text"])), s["text"], F.when(s["found"].isNull(), F.concat(s["tries"], F.array(repair_text(s["text"]))))))
+    return last_of_keys(_let(ladder, lambda s: repair_result(s["found"], [F.get(s["tries"], F.lit(i)) for i in range(len(RUNGS) + 1)])))
+
+
+def repair_result(found: Column, tries: list[Column]) -> Column:
+    """What Python gets: strings only, as Spark measures a list anew from its batch's first row with every row it adds."""
+    return F.struct(found.alias("found"), *[F.when(found.isNull(), t).alias(f"try{i}") for i, t in enumerate(tries)])
+
+
+def last_of_keys(result: Column) -> Column:
+    """What was found; an object that repeats a key is no VARIANT: only such texts, and those that begin like JSON and are none, are looked at again."""
+    return F.arrow_udf(_last_of_keys, "string")(result)
 
 
-def _last_of_keys(ladder: pa.Array) -> pa.Array:
-    """``found``, or else the first of ``tries`` that is JSON, with the last value of each key."""
-    found, tries = pc.struct_field(ladder, "found"), pc.struct_field(ladder, "tries")
-    open_rows = np.flatnonzero(tries.is_valid().to_numpy(zero_copy_only=False))
-    if not len(open_rows):
+def _last_of_keys(result: pa.Array) -> pa.Array:
+    """``found``, or else the first of the tries that is JSON, with the last value of each key."""
+    found, *tries = result.flatten()
+    left = np.zeros(len(found), bool)
+    for t in tries:
+        left |= t.is_valid().to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(left)
+    if not len(at):
         return found
-    out = found.to_pylist()
-    for i in open_rows.tolist():
-        out[i] = _reparsed(tries[i].as_py())
-    return pa.array(out, pa.string())
+    read = [_reparsed(texts) for texts in zip(*[t.take(pa.array(at)).to_pylist() for t in tries], strict=True)]
+    return pc.replace_with_mask(found, pa.array(left), pa.array(read, found.type))
 
 
-def _reparsed(texts: list[str | None]) -> str | None:
+def _reparsed(texts: tuple[str | None, ...]) -> str | None:
 
     def refuse(word: str):
         raise ValueError(word)

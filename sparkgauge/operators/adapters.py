@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import failure_kind, logprob_confidence, repair_json
+from ..functions import text
+from ..functions.text import failure_kind, logprob_confidence
 from ..functions.values import valid_confidence
 from .requests import Fatal, check_fields
 
@@ -30,15 +31,17 @@ STAMP = r"^cal-\d{4}\.\d{2}-\d+$"
 LEVELS = 6
 
 
-def flatten(rows: DataFrame, key: list[str], column: str) -> DataFrame:
+def flatten(rows: DataFrame, key: list[str], column: str, outer: bool = False) -> DataFrame:
     """``<key>, field, value_json``: leaves of the JSON text in ``column`` by JSON Pointer; empty containers vanish.
 
     Primitives and null are leaves.  Levels are unfolded one after the other, each as a lateral join that leaves leaves as they are.
     Only texts that VARIANT refuses (an object repeats a key) and what lies below ``LEVELS`` are walked in Python, in Arrow batches, so neither rows nor levels have a limit.
+    A null text has no leaves; with ``outer`` it gives one row with a null field.
     """
     spark = rows.sparkSession
     own = [F.col(k) for k in key]
-    out = rows.select(*own, F.col(column).alias("_text"), F.try_parse_json(column).alias("_v"), F.lit("").alias("_path")).filter("_text is not null")
+    out = rows.select(*own, F.col(column).alias("_text"), F.try_parse_json(column).alias("_v"), F.lit("").alias("_path"))
+    out = out if outer else out.filter("_text is not null")
     token = F.coalesce(F.replace(F.replace(F.col("key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
     for _ in range(LEVELS):
         down = out.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer()))
@@ -48,14 +51,15 @@ def flatten(rows: DataFrame, key: list[str], column: str) -> DataFrame:
             *own, F.when(F.col("_v").isNull(), F.col("_text")).alias("_text"), F.when(inner, F.col("value")).otherwise(F.col("_v")).alias("_v"), F.when(inner, F.concat("_path", F.lit("/"), token)).otherwise(F.col("_path")).alias("_path")
         )
     out = out.select(*own, "_path", F.coalesce(F.to_json("_v"), F.col("_text")).alias("_json"), F.col("_text").isNotNull().alias("_raw"))
-    rest = F.col("_raw") | F.col("_json").startswith("{") | F.col("_json").startswith("[")
+    none = F.col("_json").isNull()
+    rest = ~none & (F.col("_raw") | F.col("_json").startswith("{") | F.col("_json").startswith("["))
     leaves = F.arrow_udf(_walked, "array<struct<field: string, raw: string>>")
     plain = F.array(F.struct(F.lit("").alias("field"), F.col("_json").alias("raw")))
     # a text that is a primitive as a whole has no field
-    out = out.withColumn("_rest", rest).filter("_path <> '' or _rest").withColumn("_walked", leaves(F.when(F.col("_rest"), F.col("_json"))))
+    out = out.withColumn("_rest", rest).filter((F.col("_path") != "") | F.col("_rest") | none).withColumn("_walked", leaves(F.when(F.col("_rest"), F.col("_json"))))
     out = out.select(*own, "_path", "_rest", F.explode_outer(F.when(F.col("_rest"), F.col("_walked")).otherwise(plain)).alias("_leaf")).filter("_leaf is not null")
     value = F.when(F.col("_rest"), F.coalesce(F.to_json(F.try_parse_json("_leaf.raw")), F.col("_leaf.raw"))).otherwise(F.col("_leaf.raw"))
-    return out.select(*own, F.concat("_path", "_leaf.field").alias("field"), value.alias("value_json"))
+    return out.select(*own, F.when(F.col("_rest") | F.col("_leaf.raw").isNotNull(), F.concat("_path", "_leaf.field")).alias("field"), value.alias("value_json"))
 
 
 def _walked(texts: pa.Array) -> pa.Array:
@@ -116,15 +120,77 @@ def flatten_text(text: str | None) -> list[tuple[str, str]] | None:
     return None
 
 
-def _with_answer(rows: DataFrame, text: F.Column) -> DataFrame:
-    """Adds ``answer``: ``text`` if it is a JSON object.  It comes out of a generator, so that filters on it read it instead of making it again."""
-    kept = F.transform(F.array(text), lambda t: F.when(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), t))
-    return rows.withColumn("answer", F.explode(kept))
+def _made(rows: DataFrame, name: str, value: F.Column) -> DataFrame:
+    """Adds a column that comes out of a generator: what reads it doesn't make it again, and unlike a lambda's its code is compiled."""
+    return rows.withColumn(name, F.explode(F.array(value)))
+
+
+def repaired(rows: DataFrame, raw: F.Column, name: str) -> DataFrame:
+    """Adds ``name``: ``text.repair_json`` of ``raw``, rung by rung as columns."""
+    tries = ["_try0"]
+    r = _made(rows, "_try0", raw)
+    r = _made(r, "_found0", text.parsed_text(F.col("_try0")))
+    for i, rung in enumerate(text.RUNGS):
+        tries.append(f"_try{i + 1}")
+        r = _made(r, tries[-1], F.when(F.col(f"_found{i}").isNull(), rung(F.col(tries[-2]))))
+        r = _made(r, f"_found{i + 1}", F.coalesce(f"_found{i}", text.parsed_text(F.col(tries[-1]))))
+    found = text.repair_result(F.col(f"_found{len(text.RUNGS)}"), [text.repair_text(F.col(t)) for t in tries])
+    return r.withColumn(name, text.last_of_keys(found)).drop(*tries, *[f"_found{i}" for i in range(len(tries))])
+
+
+def _with_answer(rows: DataFrame, column: str) -> DataFrame:
+    """Adds ``answer``: the text in ``column`` if it is a JSON object."""
+    is_object = F.col(column).rlike("^[ \\t\\r\\n]*\\{") & F.try_parse_json(column).isNotNull()
+    return _made(rows, "answer", F.when(is_object, F.col(column)))
+
+
+def _fields(r: DataFrame, key: list[str], outer: bool = False) -> DataFrame:
+    """Fields of the answers, with a confidence where there are tokens; with ``outer`` a row without an answer gives one with a null field."""
+    if "_tokens" not in r.columns:
+        return flatten(r, key, "answer", outer).withColumn("confidence", F.lit(None).cast("double"))
+    fields = flatten(r, [*key, "_tokens"], "answer", outer)
+    plain = F.when(F.col("value_json").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), "value_json", F.lit("}")), "v string")["v"]).otherwise(F.col("value_json"))
+    return fields.withColumn("confidence", F.when(F.col("field").isNotNull(), logprob_confidence(F.col("_tokens"), plain))).drop("_tokens")
 
 
 def _split(r: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Fields of the answers, without a confidence, and the keys of rows that have none."""
-    return flatten(r.filter("answer is not null"), key, "answer").withColumn("confidence", F.lit(None).cast("double")), r.filter("answer is null").select(*key)
+    """Fields of the answers, and the keys of rows that have none."""
+    return _fields(r.filter("answer is not null"), key), r.filter("answer is null").select(*key)
+
+
+def _chat_answers(rows: DataFrame) -> DataFrame:
+    schema = "choices array<struct<message: struct<content: string>, logprobs: struct<content: array<struct<token: string, logprob: double>>>>>, model string"
+    r = _made(rows, "_choice", F.get(F.from_json("response", schema)["choices"], F.lit(0)))
+    r = r.withColumn("_tokens", F.col("_choice.logprobs.content"))
+    return _with_answer(repaired(r, F.col("_choice.message.content"), "_repaired"), "_repaired")
+
+
+def _candidate_answers(rows: DataFrame) -> DataFrame:
+    schema = "candidates array<struct<content: struct<parts: array<struct<text: string>>>>>, modelVersion string"
+    parts = F.array_join(F.get(F.from_json("response", schema)["candidates"], F.lit(0))["content"]["parts"]["text"], "")
+    return _with_answer(repaired(rows, parts, "_repaired"), "_repaired")
+
+
+def _annotation_answers(rows: DataFrame) -> DataFrame:
+    r = _made(rows, "_note", F.try_variant_get(F.try_parse_json("response"), F.lit("$.document_annotation"), "variant"))
+    note = F.col("_note")
+    r = _made(r, "_given", F.coalesce(F.when(F.schema_of_variant(note) == "STRING", F.try_variant_get(note, F.lit("$"), "string")), F.to_json(note)))
+    return _with_answer(r, "_given")
+
+
+def _job_answers(rows: DataFrame) -> DataFrame:
+    r = _made(rows, "_job", F.try_parse_json("response"))
+    r = _made(r, "_given", F.coalesce(*[F.to_json(F.try_variant_get("_job", F.lit(p), "variant")) for p in ("$.extract_result", "$.data")]))
+    return _with_answer(r, "_given")
+
+
+#: Systems whose responses hold one answer: rows with ``response`` -> the same with ``answer``.
+ANSWERS: dict[str, Callable[[DataFrame], DataFrame]] = {"chat": _chat_answers, "candidates": _candidate_answers, "annotation": _annotation_answers, "job": _job_answers}
+
+
+def responses(kind: str, rows: DataFrame, key: list[str]) -> DataFrame:
+    """``<key>, field, value_json, confidence`` of a system in ``ANSWERS``; failed rows once, with a null field.  Rows are read once, where a mapper's two tables are two readings."""
+    return _fields(ANSWERS[kind](rows), key, outer=True)
 
 
 def chat_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -132,34 +198,22 @@ def chat_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFram
 
     Tokens go along with their answer, as one more column of its leaves, so rows of one key, or of none, don't meet.
     """
-    schema = "choices array<struct<message: struct<content: string>, logprobs: struct<content: array<struct<token: string, logprob: double>>>>>, model string"
-    choice = F.get(F.from_json("response", schema)["choices"], F.lit(0))
-    r = rows.withColumn("_choice", choice).withColumn("_tokens", F.col("_choice.logprobs.content"))
-    r = _with_answer(r, repair_json(F.col("_choice.message.content")))
-    fields = flatten(r.filter("answer is not null"), [*key, "_tokens"], "answer")
-    plain = F.when(F.col("value_json").startswith('"'), F.from_json(F.concat(F.lit('{"v":'), "value_json", F.lit("}")), "v string")["v"]).otherwise(F.col("value_json"))
-    return fields.withColumn("confidence", logprob_confidence(F.col("_tokens"), plain)).drop("_tokens"), r.filter("answer is null").select(*key)
+    return _split(_chat_answers(rows), key)
 
 
 def candidate_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Responses whose text comes in parts of the first candidate; no confidence."""
-    schema = "candidates array<struct<content: struct<parts: array<struct<text: string>>>>>, modelVersion string"
-    text = F.array_join(F.get(F.from_json("response", schema)["candidates"], F.lit(0))["content"]["parts"]["text"], "")
-    return _split(_with_answer(rows, repair_json(text)), key)
+    return _split(_candidate_answers(rows), key)
 
 
 def annotation_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Document annotations, an object or a JSON string; not repaired; no confidence."""
-    v = F.try_variant_get(F.try_parse_json("response"), F.lit("$.document_annotation"), "variant")
-    text = F.coalesce(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, F.lit("$"), "string")), F.to_json(v))
-    return _split(_with_answer(rows, text), key)
+    return _split(_annotation_answers(rows), key)
 
 
 def job_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Completed extraction jobs: ``data`` or ``extract_result``; no confidence."""
-    v = F.try_parse_json("response")
-    text = F.coalesce(*[F.to_json(F.try_variant_get(v, F.lit(p), "variant")) for p in ("$.extract_result", "$.data")])
-    return _split(_with_answer(rows, text), key)
+    return _split(_job_answers(rows), key)
 
 
 def stated_responses(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

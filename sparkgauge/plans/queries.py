@@ -610,9 +610,7 @@ def _mapped(spark: SparkSession, sf: str, kind: str, wrap) -> DataFrame:
     """Fields of responses that hold an answer, and one row with a null field for those that failed."""
     answer = F.concat(F.lit('{"n": '), F.col("user_id").cast("string"), F.lit(', "t": ["'), "event_type", F.lit('"]}'))
     rows = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit('{"other": 1}')).otherwise(wrap(answer)).alias("response"))
-    fields, failed = adapters.get_adapter(kind)(rows, ["event_id"])
-    none = F.lit(None).cast("string")
-    return fields.select("event_id", "field", "value_json").unionByName(failed.select("event_id", none.alias("field"), none.alias("value_json")))
+    return adapters.responses(kind, rows, ["event_id"]).select("event_id", "field", "value_json")
 
 
 _FAILED = " UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 7 = 0"
